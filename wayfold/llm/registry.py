@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from wayfold.llm.mixing import op2_mixing
+from wayfold.llm.packing import op4_packing
 from wayfold.llm.simhash import op5_simhash
 
-QUERIES = {"op5_simhash": op5_simhash}
+QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op4_packing": op4_packing,
+    "op5_simhash": op5_simhash,
+}
 
 ORACLE_SQL: dict[str, str] = {}
