@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wayfold.llm.langid import op10_langid
 from wayfold.llm.mixing import op2_mixing
 from wayfold.llm.packing import op4_packing
 from wayfold.llm.simhash import op5_simhash
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op10_langid": op10_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}
