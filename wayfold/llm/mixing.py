@@ -31,15 +31,14 @@ def running_total(table: DataFrame, order: list, value: str, total: str, folder:
     The rows are range-partitioned once; only one number for each partition is gathered to
     offset the sums within partitions, so no task sees more than its own range.
     """
-    table = table.orderBy(*order).withColumn("place", F.monotonically_increasing_id())
-    table = keep(table, folder, name)
-    part = F.shiftright("place", 33)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = table.groupBy(part.alias("part")).agg(F.sum(value).alias("whole"))
-    sums = sums.select("part", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("earlier"))
-    within = F.sum(value).over(Window.partitionBy("part").orderBy("place"))
-    summed = table.withColumn("part", part).withColumn("within", within)
-    return summed.join(F.broadcast(sums), "part").withColumn(total, F.col("within") + F.col("earlier")).drop("part", "within", "earlier", "place")
+    table = keep(table.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), folder, name)
+    part = F.shiftright("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = table.groupBy(part.alias("_part")).agg(F.sum(value).alias("_whole"))
+    sums = sums.select("_part", F.coalesce(F.sum("_whole").over(before), F.lit(0)).alias("_earlier"))
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy("_at"))
+    summed = table.withColumn("_part", part).withColumn("_within", within).join(F.broadcast(sums), "_part")
+    return summed.withColumn(total, F.col("_within") + F.col("_earlier")).drop("_part", "_within", "_earlier", "_at", "_whole")
 
 
 def targets(cells: DataFrame, weights: tuple, share: float, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from wayfold.llm.fingerprint import op7_fingerprint
 from wayfold.llm.langid import op10_langid
 from wayfold.llm.mixing import op2_mixing
 from wayfold.llm.packing import op4_packing
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op7_fingerprint": op7_fingerprint,
     "op10_langid": op10_langid,
 }
 
