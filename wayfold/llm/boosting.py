@@ -1,12 +1,10 @@
-"""Gradient-boosted trees: fitted in numpy on a bounded sample, scored as Spark columns."""
+"""Gradient-boosted trees: fitted in numpy on a bounded sample, scored as Spark SQL."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 @dataclass
@@ -67,20 +65,18 @@ class Boosted:
         a, b = self.calibration
         return 1 / (1 + np.exp(-(a * self.margin(x) + b)))
 
-    def column(self, features: list[Column]) -> Column:
-        """The calibrated probability as an expression over feature columns."""
+    def sql(self, names: list[str]) -> str:
+        """The calibrated probability as SQL over the features' names."""
 
-        def walk(node) -> Column:
+        def walk(node) -> str:
             if not isinstance(node, tuple):
-                return F.lit(node)
+                return f"{node!r}D"
             k, cut, low, high = node
-            return F.when(features[k] <= cut, walk(low)).otherwise(walk(high))
+            return f"(CASE WHEN {names[k]} <= {cut!r}D THEN {walk(low)} ELSE {walk(high)} END)"
 
-        total = F.lit(self.base)
-        for tree in self.grown:
-            total = total + walk(tree)
         a, b = self.calibration
-        return 1 / (1 + F.exp(-(total * a + b)))
+        total = " + ".join([f"{self.base!r}D", *map(walk, self.grown)])
+        return f"1 / (1 + exp(-({a!r}D * ({total}) + {b!r}D)))"
 
 
 def _leaf(node, x: np.ndarray) -> np.ndarray:

@@ -4,8 +4,8 @@ Base spans follow fixed rules and always stay. Besides them, high-recall generat
 overlapping spans (obfuscated addresses, phone numbers without a plus, cards with other
 separators, long-form network addresses). Gradient-boosted trees score each by features of
 its format and context, and the calibrated score is held against a threshold for its kind.
-All of it is DataFrame functions; only the trees are fitted on the driver, from a fixed
-number of generated examples whose features the same functions compute.
+All of it is DataFrame functions and SQL; only the trees are fitted on the driver, from a
+fixed number of generated examples whose features the same SQL computes.
 """
 
 from __future__ import annotations
@@ -27,63 +27,234 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_AT = r"(?:\x20?@\x20?|\x20?\[at\]\x20?|\x20?\(at\)\x20?|\x20at\x20(?=[A-Za-z0-9-]{1,63}\x20dot\x20))"
+_AT = r"(?:\x20?\[at\]\x20?|\x20?\(at\)\x20?|\x20@\x20|\x20at\x20(?=[A-Za-z0-9-]{1,63}\x20dot\x20))"
 _DOT = r"(?:\.|\x20?\[dot\]\x20?|\x20?\(dot\)\x20?|\x20dot\x20)"
 PROPOSED = {
-    "email": rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,6}}",
-    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){1,7}:?(?:[0-9A-Fa-f]{1,4}:?){1,7}(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z.])\(?[0-9][\x20()./0-9-]{5,20}[0-9](?![0-9A-Za-z])",
+    "email": rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}}+){{1,6}}+",
+    "ip": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}+(?:::?[0-9A-Fa-f]{1,4}+){2,7}+(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9]){12,18}+(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z.+])\(?[0-9][\x20()./0-9-]{5,20}[0-9](?![0-9A-Za-z])",
 }
 CONTEXT = 24
 PRECISION = 0.97
+#: Generated examples; every second of them calibrates.
 EXAMPLES = 2400
+_SPAN = "array<struct<m:string,start:int,stop:int,before:string,after:string>>"
+#: Words near a kind, in lower case.
+_HINT = {
+    "email": r"mail|contact|write|reach|kontakt|courriel|correo",
+    "ip": r"\\bip\\b|ipv6|host|server|addr|node|client",
+    "card": r"card|visa|credit|debit|karte|carte|tarjeta|payment",
+    "phone": r"phone|tel|call|fax|mobil|ring|dial|anruf|numéro|llam|\\bsms\\b",
+}
 
 
-def _runs(text: Column, pattern: str) -> Column:
-    """Matches of a pattern as structs of text, start and end (code points, end exclusive).
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    The text is what stands between matches and the matches in turn, so starts are running
-    sums of lengths."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), F.length(gap).alias("gap")))
-    kind = "array<struct<m:string,start:int,end:int>>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
 
-    def add(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        span = F.struct(x["m"].alias("m"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.array_append(state["spans"], span).alias("spans"))
+def _spans(found: str, gaps: str) -> str:
+    """SQL for matches with their places and context: the text is what stands between
+    matches and the matches in turn, so starts are running sums of lengths."""
+    start = "(s.at + length(x.a))"
+    return f"""CASE WHEN size({found}) > 0 THEN aggregate(
+        transform({found}, (m, i) -> struct(m, get({gaps}, i) AS a, get({gaps}, i + 1) AS z)),
+        struct(0 AS at, cast(array() AS {_SPAN}) AS spans),
+        (s, x) -> struct({start} + length(x.m) AS at, array_append(s.spans, struct(x.m AS m, {start} AS start,
+            {start} + length(x.m) AS stop, right(x.a, {CONTEXT}) AS before, left(x.z, {CONTEXT}) AS after)) AS spans),
+        s -> s.spans) ELSE cast(array() AS {_SPAN}) END"""
 
-    return F.when(F.size(found) > 0, F.aggregate(pairs, empty, add, lambda s: s["spans"])).otherwise(F.array().cast(kind))
 
+def _digits(m: str) -> str:
+    return f"regexp_replace({m}, '[^0-9]', '')"
 
-def _digits(m: Column) -> Column:
-    return F.regexp_replace(m, "[^0-9]", "")
 
+def _luhn(d: str) -> str:
+    """From the right, every second digit is doubled and loses 9 above 9."""
+    value = f"cast(substr({d}, j, 1) AS int)"
+    doubled = f"CASE WHEN (length({d}) - j) % 2 = 0 THEN {value} WHEN {value} > 4 THEN 2 * {value} - 9 ELSE 2 * {value} END"
+    return f"(aggregate(sequence(1, length({d})), 0, (t, j) -> t + ({doubled})) % 10 = 0)"
 
-def _luhn(digits: Column) -> Column:
-    """Whether digits pass the Luhn check: from the right, every second one is doubled."""
-    def one(c: Column, i: Column) -> Column:
-        d = F.ascii(c) - 48
-        return F.when(i % 2 == 0, d).otherwise(F.when(d > 4, 2 * d - 9).otherwise(2 * d))
 
-    parts = F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: c != ""), one)
-    return F.aggregate(parts, F.lit(0), lambda s, x: s + x) % 10 == 0
+def _valid(kind: str, m: str) -> str:
+    """Whether a match of a base pattern is personal data of its kind."""
+    bare = "trim(LEADING '0' FROM o)"
+    return {
+        "email": "true",
+        "ip": f"forall(split({m}, '[.]'), o -> length({bare}) < 4 AND coalesce(try_cast(concat('0', left({bare}, 4)) AS int), 999) <= 255)",
+        "card": f"(CASE WHEN length({_digits(m)}) BETWEEN 13 AND 19 THEN {_luhn(_digits(m))} ELSE false END)",
+        "phone": f"(length({_digits(m)}) BETWEEN 9 AND 15)",
+    }[kind]
 
 
-def _octets(m: Column) -> Column:
-    """Whether all parts of a dotted number are at most 255 (leading zeros count for nothing)."""
-    return F.forall(F.split(m, r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))) < 3) | F.forall(F.split(m, r"\."), lambda p: F.coalesce(F.try_to_number(F.right(F.concat(F.lit("000"), F.ltrim(p, F.lit("0"))), F.greatest(F.lit(3), F.length(F.ltrim(p, F.lit("0"))))), F.lit("999")), F.lit(999)) <= 255)
+def _flag(condition: str) -> str:
+    return f"(CASE WHEN {condition} THEN 1D ELSE 0D END)"
 
 
-def _valid(kind: str, m: Column) -> Column:
-    many = F.length(_digits(m))
+def _features(kind: str) -> dict[str, str]:
+    """SQL of a candidate ``c``'s features: its format, then its context."""
+    digits, near = _digits("c.m"), "lower(concat(c.before, ' ', c.after))"
+    runs = "regexp_extract_all(c.m, '[0-9]+', 0)"
+    others = " OR ".join(f"regexp_like({near}, '{hint}')" for k, hint in _HINT.items() if k != kind)
     return {
-        "email": F.lit(True),
-        "ip": _octets(m),
-        "card": many.between(13, 19) & _luhn(_digits(m)),
-        "phone": many.between(9, 15),
-    }[kind]
+        "kind": f"{KINDS.index(kind)}D",
+        "length": "cast(length(c.m) AS double)",
+        "digits": f"cast(length({digits}) AS double)",
+        "letters": "cast(length(regexp_replace(c.m, '[^A-Za-z]', '')) AS double)",
+        "marks": "cast(length(regexp_replace(c.m, '[A-Za-z0-9 ]', '')) AS double)",
+        "spaces": "cast(length(regexp_replace(c.m, '[^ ]', '')) AS double)",
+        "groups": f"cast(size({runs}) AS double)",
+        "longest": f"cast(coalesce(array_max(transform({runs}, r -> length(r))), 0) AS double)",
+        "last": f"cast(coalesce(length(try_element_at({runs}, -1)), 0) AS double)",
+        "luhn": _flag(f"length({digits}) BETWEEN 13 AND 19 AND {_luhn(digits)}"),
+        "hidden": _flag("regexp_like(c.m, '(?i)[(\\\\[](at|dot)[)\\\\]]| dot ')"),
+        "domain": _flag("regexp_like(c.m, '(?i)(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$')"),
+        "hint": _flag(f"regexp_like({near}, '{_HINT[kind]}')"),
+        "other": _flag(others),
+        "code": _flag(f"regexp_like({near}, 'isbn|issn|order|invoice|serial|version|id[:= ]|no[.] ?$|page|date|time|since|from|ratio|total|mac')"),
+        "year": _flag("regexp_like(c.m, '^(19|20)[0-9][0-9][ ./-]') OR regexp_like(c.m, '[ ./-](19|20)[0-9][0-9]$')"),
+        "paired": _flag("regexp_like(c.m, '^[(][0-9]{2,5}[)]')"),
+        "hexes": "cast(length(regexp_replace(c.m, '[^:]', '')) AS double)",
+    }
+
+
+FEATURES = list(_features("email"))
+
+
+def _candidates(texts: DataFrame, patterns: dict[str, str], prefix: str, guard: bool) -> DataFrame:
+    """``texts`` with an array of matches of each kind in ``<prefix>_<kind>``. Each step
+    is a projection of its own, so no pattern runs twice over a text."""
+    names = {k: f"{prefix}_{k}" for k in patterns}
+    found = {f"m_{n}": F.expr(f"regexp_extract_all(text, {_quoted(patterns[k])}, 0)") for k, n in names.items()}
+    gaps = {f"g_{n}": F.expr(f"CASE WHEN size(m_{n}) > 0 THEN split(text, {_quoted(patterns[k])}, -1) END") for k, n in names.items()}
+    spans = {n: F.expr(_spans(f"m_{n}", f"g_{n}")) for n in names.values()}
+    made = texts.withColumns(found).withColumns(gaps).withColumns(spans)
+    if guard:
+        made = made.withColumns({n: F.expr(f"filter({n}, c -> {_valid(k, 'c.m')})") for k, n in names.items()})
+    return made.drop(*found, *gaps)
+
+
+def _scored(kind: str, column: str, model: Boosted) -> Column:
+    """Candidates of a kind with their probability: the features first, as fields, so that
+    the trees compare fields."""
+    fields = ", ".join(f"{sql} AS {name}" for name, sql in _features(kind).items())
+    rated = f"transform({column}, c -> struct(c.start AS start, c.stop AS stop, struct({fields}) AS f))"
+    return F.expr(f"transform({rated}, c -> struct(c.start AS start, c.stop AS stop, {model.sql(['c.f.' + n for n in FEATURES])} AS p))")
+
+
+def _example(r: random.Random) -> tuple[int, str]:
+    """A generated line and whether what it holds is personal data."""
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(r.choice(["th", "er", "an", "le", "ou", "ein", "ch", "os", "ue", "ta"]) for _ in range(r.randint(1, 4)))
+    name, host, top = f"{word()}{r.choice(['.', '_', ''])}{word()}{r.choice(['', number(2)])}", word() + word(), r.choice(["com", "org", "net", "de", "fr", "es", "io"])
+
+    def card(valid: bool) -> str:
+        d = number(r.choice([15, 16, 16, 16]) - 1)
+        check = next(x for x in "0123456789" if sum((int(c) if k % 2 == 0 else 2 * int(c) - 9 * (int(c) > 4)) for k, c in enumerate(reversed(d + x))) % 10 == 0)
+        d += check if valid else str((int(check) + r.randint(1, 9)) % 10)
+        sep = r.choice([".", "/", "_", "."])
+        return sep.join(d[i : i + 4] for i in range(0, len(d), 4))
+
+    at, dot = r.choice([("[at]", "[dot]"), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", " (dot) "), (" at ", " dot "), (" [at] ", "."), ("(at)", ".")])
+    phone = r.choice([f"({number(3)}) {number(3)}-{number(4)}", f"({number(3)}){number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"{number(3)}.{number(3)}.{number(4)}", f"0{number(2)} {number(3)} {number(4)}", f"0{number(3)}/{number(7)}", f"0{number(1)} {number(2)} {number(2)} {number(2)} {number(2)}"])
+    six = ":".join(f"{r.randrange(65536):x}" for _ in range(8)) if r.random() < 0.6 else f"{r.randrange(4096, 65536):x}:{r.randrange(65536):x}::{r.randrange(65536):x}:{r.randrange(65536):x}"
+    good = [
+        (r.choice(["mail", "contact", "write to", word()]), f"{name}{at}{host}{dot}{top}"),
+        (r.choice(["phone", "tel.", "call me", "fax", "mobile"]), phone),
+        (r.choice(["host", "server", "ip", word()]), six),
+        (r.choice(["card", "visa", "credit card", word()]), card(True)),
+    ]
+    year, month, day = r.randint(1900, 2035), r.randint(1, 12), r.randint(1, 28)
+    bad = [
+        (word(), f"{word()} at {word()} dot {word()}"),
+        (word(), f"{word()} @ {word()}.{word()}"),
+        (r.choice(["date", "since", word()]), r.choice([f"{year}-{month:02}-{day:02}", f"{day:02}.{month:02}.{year}", f"{day:02}/{month:02}/{year}", f"{year} - {year + 7}"])),
+        (r.choice(["isbn", "order", "id:", "serial", "no."]), r.choice([f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}", number(10), f"{number(3)}-{number(3)}-{number(4)}", f"{number(4)}-{number(6)}"])),
+        (word(), r.choice([number(8), number(12), number(r.randint(9, 20)), number(r.randint(13, 19)), f"{number(4)} {number(4)}", f"{number(2)} {number(3)} {number(3)}", f"{number(5)}.{number(5)}", f"{number(3)}-{number(5)}", f"{number(7)}"])),
+        (r.choice(["time", "at", word()]), f"{r.randint(0, 23):02}:{r.randint(0, 59):02}:{r.randint(0, 59):02}"),
+        (r.choice(["mac", "ratio", word()]), r.choice([":".join(f"{r.randrange(256):02x}" for _ in range(6)), f"{r.randint(1, 20)}:{r.randint(1, 20)}:{r.randint(1, 20)}"])),
+        (word(), card(False)),
+    ]
+    label = int(r.random() < 0.5)
+    lead, text = r.choice(good if label else bad)
+    before, after = " ".join(word() for _ in range(r.randint(0, 3))), " ".join(word() for _ in range(r.randint(0, 3)))
+    return label, f"{before} {lead}{r.choice([' ', ': '])}{text} {after}".strip()
+
+
+def fit(spark: SparkSession, seed: int = 11) -> tuple[Boosted, dict[str, float]]:
+    """The trees and each kind's threshold: the lowest score above which ``PRECISION`` of
+    the calibration examples are personal data, and one half at least."""
+    r = random.Random(seed)
+    lines = "\n".join(f"{label}\t{text}" for label, text in (_example(r) for _ in range(EXAMPLES)))
+    rows = spark.range(1).select(F.posexplode(F.split(F.lit(lines), "\n")).alias("at", "line"))
+    rows = rows.select("at", F.substring("line", 1, 1).cast("int").alias("label"), F.expr("substr(line, 3)").alias("text"))
+    made = _candidates(rows, PROPOSED, "p", guard=False)
+    parts = [F.expr(f"transform(p_{k}, c -> array({', '.join(_features(k).values())}))") for k in KINDS]
+    found = made.select("at", "label", F.explode(F.concat(*parts)).alias("x")).collect()
+    found.sort(key=lambda row: (row["at"], row["x"]))
+    x, y, at = np.array([row["x"] for row in found]), np.array([float(row["label"]) for row in found]), np.array([row["at"] for row in found])
+    model = Boosted().fit(x[at % 2 == 0], y[at % 2 == 0]).calibrate(x[at % 2 == 1], y[at % 2 == 1])
+    limits, p = {}, model.probability(x)
+    for k, kind in enumerate(KINDS):
+        own = (x[:, 0] == k) & (at % 2 == 1)
+        order = np.argsort(-p[own], kind="stable")
+        right = np.cumsum(y[own][order]) / np.arange(1, len(order) + 1)
+        good = np.flatnonzero(right >= PRECISION)
+        limits[kind] = max(0.5, float(p[own][order][good[-1]])) if len(good) else 1.01
+    return model, limits
+
+
+def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` as the struct ``doc`` with ``base`` and ``spans``, arrays of kind (number
+    in ``KINDS``), start and stop (code points, stop exclusive) of its whole text, in that
+    order. ``spans`` holds the base spans, and accepted candidates that overlap neither
+    them nor a better candidate. A null text is empty and has no spans; repeated rows are
+    returned each."""
+    model, limits = fit(docs.sparkSession)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    made = _candidates(_candidates(rows, BASE, "b", guard=True), PROPOSED, "p", guard=False)
+    typed = "array<struct<kind:int,start:int,stop:int>>"
+    base = "concat(" + ", ".join(f"transform(b_{kind}, c -> struct({k} AS kind, c.start AS start, c.stop AS stop))" for k, kind in enumerate(KINDS)) + ")"
+    made = made.withColumns({f"p_{kind}": _scored(kind, f"p_{kind}", model) for kind in KINDS}).withColumn("base", F.expr(f"cast({base} AS {typed})"))
+    more = "concat(" + ", ".join(f"transform(filter(p_{kind}, c -> c.p >= {limits[kind]!r}D), c -> struct({k} AS kind, c.start AS start, c.stop AS stop, c.p AS p))" for k, kind in enumerate(KINDS)) + ")"
+    made = made.withColumn("more", F.expr(f"filter({more}, c -> NOT exists(base, b -> b.start < c.stop AND c.start < b.stop))"))
+    better = "d.start < c.stop AND c.start < d.stop AND (d.p > c.p OR (d.p = c.p AND (d.start < c.start OR (d.start = c.start AND (d.stop > c.stop OR (d.stop = c.stop AND d.kind < c.kind))))))"
+    kept = f"transform(filter(more, c -> NOT exists(more, d -> {better})), c -> struct(c.kind AS kind, c.start AS start, c.stop AS stop))"
+    return made.select("doc", "text", "base", F.expr(f"array_sort(concat(base, cast({kept} AS {typed})))").alias("spans"))
+
+
+def _joined(spans: str) -> Column:
+    kinds = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    return F.expr(f"array_join(transform({spans}, c -> concat(get({kinds}, c.kind), ':', c.start, ':', c.stop)), ',')")
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span of personal data in ``text`` replaced by its kind in
+    brackets; spans that overlap become one, named after the first. ``n_chars`` follows
+    the text where there is such a column; other columns stay as they are; a null text
+    stays null."""
+    by_start = "array_sort(transform(spans, c -> struct(c.start AS start, -c.stop AS back, c.kind AS kind)))"
+    names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
+    # Each span from the furthest end before it: an empty piece and no name within another.
+    joined = f"""CASE WHEN size(spans) = 0 THEN text ELSE aggregate({by_start},
+        struct(0 AS at, cast(array() AS array<string>) AS parts),
+        (s, c) -> CASE WHEN -c.back <= s.at THEN s
+            WHEN c.start < s.at THEN struct(-c.back AS at, s.parts AS parts)
+            ELSE struct(-c.back AS at, concat(s.parts, array(substr(text, s.at + 1, c.start - s.at), get({names}, c.kind))) AS parts) END,
+        s -> concat(array_join(s.parts, ''), substr(text, s.at + 1))) END"""
+    made = with_spans(docs).withColumn("clean", F.expr(f"CASE WHEN doc.text IS NOT NULL THEN {joined} END"))
+    changed = {"text": F.col("clean"), "n_chars": F.coalesce(F.length("clean").cast("long"), F.col("doc.n_chars") if "n_chars" in docs.columns else F.lit(0))}
+    return made.select(*(changed[c].alias(c) if c in changed else F.col(f"doc.`{c}`") for c in docs.columns))
+
+
+def personal_data(docs: DataFrame) -> DataFrame:
+    """Spans of every row's whole text as digests; see ``with_spans``. Other columns are
+    ignored, and an empty table gives an empty result."""
+    made = with_spans(docs.select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(base, c -> c.kind = {k})) AS long) AS n_{kind}") for k, kind in enumerate(KINDS)]
+    return made.select(F.col("doc.doc_id").cast("long").alias("doc_id"), *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+
+
+def op6_pii(spark, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts, base digest and all spans."""
+    return personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))

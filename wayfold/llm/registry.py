@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from wayfold.llm import topk
 from wayfold.llm.fingerprint import op7_fingerprint
+from wayfold.llm.html import op1_html
 from wayfold.llm.langid import op10_langid
+from wayfold.llm.lm import op8_lm
 from wayfold.llm.mixing import op2_mixing
 from wayfold.llm.packing import op4_packing
+from wayfold.llm.pii import op6_pii
 from wayfold.llm.simhash import op5_simhash
+from wayfold.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_mixing": op2_mixing,
+    "op3_topk": topk.op3_topk,
     "op4_packing": op4_packing,
     "op5_simhash": op5_simhash,
+    "op6_pii": op6_pii,
     "op7_fingerprint": op7_fingerprint,
+    "op8_lm": op8_lm,
+    "op9_toxicity": op9_toxicity,
     "op10_langid": op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL}
