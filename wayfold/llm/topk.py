@@ -95,7 +95,7 @@ def top(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     many, asking = max(1, -(-sizes["n"] // CANDIDATES)), max(1, -(-sizes["q"] // QUERIES))
     block = lambda blocks: F.pmod(F.xxhash64("vec_id", F.lit(blocks)), F.lit(blocks))
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), "v", block(asking).alias("qb"))
+    asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("v"), block(asking).alias("qb"))
     other = rows.select("vec_id", "v", block(many).alias("cb"))
     pair = F.col("qb") * many + F.col("cb")
     # One block of candidates for each block of queries gives every query its limit.
