@@ -1,6 +1,326 @@
-"""Registered queries of the library and the SQL that states the same results."""
+"""Registered queries of the library and the SQL that states the same results.
+
+Doubles are rounded to six places on both sides. Every ordering is total.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfold.functions import geo, linalg
+from wayfold.operators import asof, evaluate, folds, graph, ordered, spatial
+from wayfold.plans import oracle
+from wayfold.sources import telemetry
+
+KEY, ORDER = ["session_id"], ["t_ms", "event_id"]
+GATE_MS = 3_600_000
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def r6(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c + oracle.TIE, 6) + F.lit(0.0)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: r6(n) for n in names})
+
+
+@query
+def session_stats(spark, sf_dir):
+    """Error statistics by session."""
+    f = telemetry.fixes(spark, sf_dir)
+    made = evaluate.session_stats(telemetry.truth(f), telemetry.estimates(f), GATE_MS)
+    return rounded(made, "current_error_m", "final_error_m", "max_error_m", "mean_error_m", "distance_travelled_m", "drift_pct")
+
+
+@query
+def nearest_match_error(spark, sf_dir):
+    """J1, G1."""
+    f = telemetry.fixes(spark, sf_dir)
+    made = evaluate.matched(telemetry.truth(f), telemetry.estimates(f), GATE_MS)
+    return made.select("event_id", "session_id", "t_ms", "m_t_ms", r6("error_m").alias("error_m"))
+
+
+@query
+def running_distance(spark, sf_dir):
+    """W1, W2."""
+    made = ordered.running_distance(telemetry.fixes(spark, sf_dir), KEY, ORDER)
+    return made.select("event_id", r6("step_m").alias("step_m"), r6("distance_m").alias("distance_m"))
+
+
+@query
+def nav_export(spark, sf_dir):
+    """K1, U1, L2."""
+    f = telemetry.fixes(spark, sf_dir)
+    return rounded(evaluate.nav_table(telemetry.truth(f), telemetry.estimates(f), GATE_MS), "gps_lat", "gps_lon", "dr_lat", "dr_lon", "position_error_m", "distance_m", "drift_pct")
+
+
+@query
+def zoh_align(spark, sf_dir):
+    """An event type for each sensor; clicks and views trigger."""
+    f = telemetry.fixes(spark, sf_dir)
+    made = asof.zero_order_hold(f, KEY, ORDER, "event_type", "value", ["click", "view"], ["purchase"])
+    return made.select("event_id", "session_id", "t_ms", "h_click", "h_view", "h_purchase")
+
+
+@query
+def pose_resolution(spark, sf_dir):
+    """A pose for every other event."""
+    f = telemetry.fixes(spark, sf_dir)
+    asked = f.where("event_type not in ('click', 'view')").select("event_id", "session_id", "t_ms")
+    made = asof.resolve_pose(asked, telemetry.truth(f), telemetry.estimates(f), KEY, "t_ms", GATE_MS)
+    return rounded(made.select("event_id", "pose_lat", "pose_lon", "pose_heading", "pose_speed", "source"), "pose_lat", "pose_lon", "pose_heading", "pose_speed")
+
+
+@query
+def step_detect(spark, sf_dir):
+    """E1, W3."""
+    made = ordered.detect_steps(telemetry.fixes(spark, sf_dir), KEY, ORDER, "value", 20.0)
+    return made.select("event_id", "is_step")
+
+
+@query
+def stride_decimate(spark, sf_dir):
+    """L1, L2 with a small limit."""
+    return ordered.stride_decimate(telemetry.fixes(spark, sf_dir), KEY, ORDER, "t_ms", 20).select("event_id", "session_id", "t_ms")
+
+
+@query
+def tail_points(spark, sf_dir):
+    """L3."""
+    return ordered.tail(telemetry.fixes(spark, sf_dir), KEY, [F.desc("t_ms"), F.desc("event_id")], 10).select("event_id", "session_id", "t_ms")
+
+
+@query
+def chunk_retention(spark, sf_dir):
+    """L4."""
+    return ordered.chunk_retained(telemetry.fixes(spark, sf_dir), KEY, [F.desc("t_ms"), F.desc("event_id")], 50, 7).select("event_id", "session_id")
+
+
+@query
+def greedy_throttle(spark, sf_dir):
+    """L5."""
+    f = telemetry.fixes(spark, sf_dir).select("session_id", "event_id", "t_ms")
+    start, step, schema = folds.throttle(12 * 3_600_000)
+    return folds.scan(f, KEY, ORDER, schema, start, step)
+
+
+@query
+def iir_lowpass(spark, sf_dir):
+    """E7."""
+    f = telemetry.fixes(spark, sf_dir).select("session_id", "event_id", "t_ms", "value")
+    start, step, schema = folds.low_pass(0.25)
+    return rounded(folds.scan(f, KEY, ORDER, schema, start, step), "y")
+
+
+@query
+def gnss_gate(spark, sf_dir):
+    """E18's gate: places in local metres, accuracy from the heading."""
+    f = telemetry.fixes(spark, sf_dir)
+    enu = geo.to_enu(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(11.0))
+    rows = f.select("session_id", "event_id", "t_ms", enu["east"].alias("east"), enu["north"].alias("north"), (1 + F.col("heading") / 4).alias("accuracy"), F.lit(0.0).alias("speed"))
+    start, step, schema = folds.gnss_gate()
+    return rounded(folds.scan(rows, KEY, ORDER, schema, start, step), "jump_m")
+
+
+@query
+def off_route_events(spark, sf_dir):
+    """The value is the deviation; hours take the place of seconds."""
+    f = telemetry.fixes(spark, sf_dir)
+    rows = f.select("session_id", "event_id", "t_ms", F.col("value").alias("deviation_m"), "heading", (F.col("value") / 10).alias("speed"))
+    start, step, schema = folds.off_route(threshold_m=200.0, near_m=100.0, interval_ms=7_200_000, cooldown_ms=72_000_000, turn_ms=36_000_000)
+    return rounded(folds.scan(rows, KEY, ORDER, schema, start, step), "turn_deg")
+
+
+@query
+def rate_hz(spark, sf_dir):
+    """Events of each day."""
+    return rounded(ordered.rates(telemetry.fixes(spark, sf_dir), KEY, "t_ms", 86_400_000), "hz")
+
+
+@query
+def session_counts(spark, sf_dir):
+    """R3, R5."""
+    f = telemetry.fixes(spark, sf_dir)
+    kinds = {f"n_{k}": F.count_if(F.col("event_type") == k) for k in ("click", "view", "purchase")}
+    return f.groupBy("session_id").agg(F.count("*").alias("n_rows"), *(c.alias(n) for n, c in kinds.items()))
+
+
+@query
+def geo_functions(spark, sf_dir):
+    """G1 to G13 on every fix."""
+    f = telemetry.fixes(spark, sf_dir)
+    lat, lon, h, v = (F.col(c) for c in ("lat", "lon", "heading", "value"))
+    moved = geo.move_enu(lat, lon, v, v / 2)
+    back = geo.to_enu(moved["lat"], moved["lon"], lat, lon)
+    wide = geo.to_enu(lat, lon, F.lit(48.0), F.lit(11.0), geo.EQUATOR)
+    flat = geo.local_metres(lat, lon, F.lit(48.0), F.lit(11.0))
+    made = {
+        "hav_m": geo.haversine_m(lat, lon, F.lit(48.0), F.lit(11.0)), "moved_lat": moved["lat"], "moved_lon": moved["lon"], "back_east": back["east"], "back_north": back["north"],
+        "wide_east": wide["east"], "flat_north": flat["north"], "normal": geo.normalize_heading(h - 500), "turn": geo.angle_diff_deg(h, v), "abs_turn": geo.abs_angle_diff_deg(h, v),
+        "bearing": geo.bearing_from_enu(v - 250, h - 180), "drift": geo.drift_percent(v, h), "compass": geo.to_compass_deg(v / 100),
+    }
+    return f.select("event_id", *(r6(c).alias(n) for n, c in made.items()), geo.valid_coordinates(lat, lon).alias("valid"))
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    """Three-vectors, a unit quaternion and a matrix of every embedding."""
+    part = lambda a, n: F.slice("v", a + 1, n)
+    v = telemetry.vectors(spark, sf_dir).where("size(v) >= 32").select("vec_id", part(0, 3).alias("a"), part(3, 3).alias("b"), part(6, 4).alias("q"), part(10, 9).alias("m"))
+    size = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x))
+    return v.withColumn("q", F.transform("q", lambda x: F.try_divide(x, size)))
+
+
+@query
+def rotation_functions(spark, sf_dir):
+    """Matrix of a quaternion, both products, yaw, gravity."""
+    v = _parts(spark, sf_dir)
+    v = v.withColumn("r", linalg.quat_matrix(*(linalg.at(F.col("q"), i) for i in range(4))))
+    turned, back, down = linalg.mat_vec(F.col("r"), F.col("a")), linalg.mat_t_vec(F.col("r"), F.col("a")), linalg.gravity_phone(F.col("r"))
+    made = {f"{n}{i}": linalg.at(c, i) for n, c in (("turned", turned), ("back", back), ("down", down)) for i in range(3)}
+    return v.select("vec_id", *(r6(c).alias(n) for n, c in made.items()), r6(linalg.yaw_deg(F.col("r"))).alias("yaw"), r6(linalg.norm3(F.col("a"))).alias("length"))
+
+
+@query
+def vector_functions(spark, sf_dir):
+    """Products, the rotation of a vector, shortening."""
+    v = _parts(spark, sf_dir).withColumn("e", linalg.so3_exp(F.col("a")))
+    cross, short, prod = linalg.cross(F.col("a"), F.col("b")), linalg.clamp_length(F.col("a"), 0.1), linalg.mat_mat(F.col("e"), F.col("m"))
+    made = {f"{n}{i}": linalg.at(c, i) for n, c in (("cross", cross), ("short", short)) for i in range(3)} | {f"exp{i}": linalg.at(F.col("e"), i) for i in range(9)} | {f"prod{i}": linalg.at(prod, i) for i in (0, 4, 8)}
+    return v.select("vec_id", *(r6(c).alias(n) for n, c in made.items()), r6(linalg.dot(F.col("a"), F.col("b"))).alias("dot"))
+
+
+@query
+def heading_functions(spark, sf_dir):
+    """Magnetic and blended heading."""
+    v = _parts(spark, sf_dir)
+    mag = linalg.magnetic_heading(F.col("a"), F.col("b"))
+    return v.select("vec_id", r6(mag).alias("mag"), r6(linalg.complementary(linalg.at(F.col("a"), 0) * 20, linalg.at(F.col("b"), 0) * 20)).alias("fused"))
+
+
+@query
+def gyro_chain(spark, sf_dir):
+    """E2, E3, F2, F3 at 100 Hz."""
+    f = telemetry.fixes(spark, sf_dir).withColumn("rate", F.col("value") / 1000)
+    f = ordered.gyro_bias(f, KEY, ORDER, "rate", 20)
+    f = ordered.gyro_delta(f, KEY, ORDER, "rate", "t_ms", "bias")
+    return f.select("event_id", r6("bias").alias("bias"), r6("dt").alias("dt"), r6("delta").alias("delta"))
+
+
+@query
+def standstill_runs(spark, sf_dir):
+    """W7, E9's still time: how long the value has stayed below 250."""
+    made = ordered.runs(telemetry.fixes(spark, sf_dir), KEY, ORDER, F.col("value") < 250)
+    return made.select("event_id", "run_no", "run_rows", (F.col("run_rows") >= 3).alias("still"))
+
+
+@query
+def baseline_dr(spark, sf_dir):
+    """Strapdown at 100 Hz; accelerations from value and heading."""
+    f = telemetry.fixes(spark, sf_dir)
+    f = f.withColumns({"dt": F.lit(0.01), "ae": F.col("value") / 100 * F.sin(F.radians("heading")), "an": F.col("value") / 100 * F.cos(F.radians("heading"))})
+    made = ordered.strapdown(f, KEY, ORDER, "dt", "ae", "an")
+    return rounded(made.select("event_id", "vel_east", "vel_north", "x_east", "y_north", "confidence_m"), "vel_east", "vel_north", "x_east", "y_north", "confidence_m")
+
+
+def _routes(spark, sf_dir) -> DataFrame:
+    """A polyline of the first twelve click places of each session, in local metres."""
+    f = telemetry.truth(telemetry.fixes(spark, sf_dir))
+    enu = geo.to_enu(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(11.0))
+    f = f.withColumn("seg_no", F.row_number().over(ordered.Window.partitionBy("session_id").orderBy(*ORDER))).where("seg_no <= 12")
+    return spatial.segments(f.select(F.col("session_id").alias("route_id"), "seg_no", enu["east"].alias("east"), enu["north"].alias("north")))
+
+
+@query
+def arc_length(spark, sf_dir):
+    """W4."""
+    return _routes(spark, sf_dir).select("route_id", "seg_no", r6("len").alias("len"), r6("cum_s").alias("cum_s"))
+
+
+@query
+def polyline_match(spark, sf_dir):
+    """Every view against the route of its session."""
+    f = telemetry.estimates(telemetry.fixes(spark, sf_dir))
+    enu = geo.to_enu(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(11.0))
+    points = f.select("event_id", F.col("session_id").alias("route_id"), enu["east"].alias("east"), enu["north"].alias("north"))
+    made = spatial.polyline_match(points, _routes(spark, sf_dir))
+    return made.select("event_id", "seg_no", r6("distance_m").alias("distance_m"), r6("bearing").alias("bearing"), r6("route_s").alias("route_s"))
+
+
+def _roads(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Nations as nodes on a plane, joined by a rule on their keys, a third one-way."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("k"))
+    nodes = n.select(F.lit(0).alias("graph_id"), F.col("k").alias("node_id"), ((F.col("k") * 37) % 100).cast("double").alias("east"), ((F.col("k") * 53) % 90).cast("double").alias("north"))
+    hop = F.explode(F.array(F.lit(1), F.lit(7)))
+    links = n.select("k", hop.alias("h")).select(F.lit(0).alias("graph_id"), F.col("k").alias("a"), ((F.col("k") + F.col("h")) % 25).alias("b"), F.when(F.col("k") % 3 == 0, "YES").otherwise("-1").alias("oneway"))
+    return nodes, telemetry.directed(nodes, links)
+
+
+@query
+def graph_edges(spark, sf_dir):
+    """S5, J10, X3."""
+    return _roads(spark, sf_dir)[1].select("a", "b", r6("cost").alias("cost"))
+
+
+@query
+def road_snap(spark, sf_dir):
+    """Suppliers on the plane of the road graph."""
+    nodes, edges = _roads(spark, sf_dir)
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("point_id"))
+    points = s.select("point_id", ((F.col("point_id") * 17) % 110).cast("double").alias("east"), ((F.col("point_id") * 29) % 95).cast("double").alias("north"), ((F.col("point_id") * 7) % 360).cast("double").alias("heading"))
+    made = spatial.road_snap(points, nodes, edges, 30.0)
+    return rounded(made.select("point_id", "a", "b", "score", "px", "py"), "score", "px", "py")
+
+
+@query
+def nearest_node(spark, sf_dir):
+    """J9, F6."""
+    nodes, _ = _roads(spark, sf_dir)
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("point_id"))
+    points = s.select("point_id", ((F.col("point_id") * 17) % 110).cast("double").alias("east"), ((F.col("point_id") * 29) % 95).cast("double").alias("north"))
+    return rounded(graph.nearest_nodes(points, nodes, 40.0).select("point_id", "node_id", "off"), "off")
+
+
+@query
+def shortest_path(spark, sf_dir):
+    """Least cost from every node to every other."""
+    nodes, edges = _roads(spark, sf_dir)
+    made = graph.distances(nodes.select("graph_id", F.col("node_id").alias("source")), edges, 12)
+    return made.select("source", "node", r6("dist").alias("dist"))
+
+
+@query
+def route_synthesis(spark, sf_dir):
+    """From each supplier to a common place."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("point_id"))
+    line = graph.straight_route(((F.col("point_id") * 17) % 1100).cast("double"), ((F.col("point_id") * 29) % 950).cast("double"), F.lit(500.0), F.lit(500.0))
+    made = s.select("point_id", F.posexplode(line).alias("i", "p"))
+    return made.select("point_id", "i", r6("p.east").alias("east"), r6("p.north").alias("north"))
+
+
+@query
+def health_text(spark, sf_dir):
+    """A status line by session."""
+    f = telemetry.fixes(spark, sf_dir)
+    s = f.groupBy("session_id").agg(F.count("*").alias("n"), F.round(F.max("value"), 1).alias("top"), F.count_if(F.col("heading") > 180).alias("back"))
+    text = F.concat_ws(" | ", F.concat(F.lit("rows "), F.col("n").cast("string")), F.when(F.col("back") > 0, F.concat(F.lit("turned "), F.col("back").cast("string"))), F.when(F.col("top") > 480, F.lit("FAST @ limit")))
+    return s.select("session_id", text.alias("health"), F.substring_index(text, " @", 1).alias("short"), F.expr("try_cast(top as int)").alias("top_whole"))
+
+
+@query
+def json_roundtrip(spark, sf_dir):
+    """Built and parsed JSON."""
+    f = telemetry.fixes(spark, sf_dir)
+    body = F.to_json(F.struct(F.array("lat", "lon").alias("start"), F.array(F.lit(1.0), F.lit(2.0)).alias("destination"), F.lit("cache").alias("source"), F.col("t_ms").alias("timestamp"), F.array(F.array("lat", "lon")).alias("points")))
+    points = telemetry.cached_route(body, (48.005, 11.005), (1.0, 2.0))
+    return f.select("event_id", F.size(F.coalesce(points, F.array().cast("array<array<double>>"))).alias("n_points"), F.from_json(body, telemetry.ROUTE)["timestamp"].alias("stored_ms"))
