@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 
@@ -30,3 +31,8 @@ def keep(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows (of a few numbers each)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.langid import fold
+from wayfold.llm.shared import small
 
 WINDOW, STRIDE = 48, 36
 #: Words of more characters are cut into pieces.
@@ -206,8 +207,9 @@ class Trainer:
                 rest = self.random.permutation(rest)[: len(top) // 2]
                 chosen = np.concatenate([top[~held[self.owner[top]]], rest])
             chosen = self.random.permutation(chosen)
-            for at in range(0, len(chosen), BATCH):
-                self.batch(chosen[at : at + BATCH], 0.015 if turn < all_rounds + top_rounds - 3 else 0.003)
+            size = max(16, min(BATCH, len(chosen) // 16))
+            for at in range(0, len(chosen), size):
+                self.batch(chosen[at : at + size], 0.015 if turn < all_rounds + top_rounds - 3 else 0.003)
         self.calibrate(held)
         return self.net
 
@@ -316,7 +318,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Network:
     """
     marked = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     rows = docs.where(usable & F.col("text").isNotNull()).select("doc_id", "text")
-    return fit(rows.join(marked, F.col("doc_id") == F.col("_id")).select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")))
+    return fit(rows.join(small(marked), F.col("doc_id") == F.col("_id")).select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
