@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.shared import small
+
 WORD = re.compile(r"\w+|[^\w\s]")
 #: Buckets of words and of pairs; together they bound the broadcast (20 MB).
 UNIGRAMS, BIGRAMS = 1 << 18, 1 << 20
@@ -25,6 +27,8 @@ UNIGRAMS, BIGRAMS = 1 << 18, 1 << 20
 PAIR, SINGLE = 0.6, 0.3
 #: Most distinct words whose buckets a task keeps.
 CACHE = 300_000
+#: Buckets that are sent together.
+BLOCK = 256
 
 
 class Vocabulary:
@@ -54,48 +58,77 @@ def _heads(words: np.ndarray) -> np.ndarray:
 
 def count(docs: DataFrame, target: Column) -> tuple[np.ndarray, ...]:
     """Word, pair and head counts of both models (columns: background, target), of all
-    rows. Tasks count into arrays of a fixed size; Spark adds up their buckets."""
-    sizes = (UNIGRAMS, BIGRAMS, UNIGRAMS + 1)
+    rows. Tasks count into arrays of a fixed size and send them in blocks of buckets; the
+    blocks are summed as they stream in, so no task holds more than the arrays."""
+    sizes = (UNIGRAMS, BIGRAMS, UNIGRAMS + BLOCK)
     starts = np.cumsum((0, *sizes))
+    schema = "block int, counts binary"
+
+    def send(sums: np.ndarray, kind: str):
+        blocks = sums.reshape(-1, 2 * BLOCK)
+        for k in np.flatnonzero(blocks.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blocks[k].astype(kind).tobytes()])], ["block", "counts"])
 
     def run(batches):
-        words_of, sums = Vocabulary(), np.zeros((starts[-1], 2), np.int64)
+        words_of, sums = Vocabulary(), np.zeros(2 * starts[-1], np.int64)
         for batch in batches:
             for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 words, pairs = words_of(text.as_py())
                 for start, found in zip(starts[:3], (words, pairs, _heads(words)), strict=True):
-                    np.add.at(sums, (start + found, 0), 1)
+                    np.add.at(sums, 2 * (start + found), 1)
                     if good:
-                        np.add.at(sums, (start + found, 1), 1)
-        at = np.flatnonzero(sums[:, 0])
-        for k in range(0, len(at), 1 << 16):
-            part = at[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part, 0]), pa.array(sums[part, 1])], ["bucket", "n", "good"])
-
-    counted = docs.select(F.col("text").cast("string"), F.coalesce(target, F.lit(False))).mapInArrow(run, "bucket int, n long, good long")
-    summed = counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    total = np.zeros((starts[-1], 2), np.float32)
-    # At most one row a bucket: read in slices of the bucket range, so that the driver holds little.
-    found = summed.toArrow()
-    total[found.column("bucket").to_numpy()] = np.stack([found.column("n").to_numpy(), found.column("good").to_numpy()], axis=1)
+                        np.add.at(sums, 2 * (start + found) + 1, 1)
+        yield from _together(send(sums, "<u4"))
+
+    def add(batches):
+        sums = np.zeros(2 * starts[-1], np.int64)
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[2 * BLOCK * k : 2 * BLOCK * (k + 1)] += np.frombuffer(counts.as_buffer(), "<u4")
+        yield from _together(send(sums, "<i8"))
+
+    counted = docs.select(F.col("text").cast("string"), F.coalesce(target, F.lit(False))).mapInArrow(run, schema)
+    # At most one row a block, and 24 MB in all.
+    total = np.zeros(2 * starts[-1], np.float32)
+    for row in counted.repartition("block").mapInArrow(add, schema).collect():
+        total[2 * BLOCK * row["block"] : 2 * BLOCK * (row["block"] + 1)] = np.frombuffer(row["counts"], "<i8")
+    total = total.reshape(-1, 2)
     return tuple(total[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True))
 
 
-def losses(tables: tuple, words: np.ndarray, pairs: np.ndarray, good: bool) -> np.ndarray:
-    """Loss of each token in both models, without the document's own counts."""
-    single, pair, head = tables
-    heads, own = _heads(words), np.array([1.0, float(good)])
+def _together(batches, many: int = 256):
+    """Batches of single rows as batches of ``many``."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if len(held) == many:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+class Losses:
+    """Loss of each token of a text in both models, without the text's own counts."""
+
+    def __init__(self, tables: tuple) -> None:
+        self.tables, self.own = tables, tuple(np.zeros(len(t), np.float32) for t in tables)
+        self.total = tables[0].sum(axis=0, dtype=np.float64)
 
-    def left(table: np.ndarray, found: np.ndarray) -> np.ndarray:
-        used, place, many = np.unique(found, return_inverse=True, return_counts=True)
-        return np.maximum(table[found] - many[place][:, None] * own, 0)
+    def _left(self, k: int, found: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        own = self.own[k]
+        np.add.at(own, found, 1)
+        many = own[found]
+        own[found] = 0
+        return np.maximum(self.tables[k][found] - many[:, None] * mine, 0)
 
-    total = np.maximum(single.sum(axis=0, dtype=np.float64) - len(words) * own, 0) if len(words) else np.ones(2)
-    by_head = left(head, heads)
-    seen = by_head > 0
-    p = np.where(seen, PAIR * left(pair, pairs) / np.maximum(by_head, 1), 0)
-    p = p + np.where(total > 0, SINGLE * left(single, words) / np.maximum(total, 1), 0)
-    return -np.log(p + (1 - PAIR - SINGLE) / UNIGRAMS)
+    def __call__(self, words: np.ndarray, pairs: np.ndarray, good: bool) -> np.ndarray:
+        mine = np.array([1, good], np.float32)
+        total = np.maximum(self.total - len(words) * mine, 0)
+        by_head = self._left(2, _heads(words), mine)
+        p = np.where(by_head > 0, PAIR * self._left(1, pairs, mine) / np.maximum(by_head, 1), 0)
+        p = p + np.where(total > 0, SINGLE * self._left(0, words, mine) / np.maximum(total, 1), 0)
+        return -np.log(p + (1 - PAIR - SINGLE) / UNIGRAMS)
 
 
 def score(docs: DataFrame, target: Column) -> DataFrame:
@@ -111,12 +144,12 @@ def score(docs: DataFrame, target: Column) -> DataFrame:
     names = ["doc_id", "n_tokens", "loss_target", "loss_background", "score"]
 
     def run(batches):
-        words_of = Vocabulary()
+        words_of, losses = Vocabulary(), Losses(model.value)
         for batch in batches:
             out = []
             for text, good in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words, pairs = words_of(text.as_py())
-                mean = losses(model.value, words, pairs, good).mean(axis=0) if len(words) else np.zeros(2)
+                mean = losses(words, pairs, good).mean(axis=0, dtype=np.float64) if len(words) else np.zeros(2)
                 out.append((len(words), float(mean[1]), float(mean[0]), float(mean[1] - mean[0])))
             columns = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], names)
@@ -129,4 +162,4 @@ def op8_lm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
     good = labels.select(F.col("doc_id").alias("_good")).distinct()
-    return score(docs.join(good, F.col("doc_id") == F.col("_good"), "left"), F.col("_good").isNotNull())
+    return score(docs.join(small(good), F.col("doc_id") == F.col("_good"), "left"), F.col("_good").isNotNull())
