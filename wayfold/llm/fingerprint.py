@@ -75,16 +75,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # Rows are matched by ``row``, which tells a null id from every other.
     own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.sha1(F.encode(text, "utf-8")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), own.alias("row"))
-    ids = rows.select("doc_id", "row", F.length("text").alias("n_chars")).distinct().withColumn("one", F.lit(1))
+    # The id is read back from ``row``, so both reads below move the same two columns and
+    # Spark shuffles the texts once.
+    rows = docs.select(text.alias("text"), own.alias("row"))
+    of = lambda row: F.expr(f"try_cast(substring_index({row}, ':', 1) AS long)")
+    ids = docs.select(own.alias("row"), F.length(text).alias("n_chars")).distinct().withColumn("doc_id", of("row")).withColumn("one", F.lit(1))
     ids = keep(running_total(ids, [F.desc_nulls_last("doc_id"), "row"], "one", "place", folder, "ids"), folder, "places")
     before = F.when(F.col("place") == 1, F.lit(ids.count())).otherwise(F.col("place") - 1)
     follow = ids.select(before.alias("place"), F.col("row").alias("next"))
     order = ids.join(follow, "place").select("row", "next", F.floor(F.col("n_chars") / 3).cast("int").alias("cut"))
     order = keep(order, folder, "order")
-    lend = order.select(F.col("row").alias("owner"), F.col("next").alias("row"), "cut")
-    lent = rows.dropDuplicates(["row"]).join(lend, "row").select(F.col("owner").alias("row"), "cut", F.col("row").alias("next"), F.substring("text", 1, F.col("cut")).alias("ahead"))
-    both = rows.join(lent, "row").withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("cut")), "ahead"))
+    lend = order.select(F.col("row").alias("owner"), F.col("next").alias("row"), F.col("cut").alias("owed"))
+    lent = rows.join(lend, "row").select(F.col("owner").alias("row"), F.substring("text", 1, F.col("owed")).alias("ahead")).dropDuplicates(["row"])
+    both = rows.join(order, "row").join(lent, "row").withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("cut")), "ahead"))
+    both = both.withColumn("doc_id", of("row"))
     both = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2(F.encode("edited", "utf-8"), 256)).drop("ahead", "cut")
     both = minima(minima(both, "text", "bins").drop("text"), "edited", "edited_bins").drop("edited")
     made = keep(both, folder, "made")
