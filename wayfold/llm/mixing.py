@@ -23,6 +23,8 @@ COPIES = 2
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents for each salt: no group of equal size and source stays in one task.
 PER_SALT = 10_000
+#: Expected copies are summed in whole units of one over this, in any order alike.
+UNIT = 1_000_000
 
 
 def running_total(table: DataFrame, order: list, value: str, total: str, folder: str, name: str) -> DataFrame:
@@ -93,7 +95,8 @@ def multipliers(cells: DataFrame, wanted: DataFrame, folder: str, rounds: int =
         if not state.where("open").limit(1).count():
             break
         state = state.drop("open")
-    return state.select("key", "source_size", "target", "mean", "tilt")
+    # Sums of doubles differ in their last digits by the order of their rows; tilts do not.
+    return state.select("key", "source_size", "target", "mean", F.round("tilt", 9).alias("tilt"))
 
 
 def rounded(groups: DataFrame, tilts: DataFrame, folder: str) -> DataFrame:
@@ -104,9 +107,9 @@ def rounded(groups: DataFrame, tilts: DataFrame, folder: str) -> DataFrame:
     document of the size nearest to what is missing is taken once more or once less.
     """
     rate = F.when(F.col("tilt") == math.inf, 1.0).otherwise(1 / (1 + F.exp(-F.col("tilt") * F.coalesce(F.try_divide("size", "mean"), F.lit(0.0)))))
-    expected = groups.join(tilts, "key").withColumn("expected", COPIES * rate * F.col("n"))
+    expected = groups.join(tilts, "key").withColumn("expected", F.round(COPIES * rate * F.col("n") * UNIT).cast("long"))
     summed = running_total(expected, ["key", "size", "salt"], "expected", "sum", folder, "expected")
-    gained = F.floor(F.col("sum") + 0.5) - F.floor(F.col("sum") - F.col("expected") + 0.5)
+    gained = F.expr(f"(`sum` + {UNIT // 2}) div {UNIT} - (`sum` - expected + {UNIT // 2}) div {UNIT}")
     table = summed.withColumn("copies", F.greatest(F.lit(0), F.least(gained, COPIES * F.col("n"))))
     table = keep(table.select("key", "size", "salt", "n", "source_size", "target", "copies"), folder, "copies-0")
     for step in (1, 2):
