@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfold.operators import asof, folds, graph
 from wayfold.sources import telemetry
+from wayfold.streaming import folds as stream_folds
 
 
 def test_off_route_fires_after_a_streak_then_cools_down(spark):
@@ -55,3 +56,28 @@ def test_stored_routing_answer(spark):
     body = '{"code":"Ok","routes":[{"distance":1.0,"geometry":{"coordinates":[[11.0,48.0],[11.1,48.1]]}}]}'
     df = spark.createDataFrame([(body,), ('{"code":"NoRoute"}',)], "b string").select(telemetry.osrm_route(F.col("b")).alias("p"))
     assert [r["p"] for r in df.collect()] == [[[48.0, 11.0], [48.1, 11.1]], None]
+
+
+def test_stream_folds_like_the_batch(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(s, s * 100 + i, i * 1000, r.random()) for s in range(3) for i in range(30)]
+    schema = "session_id long, event_id long, t_ms long, value double"
+    whole = spark.createDataFrame(rows, schema)
+    start, step, out = folds.low_pass(0.25)
+    for part in range(3):
+        spark.createDataFrame([x for x in rows if x[2] // 10_000 == part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    made = stream_folds.scan_stream(stream, ["session_id"], ["t_ms"], out, start, step)
+    made.writeStream.format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(90)
+    want = folds.scan(whole, ["session_id"], ["t_ms"], out, start, step)
+    assert sorted(map(tuple, spark.table("folded").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_route_starts_ahead_on_the_first_graph(spark):
+    nodes = spark.createDataFrame([(g, n, e, 0.0) for g in (1, 2) for n, e in (("a", 0.0), ("b", 100.0), ("c", 200.0))], "graph_id long, node_id string, east double, north double")
+    edges = spark.createDataFrame([(g, x, y, 100.0) for g in (1, 2) for x, y in (("a", "b"), ("b", "a"), ("b", "c"), ("c", "b"))], "graph_id long, a string, b string, cost double")
+    asked = spark.createDataFrame([(1, 40.0, 3.0, 90.0, 200.0, 0.0), (2, 40.0, 3.0, None, 200.0, 0.0), (3, 9e6, 0.0, 90.0, 200.0, 0.0)], "point_id long, east double, north double, heading double, goal_east double, goal_north double")
+    found = graph.heading_routes(asked, nodes, edges, 4)
+    assert found.count() == 4
+    out = {r["point_id"]: (r["graph_id"], r["source"], r["px"], r["dist"]) for r in graph.first_graph(found).collect()}
+    assert out == {1: (1, "b", 40.0, 100.0), 2: (1, "a", None, 200.0)}

@@ -44,6 +44,38 @@ def nav_table(gps: DataFrame, dr: DataFrame, gate_ms: int) -> DataFrame:
     return first.unionByName(second)
 
 
+#: The columns of the export of motion samples and of engine states.
+IMU_COLUMNS = (
+    "timestamp_nanos accel_x accel_y accel_z gyro_x gyro_y gyro_z mag_x mag_y mag_z quat_x quat_y quat_z quat_w "
+    "linear_x linear_y linear_z gravity_x gravity_y gravity_z"
+).split()
+STATE_COLUMNS = (
+    "timestamp_nanos acc_mag step_detected stride_length gyro_heading_rad mag_heading_rad fused_heading_rad dr_x_east dr_y_north dr_lat dr_lon "
+    "forward_speed_mps yaw_rate_deg_s lateral_vel_mps snap_mode bias_omega_mag bias_acc_mag nhc_residual_lat"
+).split()
+
+
+def imu_table(samples: DataFrame) -> DataFrame:
+    """Export rows of raw motion samples; a sensor that was absent is null."""
+    return samples.select("session_id", *IMU_COLUMNS)
+
+
+def state_table(states: DataFrame) -> DataFrame:
+    """Export rows of engine states (columns of ``STATE_COLUMNS``), steps as 1 and 0."""
+    return states.withColumn("step_detected", F.col("step_detected").cast("int")).select("session_id", *STATE_COLUMNS)
+
+
+def live_snapshot(gps: DataFrame, dr: DataFrame, gate_ms: int) -> DataFrame:
+    """What a live view shows of each session: the last fix and estimate, how many there
+    are, what the view follows (the fix, else the estimate) and the error statistics."""
+    order = F.struct("t_ms", "event_id")
+    end = lambda df, s: df.groupBy("session_id").agg(F.count("*").alias(f"n_{s}"), F.max_by(F.struct("lat", "lon"), order).alias(s))
+    made = end(gps, "gps").join(end(dr, "dr"), "session_id", "full").join(session_stats(gps, dr, gate_ms), "session_id", "left")
+    count = lambda s: F.coalesce(f"n_{s}", F.lit(0)).alias(f"n_{s}")
+    follow = F.coalesce("gps", "dr")
+    return made.select("session_id", count("gps"), count("dr"), F.col("gps.lat").alias("gps_lat"), F.col("gps.lon").alias("gps_lon"), F.col("dr.lat").alias("dr_lat"), F.col("dr.lon").alias("dr_lon"), follow["lat"].alias("follow_lat"), follow["lon"].alias("follow_lon"), "current_error_m", "distance_travelled_m")
+
+
 def write_csv(table: DataFrame, path: str) -> None:
     """One folder of CSV with header; null is empty, NaN is ``NaN``."""
     table.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("nanValue", "NaN").csv(path)

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.spatial import road_snap
+
+#: A start edge that points further away from the heading than this is not taken.
+LEAST_ALIGN = -0.3
+
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, within: float = 1000.0) -> DataFrame:
     """``point_id`` with its nearest node of each graph, at most ``within`` away; nodes are
@@ -53,6 +58,32 @@ def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: in
     return made.groupBy("request_id").agg(best).select("request_id", "r.node", "r.dist", "r.fallback")
 
 
+def heading_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int, radius: float = 150.0, within: float = 1000.0) -> DataFrame:
+    """Route of each request (``point_id, east, north, heading, goal_east, goal_north``) on
+    each graph that has a node within ``within`` of both ends.
+
+    It starts where the point meets the best directed edge (``px``, ``py``) and goes on from
+    that edge's end, so it never begins by turning back. Without a heading or such an edge,
+    or if the edge points against the heading, it starts at the nearest node. The goal is
+    the node nearest to the destination; see ``routes`` for goals that are not reached.
+    """
+    start = nearest_nodes(requests, nodes, within).select("point_id", "graph_id", F.col("node_id").alias("_start"))
+    ends = requests.select("point_id", F.col("goal_east").alias("east"), F.col("goal_north").alias("north"))
+    goal = nearest_nodes(ends, nodes, within).select("point_id", "graph_id", F.col("node_id").alias("goal"))
+    headed = requests.where("heading is not null and not isnan(heading)").select("point_id", "east", "north", "heading")
+    snapped = road_snap(headed, nodes, edges, radius, each_graph=True).where(F.col("align") >= LEAST_ALIGN).select("point_id", "graph_id", F.col("b").alias("_next"), "px", "py")
+    asked = start.join(goal, ["point_id", "graph_id"]).join(snapped, ["point_id", "graph_id"], "left")
+    asked = asked.withColumn("source", F.coalesce("_next", "_start")).withColumn("request_id", F.struct("point_id", "graph_id"))
+    found = routes(asked.select("request_id", "graph_id", "source", "goal"), nodes, edges, max_hops)
+    return asked.join(found, "request_id").select("point_id", "graph_id", "source", "px", "py", "node", "dist", "fallback")
+
+
+def first_graph(found: DataFrame) -> DataFrame:
+    """Of each point's routes the one on the first graph, in order of ``graph_id``."""
+    rest = [c for c in found.columns if c != "point_id"]
+    return found.groupBy("point_id").agg(F.min_by(F.struct(*rest), "graph_id").alias("r")).select("point_id", "r.*")
+
+
 def straight_route(e0: Column, n0: Column, e1: Column, n1: Column, gap: float = 10.0, furthest: float = 1_000_000.0) -> Column:
     """Points about every ``gap`` metres of a straight line, 2 to 2000 steps; null beyond
     ``furthest``."""

@@ -37,13 +37,14 @@ def polyline_match(points: DataFrame, lines: DataFrame) -> DataFrame:
     return made.groupBy(*points.columns).agg(best.alias("m")).select(*points.columns, "m.*")
 
 
-def road_snap(points: DataFrame, nodes: DataFrame, edges: DataFrame, radius: float = 150.0) -> DataFrame:
+def road_snap(points: DataFrame, nodes: DataFrame, edges: DataFrame, radius: float = 150.0, each_graph: bool = False) -> DataFrame:
     """Points (``point_id, east, north, heading``) on the directed edge with the least
     score: distance less ``radius`` times how the edge's direction agrees with the heading.
 
     An edge counts if its start node and its nearest point are within the radius; start
     nodes are looked up by grid cell, so no pair beyond neighbouring cells is made. Equal
-    scores go to the smaller (a, b). Points without an edge are left out.
+    scores go to the smaller (a, b). Points without an edge are left out. The best edge is
+    that of all graphs, or with ``each_graph`` that of each.
     """
     ends = lambda s: nodes.select("graph_id", F.col("node_id").alias(s), F.col("east").alias(s + "x"), F.col("north").alias(s + "y"))
     roads = edges.join(ends("a"), ["graph_id", "a"]).join(ends("b"), ["graph_id", "b"])
@@ -60,4 +61,5 @@ def road_snap(points: DataFrame, nodes: DataFrame, edges: DataFrame, radius: flo
     align = (dx * F.sin(F.radians("heading")) + dy * F.cos(F.radians("heading"))) / F.hypot(dx, dy)
     made = made.withColumns({"off": off, "align": align}).where(F.col("off") <= radius)
     best = F.min(F.struct((F.col("off") - radius * F.col("align")).alias("score"), "a", "b", "px", "py", "off", "align"))
-    return made.groupBy("point_id").agg(best.alias("s")).select("point_id", "s.*")
+    keys = ["point_id", "graph_id"] if each_graph else ["point_id"]
+    return made.groupBy(*keys).agg(best.alias("s")).select(*keys, "s.*")

@@ -299,6 +299,24 @@ def shortest_path(spark, sf_dir):
     return made.select("source", "node", r6("dist").alias("dist"))
 
 
+@query
+def heading_route(spark, sf_dir):
+    """From each supplier, by its heading, to a common place."""
+    nodes, edges = _roads(spark, sf_dir)
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("point_id"))
+    asked = s.select("point_id", ((F.col("point_id") * 17) % 110).cast("double").alias("east"), ((F.col("point_id") * 29) % 95).cast("double").alias("north"), ((F.col("point_id") * 7) % 360).cast("double").alias("heading"), F.lit(50.0).alias("goal_east"), F.lit(45.0).alias("goal_north"))
+    made = graph.first_graph(graph.heading_routes(asked, nodes, edges, 12, radius=30.0))
+    return rounded(made.select("point_id", "source", "px", "py", "node", "dist", "fallback"), "px", "py", "dist")
+
+
+@query
+def live_snapshot(spark, sf_dir):
+    """K6, K7's follow target: the state of every session at the end."""
+    f = telemetry.fixes(spark, sf_dir)
+    made = evaluate.live_snapshot(telemetry.truth(f), telemetry.estimates(f), GATE_MS)
+    return rounded(made, "gps_lat", "gps_lon", "dr_lat", "dr_lon", "follow_lat", "follow_lon", "current_error_m", "distance_travelled_m")
+
+
 @query
 def route_synthesis(spark, sf_dir):
     """From each supplier to a common place."""

@@ -144,6 +144,19 @@ SQL = {
     "shortest_path": f"""WITH RECURSIVE {EDGES}, walk AS (SELECT k AS source, k AS node, 0.0::DOUBLE AS dist, 0 AS hops FROM nodes
         UNION ALL SELECT source, node, min(dist), hops FROM (SELECT w.source, e.b AS node, w.dist + e.cost AS dist, w.hops + 1 AS hops FROM walk w JOIN edges e ON e.a = w.node WHERE w.hops < 12) GROUP BY source, node, hops)
         SELECT source, node, {r6('min(dist)')} AS dist FROM walk GROUP BY source, node""",
+    "heading_route": f"""WITH RECURSIVE {EDGES}, {POINTS}, j AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((east - ax) * (bx - ax) + (north - ay) * (by_ - ay)) / (cost * cost))) AS t FROM points, edges WHERE sqrt(pow(ax - east, 2) + pow(ay - north, 2)) <= 30 AND cost > 1e-6),
+        k AS (SELECT *, ax + t * (bx - ax) AS px, ay + t * (by_ - ay) AS py FROM j), s AS (SELECT *, sqrt(pow(east - px, 2) + pow(north - py, 2)) AS off, ((bx - ax) * sin(radians(heading)) + (by_ - ay) * cos(radians(heading))) / cost AS align FROM k),
+        snap AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY off - 30 * align, a, b) AS r FROM s WHERE off <= 30), ahead AS (SELECT point_id, b, px, py FROM snap WHERE r = 1 AND align >= -0.3::DOUBLE),
+        near AS (SELECT point_id, k AS node_id, row_number() OVER (PARTITION BY point_id ORDER BY sqrt(pow(p.east - n.east, 2) + pow(p.north - n.north, 2)), k) AS r FROM points p, nodes n),
+        goal AS (SELECT k AS g FROM nodes ORDER BY sqrt(pow(east - 50, 2) + pow(north - 45, 2)), k LIMIT 1), pick AS (SELECT point_id, coalesce(b, node_id) AS source, px, py FROM near LEFT JOIN ahead USING (point_id) WHERE r = 1),
+        walk AS (SELECT k AS source, k AS node, 0.0::DOUBLE AS dist, 0 AS hops FROM nodes
+        UNION ALL SELECT source, node, min(dist), hops FROM (SELECT w.source, e.b AS node, w.dist + e.cost AS dist, w.hops + 1 AS hops FROM walk w JOIN edges e ON e.a = w.node WHERE w.hops < 12) GROUP BY source, node, hops),
+        far AS (SELECT source, node, min(dist) AS dist FROM walk GROUP BY source, node)
+        SELECT point_id, source, {r6('px')} AS px, {r6('py')} AS py, g AS node, {r6('dist')} AS dist, false AS fallback FROM pick JOIN goal ON true JOIN far USING (source) WHERE node = g""",
+    "live_snapshot": f"""WITH {FIX}, {MATCH}, errors AS (SELECT session_id, max_by(error_m, (t_ms, event_id)) AS final FROM matched GROUP BY session_id), paths AS (SELECT session_id, sum(step) AS d FROM (SELECT session_id, {STEP} AS step FROM fix WHERE event_type = 'click') GROUP BY session_id),
+        {', '.join(f"{n} AS (SELECT session_id, count(*) AS n, max_by(lat, (t_ms, event_id)) AS lat, max_by(lon, (t_ms, event_id)) AS lon FROM fix WHERE event_type = '{k}' GROUP BY session_id)" for n, k in (('g', 'click'), ('d', 'view')))}
+        SELECT coalesce(g.session_id, d.session_id) AS session_id, coalesce(g.n, 0) AS n_gps, coalesce(d.n, 0) AS n_dr, {r6('g.lat')} AS gps_lat, {r6('g.lon')} AS gps_lon, {r6('d.lat')} AS dr_lat, {r6('d.lon')} AS dr_lon, {r6('coalesce(g.lat, d.lat)')} AS follow_lat, {r6('coalesce(g.lon, d.lon)')} AS follow_lon,
+        {r6(f'CASE WHEN p.d IS NOT NULL THEN coalesce(final, {NAN}) END')} AS current_error_m, {r6('p.d')} AS distance_travelled_m FROM g FULL JOIN d ON g.session_id = d.session_id LEFT JOIN paths p ON p.session_id = coalesce(g.session_id, d.session_id) LEFT JOIN errors e ON e.session_id = p.session_id""",
     "route_synthesis": f"""WITH p AS (SELECT s_suppkey::BIGINT AS point_id, ((s_suppkey * 17) % 1100)::DOUBLE AS e, ((s_suppkey * 29) % 950)::DOUBLE AS n FROM supplier), s AS (SELECT *, greatest(2, least(2000, floor(sqrt(pow(500 - e, 2) + pow(500 - n, 2)) / 10)))::INTEGER AS steps FROM p),
         x AS (SELECT *, unnest(range(0, steps + 1))::INTEGER AS i FROM s) SELECT point_id, i, {r6('e + (500 - e) * i / steps')} AS east, {r6('n + (500 - n) * i / steps')} AS north FROM x""",
     "health_text": f"""WITH {FIX}, s AS (SELECT session_id, count(*) AS n, round(max(value), 1) AS top, count(*) FILTER (heading > 180) AS back FROM fix GROUP BY 1), t AS (SELECT *, concat_ws(' | ', 'rows ' || n, CASE WHEN back > 0 THEN 'turned ' || back END, CASE WHEN top > 480 THEN 'FAST @ limit' END) AS health FROM s)
