@@ -174,24 +174,32 @@ def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame
     fingerprints show (angle between sets of likeness J: arccos(2J / (1 + J))) is at least
     ``similarity``. Pairs are looked for where one of eight 24-bit segments differs by at
     most one bit (deletion variants); that finds 92% of the pairs of likeness 0.9, and
-    fewer of those near the bound. Equal fingerprints are one node. Larger buckets are
-    not paired: every member is held against the bucket's center. Null ids take no part.
+    fewer of those near the bound. Equal fingerprints are one node. Every member of a
+    bucket is held against its center; in buckets of at most ``BUCKET``, members that this
+    left unconnected are held against each other. Null ids take no part.
     """
     folder = shared_folder(docs.sparkSession)
     names = [f"w{k}" for k in range(WIDE)]
     marked = keep(wide_fingerprints(docs, width).where("doc_id is not null"), folder, "marked")
     nodes = keep(marked.groupBy(*names).agg(F.min("doc_id").alias("rep")), folder, "nodes")
     index = keep(shared_keys(nodes.select("rep", F.explode(_segments(names)).alias("key"))), folder, "shared")
-    small = index.where(F.col("n") <= BUCKET)
-    pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b")
-    stars = index.where((F.col("n") > BUCKET) & (F.col("rep") != F.col("center")))
-    pairs = pairs.union(stars.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))).distinct()
     most = math.floor(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     side = lambda s: nodes.select(F.col("rep").alias(s), *(F.col(n).alias(s + n) for n in names))
     apart = " + ".join(f"bit_count(a{n} ^ b{n})" for n in names)
-    links = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{apart} <= {most}").select("a", "b")
-    found = components(keep(links, folder, "links"), folder).withColumnRenamed("id", "rep")
-    whole = nodes.join(found, "rep", "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    close = lambda pairs: pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(f"{apart} <= {most}")
+    stars = index.where("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
+    joined = components(keep(close(stars).select("a", "b"), folder, "stars"), f"{folder}/first").withColumnRenamed("id", "rep")
+    nodes = keep(nodes.join(joined, "rep", "left").select("rep", *names, F.coalesce("component", "rep").alias("part")), folder, "parts")
+    # Members of one part need no further link; only those of different parts are paired.
+    few = index.where(F.col("n") <= BUCKET).join(nodes.select("rep", "part"), "rep")
+    mixed = few.withColumn("parts", F.size(F.collect_set("part").over(Window.partitionBy("key")))).where("parts > 1")
+    mixed = keep(mixed.select("key", "rep", "part"), folder, "mixed")
+    left = mixed.select("key", F.col("rep").alias("a"), F.col("part").alias("pa"))
+    right = mixed.select("key", F.col("rep").alias("b"), F.col("part").alias("pb"))
+    pairs = left.join(right, "key").where("a < b and pa <> pb").select("a", "b", "pa", "pb")
+    links = close(pairs).select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+    found = components(keep(links, folder, "links"), folder).withColumnRenamed("id", "part")
+    whole = nodes.join(found, "part", "left").select(*names, F.coalesce("component", "part").alias("component_id"))
     return keep(marked.join(whole, names).where("doc_id <> component_id").select("doc_id", "component_id").distinct(), folder, "alike")
 
 
