@@ -180,6 +180,41 @@ def test_one_of_each_group_stays(spark):
     assert left.columns == docs(spark, []).columns
 
 
+def plain_groups(texts, bound=0.8):
+    """Smallest member of the group of each text, by all pairs of shingle sets."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 5 * bound * len(sets[a] | sets[b]) - 1e-6 and top(a) != top(b):
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_are_brute_force_at_the_bound(spark):
+    r = random.Random(9)
+    line = " ".join(f"c{i}" for i in range(10))
+    made = []
+    for k in range(40):  # likeness from 0.7 to 0.9, each pair by itself
+        words = [f"a{k}x{i}" for i in range(200)]
+        other = words.copy()
+        for i in r.sample(range(0, 200, 6), 3 + k % 6):
+            other[i] = "new"
+        made += [" ".join(words), " ".join(other)]
+    own = lambda k: [f"{k}y{i}" for i in range(500)]
+    made += [" ".join([*own("p"), *[line] * 40]), " ".join([*own("q"), *[line] * 40]), "one two", "One  two", "", None]
+    want = plain_groups(made)
+    assert 10 < sum(i != g for i, g in enumerate(want)) < 40
+    left = simhash.distinct_documents(docs(spark, made)).collect()
+    assert sorted(x["doc_id"] for x in left) == sorted(i for i, g in enumerate(want) if i == g)
+
+
 # 6
 
 

@@ -8,7 +8,6 @@ equality join on them finds every pair, and the join verifies the whole distance
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.graph import components
+from wayfold.llm.jaccard import alike
 from wayfold.llm.shared import keep, shared_folder
 
 SEED = 42
@@ -25,10 +25,6 @@ HALF = 32
 #: Buckets of more fingerprints than this are not paired; see ``crowded_links``.
 BUCKET = 32
 PIECES = 8
-#: The wide fingerprint, for documents that are less alike: four words of 64 bits.
-WIDE = 4
-#: Two segments of so many bits are indexed of each of its words.
-SEGMENT = 24
 
 
 def simhash(data: bytes, width: int, seed: int = SEED) -> int:
@@ -138,82 +134,6 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return marked.join(whole, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``doc_id`` and the words ``w0`` to ``w3`` of every row's 256-bit SimHash over
-    shingles of ``width`` words (as in ``fingerprints``, hashed twice by XXH3-128)."""
-    names = [f"w{k}" for k in range(WIDE)]
-
-    def run(batches):
-        for batch in batches:
-            rows = [wide_simhash(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            words = np.array(rows, dtype="<i8").reshape(-1, WIDE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(words[:, k]) for k in range(WIDE))], ["doc_id", *names])
-
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
-
-
-def wide_simhash(data: bytes, width: int) -> np.ndarray:
-    words = data.lower().split()
-    if not words:
-        return np.zeros(WIDE, dtype="<i8")
-    runs = [words[i : i + width] for i in range(max(1, len(words) - width + 1))]
-    ones = np.zeros(64 * WIDE, dtype=np.int64)
-    for at in range(0, len(runs), 1 << 14):
-        part = [b" ".join(run) for run in runs[at : at + (1 << 14)]]
-        data = b"".join([xxhash.xxh3_128_digest(x, seed) for x in part for seed in range(WIDE // 2)])
-        ones += np.unpackbits(np.frombuffer(data, np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(runs), bitorder="little").view("<i8")
-
-
-def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Documents to leave out so that one of each near-duplicate group stays: ``doc_id``
-    of every document that is not the smallest of its group, and that ``component_id``.
-
-    Two documents are linked if the likeness of their shingle sets that their 256-bit
-    fingerprints show (angle between sets of likeness J: arccos(2J / (1 + J))) is at least
-    ``similarity``. Pairs are looked for where one of eight 24-bit segments differs by at
-    most one bit (deletion variants); that finds 92% of the pairs of likeness 0.9, and
-    fewer of those near the bound. Equal fingerprints are one node. Every member of a
-    bucket is held against its center; in buckets of at most ``BUCKET``, members that this
-    left unconnected are held against each other. Null ids take no part.
-    """
-    folder = shared_folder(docs.sparkSession)
-    names = [f"w{k}" for k in range(WIDE)]
-    marked = keep(wide_fingerprints(docs, width).where("doc_id is not null"), folder, "marked")
-    nodes = keep(marked.groupBy(*names).agg(F.min("doc_id").alias("rep")), folder, "nodes")
-    index = keep(shared_keys(nodes.select("rep", F.explode(_segments(names)).alias("key"))), folder, "shared")
-    most = math.floor(64 * WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    side = lambda s: nodes.select(F.col("rep").alias(s), *(F.col(n).alias(s + n) for n in names))
-    apart = " + ".join(f"bit_count(a{n} ^ b{n})" for n in names)
-    close = lambda pairs: pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(f"{apart} <= {most}")
-    stars = index.where("rep <> center").select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b"))
-    joined = components(keep(close(stars).select("a", "b"), folder, "stars"), f"{folder}/first").withColumnRenamed("id", "rep")
-    nodes = keep(nodes.join(joined, "rep", "left").select("rep", *names, F.coalesce("component", "rep").alias("part")), folder, "parts")
-    # Members of one part need no further link; only those of different parts are paired.
-    few = index.where(F.col("n") <= BUCKET).join(nodes.select("rep", "part"), "rep")
-    mixed = few.withColumn("parts", F.size(F.collect_set("part").over(Window.partitionBy("key")))).where("parts > 1")
-    mixed = keep(mixed.select("key", "rep", "part"), folder, "mixed")
-    left = mixed.select("key", F.col("rep").alias("a"), F.col("part").alias("pa"))
-    right = mixed.select("key", F.col("rep").alias("b"), F.col("part").alias("pb"))
-    pairs = left.join(right, "key").where("a < b and pa <> pb").select("a", "b", "pa", "pb")
-    links = close(pairs).select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-    found = components(keep(links, folder, "links"), folder).withColumnRenamed("id", "part")
-    whole = nodes.join(found, "part", "left").select(*names, F.coalesce("component", "part").alias("component_id"))
-    return keep(marked.join(whole, names).where("doc_id <> component_id").select("doc_id", "component_id").distinct(), folder, "alike")
-
-
-def _segments(names: list[str]) -> Column:
-    """Index keys of a wide fingerprint: tag * 2^24 + segment, whole or without one bit."""
-    full, keys = (1 << SEGMENT) - 1, []
-    for number, (name, shift) in enumerate((n, s) for n in names for s in (0, 32)):
-        value = F.shiftrightunsigned(name, shift).bitwiseAND(F.lit(full))
-        for bit in range(SEGMENT + 1):
-            tag = F.lit((number * (SEGMENT + 1) + bit) << SEGMENT)
-            keys.append(tag.bitwiseOR(value if bit == SEGMENT else value.bitwiseAND(F.lit(full ^ (1 << bit)))))
-    return F.array(*keys)
-
-
 def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs`` without near duplicates: of each group the smallest doc_id stays.
 
