@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -276,6 +277,29 @@ def test_language_model_prefers_its_target(spark):
     assert out[60]["score"] == 0 and out[60]["n_tokens"] == 0
 
 
+def test_lm_counts_every_pair_by_itself(spark, texts):
+    r = random.Random(6)
+    made = [*texts, *(" ".join(f"v{r.randrange(60_000)}" for _ in range(3000)) for _ in range(60))]
+    words = [re.findall(r"\w+|[^\w\s]", (t or "").lower()) for t in made]
+    pairs = [list(zip(["<s>", *w], w, strict=False)) for w in words]
+    assert len({p for own in pairs for p in own}) > 1 << 17
+    out = {x["doc_id"]: x for x in lm.score(docs(spark, made), simhash.F.col("doc_id") % 2 == 1).collect()}
+    many = len({w for own in words for w in own})
+    count = lambda lists: Counter(itertools.chain.from_iterable(lists))
+    for name, rows in (("loss_background", range(len(made))), ("loss_target", range(1, len(made), 2))):
+        single, both, heads = count(words[i] for i in rows), count(pairs[i] for i in rows), count([a for a, _ in pairs[i]] for i in rows)
+        for i, own in enumerate(words):
+            if not own:
+                assert out[i][name] == 0
+                continue
+            inside = i in rows
+            s, b, h = Counter(own), Counter(pairs[i]), Counter(a for a, _ in pairs[i])
+            left = lambda t, o, k: t[k] - o[k] * inside  # noqa: B023, E731
+            n = sum(single.values()) - len(own) * inside
+            p = [0.6 * left(both, b, q) / max(1, left(heads, h, q[0])) + 0.3 * left(single, s, q[1]) / max(1, n) + 0.1 / many for q in pairs[i]]
+            assert out[i]["n_tokens"] == len(own) and abs(out[i][name] + np.mean(np.log(p))) < 1e-6, (i, name)
+
+
 # 9
 
 

@@ -1,134 +1,132 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models with one vocabulary, the hash buckets of words and of word pairs, count
-all documents: the background model every document, the target model those that the labels
-call good. Both interpolate pairs, words and a uniform share with the same weights. A
-document's score is the mean over its tokens of target loss less background loss; the
-lower, the more it is like the target. A document is left out of the counts it is scored
-with.
+Two bigram models with one vocabulary, the words of all documents, count words and pairs:
+the background model every document, the target model those that the labels call good. Both
+interpolate pairs, words and a uniform share with the same weights. A document's score is
+the mean over its tokens of target loss less background loss; the lower, the more it is
+like the target. A document is left out of the counts it is scored with.
+
+N-grams are told apart by 64-bit hashes and counted in a table that grows with the input.
+Documents stand in chunks; a chunk sends its distinct n-grams to ranges of the hash, and each
+range sends the sums back in the order in which they were asked for. A frequent n-gram is
+one entry of each chunk.
 """
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.shared import small
+from wayfold.llm.shared import keep, shared_folder, small
 
 WORD = re.compile(r"\w+|[^\w\s]")
-#: Buckets of words and of pairs; together they bound the broadcast (20 MB).
-UNIGRAMS, BIGRAMS = 1 << 18, 1 << 20
 #: Shares of the pair and of the word; the rest is uniform.
 PAIR, SINGLE = 0.6, 0.3
-#: Most distinct words whose buckets a task keeps.
+#: Most distinct words whose hashes a task keeps.
 CACHE = 300_000
-#: Buckets that are sent together.
-BLOCK = 256
-
-
-class Vocabulary:
-    """Buckets of a text's tokens, and of each token with the one before it."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        words = WORD.findall((text or "").lower())
-        for w in set(words).difference(known):
-            known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        hashed = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        before = np.concatenate([np.zeros(1, np.uint64), hashed[:-1]])[: len(hashed)]
-        pairs = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (hashed * np.uint64(0xC2B2AE3D27D4EB4F))
-        pairs ^= pairs >> np.uint64(29)
-        return (hashed % UNIGRAMS).astype(np.int64), (pairs % BIGRAMS).astype(np.int64)
-
-
-def _heads(words: np.ndarray) -> np.ndarray:
-    """The bucket before each token; the last one stands for the start of a text."""
-    return np.concatenate([[UNIGRAMS], words[:-1]])[: len(words)].astype(np.int64)
-
-
-def count(docs: DataFrame, target: Column) -> tuple[np.ndarray, ...]:
-    """Word, pair and head counts of both models (columns: background, target), of all
-    rows. Tasks count into arrays of a fixed size and send them in blocks of buckets; the
-    blocks are summed as they stream in, so no task holds more than the arrays."""
-    sizes = (UNIGRAMS, BIGRAMS, UNIGRAMS + BLOCK)
-    starts = np.cumsum((0, *sizes))
-    schema = "block int, counts binary"
-
-    def send(sums: np.ndarray, kind: str):
-        blocks = sums.reshape(-1, 2 * BLOCK)
-        for k in np.flatnonzero(blocks.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blocks[k].astype(kind).tobytes()])], ["block", "counts"])
-
-    def run(batches):
-        words_of, sums = Vocabulary(), np.zeros(2 * starts[-1], np.int64)
-        for batch in batches:
-            for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                words, pairs = words_of(text.as_py())
-                for start, found in zip(starts[:3], (words, pairs, _heads(words)), strict=True):
-                    np.add.at(sums, 2 * (start + found), 1)
-                    if good:
-                        np.add.at(sums, 2 * (start + found) + 1, 1)
-        yield from _together(send(sums, "<u4"))
-
-    def add(batches):
-        sums = np.zeros(2 * starts[-1], np.int64)
-        for batch in batches:
-            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[2 * BLOCK * k : 2 * BLOCK * (k + 1)] += np.frombuffer(counts.as_buffer(), "<u4")
-        yield from _together(send(sums, "<i8"))
-
-    counted = docs.select(F.col("text").cast("string"), F.coalesce(target, F.lit(False))).mapInArrow(run, schema)
-    # At most one row a block, and 24 MB in all.
-    total = np.zeros(2 * starts[-1], np.float32)
-    for row in counted.repartition("block").mapInArrow(add, schema).collect():
-        total[2 * BLOCK * row["block"] : 2 * BLOCK * (row["block"] + 1)] = np.frombuffer(row["counts"], "<i8")
-    total = total.reshape(-1, 2)
-    return tuple(total[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True))
-
-
-def _together(batches, many: int = 256):
-    """Batches of single rows as batches of ``many``."""
-    held = []
-    for batch in batches:
-        held.append(batch)
-        if len(held) == many:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held = []
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-class Losses:
-    """Loss of each token of a text in both models, without the text's own counts."""
-
-    def __init__(self, tables: tuple) -> None:
-        self.tables, self.own = tables, tuple(np.zeros(len(t), np.float32) for t in tables)
-        self.total = tables[0].sum(axis=0, dtype=np.float64)
-
-    def _left(self, k: int, found: np.ndarray, mine: np.ndarray) -> np.ndarray:
-        own = self.own[k]
-        np.add.at(own, found, 1)
-        many = own[found]
-        own[found] = 0
-        return np.maximum(self.tables[k][found] - many[:, None] * mine, 0)
-
-    def __call__(self, words: np.ndarray, pairs: np.ndarray, good: bool) -> np.ndarray:
-        mine = np.array([1, good], np.float32)
-        total = np.maximum(self.total - len(words) * mine, 0)
-        by_head = self._left(2, _heads(words), mine)
-        p = np.where(by_head > 0, PAIR * self._left(1, pairs, mine) / np.maximum(by_head, 1), 0)
-        p = p + np.where(total > 0, SINGLE * self._left(0, words, mine) / np.maximum(total, 1), 0)
-        return -np.log(p + (1 - PAIR - SINGLE) / UNIGRAMS)
+#: Characters in a chunk, about.
+CHUNK = 12_000_000
+START, HEAD = np.uint64(0x5354415254), np.uint64(0x48454144)
+
+
+class Grams:
+    """The n-grams of some texts: keys of each token's word, of its pair with the word before
+    and of that word as a head, and the text that each token belongs to."""
+
+    def __init__(self, texts) -> None:
+        known: dict[str, int] = {}
+        hashed, self.sizes = [], []
+        for text in texts:
+            words = WORD.findall((text.as_py() or "").lower())
+            if len(known) > CACHE:
+                known.clear()
+            for w in set(words).difference(known):
+                known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            hashed.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            self.sizes.append(len(words))
+        tokens = np.concatenate([np.zeros(0, np.uint64), *hashed])
+        self.sizes = np.array(self.sizes, np.int64)
+        self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        before = np.concatenate([np.zeros(1, np.uint64), tokens])[: len(tokens)]
+        before[(np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]] = START
+        # The last bit tells words, of which the vocabulary is made, from the rest.
+        self.count = len(tokens)
+        keys = np.concatenate([tokens | np.uint64(1), _mixed(before, tokens), _mixed(before, HEAD)])
+        self.keys, self.place = np.unique(keys, return_inverse=True)
+
+    def sums(self, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = np.tile(good[self.owner], 3)
+        return np.bincount(self.place, minlength=len(self.keys)), np.bincount(self.place[weights], minlength=len(self.keys))
+
+    def own(self) -> np.ndarray:
+        """How often each n-gram of ``place`` occurs in its own text."""
+        pairs = np.tile(self.owner, 3) * max(1, len(self.keys)) + self.place
+        _, place, many = np.unique(pairs, return_inverse=True, return_counts=True)
+        return many[place]
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x7F4A7C15))
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))) & ~np.uint64(1)
+
+
+def _starts(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each range begins in sorted keys, and the end."""
+    bounds = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+
+
+def _asked(table: pa.Table, ranges: int) -> pa.Table:
+    """The distinct n-grams of a chunk, by range, with their counts in both models."""
+    grams = Grams(table["text"])
+    every, good = grams.sums(np.array(table["good"].to_pylist(), bool))
+    at = _starts(grams.keys, ranges)
+    cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    chunk = pa.array([table["chunk"][0].as_py()] * ranges, pa.int32())
+    return pa.table({"chunk": chunk, "range": pa.array(range(ranges), pa.int32()), "keys": cut(grams.keys, "<u8"), "every": cut(every, "<u4"), "good": cut(good, "<u4")})
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The sums over all chunks of one range, for each chunk in the order it asked."""
+    read = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[name]]
+    keys = read("keys", "<u8")
+    ends = np.cumsum([len(k) for k in keys])
+    known, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = []
+    for name in ("every", "good"):
+        sums = np.zeros(len(known), np.int64)
+        np.add.at(sums, place, np.concatenate(read(name, "<u4")))
+        total.append(sums)
+    words = (known & np.uint64(1)).astype(bool)
+    facts = [int(words.sum()), int(total[0][words].sum()), int(total[1][words].sum())]
+    back = lambda sums: pa.array([sums[p].astype("<i8").tobytes() for p in np.split(place, ends[:-1])], pa.binary())
+    first = lambda x: pa.array([x, *[0] * (len(keys) - 1)], pa.int64())
+    return pa.table({"chunk": table["chunk"], "range": table["range"], "every": back(total[0]), "good": back(total[1]), "words": first(facts[0]), "n_every": first(facts[1]), "n_good": first(facts[2])})
+
+
+def _scored(table: pa.Table, sums: pa.Table, words: int, n_every: int, n_good: int) -> pa.Table:
+    """Losses of the texts of a chunk, each without its own counts."""
+    grams, good = Grams(table["text"]), np.array(table["good"].to_pylist(), bool)
+    losses = np.zeros((2, len(good)))
+    if grams.count:
+        sums, own = sums.sort_by("range"), grams.own()
+        for k, (name, n) in enumerate((("every", n_every), ("good", n_good))):
+            mine = np.ones(len(good), np.int64) if k == 0 else good.astype(np.int64)
+            total = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in sums[name]])
+            left = total[grams.place] - own * np.tile(mine[grams.owner], 3)
+            word, pair, head = np.split(left, 3)
+            rest = (n - grams.sizes * mine)[grams.owner]
+            p = PAIR * pair / np.maximum(head, 1) + SINGLE * word / np.maximum(rest, 1) + (1 - PAIR - SINGLE) / max(1, words)
+            losses[k] = np.bincount(grams.owner, -np.log(p), len(good)) / np.maximum(grams.sizes, 1)
+    background, target = losses
+    return pa.table({"doc_id": table["doc_id"], "n_tokens": pa.array(grams.sizes), "loss_target": target, "loss_background": background, "score": target - background})
 
 
 def score(docs: DataFrame, target: Column) -> DataFrame:
@@ -139,22 +137,18 @@ def score(docs: DataFrame, target: Column) -> DataFrame:
     has losses and score 0. Repeated rows are counted and returned each; an empty table
     gives an empty result.
     """
+    folder = shared_folder(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(target, F.lit(False)).alias("good"))
-    model = docs.sparkSession.sparkContext.broadcast(count(rows, F.col("good")))
-    names = ["doc_id", "n_tokens", "loss_target", "loss_background", "score"]
-
-    def run(batches):
-        words_of, losses = Vocabulary(), Losses(model.value)
-        for batch in batches:
-            out = []
-            for text, good in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words, pairs = words_of(text.as_py())
-                mean = losses(words, pairs, good).mean(axis=0, dtype=np.float64) if len(words) else np.zeros(2)
-                out.append((len(words), float(mean[1]), float(mean[0]), float(mean[1] - mean[0])))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], names)
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    chunks = max(24, math.ceil(size / CHUNK)) if size > 1_000_000 else 2
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    asked = rows.groupBy("chunk").applyInArrow(lambda t: _asked(t, chunks), "chunk int, range int, keys binary, every binary, good binary")
+    answered = asked.groupBy("range").applyInArrow(_answered, "chunk int, range int, every binary, good binary, words long, n_every long, n_good long")
+    answered = keep(answered, folder, "sums")
+    words, n_every, n_good = (x or 0 for x in answered.agg(F.sum("words"), F.sum("n_every"), F.sum("n_good")).first())
+    sums = answered.select("chunk", "range", "every", "good")
+    made = rows.groupBy("chunk").cogroup(sums.groupBy("chunk"))
+    return made.applyInArrow(lambda t, s: _scored(t, s, words, n_every, n_good), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
 
 
 def op8_lm(spark, sf_dir: str) -> DataFrame:
