@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,10 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, within: float = 1000.0) -
     return made.groupBy("point_id", "graph_id").agg(F.min(F.struct("off", "node_id")).alias("n")).select("point_id", "graph_id", "n.node_id", "n.off")
 
 
-def distances(sources: DataFrame, edges: DataFrame, max_hops: int, settle: bool = True) -> DataFrame:
-    """Least cost from each source (``graph_id, source``) to every node it reaches within
-    ``max_hops`` edges, with the node before it: ``graph_id, source, node, dist, prev``.
+def distances(sources: DataFrame, edges: DataFrame, max_hops: int | None = None, settle: bool = True) -> DataFrame:
+    """Least cost from each source (``graph_id, source``) to every node it reaches (if
+    ``max_hops`` is given, by so many edges), with the node before it: ``graph_id, source,
+    node, dist, prev``.
 
     Each round relaxes the edges of nodes that improved in the last; the state is cut from
     its lineage by a reliable checkpoint. Ends early once nothing improves.
@@ -35,18 +38,18 @@ def distances(sources: DataFrame, edges: DataFrame, max_hops: int, settle: bool
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-graph-"))  # one machine, as in tests
     state = sources.select("graph_id", "source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast(sources.schema["source"].dataType).alias("prev"), F.lit(0).alias("round"))
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         front = state.where(F.col("round") == hop - 1).select("graph_id", "source", F.col("node").alias("a"), "dist")
         reached = front.join(edges, ["graph_id", "a"]).select("graph_id", "source", F.col("b").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("a").alias("prev"), F.lit(hop).alias("round"))
         # Of equal distances the earlier round stays.
         best = F.min(F.struct("dist", "round", "prev")).alias("s")
         state = state.union(reached).groupBy("graph_id", "source", "node").agg(best).select("graph_id", "source", "node", "s.dist", "s.prev", "s.round").checkpoint()
-        if settle and state.where(F.col("round") == hop).isEmpty():
+        if (settle or max_hops is None) and state.where(F.col("round") == hop).isEmpty():
             break
     return state.drop("round")
 
 
-def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Cost of each request (``request_id, graph_id, source, goal``): to the goal, or, if
     it is not reached, to the reached node closest to it (``fallback``)."""
     found = distances(requests.select("graph_id", "source").distinct(), edges, max_hops)
@@ -58,7 +61,7 @@ def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: in
     return made.groupBy("request_id").agg(best).select("request_id", "r.node", "r.dist", "r.fallback")
 
 
-def heading_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int, radius: float = 150.0, within: float = 1000.0) -> DataFrame:
+def heading_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int | None = None, radius: float = 150.0, within: float = 1000.0) -> DataFrame:
     """Route of each request (``point_id, east, north, heading, goal_east, goal_north``) on
     each graph that has a node within ``within`` of both ends.
 

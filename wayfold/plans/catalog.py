@@ -295,7 +295,7 @@ def nearest_node(spark, sf_dir):
 def shortest_path(spark, sf_dir):
     """Least cost from every node to every other."""
     nodes, edges = _roads(spark, sf_dir)
-    made = graph.distances(nodes.select("graph_id", F.col("node_id").alias("source")), edges, 12)
+    made = graph.distances(nodes.select("graph_id", F.col("node_id").alias("source")), edges)
     return made.select("source", "node", r6("dist").alias("dist"))
 
 
@@ -305,7 +305,7 @@ def heading_route(spark, sf_dir):
     nodes, edges = _roads(spark, sf_dir)
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("point_id"))
     asked = s.select("point_id", ((F.col("point_id") * 17) % 110).cast("double").alias("east"), ((F.col("point_id") * 29) % 95).cast("double").alias("north"), ((F.col("point_id") * 7) % 360).cast("double").alias("heading"), F.lit(50.0).alias("goal_east"), F.lit(45.0).alias("goal_north"))
-    made = graph.first_graph(graph.heading_routes(asked, nodes, edges, 12, radius=30.0))
+    made = graph.first_graph(graph.heading_routes(asked, nodes, edges, radius=30.0))
     return rounded(made.select("point_id", "source", "px", "py", "node", "dist", "fallback"), "px", "py", "dist")
 
 
