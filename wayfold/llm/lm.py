@@ -31,7 +31,7 @@ PAIR, SINGLE = 0.6, 0.3
 #: Most distinct words whose hashes a task keeps.
 CACHE = 300_000
 #: Characters in a chunk, about.
-CHUNK = 12_000_000
+CHUNK = 6_000_000
 START, HEAD = np.uint64(0x5354415254), np.uint64(0x48454144)
 
 
