@@ -216,6 +216,22 @@ def test_near_duplicates_are_brute_force_at_the_bound(spark):
     assert sorted(x["doc_id"] for x in left) == sorted(i for i, g in enumerate(want) if i == g)
 
 
+def test_crowded_buckets_are_settled_whole(spark):
+    r = random.Random(12)
+    made = []
+    for k, (many, changes) in enumerate([(60, (3, 7)), (50, (4, 6))]):  # loose groups: most members are unlike
+        base = [f"g{k}x{i}" for i in range(300)]
+        for m in range(many):
+            words = base.copy()
+            for i in r.sample(range(300), r.randrange(*changes)):
+                words[i] = f"n{k}m{m}"
+            made.append(" ".join(words))
+    want = plain_groups(made)
+    left = simhash.distinct_documents(docs(spark, made)).collect()
+    assert 2 < sum(i == g for i, g in enumerate(want)) < len(made)
+    assert sorted(x["doc_id"] for x in left) == [i for i, g in enumerate(want) if i == g]
+
+
 # 6
 
 
