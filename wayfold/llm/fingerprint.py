@@ -18,6 +18,8 @@ from wayfold.llm.shared import keep, shared_folder
 WIDTH = 5
 BINS = 128
 BITS = 8
+#: Bits are kept as signed bytes, less this.
+HALF = 1 << (BITS - 1)
 #: Random attempts of the densification; after them the bins are searched in turn.
 ATTEMPTS = 24
 _SHIFT = 64 - (BINS - 1).bit_length()
@@ -27,7 +29,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 def minima(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with ``out``: the ``BITS`` low-order bits of every bin of the column ``text``
-    as an array, null for a text without words. Letters count in lower case."""
+    as an array of bytes, null for a text without words. Letters count in lower case."""
     words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SPACE)
     df = df.withColumn("_words", F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
     own = F.slice("_words", 1, F.greatest(F.lit(0), F.size("_words") - (WIDTH - 1)))
@@ -39,7 +41,7 @@ def minima(df: DataFrame, text: str, out: str) -> DataFrame:
     # In order, the hashes of a bin stand together and the first of them is its smallest.
     first = F.filter("_sorted", lambda h, i: (i == 0) | (F.shiftright(h, _SHIFT) != F.shiftright(F.get("_sorted", i - 1), _SHIFT)))
     rest = F.lit(_REST)
-    df = df.withColumn("_bins", F.transform(first, lambda h: F.when(h.bitwiseAND(rest) != rest, h.bitwiseAND(F.lit((1 << BITS) - 1)).cast("int"))))
+    df = df.withColumn("_bins", F.transform(first, lambda h: F.when(h.bitwiseAND(rest) != rest, (h.bitwiseAND(F.lit((1 << BITS) - 1)) - HALF).cast("tinyint"))))
     tries = lambda i: [F.get("_bins", F.pmod(F.xxhash64(i, F.lit(k)), F.lit(BINS)).cast("int")) for k in range(ATTEMPTS)]
     turn = lambda i: F.get(F.filter(F.concat(F.slice("_bins", i + 1, BINS), F.col("_bins")), lambda x: x.isNotNull()), 0)
     filled = F.transform("_bins", lambda x, i: F.coalesce(x, *tries(i), turn(i)))
@@ -49,7 +51,7 @@ def minima(df: DataFrame, text: str, out: str) -> DataFrame:
 def packed(bins: Column) -> Column:
     """The fingerprint as lower-case hex; empty for a text without words."""
     digits = BITS // 4
-    return F.coalesce(F.array_join(F.transform(bins, lambda x: F.lpad(F.lower(F.hex(x)), digits, "0")), ""), F.lit(""))
+    return F.coalesce(F.array_join(F.transform(bins, lambda x: F.lpad(F.lower(F.hex(x.cast("int") + HALF)), digits, "0")), ""), F.lit(""))
 
 
 def likeness(a: Column, b: Column) -> Column:

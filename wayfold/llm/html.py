@@ -3,13 +3,17 @@
 The page becomes a tree of elements. Every block with text of its own passes points (for
 length and commas) to its ancestors, fewer the further up; a container's points are
 discounted by its share of link text. The best container is kept, and those of its siblings
-that look like content. Elements that are never content (menus, forms, scripts, comments of
-readers, and what their class names say is boilerplate) are left out of the tree.
+that look like content. Elements that are never content (menus, forms, comments of readers,
+and what their class names say is boilerplate) are left out, but for those that hold the
+article or, where only a class name speaks, most of the text.
+
+A page is read once from start to end, whatever its markup, and no step recurses.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 
 import pyarrow as pa
@@ -19,22 +23,35 @@ from pyspark.sql import functions as F
 # Names of HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template head nav footer aside form button select input svg math canvas audio video object menu dialog".split())
+DROPPED = frozenset("head nav footer aside noscript template button select svg math canvas audio video object menu dialog".split())
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre "
     "section summary table tbody thead tfoot tr caption ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that a start tag ends, if they are open within the given limits.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+CONTAINERS = frozenset("div section article main body html td form".split())
+ARTICLES = frozenset(["article", "main"])
+#: Elements that a start tag ends, if they are open within the nearest of its limits.
+ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "thead tbody tr td th", "tfoot": "tbody tr td th"}
 LIMITS = frozenset("table ul ol dl select div article section body html aside nav footer main".split())
+LISTS = LIMITS - {"div"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"topbar|masthead|site-?header|page-?header|site-?footer|page-?footer|footer|social|share|sharing|comments?|commentlist|comment-?(?:list|section|form|thread)|disqus|replies|respond|"
-    r"related|recommended|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|widget|pagination|pager|skip|toolbar|copyright)(?:$|[\s_-])", re.I)
+NAME = re.compile(r"[A-Za-z][^\s/>]*")
+#: What ends a tag, or opens a quoted value within it.
+DELIMITER = re.compile(r">|=\s*([\"'])")
+PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+# Words of class names: boilerplate (at the start or end of a name), readers' comments, and
+# words that turn a name into one about the layout.
+BOILER = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts sidebar menu nav navbar navigation "
+    "breadcrumb breadcrumbs topbar masthead footer social share sharing disqus respond newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar copyright".split()
+)
+COMMENTS = frozenset("comment comments commentlist commentform reply replies disqus".split())
+LISTED = frozenset("related recommended more".split())
+LINKED = frozenset("posts post articles article stories story links content items news reading videos products entries".split())
+LAYOUT = frozenset("has with without no non not free layout wrapper page main body content container enabled".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert dialog".split())
 GOOD = re.compile(r"article|content|post|entry|story|main|body|text|blog", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -42,161 +59,228 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element: its children and the text that stands between them."""
 
-    __slots__ = ("good", "links", "name", "parent", "parts", "score", "size")
+    __slots__ = ("above", "attributes", "commas", "good", "holds", "links", "name", "out", "parent", "parts", "points", "size", "total", "total_links", "within")
 
-    def __init__(self, name: str, parent: Node | None, good: bool = False) -> None:
-        self.name, self.parent, self.good = name, parent, good
-        self.parts: list = []
-        self.score, self.size, self.links = 0.0, 0, 0
+    def __init__(self, name: str, parent: Node | None, attributes: str = "") -> None:
+        self.name, self.parent, self.attributes, self.parts = name, parent, attributes, []
+        # The nearest block above, and whether an article stands above.
+        self.above = None if parent is None else parent if parent.name in BLOCKS else parent.above
+        self.within = parent is not None and (parent.within or parent.name in ARTICLES)
+        self.size = self.links = self.commas = self.total = self.total_links = 0
+        self.points, self.good, self.holds, self.out = 0.0, False, False, False
 
 
-def _unwanted(name: str, attributes: str, within: bool) -> bool:
-    if name in DROPPED or (name == "header" and not within):
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
+def spoken(attributes: str) -> tuple[bool, bool, bool, bool]:
+    """What attributes say: hidden, boilerplate by role or class name, readers' comments,
+    and content by class name."""
+    hidden = boiler = comments = good = False
     for key, value in NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-        if key == "role" and value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog"):
-            return True
-        if key in ("class", "id") and BOILER.search(value):
-            return True
-    return False
-
-
-def parse(page: str) -> Node:
-    """Tree of the wanted elements. Unclosed elements end with their parents; an end tag
-    without its start is ignored; a paragraph ends where a block begins."""
-    root = at = Node("html", None)
-    skipped: list[str] = []  # open elements within an unwanted one
-    end = 0
-    while (found := TOKEN.match(page, end)) is not None:
-        end = found.end()
-        name = (found.group(2) or "").lower()
-        if not name:
-            if page[found.start()] != "<" or end == found.start() + 1:
-                if not skipped:
-                    at.parts.append(found.group())
-            continue
-        if found.group(1):
-            if skipped:
-                if name in skipped:
-                    del skipped[len(skipped) - 1 - skipped[::-1].index(name) :]
-                elif name in ("article", "main", "body", "html"):
-                    skipped = []
-                else:
+            hidden = True
+        elif key == "role":
+            boiler = boiler or value.lower() in ROLES
+        elif key in ("class", "id"):
+            good = good or GOOD.search(value) is not None
+            for name in value.split():
+                parts = [p.lower() for p in PARTS.split(name) if p]
+                if not parts or LAYOUT.intersection(parts):
                     continue
-                if skipped or name not in ("article", "main", "body", "html"):
-                    continue
-            node = at
-            while node is not None and node.name != name:
-                node = node.parent if name in BLOCKS or node.name not in BLOCKS else None
-            if node is not None and node.parent is not None:
-                at = node.parent
-            continue
-        attributes = found.group(3)
-        if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, end)
-            end = close.end() if close else len(page)
-            continue
-        if skipped:
-            if name not in VOID and not attributes.endswith("/"):
-                skipped.append(name)
+                ends = {parts[0], parts[-1]}
+                comments = comments or not ends.isdisjoint(COMMENTS)
+                listed = parts[0] in LISTED and (len(parts) == 1 or parts[1] in LINKED)
+                boiler = boiler or comments or not ends.isdisjoint(BOILER) or (listed and parts != ["more"]) or (parts[-1] == "header" and parts[0] == "site")
+    return hidden, boiler, comments, good
+
+
+class Tree:
+    """Elements in the order of their start tags, and those that are open."""
+
+    def __init__(self) -> None:
+        self.nodes = [Node("html", None)]
+        self.open = [self.nodes[0]]
+        self.depths: dict[str, list[int]] = {"html": [0]}
+        self.blocks = [0]
+
+    def deepest(self, names) -> int:
+        """Depth of the innermost open element of ``names``, or -1."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=-1)
+
+    def close(self, depth: int) -> None:
+        """Ends all open elements from ``depth`` on; the root stays."""
+        while len(self.open) > max(depth, 1):
+            name = self.open.pop().name
+            self.depths[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+
+    def start(self, name: str, attributes: str) -> None:
+        if name in BLOCKS and (p := self.deepest(("p",))) > self.deepest(LIMITS):
+            self.close(p)
+        if name in ENDS:
+            names = ENDS[name].split()
+            limit = self.deepest(LISTS if name in ("li", "dd", "dt") else ("table", "select"))
+            first = min((d for n in names for d in self.depths.get(n, [])[-1:] if d > limit), default=-1)
+            if first > 0:
+                self.close(first)
+        node = Node(name, self.open[-1], attributes)
+        self.open[-1].parts.append(node)
+        self.nodes.append(node)
+        if name not in VOID and not attributes.endswith("/"):
+            self.depths.setdefault(name, []).append(len(self.open))
+            if name in BLOCKS:
+                self.blocks.append(len(self.open))
+            self.open.append(node)
+
+    def end(self, name: str) -> None:
+        """An end tag without its start is ignored; that of an inline element ends nothing
+        beyond the block it stands in."""
+        depth = self.deepest((name,))
+        if depth > 0 and (name in BLOCKS or depth > self.blocks[-1]):
+            self.close(depth)
+
+    def text(self, text: str) -> None:
+        self.open[-1].parts.append(text)
+
+
+def parse(page: str) -> Tree:
+    """Tree of all elements but scripts and the like. Unclosed elements end with their
+    parents; a paragraph ends where a block begins. A tag without an end is dropped with
+    what follows it; from a quote without an end on, quotes are ordinary characters."""
+    tree, at, quotes = Tree(), 0, True
+    while at < len(page):
+        tag = page.find("<", at)
+        if tag < 0:
+            tree.text(page[at:])
+            break
+        if tag > at:
+            tree.text(page[at:tag])
+        ending = page.startswith("/", tag + 1)
+        named = NAME.match(page, tag + 1 + ending)
+        if named is None:
+            if page.startswith("<!--", tag):
+                close = page.find("-->", tag + 2)
+                at = close + 3 if close >= 0 else len(page)
+            elif page[tag + 1 : tag + 2] in ("!", "?", "/") and page[tag + 1 : tag + 2]:
+                close = page.find(">", tag)
+                at = close + 1 if close >= 0 else len(page)
+            else:
+                tree.text("<")
+                at = tag + 1
             continue
-        if name == "br" or name == "hr":
-            at.parts.append(" ")
-        if name in VOID:
+        close = seen = named.end()
+        while quotes:
+            found = DELIMITER.search(page, seen)
+            if found is None or found.group(1) is None:
+                close = found.start() if found else -1
+                break
+            seen = page.find(found.group(1), found.end()) + 1
+            if not seen:
+                quotes = False
+        if not quotes:
+            close = page.find(">", named.end())
+        if close < 0:
+            if not quotes or page.find(">", tag) < 0:
+                break
+            quotes, close = False, page.find(">", tag)
+        name, attributes, at = named.group().lower(), page[named.end() : close], close + 1
+        if ending:
+            tree.end(name)
+        elif name in RAW:
+            found = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            at = found.end() if found else len(page)
+        elif name in VOID:
+            if name in ("br", "hr"):
+                tree.text(" ")
+            if name in BLOCKS:
+                tree.start(name, attributes)
+        else:
+            tree.start(name, attributes)
+    return tree
+
+
+def measure(nodes: list[Node]) -> None:
+    """Sizes from the leaves up: ``size``, ``links``, ``commas`` of a block's own inline text,
+    ``total`` and ``total_links`` of all text below; elements that are ``out`` count nothing."""
+    for node in nodes:
+        node.size = node.links = node.commas = node.total = node.total_links = 0
+        for part in node.parts:
+            if isinstance(part, str):
+                node.size += len(SPACE.sub(" ", part).strip())
+                node.commas += sum(map(part.count, ",،、，"))
+        if node.name == "a":
+            node.links = node.size
+        node.total, node.total_links = node.size, node.links
+    for node in reversed(nodes):
+        up = node.parent
+        if up is None or node.out:
             continue
-        if name in BLOCKS:
-            at = _leave(at, {"p"}, LIMITS)
-        if name in ENDS:
-            at = _leave(at, ENDS[name], LIMITS - {"div"} if name in ("li", "dd", "dt") else {"table"})
-        within, node = False, at
-        while node is not None:
-            within, node = within or node.name in ("article", "main"), node.parent
-        if _unwanted(name, attributes, within):
-            at.parts.append(" ")
-            if not attributes.endswith("/"):
-                skipped = [name]
+        if node.name not in BLOCKS:
+            up.size, up.commas = up.size + node.size, up.commas + node.commas
+            up.links += node.size if up.name == "a" else node.links
+        up.total += node.total
+        up.total_links += node.total if up.name == "a" else node.total_links
+
+
+def leave_out(nodes: list[Node]) -> None:
+    """Marks what is never content as ``out``, with all below it."""
+    said = [spoken(n.attributes) if n.attributes else (False,) * 4 for n in nodes]
+    for node, (_, _, comments, good) in zip(nodes, said, strict=True):
+        node.good = node.name in ARTICLES or good
+        node.holds = node.name in ARTICLES and not comments
+    for node in reversed(nodes):
+        if node.parent is not None and node.holds:
+            node.parent.holds = True
+    for node, (hidden, _, _, _) in zip(nodes, said, strict=True):
+        by_name = (node.name in DROPPED and not node.holds) or (node.name == "header" and not node.within and not node.holds)
+        node.out = node.parent is not None and (node.parent.out or hidden or by_name)
+    measure(nodes)
+    # A class name alone does not drop most of a text, unless an article stands elsewhere.
+    most = math.inf if nodes[0].holds else nodes[0].total / 2
+    for node, (_, boiler, comments, _) in zip(nodes, said, strict=True):
+        if node.parent is None or node.out:
             continue
-        good = name in ("article", "main") or any(k.lower() in ("class", "id") and GOOD.search(v) for k, v in NAMED.findall(attributes))
-        node = Node(name, at, good)
-        at.parts.append(node)
-        at = node
-    return root
-
-
-def _leave(at: Node, names: set, limits) -> Node:
-    """The parent of the nearest open element of ``names``, if no limit stands between."""
-    node = at
-    while node is not None and node.name not in limits:
-        if node.name in names and node.parent is not None:
-            return node.parent
-        node = node.parent
-    return at
-
-
-def _own(node: Node, linked: bool = False) -> tuple[int, int, int]:
-    """Characters, link characters and commas of a block's own inline text."""
-    size = links = commas = 0
-    for part in node.parts:
-        if isinstance(part, str):
-            text = SPACE.sub(" ", part)
-            many = len(text.strip())
-            size, links, commas = size + many, links + many * linked, commas + sum(map(text.count, ",،、，"))
-        elif part.name not in BLOCKS:
-            a, b, c = _own(part, linked or part.name == "a")
-            size, links, commas = size + a, links + b, commas + c
-    return size, links, commas
-
-
-def _blocks(root: Node) -> list[Node]:
-    """All block elements, in page order."""
-    found, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if node.name in BLOCKS:
-            found.append(node)
-        stack += [x for x in reversed(node.parts) if not isinstance(x, str)]
-    return found
+        fixed = node.name in ("html", "body") or node.holds
+        by_class = boiler and not fixed and (comments or node.total < most) and (comments or node.name not in ARTICLES)
+        node.out = node.parent.out or by_class or (node.name == "form" and not node.holds and node.total < most)
+    measure(nodes)
 
 
-def choose(root: Node) -> list[Node]:
+def choose(tree: Tree) -> list[Node]:
     """The best container and the siblings that are kept, in page order."""
-    blocks = _blocks(root)
+    nodes = tree.nodes
+    leave_out(nodes)
+    blocks = [n for n in nodes if not n.out and (n.name in BLOCKS or n.name in CONTAINERS)]
     for node in blocks:
-        size, links, commas = _own(node)
-        points = (1 + commas + min(size / 100, 3)) * (1 - links / size) if size else 0.0
-        up, level = node if node.name in ("div", "section", "article", "main", "body", "html") else node.parent, 0
-        while up is not None:
-            up.size, up.links = up.size + size, up.links + links
-            if level < 5 and up.name in BLOCKS:
-                up.score += points / (1 if level == 0 else 2 * level) * (0.5 if node.name in HEADINGS else 1)
-                level += 1
-            up = up.parent
-        if up is None and node.name not in ("div", "section", "article", "main", "body", "html"):
-            node.size, node.links = node.size + size, node.links + links
-    rated = [(n.score * (1 - n.links / max(1, n.size)) * (1.5 if n.good else 1), n) for n in blocks if n.score > 0]
-    if not rated:
-        return [root]
-    top, best = max(rated, key=lambda x: x[0])
-    up = best
-    while up is not None and up.name not in ("article", "main"):
+        if not node.size:
+            continue
+        points = (1 + node.commas + min(node.size / 100, 3)) * (1 - node.links / node.size) * (0.5 if node.name in HEADINGS else 1)
+        up = node if node.name in CONTAINERS else node.above
+        for level in range(5):
+            if up is None:
+                break
+            up.points += points / max(1, 2 * level)
+            up = up.above
+    rated = {id(n): n.points * (1 - n.total_links / max(1, n.total)) * (1.5 if n.good else 1) for n in blocks if n.points > 0}
+    scored = [n for n in blocks if id(n) in rated]
+    if not scored:
+        return [nodes[0]]
+    best = max(scored, key=lambda n: rated[id(n)])
+    top, up = rated[id(best)], best
+    while up is not None and up.name not in ARTICLES:
         up = up.parent
     if up is not None:  # the page says itself where the article begins and ends
         best = up
     if best.parent is None:
         return [best]
-    scores, kept = {id(n): s for s, n in rated}, []
+    kept = []
     for part in best.parent.parts:
-        if isinstance(part, str):
+        if isinstance(part, str) or part.out:
             continue
-        size, links, _ = _own(part)
-        text = part.name in ("p", "pre", "blockquote") and size and links / size < 0.25
+        text = part.name in ("p", "pre", "blockquote") and part.size and part.links / part.size < 0.25
+        likely = rated.get(id(part), 0) >= max(8.0, 0.25 * top)
         # Headings count that stand before the best container.
-        if part is best or text or (part.name in HEADINGS and best not in kept) or scores.get(id(part), 0) >= max(8.0, 0.25 * top):
+        if part is best or (part.name in HEADINGS and best not in kept) or (text or likely if best.name not in ARTICLES else likely and part.name == best.name):
             kept.append(part)
     return kept
 
@@ -217,6 +301,8 @@ def lines(node: Node) -> list[str]:
             flush()
         elif isinstance(part, str):
             current.append(part)
+        elif part.out:
+            current.append(" ")
         else:
             if part.name in BLOCKS:
                 flush()
@@ -245,9 +331,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(page.as_py()) for page in batch.column(2)]
-            sizes = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [main_text(page.as_py()) for page in part.column(2)]
+                sizes = pa.array([len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
     picked = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return picked.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -39,7 +39,11 @@ CONTEXT = 24
 PRECISION = 0.97
 #: Generated examples; every second of them calibrates.
 EXAMPLES = 2400
-_SPAN = "array<struct<m:string,start:int,stop:int,before:string,after:string>>"
+_SPAN = "struct<m:string,start:int,stop:int,before:string,after:string>"
+#: Elements that running totals are first summed by.
+PART = 64
+#: Code points of the pieces that a text is cut into before spans are taken out of it.
+PIECE = 1024
 #: Words near a kind, in lower case.
 _HINT = {
     "email": r"mail|contact|write|reach|kontakt|courriel|correo",
@@ -53,16 +57,60 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(found: str, gaps: str) -> str:
-    """SQL for matches with their places and context: the text is what stands between
-    matches and the matches in turn, so starts are running sums of lengths."""
-    start = "(s.at + length(x.a))"
-    return f"""CASE WHEN size({found}) > 0 THEN aggregate(
-        transform({found}, (m, i) -> struct(m, get({gaps}, i) AS a, get({gaps}, i + 1) AS z)),
-        struct(0 AS at, cast(array() AS {_SPAN}) AS spans),
-        (s, x) -> struct({start} + length(x.m) AS at, array_append(s.spans, struct(x.m AS m, {start} AS start,
-            {start} + length(x.m) AS stop, right(x.a, {CONTEXT}) AS before, left(x.z, {CONTEXT}) AS after)) AS spans),
-        s -> s.spans) ELSE cast(array() AS {_SPAN}) END"""
+def _parts(values: str, value: str, merge: str) -> str:
+    """SQL for the total of each ``PART`` elements ``y`` of an array: ``value`` of each, merged
+    (``t`` with ``y``) from 0 on. A fold that collects copies all it has at each step, so
+    running totals are made of numbers only: those of parts, of the parts before, and within
+    one part."""
+    return f"transform(sequence(0, cast((size({values}) - 1) div {PART} AS int)), b -> aggregate(slice({values}, b * {PART} + 1, {PART}), 0, (t, y) -> {merge.format(value)}))"
+
+
+def _tops(parts: str, merge: str) -> str:
+    return f"transform({parts}, (x, b) -> aggregate(slice({parts}, 1, b), 0, (t, y) -> {merge.format('y')}))"
+
+
+def _before(values: str, tops: str, value: str, merge: str) -> str:
+    """SQL for the total of all elements before the one at ``i``."""
+    return f"aggregate(slice({values}, i - i % {PART} + 1, i % {PART}), get({tops}, cast(i div {PART} AS int)), (t, y) -> {merge.format(value)})"
+
+
+SUM, MOST = "t + {0}", "greatest(t, {0})"
+
+
+def _with_spans(df: DataFrame, patterns: dict[str, str], names: dict[str, str]) -> DataFrame:
+    """Matches of each pattern with their places and context: the text is what stands between
+    matches and the matches in turn, so starts are running sums of lengths.
+
+    Each step names all columns it uses in its condition too: a column named once would be
+    computed where it is used, for each element of the other array."""
+    filled = lambda n, sql, *used: F.expr(f"CASE WHEN size(m_{n}) > 0{''.join(f' AND {x}_{n} IS NOT NULL' for x in used)} THEN {sql} END")
+    made = df.withColumns({f"m_{n}": F.expr(f"regexp_extract_all(text, {_quoted(patterns[k])}, 0)") for k, n in names.items()})
+    made = made.withColumns({f"g_{n}": filled(n, f"split(text, {_quoted(patterns[k])}, -1)") for k, n in names.items()})
+    made = made.withColumns({f"l_{n}": filled(n, f"transform(m_{n}, (m, i) -> length(m) + length(get(g_{n}, i)))", "g") for n in names.values()})
+    made = made.withColumns({f"s_{n}": filled(n, _parts(f"l_{n}", "y", SUM), "l") for n in names.values()})
+    made = made.withColumns({f"t_{n}": filled(n, _tops(f"s_{n}", SUM), "s") for n in names.values()})
+    starts = {n: filled(n, f"transform(m_{n}, (m, i) -> {_before(f'l_{n}', f't_{n}', 'y', SUM)} + length(get(g_{n}, i)))", "g", "l", "t") for n in names.values()}
+    made = made.withColumns({f"o_{n}": c for n, c in starts.items()})
+    item = lambda n: f"named_struct('m', m, 'start', get(o_{n}, i), 'stop', get(o_{n}, i) + length(m), 'before', right(get(g_{n}, i), {CONTEXT}), 'after', left(get(g_{n}, i + 1), {CONTEXT}))"
+    made = made.withColumns({n: F.expr(f"CASE WHEN size(m_{n}) > 0 THEN transform(m_{n}, (m, i) -> {item(n)}) ELSE cast(array() AS array<{_SPAN}>) END") for n in names.values()})
+    return made.drop(*(f"{x}_{n}" for x in "mglsto" for n in names.values()))
+
+
+_PLACE = "struct<kind:int,start:int,stop:int>"
+
+
+def _free(df: DataFrame, taken: str, more: str) -> DataFrame:
+    """``df`` with only those spans of ``more`` that overlap none of ``taken``. In order of the
+    places where taken spans start and the others stop, such a span begins where no taken
+    one before it goes on: a running maximum of their stops."""
+    filled = lambda sql: F.expr(f"CASE WHEN size({more}) > 0 AND size({taken}) > 0 THEN {sql} END")
+    events = f"""array_sort(concat(
+        transform({more}, c -> named_struct('at', c.stop, 'reach', 0, 'kind', c.kind, 'start', c.start, 'stop', c.stop)),
+        transform({taken}, c -> named_struct('at', c.start, 'reach', c.stop, 'kind', c.kind, 'start', c.start, 'stop', c.stop))))"""
+    made = df.withColumn("_e", filled(events)).withColumn("_s", filled(_parts("_e", "y.reach", MOST))).withColumn("_t", filled(_tops("_s", MOST)))
+    free = f"filter(_e, (c, i) -> c.reach = 0 AND {_before('_e', '_t', 'y.reach', MOST)} <= c.start)"
+    kept = f"CASE WHEN _e IS NULL OR _t IS NULL THEN {more} ELSE transform({free}, c -> named_struct('kind', c.kind, 'start', c.start, 'stop', c.stop)) END"
+    return made.withColumn(more, F.expr(kept)).drop("_e", "_s", "_t")
 
 
 def _digits(m: str) -> str:
@@ -125,13 +173,8 @@ def _candidates(texts: DataFrame, patterns: dict[str, str], prefix: str, guard:
     """``texts`` with an array of matches of each kind in ``<prefix>_<kind>``. Each step
     is a projection of its own, so no pattern runs twice over a text."""
     names = {k: f"{prefix}_{k}" for k in patterns}
-    found = {f"m_{n}": F.expr(f"regexp_extract_all(text, {_quoted(patterns[k])}, 0)") for k, n in names.items()}
-    gaps = {f"g_{n}": F.expr(f"CASE WHEN size(m_{n}) > 0 THEN split(text, {_quoted(patterns[k])}, -1) END") for k, n in names.items()}
-    spans = {n: F.expr(_spans(f"m_{n}", f"g_{n}")) for n in names.values()}
-    made = texts.withColumns(found).withColumns(gaps).withColumns(spans)
-    if guard:
-        made = made.withColumns({n: F.expr(f"filter({n}, c -> {_valid(k, 'c.m')})") for k, n in names.items()})
-    return made.drop(*found, *gaps)
+    made = _with_spans(texts, patterns, names)
+    return made.withColumns({n: F.expr(f"filter({n}, c -> {_valid(k, 'c.m')})") for k, n in names.items()}) if guard else made
 
 
 def _scored(kind: str, column: str, model: Boosted) -> Column:
@@ -181,18 +224,32 @@ def _example(r: random.Random) -> tuple[int, str]:
     return label, f"{before} {lead}{r.choice([' ', ': '])}{text} {after}".strip()
 
 
+_FITTED: dict[int, tuple[Boosted, dict[str, float]]] = {}
+
+
 def fit(spark: SparkSession, seed: int = 11) -> tuple[Boosted, dict[str, float]]:
     """The trees and each kind's threshold: the lowest score above which ``PRECISION`` of
-    the calibration examples are personal data, and one half at least."""
+    the calibration examples are personal data, and one half at least. Fitted once."""
+    if seed not in _FITTED:
+        _FITTED[seed] = _fit(spark, seed)
+    return _FITTED[seed]
+
+
+def examples(spark: SparkSession, seed: int, many: int = EXAMPLES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features and labels of the candidates in generated lines, and the number of the line."""
     r = random.Random(seed)
-    lines = "\n".join(f"{label}\t{text}" for label, text in (_example(r) for _ in range(EXAMPLES)))
+    lines = "\n".join(f"{label}\t{text}" for label, text in (_example(r) for _ in range(many)))
     rows = spark.range(1).select(F.posexplode(F.split(F.lit(lines), "\n")).alias("at", "line"))
     rows = rows.select("at", F.substring("line", 1, 1).cast("int").alias("label"), F.expr("substr(line, 3)").alias("text"))
     made = _candidates(rows, PROPOSED, "p", guard=False)
     parts = [F.expr(f"transform(p_{k}, c -> array({', '.join(_features(k).values())}))") for k in KINDS]
     found = made.select("at", "label", F.explode(F.concat(*parts)).alias("x")).collect()
     found.sort(key=lambda row: (row["at"], row["x"]))
-    x, y, at = np.array([row["x"] for row in found]), np.array([float(row["label"]) for row in found]), np.array([row["at"] for row in found])
+    return np.array([row["x"] for row in found]), np.array([float(row["label"]) for row in found]), np.array([row["at"] for row in found])
+
+
+def _fit(spark: SparkSession, seed: int) -> tuple[Boosted, dict[str, float]]:
+    x, y, at = examples(spark, seed)
     model = Boosted().fit(x[at % 2 == 0], y[at % 2 == 0]).calibrate(x[at % 2 == 1], y[at % 2 == 1])
     limits, p = {}, model.probability(x)
     for k, kind in enumerate(KINDS):
@@ -208,19 +265,18 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` as the struct ``doc`` with ``base`` and ``spans``, arrays of kind (number
     in ``KINDS``), start and stop (code points, stop exclusive) of its whole text, in that
     order. ``spans`` holds the base spans, and accepted candidates that overlap neither
-    them nor a better candidate. A null text is empty and has no spans; repeated rows are
-    returned each."""
+    them nor one of an earlier kind. A null text is empty and has no spans; repeated rows
+    are returned each."""
     model, limits = fit(docs.sparkSession)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     made = _candidates(_candidates(rows, BASE, "b", guard=True), PROPOSED, "p", guard=False)
-    typed = "array<struct<kind:int,start:int,stop:int>>"
-    base = "concat(" + ", ".join(f"transform(b_{kind}, c -> struct({k} AS kind, c.start AS start, c.stop AS stop))" for k, kind in enumerate(KINDS)) + ")"
-    made = made.withColumns({f"p_{kind}": _scored(kind, f"p_{kind}", model) for kind in KINDS}).withColumn("base", F.expr(f"cast({base} AS {typed})"))
-    more = "concat(" + ", ".join(f"transform(filter(p_{kind}, c -> c.p >= {limits[kind]!r}D), c -> struct({k} AS kind, c.start AS start, c.stop AS stop, c.p AS p))" for k, kind in enumerate(KINDS)) + ")"
-    made = made.withColumn("more", F.expr(f"filter({more}, c -> NOT exists(base, b -> b.start < c.stop AND c.start < b.stop))"))
-    better = "d.start < c.stop AND c.start < d.stop AND (d.p > c.p OR (d.p = c.p AND (d.start < c.start OR (d.start = c.start AND (d.stop > c.stop OR (d.stop = c.stop AND d.kind < c.kind))))))"
-    kept = f"transform(filter(more, c -> NOT exists(more, d -> {better})), c -> struct(c.kind AS kind, c.start AS start, c.stop AS stop))"
-    return made.select("doc", "text", "base", F.expr(f"array_sort(concat(base, cast({kept} AS {typed})))").alias("spans"))
+    place = lambda k, c: f"named_struct('kind', {k}, 'start', {c}.start, 'stop', {c}.stop)"
+    base = "concat(" + ", ".join(f"transform(b_{kind}, c -> {place(k, 'c')})" for k, kind in enumerate(KINDS)) + ")"
+    made = made.withColumns({f"p_{kind}": _scored(kind, f"p_{kind}", model) for kind in KINDS}).withColumn("base", F.expr(base)).withColumn("taken", F.col("base"))
+    made = made.withColumns({f"p_{kind}": F.expr(f"transform(filter(p_{kind}, c -> c.p >= {limits[kind]!r}D), c -> {place(k, 'c')})") for k, kind in enumerate(KINDS)})
+    for kind in KINDS:
+        made = _free(made, "taken", f"p_{kind}").withColumn("taken", F.expr(f"concat(taken, p_{kind})"))
+    return made.select("doc", "text", "base", F.array_sort("taken").alias("spans"))
 
 
 def _joined(spans: str) -> Column:
@@ -228,21 +284,36 @@ def _joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, c -> concat(get({kinds}, c.kind), ':', c.start, ':', c.stop)), ',')")
 
 
+def _pieces(text: str) -> str:
+    """SQL for a text in pieces of ``PIECE`` code points: first in large ones, as finding a
+    place in a text takes its length."""
+    large = 64 * PIECE
+    cut = lambda t, many: f"transform(sequence(0, cast(greatest(length({t}) - 1, 0) div {many} AS int)), i{many} -> substr({t}, i{many} * {many} + 1, {many}))"
+    return f"flatten(transform({cut(text, large)}, t -> {cut('t', PIECE)}))"
+
+
+def _cut(start: str, stop: str) -> str:
+    """SQL for the code points from ``start`` to before ``stop`` out of the column ``pieces``."""
+    of = lambda place: f"cast({place} div {PIECE} AS int)"
+    return f"""CASE WHEN {start} >= {stop} THEN '' WHEN {of(start)} = {of(stop)} THEN substr(get(pieces, {of(start)}), {start} % {PIECE} + 1, {stop} - {start})
+        ELSE concat(substr(get(pieces, {of(start)}), {start} % {PIECE} + 1), array_join(slice(pieces, {of(start)} + 2, {of(stop)} - {of(start)} - 1), ''), coalesce(left(get(pieces, {of(stop)}), {stop} % {PIECE}), '')) END"""
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of personal data in ``text`` replaced by its kind in
     brackets; spans that overlap become one, named after the first. ``n_chars`` follows
     the text where there is such a column; other columns stay as they are; a null text
     stays null."""
-    by_start = "array_sort(transform(spans, c -> struct(c.start AS start, -c.stop AS back, c.kind AS kind)))"
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    # Each span from the furthest end before it: an empty piece and no name within another.
-    joined = f"""CASE WHEN size(spans) = 0 THEN text ELSE aggregate({by_start},
-        struct(0 AS at, cast(array() AS array<string>) AS parts),
-        (s, c) -> CASE WHEN -c.back <= s.at THEN s
-            WHEN c.start < s.at THEN struct(-c.back AS at, s.parts AS parts)
-            ELSE struct(-c.back AS at, concat(s.parts, array(substr(text, s.at + 1, c.start - s.at), get({names}, c.kind))) AS parts) END,
-        s -> concat(array_join(s.parts, ''), substr(text, s.at + 1))) END"""
-    made = with_spans(docs).withColumn("clean", F.expr(f"CASE WHEN doc.text IS NOT NULL THEN {joined} END"))
+    filled = lambda sql: F.expr(f"CASE WHEN size(spans) > 0 THEN {sql} END")
+    made = with_spans(docs).withColumn("spans", F.expr("array_sort(transform(spans, c -> named_struct('start', c.start, 'back', -c.stop, 'kind', c.kind)))"))
+    made = made.withColumn("pieces", filled(_pieces("text"))).withColumn("_s", filled(_parts("spans", "-y.back", MOST))).withColumn("_t", filled(_tops("_s", MOST)))
+    made = made.withColumn("_ends", F.expr(f"CASE WHEN _t IS NOT NULL THEN transform(spans, (c, i) -> {_before('spans', '_t', '-y.back', MOST)}) END"))
+    # Each span from the furthest end before it: no name within another.
+    parts = f"transform(spans, (c, i) -> CASE WHEN c.start < get(_ends, i) THEN '' ELSE concat({_cut('get(_ends, i)', 'c.start')}, get({names}, c.kind)) END)"
+    made = made.withColumn("_last", filled("greatest(element_at(_ends, -1), -element_at(spans, -1).back)"))
+    joined = f"CASE WHEN size(spans) = 0 THEN text ELSE concat(array_join({parts}, ''), {_cut('_last', 'length(text)')}) END"
+    made = made.withColumn("clean", F.expr(f"CASE WHEN doc.text IS NOT NULL THEN {joined} END"))
     changed = {"text": F.col("clean"), "n_chars": F.coalesce(F.length("clean").cast("long"), F.col("doc.n_chars") if "n_chars" in docs.columns else F.lit(0))}
     return made.select(*(changed[c].alias(c) if c in changed else F.col(f"doc.`{c}`") for c in docs.columns))
 

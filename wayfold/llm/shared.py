@@ -9,21 +9,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
+_MADE: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder takes its place."""
+    """A new folder below ``spark.checkpoint.dir``. Only where that is unset and all tasks
+    run on one machine (tests) a temporary folder takes its place; on a cluster its absence
+    is an error, as executors would write to their own disks."""
     base = spark.conf.get(_KEY, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"{_KEY} must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set(_KEY, base)
-    return f"{base.rstrip('/')}/wayfold-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/wayfold-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def keep(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -33,6 +40,17 @@ def keep(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the folders that were made within it. Whatever is read later
+    must have been written to an older one."""
+    before = len(_MADE)
+    yield
+    while len(_MADE) > before:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df``, to be broadcast if it has at most ``most`` rows (of a few numbers each)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

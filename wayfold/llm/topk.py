@@ -22,9 +22,9 @@ from wayfold.llm.shared import keep, shared_folder
 #: Segments of each resolution, coarse to fine.
 LEVELS = (4, 16, 32)
 #: Rows of a block of queries and of candidates; they bound a task's memory.
-QUERIES, CANDIDATES = 2048, 1024
-#: Queries whose survivors are computed together.
-GROUP = 32
+QUERIES, CANDIDATES = 4096, 4096
+#: One in so many blocks of candidates gives the queries their limits first.
+FIRST = 8
 
 
 def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -37,30 +37,41 @@ def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([parts.mean(axis=2), parts.std(axis=2)], axis=1) * np.sqrt(length)
 
 
+def padded(rows: pd.Series, width: int) -> np.ndarray:
+    return np.array([np.pad(np.asarray(v, dtype=np.float64), (0, width - len(v))) for v in rows]).reshape(len(rows), width)
+
+
+def survivors(query: list[np.ndarray], candidates: list[np.ndarray], least: float) -> np.ndarray:
+    """Places of the candidates whose bounds reach ``least`` at every resolution; each later
+    one is computed for what the earlier left. Both come as their statistics by level."""
+    left = np.arange(len(candidates[0]) if candidates else 0)
+    for own, other in zip(query, candidates, strict=True):
+        held = other if len(left) == len(other) else other[left]
+        left = left[held @ own >= least - 1e-6 * (1 + abs(least))]
+    return left
+
+
 def best(queries: pd.DataFrame, candidates: pd.DataFrame, k: int) -> pd.DataFrame:
     """Of one block of each: every query's ``k`` highest candidates that reach its
     ``least`` (null: all), ties to the smaller ``vec_id``."""
     out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
     if len(queries) and len(candidates):
         width = max(max(map(len, queries["v"])), max(map(len, candidates["v"])))
-        fill = lambda rows: np.array([np.pad(np.asarray(v, dtype=np.float64), (0, width - len(v))) for v in rows]).reshape(len(rows), width)
         candidates = candidates.sort_values("vec_id")
-        q, c, ids = fill(queries["v"]), fill(candidates["v"]), candidates["vec_id"].to_numpy()
+        q, c, ids = padded(queries["v"], width), padded(candidates["v"], width), candidates["vec_id"].to_numpy()
         least = queries["least"].to_numpy(dtype=np.float64, na_value=-np.inf) if "least" in queries else np.full(len(q), -np.inf)
         levels = [(statistics(q, s), statistics(c, s)) for s in LEVELS if s <= width]
-        for at in range(0, len(q), GROUP):
-            floor = least[at : at + GROUP, None]
-            left = np.arange(len(c))
-            for of_q, of_c in levels:
-                bound = of_q[at : at + GROUP] @ of_c[left].T
-                left = left[(bound >= floor - 1e-6 * (1 + np.abs(floor))).any(axis=0)] if np.isfinite(floor).any() else left
-            scores = q[at : at + GROUP] @ c[left].T
-            for row, query_id in enumerate(queries["query_id"].iloc[at : at + GROUP]):
-                own = np.flatnonzero((scores[row] >= floor[row]) & (ids[left] != query_id))
-                own = own[np.argsort(-scores[row][own], kind="stable")[:k]]
-                out["query_id"] += [query_id] * len(own)
-                out["vec_id"] += ids[left][own].tolist()
-                out["score"] += scores[row][own].astype(np.int64).tolist()
+        for row, query_id in enumerate(queries["query_id"]):
+            every = not levels or np.isneginf(least[row])
+            left = np.arange(len(c)) if every else survivors([a[row] for a, _ in levels], [b for _, b in levels], least[row])
+            scores = (c if every else c[left]) @ q[row]
+            own = np.flatnonzero((scores >= least[row]) & (ids[left] != query_id))
+            if len(own) > 4 * k:  # what may be among the k highest, ties included
+                own = own[scores[own] >= -np.partition(-scores[own], k - 1)[k - 1]]
+            own = own[np.argsort(-scores[own], kind="stable")[:k]]
+            out["query_id"] += [query_id] * len(own)
+            out["vec_id"] += ids[left][own].tolist()
+            out["score"] += scores[own].astype(np.int64).tolist()
     return pd.DataFrame({name: np.array(values, dtype=np.int64) for name, values in out.items()})
 
 
@@ -85,8 +96,9 @@ def top(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     is null or holds null or non-finite components take no part; of rows that repeat an id
     one counts (the smallest vector). A shorter vector counts as padded with zeros. Scores
     are exact while they stay below 2^53. Other columns are ignored; an empty table gives
-    an empty result. A query's lower limit is its k-th best score in one block; then all
-    blocks give what reaches it.
+    an empty result. A query's lower limit is its k-th best score in one in ``FIRST`` blocks,
+    which a hash has filled; then all blocks give what reaches it, about ``FIRST`` times k
+    rows a query.
     """
     folder = shared_folder(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v"), is_query.alias("asks"))
@@ -98,13 +110,13 @@ def top(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("v"), block(asking).alias("qb"))
     other = rows.select("vec_id", "v", block(many).alias("cb"))
     pair = F.col("qb") * many + F.col("cb")
-    # One block of candidates for each block of queries gives every query its limit.
-    first = _met(asked.withColumn("pair", F.col("qb")), other.where(F.col("cb") == 0).withColumn("pair", spread(asking)), k)
-    least = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k)
-    asked = asked.join(least.select("query_id", F.col("least").cast("double")), "query_id", "left")
-    found = _met(asked.withColumn("cb", spread(many)).withColumn("pair", pair), other.withColumn("qb", spread(asking)).withColumn("pair", pair), k)
-    # Up to k rows of each pair of blocks: ranked within shares of them, then in all.
     order = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))
+    some = -(-many // FIRST)
+    first = _met(asked.withColumn("cb", spread(some)).withColumn("pair", pair), other.where(F.col("cb") < some).withColumn("qb", spread(asking)).withColumn("pair", pair), k)
+    least = first.withColumn("rank", order("query_id")).where(F.col("rank") == k)
+    asked = keep(asked.join(least.select("query_id", F.col("score").cast("double").alias("least")), "query_id", "left"), folder, "asked")
+    found = _met(asked.withColumn("cb", spread(many)).withColumn("pair", pair), other.withColumn("qb", spread(asking)).withColumn("pair", pair), k)
+    # Ranked within shares of the blocks, then in all.
     share = found.withColumn("share", F.pmod(F.xxhash64("vec_id"), F.lit(1 + many // 64)))
     share = share.withColumn("rank", order("query_id", "share")).where(F.col("rank") <= k)
     ranked = share.withColumn("rank", order("query_id")).where(F.col("rank") <= k)

@@ -4,7 +4,8 @@ A text is cut into overlapping windows of words. A word's input is the sum of a
 and the mean of its character n-gram vectors, both from hashed tables. Two recurrent
 passes, one from each end, give a state for each word; attention pools them. The highest of
 all windows, calibrated, is the score of the text. The network is fitted on a bounded
-sample of windows; Spark cuts the sample and scores all texts.
+sample of labelled documents; Spark draws the sample, scores all windows of its documents
+between the rounds of training, and scores all texts.
 """
 
 from __future__ import annotations
@@ -19,18 +20,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.langid import fold
-from wayfold.llm.shared import small
+from wayfold.llm.shared import keep, shared_folder, small
 
 WINDOW, STRIDE = 48, 36
 #: Words of more characters are cut into pieces.
 WORD = re.compile(r"\w{1,24}")
 WORDS, GRAMS, SIZES = 1 << 13, 1 << 13, (3, 4)
 WIDTH, STATE = 16, 12
-#: Labelled documents of class 0 and of class 1, and windows of each, that training may use.
-SAMPLE, PIECES = (2000, 1000), 6
-#: Most distinct words whose inputs a scoring task keeps.
-CACHE = 200_000
+#: Most labelled documents of class 0 and of class 1 that training may use, of each text one.
+SAMPLE = (2000, 1000)
+#: Windows of a document that training begins with, and the highest of all its windows that
+#: each later round adds.
+PIECES, HIGHEST = 6, 3
+#: Most distinct words whose inputs a scoring task keeps (9 MB), and windows scored at once.
+CACHE, GROUP = 1 << 15, 512
 BATCH = 256
+#: Tasks that score the sample between the rounds.
+TASKS = 24
 
 
 def split(text: str | None) -> list[str]:
@@ -38,9 +44,14 @@ def split(text: str | None) -> list[str]:
     return [w for w, _ in groupby(WORD.findall((text or "").lower()))]
 
 
-def windows(words: list[str]) -> list[list[str]]:
-    """All overlapping windows; a text without words has one, empty."""
-    return [words[at : at + WINDOW] for at in range(0, max(1, len(words) - (WINDOW - STRIDE)), STRIDE)]
+def window_count(words: int) -> int:
+    return max(1, -(-(words - (WINDOW - STRIDE)) // STRIDE))
+
+
+def windows(words: list[str], chosen: list[int] | None = None) -> list[list[str]]:
+    """All overlapping windows, or the ``chosen`` ones; a text without words has one, empty."""
+    chosen = range(window_count(len(words))) if chosen is None else chosen
+    return [words[k * STRIDE : k * STRIDE + WINDOW] for k in chosen]
 
 
 def features(word: str) -> list[int]:
@@ -53,8 +64,8 @@ def features(word: str) -> list[int]:
 def table_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Own row, n-gram rows in one array, and their number, of each word."""
     found = [features(w) for w in words]
-    own = np.array([x[0] for x in found])
-    return own, np.array([i for x in found for i in x[1:]]), np.array([len(x) - 1 for x in found])
+    own = np.array([x[0] for x in found], np.int32)
+    return own, np.array([i for x in found for i in x[1:]], np.int32), np.array([len(x) - 1 for x in found], np.int32)
 
 
 class Network:
@@ -111,6 +122,27 @@ class Network:
             keep |= {"h": h, "weight": weight, "pooled": pooled, "live": live, **kept}
         return pooled @ self.p["v"] + self.p["b"]
 
+    def logits(self, projected: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """``forward`` for scoring: both directions advance together."""
+        n, many = STATE, ids.shape[1]
+        gates = projected[ids.T]
+        gates = np.stack([gates[..., : 3 * n], gates[::-1, :, 3 * n :]], axis=1)  # step, direction, window, gate
+        live = (ids.T >= 0).astype(np.float32)
+        moves = np.stack([live, live[::-1]], axis=1)[..., None]
+        u, h = np.stack([self.p["uf"], self.p["ub"]]), np.zeros((2, len(ids), n), np.float32)
+        out = np.empty((many, 2, len(ids), n), np.float32)
+        for t in range(many):
+            g, hu = gates[t], h @ u
+            zr = 1 / (1 + np.exp(-(g[..., : 2 * n] + hu[..., : 2 * n])))
+            new = np.tanh(g[..., 2 * n :] + zr[..., n:] * hu[..., 2 * n :])
+            h = h + moves[t] * zr[..., :n] * (new - h)
+            out[t] = h
+        h = np.concatenate([out[:, 0], out[::-1, 1]], axis=2)
+        e = h @ self.p["a"] + np.where(live > 0, 0, -1e9).astype(np.float32)
+        weight = np.exp(e - e.max(axis=0)) * live
+        weight /= np.maximum(weight.sum(axis=0), 1e-9)
+        return np.einsum("tw,tws->ws", weight, h) @ self.p["v"] + self.p["b"]
+
     def gradients(self, keep: dict, slope: np.ndarray) -> tuple[dict, np.ndarray]:
         """Of the parameters, and of the gate inputs, for ``slope`` of each logit."""
         h, weight, grad, n = keep["h"], keep["weight"], {}, STATE
@@ -144,33 +176,44 @@ def scatter(rows: np.ndarray, values: np.ndarray, many: int) -> np.ndarray:
 
 
 class Trainer:
-    """Adam on windows of labelled documents. First every window takes its document's
-    label; then, as few windows of a document show it, only its highest one does."""
+    """Adam on windows, which it keeps by their words; ``add`` gives their numbers."""
 
-    def __init__(self, documents: list[list[list[str]]], labels: np.ndarray, seed: int = 7) -> None:
-        self.random, self.net, self.labels, self.step = np.random.default_rng(seed), Network(seed), labels, 0
+    def __init__(self, seed: int = 7) -> None:
+        self.random, self.net, self.step = np.random.default_rng(seed), Network(seed), 0
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.net.p.items()}
-        number: dict[str, int] = {}
-        self.owner = np.array([d for d, pieces in enumerate(documents) for _ in pieces])
-        self.ids = np.full((len(self.owner), WINDOW), -1)
-        for k, words in enumerate(w for pieces in documents for w in pieces):
-            self.ids[k, : len(words)] = [number.setdefault(w, len(number)) for w in words]
-        self.own, self.flat, self.many = table_rows(list(number) or [""])
-        self.starts = np.cumsum(self.many) - self.many
-
-    def batch(self, chosen: np.ndarray, rate: float) -> None:
+        self.number: dict[str, int] = {}
+        self.own, self.flat, self.many = table_rows([])
+        self.ids = np.zeros((0, WINDOW), np.int32)
+
+    def add(self, pieces: list[str]) -> np.ndarray:
+        known = len(self.number)
+        ids = np.full((len(pieces), WINDOW), -1, np.int32)
+        for k, words in enumerate(map(str.split, pieces)):
+            ids[k, : len(words)] = [self.number.setdefault(w, len(self.number)) for w in words]
+        new = list(self.number)[known:]
+        for at in range(0, len(new), 4096):
+            more = table_rows(new[at : at + 4096])
+            self.own, self.flat, self.many = (np.concatenate(x) for x in zip((self.own, self.flat, self.many), more, strict=True))
+        self.starts = np.cumsum(self.many, dtype=np.int64) - self.many
+        self.ids = np.concatenate([self.ids, ids])
+        return np.arange(len(self.ids) - len(ids), len(self.ids))
+
+    def inputs(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of the table of the words ``used``, as ``Network.vectors`` takes them."""
+        many = self.many[used].astype(np.int64)
+        return self.own[used], self.flat[np.repeat(self.starts[used] - (np.cumsum(many) - many), many) + np.arange(many.sum())], many
+
+    def batch(self, chosen: np.ndarray, labels: np.ndarray, rate: float) -> None:
         ids = self.ids[chosen]
         used, local = np.unique(ids[ids >= 0], return_inverse=True)
-        used = used if len(used) else np.array([0])
-        ids = ids.copy()
+        if not len(used):
+            return
         ids[ids >= 0] = local
-        own, many = self.own[used], self.many[used]
-        flat = self.flat[np.repeat(self.starts[used] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-        x, keep = self.net.vectors(own, flat, many), {}
-        logits = self.net.forward(self.net.project(x), ids, keep)
-        y = self.labels[self.owner[chosen]]
-        slope = ((1 / (1 + np.exp(-logits)) - y) / len(chosen)).astype(np.float32)
-        grad, dgates = self.net.gradients(keep, slope)
+        own, flat, many = self.inputs(used)
+        x, kept = self.net.vectors(own, flat, many), {}
+        logits = self.net.forward(self.net.project(x), ids, kept)
+        slope = ((1 / (1 + np.exp(-logits)) - labels) / len(chosen)).astype(np.float32)
+        grad, dgates = self.net.gradients(kept, slope)
         dprojected, n = scatter(ids[ids >= 0], dgates[ids >= 0], len(used)), 3 * STATE
         dx = dprojected[:, :n] @ self.net.p["wf"].T + dprojected[:, n:] @ self.net.p["wb"].T
         for k, side in enumerate("fb"):
@@ -185,129 +228,200 @@ class Trainer:
             s += 0.001 * (g * g - s)
             self.net.p[k] -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(s / (1 - 0.999**self.step)) + 1e-8)
 
-    def logits(self) -> np.ndarray:
-        projected = self.net.project(self.net.vectors(self.own, self.flat, self.many))
-        return np.concatenate([self.net.forward(projected, self.ids[at : at + 512]) for at in range(0, len(self.ids), 512)])
-
-    def highest(self) -> tuple[np.ndarray, np.ndarray]:
-        """The highest window of each document, and its logit."""
-        logits = self.logits()
-        order = np.lexsort((-logits, self.owner))
-        first = order[np.unique(self.owner[order], return_index=True)[1]]
-        return first, logits[first]
-
-    def fit(self, all_rounds: int = 2, top_rounds: int = 7) -> Network:
-        held = self.random.random(len(self.labels)) < 0.15
-        own = np.flatnonzero(~held[self.owner])
-        for turn in range(all_rounds + top_rounds):
-            chosen = own
-            if turn >= all_rounds:
-                top = self.highest()[0]
-                rest = own[self.labels[self.owner[own]] == 0]
-                rest = self.random.permutation(rest)[: len(top) // 2]
-                chosen = np.concatenate([top[~held[self.owner[top]]], rest])
-            chosen = self.random.permutation(chosen)
-            size = max(16, min(BATCH, len(chosen) // 16))
-            for at in range(0, len(chosen), size):
-                self.batch(chosen[at : at + size], 0.015 if turn < all_rounds + top_rounds - 3 else 0.003)
-        self.calibrate(held)
-        return self.net
-
-    def calibrate(self, held: np.ndarray, rounds: int = 50) -> None:
-        """Platt scaling of the highest logits of documents that training left out."""
-        logits, y = self.highest()[1].astype(np.float64)[held], self.labels[held]
-        if len(set(y)) < 2:
-            return
-        z, w = np.stack([np.clip(logits, -15, 15), np.ones(len(y))], axis=1), np.array([1.0, 0.0])
-        ones, zeros = y.sum(), len(y) - y.sum()
-        y = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))  # keeps the slope finite
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-z @ w))
-            move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (y - p) - 0.1 * (w - [1, 0]))
-            w = w + move / max(1.0, 2 * float(np.abs(move).max()))
-        self.net.calibration = (max(float(w[0]), 0.05), float(w[1]))
-
-
-def fit(labelled: DataFrame) -> Network:
-    """Network from ``text``, ``toxic`` (0 or 1).
-
-    About ``SAMPLE`` documents of each class take part at most, chosen by a hash of the
-    text, each with at most ``PIECES`` windows spread over the whole text; without rows of
-    both classes the network stays as it begins, with a score of one half or less.
+    def epoch(self, chosen: np.ndarray, labels: np.ndarray, rate: float) -> None:
+        order = self.random.permutation(len(chosen))
+        size = max(16, min(BATCH, len(chosen) // 16))
+        for at in range(0, len(order), size):
+            part = order[at : at + size]
+            self.batch(chosen[part], labels[part], rate)
+
+    def logits(self, chosen: np.ndarray) -> np.ndarray:
+        """Of windows by their numbers."""
+        out = np.zeros(len(chosen))
+        for at in range(0, len(chosen), GROUP):
+            ids = self.ids[chosen[at : at + GROUP]]
+            used, local = np.unique(ids[ids >= 0], return_inverse=True)
+            used = used if len(used) else np.zeros(1, np.int64)
+            if len(self.number):
+                ids[ids >= 0] = local
+                out[at : at + GROUP] = self.net.logits(self.net.project(self.net.vectors(*self.inputs(used))), ids)
+        return out
+
+
+def calibrated(logits: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Platt scaling: slope and offset."""
+    if len(set(y.tolist())) < 2:
+        return 1.0, 0.0
+    z, w = np.stack([np.clip(logits, -15, 15), np.ones(len(y))], axis=1), np.array([1.0, 0.0])
+    ones, zeros = y.sum(), len(y) - y.sum()
+    y = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (zeros + 2))  # keeps the slope finite
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-z @ w))
+        move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(2), z.T @ (y - p) - 0.1 * (w - [1, 0]))
+        w = w + move / max(1.0, 2 * float(np.abs(move).max()))
+    return max(float(w[0]), 0.05), float(w[1])
+
+
+def sampled(labelled: DataFrame, folder: str) -> DataFrame:
+    """``h``, ``toxic`` and ``text`` of at most ``SAMPLE`` documents of each class of
+    ``doc_id``, ``text``, ``toxic``.
+
+    Of rows with one text one counts, toxic if one of them is, so copies weigh no more than
+    others; texts are taken in order of their hash ``h``. Only hashes and ids are ranked.
     """
-    count = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("toxic") == 1, SAMPLE[1] / max(1, count.get(1, 0))).otherwise(SAMPLE[0] / max(1, count.get(0, 0)))
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    rows = labelled.withColumn("h", F.xxhash64("text"))
+    each = rows.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("_id"))
+    most = [each.where(F.col("toxic") == k).orderBy("h").limit(n) for k, n in enumerate(SAMPLE)]
+    chosen = F.broadcast(keep(most[0].union(most[1]), folder, "chosen"))
+    of = rows.select("doc_id", "text", "h").join(chosen.withColumnRenamed("_id", "doc_id"), ["doc_id", "h"])
+    return keep(of.select("h", "toxic", "text").dropDuplicates(["h"]).repartition(TASKS, "h"), folder, "sample")
+
+
+def _pieces(sample: DataFrame, net: Network | None, most: int) -> list:
+    """``h``, ``toxic``, the highest logit and ``most`` windows of each document of the
+    sample: the highest of all its windows, or without a network some spread over it."""
+    model = sample.sparkSession.sparkContext.broadcast(net)
 
-    def cut(batches):
+    def run(batches):
+        scorer = Scorer(model.value) if model.value is not None else None
         for batch in batches:
-            pieces = [windows(split(t)) for t in batch.column(0).to_pylist()]
-            pieces = [[p[i] for i in sorted({*np.linspace(0, len(p) - 1, PIECES).astype(int).tolist()})] for p in pieces]
-            pieces = [[" ".join(w) for w in p] for p in pieces]
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.list_(pa.string())), batch.column(1)], ["pieces", "toxic"])
-
-    rows = chosen.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(cut, "pieces array<string>, toxic int").collect()
-    rows = sorted(rows, key=lambda r: (r["toxic"], r["pieces"]))
-    labels = np.array([float(r["toxic"]) for r in rows], dtype=np.float32)
+            tops, pieces = [], []
+            for text in batch.column(2):
+                words = split(text.as_py())
+                if scorer is None:
+                    logits, chosen = np.zeros(1), np.unique(np.linspace(0, window_count(len(words)) - 1, most).astype(int))
+                else:
+                    logits = scorer.logits([words])[0]
+                    chosen = np.argsort(-logits, kind="stable")[:most]
+                tops.append(float(logits.max()))
+                pieces.append([" ".join(w) for w in windows(words, chosen.tolist())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tops, pa.float64()), pa.array(pieces, pa.list_(pa.string()))], ["h", "toxic", "top", "pieces"])
+
+    return sorted(sample.select("h", "toxic", "text").mapInArrow(run, "h long, toxic int, top double, pieces array<string>").collect(), key=lambda r: r["h"])
+
+
+def fit(labelled: DataFrame, rounds: tuple = ((3, 0.015), (4, 0.015), (3, 0.003))) -> Network:
+    """Network from ``doc_id``, ``text``, ``toxic`` (0 or 1).
+
+    The documents of ``sampled`` take part. First some windows of each take its label;
+    then, as few windows of a document show it, only its highest one does, chosen among
+    those that training knows. Before each of the ``rounds`` (epochs, rate) Spark scores
+    all windows of the sample and the highest of each document join them. Documents that
+    training left out calibrate, by the highest of all their windows. Without rows of both
+    classes the network stays as it begins, with a score of one half or less.
+    """
+    sample = sampled(labelled, shared_folder(labelled.sparkSession))
+    trainer, rows = Trainer(), _pieces(sample, None, PIECES)
+    labels = np.array([float(r["toxic"]) for r in rows], np.float32)
     if len(set(labels.tolist())) < 2:
-        net = Network()
-        net.calibration = (0.0, -1.0)
-        return net
-    return Trainer([[p.split() for p in r["pieces"]] for r in rows], labels).fit()
+        trainer.net.calibration = (0.0, -1.0)
+        return trainer.net
+    held = np.array([r["h"] % 20 < 3 for r in rows])
+    number = trainer.add([p for r in rows for p in r["pieces"]])
+    owner = np.repeat(np.arange(len(rows)), [len(r["pieces"]) for r in rows])
+    for _ in range(2):
+        free = ~held[owner]
+        trainer.epoch(number[free], labels[owner[free]], 0.015)
+    for epochs, rate in rounds:
+        more = _pieces(sample, trainer.net, HIGHEST)
+        own, of = trainer.add([p for r in more for p in r["pieces"]]), np.repeat(np.arange(len(more)), [len(r["pieces"]) for r in more])
+        number, owner = np.concatenate([number, own]), np.concatenate([owner, of])
+        clean = np.flatnonzero((labels[owner] == 0) & ~held[owner])
+        for _ in range(epochs):
+            order = np.lexsort((-trainer.logits(own), of))
+            top = order[np.unique(of[order], return_index=True)[1]]
+            top = top[~held[of[top]]]
+            rest = trainer.random.permutation(clean)[: len(top) // 2]
+            trainer.epoch(np.concatenate([own[top], number[rest]]), labels[np.concatenate([of[top], owner[rest]])], rate)
+    tops = np.array([r["top"] for r in _pieces(sample, trainer.net, 1)])
+    trainer.net.calibration = calibrated(tops[held], labels[held].astype(np.float64))
+    return trainer.net
 
 
 class Scorer:
-    """Scores texts with a network; keeps the gate inputs of words it has met."""
+    """Logits of all windows of texts. Keeps the gate inputs of at most ``CACHE`` words in
+    one table, whose last row stands for padding."""
 
     def __init__(self, net: Network) -> None:
-        self.net, self.number = net, {}
-        self.projected = np.zeros((0, 6 * STATE), np.float32)
-
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.number) > CACHE:
-            self.number, self.projected = {}, np.zeros((0, 6 * STATE), np.float32)
-        known, number = len(self.number), self.number
-        owner, pieces = [], []
-        for k, text in enumerate(texts):
-            ids = [number.setdefault(w, len(number)) for w in split(text)]
-            cut = windows(ids)
-            owner += [k] * len(cut)
-            pieces += cut
-        new = list(number)[known:] if len(number) > known else []
-        if new:
-            parts = [self.net.project(self.net.vectors(*table_rows(new[at : at + 4096])))[:-1] for at in range(0, len(new), 4096)]
-            self.projected = np.concatenate([self.projected, *parts])
-        table = np.concatenate([self.projected, np.zeros((1, 6 * STATE), np.float32)])
-        best = np.full(len(texts), -np.inf)
-        owner = np.array(owner)
-        order = np.argsort([len(p) for p in pieces], kind="stable")
-        for at in range(0, len(order), 512):
-            part = order[at : at + 512]
-            ids = np.full((len(part), max(1, max(len(pieces[i]) for i in part))), -1)
-            for row, i in enumerate(part):
-                ids[row, : len(pieces[i])] = pieces[i]
-            np.maximum.at(best, owner[part], self.net.forward(table, ids))
+        self.net, self.number, self.fresh = net, {}, []
+        self.table = np.zeros((CACHE + 1, 6 * STATE), np.float32)
+        self.waiting: list[np.ndarray] = []
+        self.done: list[np.ndarray] = []
+
+    def _flush(self) -> None:
+        """Scores the waiting windows, short ones together."""
+        known = len(self.number) - len(self.fresh)
+        for at in range(0, len(self.fresh), 4096):
+            made = self.net.project(self.net.vectors(*table_rows(self.fresh[at : at + 4096])))[:-1]
+            self.table[known + at : known + at + len(made)] = made
+        self.fresh = []
+        if self.waiting:
+            ids = np.concatenate(self.waiting)
+            self.waiting, lengths, found = [], (ids >= 0).sum(axis=1), np.zeros(len(ids))
+            order = np.argsort(lengths, kind="stable")
+            for at in range(0, len(order), GROUP):
+                part = order[at : at + GROUP]
+                found[part] = self.net.logits(self.table, ids[part][:, : max(1, lengths[part[-1]])])
+            self.done.append(found)
+
+    def logits(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Of the windows of each text, given as words."""
+        counts, held = [window_count(len(words)) for words in texts], 0
+        for words, count in zip(texts, counts, strict=True):
+            for first in range(0, count, GROUP):
+                many = min(GROUP, count - first)
+                part = words[first * STRIDE : (first + many - 1) * STRIDE + WINDOW]
+                if len(self.number) + len(part) > CACHE:
+                    new = set(part).difference(self.number)
+                    if len(self.number) + len(new) > CACHE:
+                        self._flush()
+                        self.number, held = {}, 0
+                for w in part:
+                    if w not in self.number:
+                        self.number[w] = len(self.number)
+                        self.fresh.append(w)
+                padded = np.full((many - 1) * STRIDE + WINDOW, -1)
+                padded[: len(part)] = [self.number[w] for w in part]
+                self.waiting.append(padded[np.arange(many)[:, None] * STRIDE + np.arange(WINDOW)])
+                held += many
+                if held >= 4 * GROUP:
+                    self._flush()
+                    held = 0
+        self._flush()
+        found = np.concatenate([np.zeros(0), *self.done])
+        self.done = []
+        return np.split(found, np.cumsum(counts)[:-1]) if texts else []
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        best = np.array([x.max() for x in self.logits([split(t) for t in texts])])
         a, b = self.net.calibration
         return 1 / (1 + np.exp(-np.clip(a * np.clip(best, -15, 15) + b, -30, 30)))
 
 
-def score(docs: DataFrame, net: Network, columns: list[str]) -> DataFrame:
-    """``columns`` of every row, ``score`` of its whole ``text`` and ``predicted``."""
+def score(docs: DataFrame, net: Network, columns: list[str], clean_only: bool = False) -> DataFrame:
+    """``columns`` of every row with ``score`` of its whole ``text`` and ``predicted``; with
+    ``clean_only`` the ``columns`` of the rows predicted 0. Texts reach Python once."""
     model = docs.sparkSession.sparkContext.broadcast(net)
-    picked = docs.select(*columns, F.col("text").cast("string").alias("_text"))
-    schema = picked.drop("_text").schema.add("score", "double").add("predicted", "integer")
+    names = [f"c{k}" for k in range(len(columns))]
+    kept = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)))
+    place = columns.index("text") if "text" in columns else len(columns)
+    sent = docs.select(*(F.col(f"`{c}`").cast("string" if k == place else docs.schema[c].dataType).alias(n) for k, (c, n) in enumerate(zip(columns, names, strict=True))), *([F.col("text").cast("string").alias("t")] if place == len(columns) else []))
+    schema = kept.schema if clean_only else kept.schema.add("score", "double").add("predicted", "integer")
 
     def run(batches):
         scorer = Scorer(model.value)
         for batch in batches:
             found = np.zeros(batch.num_rows)
-            texts = batch.column(batch.num_columns - 1)
             for at in range(0, batch.num_rows, 256):
-                found[at : at + 256] = scorer(texts.slice(at, 256).to_pylist())
-            arrays = [batch.column(k) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*columns, "score", "predicted"])
+                found[at : at + 256] = scorer.scores(batch.column(place).slice(at, 256).to_pylist())
+            if clean_only:
+                yield batch.select(names).filter(pa.array(found < 0.5))
+            else:
+                arrays = [batch.column(k) for k in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    return picked.mapInArrow(run, schema)
+    made = sent.mapInArrow(run, schema)
+    return made.select(*(F.col(n).alias(c) for n, c in zip(names, columns, strict=True)), *([] if clean_only else ["score", "predicted"]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Network:
@@ -316,9 +430,10 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Network:
     ``labels`` has ``doc_id``, ``toxic``; a document with several is toxic if one says so.
     Null ids, labels and texts teach nothing.
     """
-    marked = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(usable & F.col("text").isNotNull()).select("doc_id", "text")
-    return fit(rows.join(small(marked), F.col("doc_id") == F.col("_id")).select("text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic")))
+    marked = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
+    rows = docs.where(usable & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(small(marked), F.col("doc_id") == F.col("_id"))
+    return fit(rows.select("doc_id", "text", F.when(F.col("_toxic") > 0, 1).otherwise(0).alias("toxic")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -333,6 +448,11 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), "text"), net, ["doc_id", "held_out"])
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``toxicity`` predicts 0, with all their columns."""
+    return score(docs, learn(docs, labels, fold("doc_id", 5) != 0), docs.columns, clean_only=True)
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels outside the held-out fold."""
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
