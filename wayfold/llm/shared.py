@@ -51,6 +51,19 @@ def cleared(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Spark hands so many rows to Python at once, for what is written within: tables of
+    long texts then take little memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df``, to be broadcast if it has at most ``most`` rows (of a few numbers each)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

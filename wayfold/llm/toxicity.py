@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.langid import fold
-from wayfold.llm.shared import keep, shared_folder, small
+from wayfold.llm.shared import keep, shared_folder, short_batches, small
 
 WINDOW, STRIDE = 48, 36
 #: Words of more characters are cut into pieces.
@@ -33,7 +34,7 @@ SAMPLE = (2000, 1000)
 #: each later round adds.
 PIECES, HIGHEST = 6, 3
 #: Most distinct words whose inputs a scoring task keeps (9 MB), and windows scored at once.
-CACHE, GROUP = 1 << 15, 512
+CACHE, GROUP = 1 << 15, 256
 BATCH = 256
 #: Tasks that score the sample between the rounds.
 TASKS = 24
@@ -398,30 +399,20 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(a * np.clip(best, -15, 15) + b, -30, 30)))
 
 
-def score(docs: DataFrame, net: Network, columns: list[str], clean_only: bool = False) -> DataFrame:
-    """``columns`` of every row with ``score`` of its whole ``text`` and ``predicted``; with
-    ``clean_only`` the ``columns`` of the rows predicted 0. Texts reach Python once."""
+def score(docs: DataFrame, net: Network) -> DataFrame:
+    """Every row of ``docs`` as the struct ``doc``, with ``score`` of its whole ``text`` and
+    ``predicted``. Only texts go to Python, and only scores come back."""
     model = docs.sparkSession.sparkContext.broadcast(net)
-    names = [f"c{k}" for k in range(len(columns))]
-    kept = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)))
-    place = columns.index("text") if "text" in columns else len(columns)
-    sent = docs.select(*(F.col(f"`{c}`").cast("string" if k == place else docs.schema[c].dataType).alias(n) for k, (c, n) in enumerate(zip(columns, names, strict=True))), *([F.col("text").cast("string").alias("t")] if place == len(columns) else []))
-    schema = kept.schema if clean_only else kept.schema.add("score", "double").add("predicted", "integer")
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def rated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model.value)
-        for batch in batches:
-            found = np.zeros(batch.num_rows)
-            for at in range(0, batch.num_rows, 256):
-                found[at : at + 256] = scorer.scores(batch.column(place).slice(at, 256).to_pylist())
-            if clean_only:
-                yield batch.select(names).filter(pa.array(found < 0.5))
-            else:
-                arrays = [batch.column(k) for k in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+        for texts in batches:
+            yield pa.array(np.concatenate([np.zeros(0), *(scorer.scores(texts.slice(at, 128).to_pylist()) for at in range(0, len(texts), 128))]))
 
-    made = sent.mapInArrow(run, schema)
-    return made.select(*(F.col(n).alias(c) for n, c in zip(names, columns, strict=True)), *([] if clean_only else ["score", "predicted"]))
+    made = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    made = made.withColumn("score", rated(F.col("doc.text").cast("string")))
+    return made.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Network:
@@ -444,13 +435,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     each, other columns are ignored, and an empty table gives an empty result.
     """
     out = fold("doc_id", 5) == 0
-    net = learn(docs, labels, ~out)
-    return score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), "text"), net, ["doc_id", "held_out"])
+    with short_batches(docs.sparkSession):
+        made = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out"), "text"), learn(docs, labels, ~out))
+        return keep(made.select("doc.doc_id", "doc.held_out", "score", "predicted"), shared_folder(docs.sparkSession), "scores")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``toxicity`` predicts 0, with all their columns."""
-    return score(docs, learn(docs, labels, fold("doc_id", 5) != 0), docs.columns, clean_only=True)
+    with short_batches(docs.sparkSession):
+        made = score(docs, learn(docs, labels, fold("doc_id", 5) != 0))
+        return keep(made.where("predicted = 0").select("doc.*"), shared_folder(docs.sparkSession), "clean")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
