@@ -84,6 +84,14 @@ def yaw_deg(m: Column) -> Column:
     return (F.degrees(F.atan2(at(m, 1), at(m, 4))) + 360) % 360
 
 
+def pitch_deg(m: Column) -> Column:
+    return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), at(m, 7)))))
+
+
+def roll_deg(m: Column) -> Column:
+    return F.degrees(F.atan2(-at(m, 6), at(m, 8)))
+
+
 def gravity_phone(m: Column) -> Column:
     """Gravity in the phone's frame: the third row, downwards."""
     return F.array(*(-GRAVITY * at(m, 6 + i) for i in range(3)))

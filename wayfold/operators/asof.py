@@ -33,6 +33,25 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], time: st
     return both.select("l.*", F.col("_n.t").alias(f"m_{time}"), *(F.col(f"_n.{v}").alias(f"m_{v}") for v in values))
 
 
+def latest_before(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], span: int, order: str | None = None) -> DataFrame:
+    """``left`` with the last row of ``right`` at or before it, however old (``m_<name>``).
+
+    Sessions are cut into spans of time; each span is told the last row before it, from a
+    small table of spans, so no task holds a whole session."""
+    slot = F.floor(F.col(time) / span)
+    picked = F.struct(F.col(time).alias("t"), *(F.col(v).alias(v) for v in values))
+    once = right.groupBy(*keys, time).agg(F.min_by(picked, F.col(order) if order else F.struct(*values)).alias("r")).withColumn("_span", slot)
+    rows = left.select(*keys, time, F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("l"), slot.alias("_span"))
+    tops = once.groupBy(*keys, "_span").agg(F.max_by("r", time).alias("r"))
+    spans = rows.select(*keys, "_span").distinct().unionByName(tops, allowMissingColumns=True).groupBy(*keys, "_span").agg(F.first("r", ignorenulls=True).alias("r"))
+    earlier = F.last("r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    carried = spans.withColumn("r", earlier).where("r is not null").withColumn(time, (F.col("_span") * span).cast("long"))
+    both = rows.unionByName(once, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_span").orderBy(time, F.col("l").isNotNull(), F.col("r.t")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_n", F.last("r", ignorenulls=True).over(w)).where("l is not null")
+    return both.select("l.*", F.col("_n.t").alias(f"m_{time}"), *(F.col(f"_n.{v}").alias(f"m_{v}") for v in values))
+
+
 def zero_order_hold(events: DataFrame, keys: list[str], order: list, kind: str, value: str, triggers: list[str], carried: list[str]) -> DataFrame:
     """One row for each event of a trigger kind once every trigger kind was seen, with the
     latest value of each kind up to it (``h_<kind>``)."""
@@ -45,15 +64,16 @@ def zero_order_hold(events: DataFrame, keys: list[str], order: list, kind: str,
 
 
 def resolve_pose(asked: DataFrame, gps: DataFrame, dr: DataFrame, keys: list[str], time: str, fresh: int = 8000) -> DataFrame:
-    """Position of a fix at most ``fresh`` ms old, else the estimate's; heading and speed
-    rather from the estimate. Rows without position or heading are left out."""
+    """Position of a fix less than ``fresh`` ms old, else of the last estimate, however old;
+    heading and speed rather from the estimate, no speed counts as 0. Rows without position
+    or heading are left out."""
     values = ["lat", "lon", "heading", "value"]
-    one = nearest_in_time(asked, gps, keys, time, values, fresh, backward=True, order="event_id")
+    one = nearest_in_time(asked, gps, keys, time, values, fresh - 1, backward=True, order="event_id")
     one = one.select(*asked.columns, *(F.col(f"m_{v}").alias(f"g_{v}") for v in values))
-    two = nearest_in_time(one, dr, keys, time, values, 64 * fresh, backward=True, order="event_id")
+    two = latest_before(one, dr, keys, time, values, 64 * fresh, order="event_id")
     side = lambda v, *names: F.coalesce(*(F.col(n + v) for n in names))
     source = F.when(F.col("g_lat").isNotNull(), "GPS").otherwise("DR")
-    made = two.select(*asked.columns, side("lat", "g_", "m_").alias("pose_lat"), side("lon", "g_", "m_").alias("pose_lon"), side("heading", "m_", "g_").alias("pose_heading"), side("value", "m_", "g_").alias("pose_speed"), source.alias("source"))
+    made = two.select(*asked.columns, side("lat", "g_", "m_").alias("pose_lat"), side("lon", "g_", "m_").alias("pose_lon"), side("heading", "m_", "g_").alias("pose_heading"), F.coalesce(side("value", "m_", "g_"), F.lit(0.0)).alias("pose_speed"), source.alias("source"))
     return made.where("pose_lat is not null and pose_heading is not null")
 
 

@@ -76,14 +76,40 @@ def live_snapshot(gps: DataFrame, dr: DataFrame, gate_ms: int) -> DataFrame:
     return made.select("session_id", count("gps"), count("dr"), F.col("gps.lat").alias("gps_lat"), F.col("gps.lon").alias("gps_lon"), F.col("dr.lat").alias("dr_lat"), F.col("dr.lon").alias("dr_lon"), follow["lat"].alias("follow_lat"), follow["lon"].alias("follow_lon"), "current_error_m", "distance_travelled_m")
 
 
+def metres_text(v, digits: int = 1):
+    """``12.3 m``; a dash for NaN."""
+    return F.when(F.isnan(v), "—").otherwise(F.format_string(f"%.{digits}f m", v))
+
+
+def percent_text(v):
+    return F.when(F.isnan(v), "—").otherwise(F.format_string("%.2f%%", v))
+
+
+def status_text(status, snap_mode, **flags):
+    """What an engine says of itself: its status, where it snaps, and the flags that hold
+    (a text each), apart by middle dots."""
+    return F.concat_ws(" · ", status, F.concat(F.lit("snap="), snap_mode), *(F.when(flag, F.lit(text.replace("_", " "))) for text, flag in flags.items()))
+
+
+def may_recalculate(source, confidence, most_m: float = 200.0):
+    """A route may be asked for anew from a fix, or from an estimate of known confidence."""
+    return (source != "DR") | F.coalesce(~F.isnan(confidence) & (confidence <= most_m), F.lit(False))
+
+
+def usable_accuracy(accuracy, default: float = 5.0, least: float = 1.0, most: float = 30.0):
+    """Accuracy of a fix in metres; null for one to be left alone."""
+    a = F.greatest(F.coalesce(accuracy, F.lit(default)), F.lit(least))
+    return F.when(a <= most, a)
+
+
 def write_csv(table: DataFrame, path: str) -> None:
     """One folder of CSV with header; null is empty, NaN is ``NaN``."""
     table.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("nanValue", "NaN").csv(path)
 
 
-def export_name(start_ms: int, kind: str):
+def export_name(start_ms, kind: str):
     """``session_<yyyyMMdd_HHmmss>_<kind>.csv`` of a start time."""
-    return F.concat(F.lit("session_"), F.date_format(F.timestamp_millis(F.lit(start_ms)), "yyyyMMdd_HHmmss"), F.lit(f"_{kind}.csv"))
+    return F.concat(F.lit("session_"), F.date_format(F.timestamp_millis(F.lit(start_ms) if isinstance(start_ms, int) else start_ms), "yyyyMMdd_HHmmss"), F.lit(f"_{kind}.csv"))
 
 
 def last_rows(df: DataFrame, keys: list[str], order) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.operators.spatial import road_snap
@@ -24,6 +25,16 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, within: float = 1000.0) -
     return made.groupBy("point_id", "graph_id").agg(F.min(F.struct("off", "node_id")).alias("n")).select("point_id", "graph_id", "n.node_id", "n.off")
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    """Reliable checkpoints need a folder that all executors share; only where all tasks run
+    on one machine (tests) a temporary one takes its place."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
+        return
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-graph-"))
+
+
 def distances(sources: DataFrame, edges: DataFrame, max_hops: int | None = None, settle: bool = True) -> DataFrame:
     """Least cost from each source (``graph_id, source``) to every node it reaches (if
     ``max_hops`` is given, by so many edges), with the node before it: ``graph_id, source,
@@ -32,36 +43,52 @@ def distances(sources: DataFrame, edges: DataFrame, max_hops: int | None = None,
     Each round relaxes the edges of nodes that improved in the last; the state is cut from
     its lineage by a reliable checkpoint. Ends early once nothing improves.
     """
-    spark = sources.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-graph-"))  # one machine, as in tests
+    _checkpoints(sources.sparkSession)
     state = sources.select("graph_id", "source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast(sources.schema["source"].dataType).alias("prev"), F.lit(0).alias("round"))
     for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         front = state.where(F.col("round") == hop - 1).select("graph_id", "source", F.col("node").alias("a"), "dist")
         reached = front.join(edges, ["graph_id", "a"]).select("graph_id", "source", F.col("b").alias("node"), (F.col("dist") + F.col("cost")).alias("dist"), F.col("a").alias("prev"), F.lit(hop).alias("round"))
-        # Of equal distances the earlier round stays.
-        best = F.min(F.struct("dist", "round", "prev")).alias("s")
+        # Of equal distances (to a nanometre) the earlier round stays, then the smaller node.
+        best = F.min(F.struct(F.round("dist", 9).alias("near"), "round", "prev", "dist")).alias("s")
         state = state.union(reached).groupBy("graph_id", "source", "node").agg(best).select("graph_id", "source", "node", "s.dist", "s.prev", "s.round").checkpoint()
         if (settle or max_hops is None) and state.where(F.col("round") == hop).isEmpty():
             break
     return state.drop("round")
 
 
-def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+def paths(ends: DataFrame, tree: DataFrame) -> DataFrame:
+    """Nodes from source to end of each request (``request_id, graph_id, source, node``), as the
+    array ``path``: the nodes before are looked up in ``tree``, one round for each edge of the
+    longest path, for all requests at once."""
+    _checkpoints(ends.sparkSession)
+    back = tree.select("graph_id", "source", F.col("node").alias("_at"), "prev")
+    state = ends.select("request_id", "graph_id", "source", F.col("node").alias("_at"), F.array("node").alias("path"))
+    while True:
+        state = state.join(back, ["graph_id", "source", "_at"], "left")
+        further = F.when(F.col("prev").isNotNull(), F.concat(F.array("prev"), "path")).otherwise(F.col("path"))
+        state = state.select("request_id", "graph_id", "source", F.col("prev").alias("_at"), further.alias("path")).checkpoint()
+        if state.where("_at is not null").isEmpty():
+            return state.select("request_id", "path")
+
+
+def routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int | None = None, with_path: bool = False) -> DataFrame:
     """Cost of each request (``request_id, graph_id, source, goal``): to the goal, or, if
-    it is not reached, to the reached node closest to it (``fallback``)."""
+    it is not reached, to the reached node closest to it (``fallback``); and, if asked for,
+    the nodes on the way."""
     found = distances(requests.select("graph_id", "source").distinct(), edges, max_hops)
     place = nodes.select("graph_id", F.col("node_id").alias("node"), "east", "north")
     goal = nodes.select("graph_id", F.col("node_id").alias("goal"), F.col("east").alias("ge"), F.col("north").alias("gn"))
     made = requests.join(found, ["graph_id", "source"]).join(place, ["graph_id", "node"]).join(goal, ["graph_id", "goal"])
     off = F.hypot(F.col("east") - F.col("ge"), F.col("north") - F.col("gn"))
     best = F.min(F.struct((F.col("node") != F.col("goal")).alias("fallback"), F.when(F.col("node") != F.col("goal"), off).otherwise(0.0).alias("left_m"), "node", "dist")).alias("r")
-    return made.groupBy("request_id").agg(best).select("request_id", "r.node", "r.dist", "r.fallback")
+    made = made.groupBy("request_id").agg(best).select("request_id", "r.node", "r.dist", "r.fallback")
+    if not with_path:
+        return made
+    ends = made.select("request_id", "node").join(requests.select("request_id", "graph_id", "source"), "request_id")
+    return made.join(paths(ends, found), "request_id")
 
 
-def heading_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int | None = None, radius: float = 150.0, within: float = 1000.0) -> DataFrame:
+def heading_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int | None = None, radius: float = 150.0, within: float = 1000.0, with_path: bool = False) -> DataFrame:
     """Route of each request (``point_id, east, north, heading, goal_east, goal_north``) on
     each graph that has a node within ``within`` of both ends.
 
@@ -77,8 +104,35 @@ def heading_routes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_
     snapped = road_snap(headed, nodes, edges, radius, each_graph=True).where(F.col("align") >= LEAST_ALIGN).select("point_id", "graph_id", F.col("b").alias("_next"), "px", "py")
     asked = start.join(goal, ["point_id", "graph_id"]).join(snapped, ["point_id", "graph_id"], "left")
     asked = asked.withColumn("source", F.coalesce("_next", "_start")).withColumn("request_id", F.struct("point_id", "graph_id"))
-    found = routes(asked.select("request_id", "graph_id", "source", "goal"), nodes, edges, max_hops)
-    return asked.join(found, "request_id").select("point_id", "graph_id", "source", "px", "py", "node", "dist", "fallback")
+    found = routes(asked.select("request_id", "graph_id", "source", "goal"), nodes, edges, max_hops, with_path)
+    return asked.join(found, "request_id").select("point_id", "graph_id", "source", "px", "py", "node", "dist", "fallback", *(["path"] if with_path else []))
+
+
+def route_points(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Points of routes with a ``path``, in order: ``point_id, i, east, north``. Where a route
+    begins on an edge, that place is its first point."""
+    first = F.when(F.col("px").isNotNull(), 1).otherwise(0)
+    steps = found.select("point_id", "graph_id", first.alias("_lead"), F.posexplode("path").alias("_k", "node_id")).join(nodes, ["graph_id", "node_id"])
+    steps = steps.select("point_id", (F.col("_k") + F.col("_lead")).cast("int").alias("i"), "east", "north")
+    return steps.union(found.where("px is not null").select("point_id", F.lit(0).alias("i"), F.col("px").alias("east"), F.col("py").alias("north")))
+
+
+def latlon_routes(requests: DataFrame, origins: DataFrame, nodes: DataFrame, edges: DataFrame, radius: float = 150.0) -> DataFrame:
+    """Routes of ``point_id, lat, lon, heading, goal_lat, goal_lon`` as points ``i, lat, lon``, the
+    asked place first, on the first graph (``graph_id, lat0, lon0``) that covers both ends."""
+    from wayfold.functions.geo import EQUATOR, to_enu
+
+    every = requests.join(F.broadcast(origins))  # a catalog of a few graphs
+    own = to_enu(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"), EQUATOR)
+    goal = to_enu(F.col("goal_lat"), F.col("goal_lon"), F.col("lat0"), F.col("lon0"), EQUATOR)
+    asked = every.select(F.struct("point_id", "graph_id").alias("point_id"), own["east"].alias("east"), own["north"].alias("north"), "heading", goal["east"].alias("goal_east"), goal["north"].alias("goal_north"))
+    found = heading_routes(asked, nodes, edges, radius=radius, with_path=True).where("point_id.graph_id = graph_id").withColumn("point_id", F.col("point_id.point_id"))
+    best = first_graph(found)
+    points = route_points(best, nodes).join(best.select("point_id", "graph_id"), "point_id").join(F.broadcast(origins), "graph_id")
+    lat = F.degrees(F.col("north") / EQUATOR) + F.col("lat0")
+    lon = F.degrees(F.col("east") / (EQUATOR * F.cos(F.radians("lat0")))) + F.col("lon0")
+    points = points.select("point_id", (F.col("i") + 1).alias("i"), lat.alias("lat"), lon.alias("lon"))
+    return points.union(requests.join(best.select("point_id"), "point_id", "left_semi").select("point_id", F.lit(0).alias("i"), "lat", "lon"))
 
 
 def first_graph(found: DataFrame) -> DataFrame:

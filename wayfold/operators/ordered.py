@@ -72,6 +72,31 @@ def runs(df: DataFrame, keys: list[str], order: list, condition: Column) -> Data
     return made.withColumn("run_rows", F.sum(F.when(F.col("_holds"), 1).otherwise(0)).over(w)).drop("_holds")
 
 
+def standstill(df: DataFrame, keys: list[str], order: list, quiet: Column, dt: str, speed: str, least_s: float = 1.2, long_s: float = 2.5, slow: float = 1.2) -> DataFrame:
+    """``df`` with ``still_s``, how long it has been quiet, and ``stationary``: quiet for
+    ``least_s`` at a speed below ``slow``, or for ``long_s`` at any."""
+    made = runs(df, keys, order, quiet)
+    w = Window.partitionBy(*keys, "run_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    made = made.withColumn("still_s", F.sum(F.when(F.col("run_rows") > 0, F.col(dt)).otherwise(0.0)).over(w)).drop("run_no", "run_rows")
+    return made.withColumn("stationary", (F.col("still_s") >= least_s) & ((F.col(speed) < slow) | (F.col("still_s") >= long_s)))
+
+
+def interval(gap: Column, kind: str) -> Column:
+    """Seconds since the previous sample, guarded: ``glitch`` takes gaps of 0 or over 0.2 s for
+    0.01, ``clamp`` keeps them within 0.001 and 0.2 (the first is 0.01), ``elapsed`` counts
+    those between 0 and 5 only."""
+    return {
+        "glitch": F.when(gap.isNull() | (gap <= 0) | (gap > 0.2), 0.01).otherwise(gap),
+        "clamp": F.when(gap.isNull(), 0.01).otherwise(F.greatest(F.lit(0.001), F.least(F.lit(0.2), gap))),
+        "elapsed": F.when((gap > 0) & (gap < 5), gap).otherwise(0.0),
+    }[kind]
+
+
+def mount_heading(yaw: Column, keys: list[str], order: list) -> Column:
+    """Heading of the vehicle: the yaw less what it was at first."""
+    return ((yaw - first_latch(yaw, keys, order)) % 360 + 360) % 360
+
+
 def stride_decimate(df: DataFrame, keys: list[str], order: list, time_ms: str, most: int = 20_000, per_second: float = 5.0) -> DataFrame:
     """Every k-th row of a session: k is rows over ``most``, and for spans over a second at
     least rows over ``per_second`` a second."""

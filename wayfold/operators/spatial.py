@@ -25,8 +25,8 @@ def polyline_match(points: DataFrame, lines: DataFrame) -> DataFrame:
     """Each row of ``points`` (``route_id, east, north``) with the nearest point of its
     route: ``distance_m``, ``bearing`` of the segment, ``route_s``. A segment of no length
     is its start; of segments equally near (to a micrometre) the first counts. Partial minima are made before
-    the shuffle."""
-    s = lines.select("route_id", *(F.col(c).alias("_" + c) for c in ("seg_no", "ax", "ay", "bx", "by", "len", "cum_s")))
+    the shuffle; rows that repeat are matched once and returned each."""
+    s = lines.withColumn("many", F.count("*").over(Window.partitionBy("route_id"))).select("route_id", *(F.col(c).alias("_" + c) for c in ("seg_no", "ax", "ay", "bx", "by", "len", "cum_s", "many")))
     s = F.broadcast(s) if lines.limit(SEGMENTS + 1).count() <= SEGMENTS else s
     dx, dy = F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay")
     along = F.try_divide((F.col("east") - F.col("_ax")) * dx + (F.col("north") - F.col("_ay")) * dy, dx * dx + dy * dy)
@@ -34,12 +34,13 @@ def polyline_match(points: DataFrame, lines: DataFrame) -> DataFrame:
     made = points.join(s, "route_id").withColumn("_t", t)
     off = F.hypot(F.col("east") - F.col("_ax") - F.col("_t") * dx, F.col("north") - F.col("_ay") - F.col("_t") * dy)
     best = F.min(F.struct(F.round(off, 6).alias("distance_m"), F.col("_seg_no").alias("seg_no"), bearing_from_enu(dx, dy).alias("bearing"), (F.col("_cum_s") + F.col("_t") * F.col("_len")).alias("route_s")))
-    return made.groupBy(*points.columns).agg(best.alias("m")).select(*points.columns, "m.*")
+    found = made.groupBy(*points.columns).agg(best.alias("m"), (F.count("*") / F.max("_many")).cast("int").alias("_copies"))
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*points.columns, "m.*")
 
 
-def road_snap(points: DataFrame, nodes: DataFrame, edges: DataFrame, radius: float = 150.0, each_graph: bool = False) -> DataFrame:
+def road_snap(points: DataFrame, nodes: DataFrame, edges: DataFrame, radius: float = 150.0, each_graph: bool = False, weight: float = 150.0) -> DataFrame:
     """Points (``point_id, east, north, heading``) on the directed edge with the least
-    score: distance less ``radius`` times how the edge's direction agrees with the heading.
+    score: distance less ``weight`` times how the edge's direction agrees with the heading.
 
     An edge counts if its start node and its nearest point are within the radius; start
     nodes are looked up by grid cell, so no pair beyond neighbouring cells is made. Equal
@@ -60,6 +61,6 @@ def road_snap(points: DataFrame, nodes: DataFrame, edges: DataFrame, radius: flo
     off = F.hypot(F.col("east") - F.col("px"), F.col("north") - F.col("py"))
     align = (dx * F.sin(F.radians("heading")) + dy * F.cos(F.radians("heading"))) / F.hypot(dx, dy)
     made = made.withColumns({"off": off, "align": align}).where(F.col("off") <= radius)
-    best = F.min(F.struct((F.col("off") - radius * F.col("align")).alias("score"), "a", "b", "px", "py", "off", "align"))
+    best = F.min(F.struct((F.col("off") - weight * F.col("align")).alias("score"), "a", "b", "px", "py", "off", "align"))
     keys = ["point_id", "graph_id"] if each_graph else ["point_id"]
     return made.groupBy(*keys).agg(best.alias("s")).select(*keys, "s.*")

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.engines import registry
 from wayfold.functions import geo, linalg
 from wayfold.operators import asof, evaluate, folds, graph, ordered, spatial
 from wayfold.plans import oracle
@@ -125,12 +126,12 @@ def iir_lowpass(spark, sf_dir):
 
 @query
 def gnss_gate(spark, sf_dir):
-    """E18's gate: places in local metres, accuracy from the heading."""
+    """Gate and blend of places in local metres, accuracy from the heading."""
     f = telemetry.fixes(spark, sf_dir)
     enu = geo.to_enu(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(11.0))
     rows = f.select("session_id", "event_id", "t_ms", enu["east"].alias("east"), enu["north"].alias("north"), (1 + F.col("heading") / 4).alias("accuracy"), F.lit(0.0).alias("speed"))
     start, step, schema = folds.gnss_gate()
-    return rounded(folds.scan(rows, KEY, ORDER, schema, start, step), "jump_m")
+    return rounded(folds.scan(rows, KEY, ORDER, schema, start, step), "jump_m", "east", "north")
 
 
 @query
@@ -234,10 +235,10 @@ def baseline_dr(spark, sf_dir):
 
 
 def _routes(spark, sf_dir) -> DataFrame:
-    """A polyline of the first twelve click places of each session, in local metres."""
+    """A polyline of the click places of each session, in local metres."""
     f = telemetry.truth(telemetry.fixes(spark, sf_dir))
     enu = geo.to_enu(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(11.0))
-    f = f.withColumn("seg_no", F.row_number().over(ordered.Window.partitionBy("session_id").orderBy(*ORDER))).where("seg_no <= 12")
+    f = f.withColumn("seg_no", F.row_number().over(ordered.Window.partitionBy("session_id").orderBy(*ORDER)))
     return spatial.segments(f.select(F.col("session_id").alias("route_id"), "seg_no", enu["east"].alias("east"), enu["north"].alias("north")))
 
 
@@ -303,12 +304,153 @@ def shortest_path(spark, sf_dir):
 def heading_route(spark, sf_dir):
     """From each supplier, by its heading, to a common place."""
     nodes, edges = _roads(spark, sf_dir)
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("point_id"))
-    asked = s.select("point_id", ((F.col("point_id") * 17) % 110).cast("double").alias("east"), ((F.col("point_id") * 29) % 95).cast("double").alias("north"), ((F.col("point_id") * 7) % 360).cast("double").alias("heading"), F.lit(50.0).alias("goal_east"), F.lit(45.0).alias("goal_north"))
-    made = graph.first_graph(graph.heading_routes(asked, nodes, edges, radius=30.0))
+    made = graph.first_graph(graph.heading_routes(_asked(spark, sf_dir), nodes, edges, radius=30.0))
     return rounded(made.select("point_id", "source", "px", "py", "node", "dist", "fallback"), "px", "py", "dist")
 
 
+def _asked(spark, sf_dir) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("point_id"))
+    return s.select("point_id", ((F.col("point_id") * 17) % 110).cast("double").alias("east"), ((F.col("point_id") * 29) % 95).cast("double").alias("north"), ((F.col("point_id") * 7) % 360).cast("double").alias("heading"), F.lit(50.0).alias("goal_east"), F.lit(45.0).alias("goal_north"))
+
+
+@query
+def route_points(spark, sf_dir):
+    """The points of those routes."""
+    nodes, edges = _roads(spark, sf_dir)
+    found = graph.first_graph(graph.heading_routes(_asked(spark, sf_dir), nodes, edges, radius=30.0, with_path=True))
+    return rounded(graph.route_points(found, nodes), "east", "north")
+
+
+@query
+def step_throttle(spark, sf_dir):
+    """L5 with steps: values over 450 pass at once."""
+    f = telemetry.fixes(spark, sf_dir).select("session_id", "event_id", "t_ms", (F.col("value") > 450).alias("is_step"))
+    start, step, schema = folds.throttle(12 * 3_600_000)
+    return folds.scan(f, KEY, ORDER, schema, start, step)
+
+
+@query
+def distance_decimate(spark, sf_dir):
+    """Places 300 m apart, at a speed of 100 or more."""
+    f = telemetry.fixes(spark, sf_dir)
+    enu = geo.to_enu(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(11.0))
+    start, step, schema = folds.spaced(300.0, 100.0)
+    return folds.scan(f.select("session_id", "event_id", "t_ms", enu["east"].alias("east"), enu["north"].alias("north"), F.col("value").alias("speed")), KEY, ORDER, schema, start, step)
+
+
+@query
+def rate_windows(spark, sf_dir):
+    """R4 as it is measured: a window ends with the first event a day after it began."""
+    start, step, schema = folds.rate_windows(86_400_000)
+    return rounded(folds.scan(telemetry.fixes(spark, sf_dir).select("session_id", "event_id", "t_ms"), KEY, ORDER, schema, start, step), "hz")
+
+
+@query
+def time_constant(spark, sf_dir):
+    """A filter of 0.4 s over guarded intervals."""
+    f = telemetry.fixes(spark, sf_dir)
+    gap = (F.col("t_ms") - F.lag("t_ms").over(ordered.Window.partitionBy(*KEY).orderBy(*ORDER))).cast("double") / 1e9
+    f = f.select("session_id", "event_id", "t_ms", "value", ordered.interval(gap, "clamp").alias("dt"))
+    start, step, schema = folds.smooth(0.4)
+    return rounded(folds.scan(f, KEY, ORDER, schema, start, step), "y")
+
+
+@query
+def still_time(spark, sf_dir):
+    """Quiet below 250, each event half a second."""
+    f = telemetry.fixes(spark, sf_dir).withColumns({"dt": F.lit(0.5), "speed": F.col("heading") / 100})
+    made = ordered.standstill(f, KEY, ORDER, F.col("value") < 250, "dt", "speed")
+    return made.select("event_id", r6("still_s").alias("still_s"), "stationary")
+
+
+@query
+def nearest_gate(spark, sf_dir):
+    """J1 at its own gate of 2 s, included: an event each 500 ms."""
+    f = telemetry.fixes(spark, sf_dir)
+    f = f.withColumn("t_ms", F.row_number().over(ordered.Window.partitionBy(*KEY).orderBy(*ORDER)).cast("long") * 500)
+    made = evaluate.matched(telemetry.truth(f), telemetry.estimates(f), 2000)
+    return made.select("event_id", "t_ms", "m_t_ms", r6("error_m").alias("error_m"))
+
+
+@query
+def session_seed(spark, sf_dir):
+    """Where each session begins."""
+    f = telemetry.fixes(spark, sf_dir)
+    last = lambda kind: f.where(F.col("event_type") == kind).groupBy("session_id").agg(F.max_by(F.struct("lat", "lon", "heading", "value"), F.struct("t_ms", "event_id")).alias("r"))
+    begun = f.select("session_id").distinct().join(last("purchase"), "session_id", "left")
+    begun = begun.select("session_id", "r.lat", "r.lon", F.when(F.col("r.heading") > 90, F.col("r.heading")).alias("bearing"), F.col("r.value").alias("speed"), (F.col("session_id") % 360).cast("double").alias("device_yaw"))
+    made = telemetry.seed(begun, last("click").select("session_id", "r.lat", "r.lon"), (16.3067, 80.4365))
+    return rounded(made, "lat", "lon", "heading", "vel_east", "vel_north")
+
+
+@query
+def matrix_functions(spark, sf_dir):
+    """Transpose, orthonormal rows, pitch and roll."""
+    v = _parts(spark, sf_dir).withColumn("r", linalg.quat_matrix(*(linalg.at(F.col("q"), i) for i in range(4)))).withColumn("o", linalg.orthonormal(F.col("m")))
+    made = {f"t{i}": linalg.at(linalg.transpose(F.col("m")), i) for i in (1, 2, 5)} | {f"o{i}": linalg.at(F.col("o"), i) for i in range(6)} | {"pitch": linalg.pitch_deg(F.col("r")), "roll": linalg.roll_deg(F.col("r"))}
+    return v.select("vec_id", *(r6(c).alias(n) for n, c in made.items()))
+
+
+@query
+def filter_functions(spark, sf_dir):
+    """Latched heading, intervals, accuracy, recalculation guard."""
+    f = telemetry.fixes(spark, sf_dir)
+    gap = (F.col("t_ms") - F.lag("t_ms").over(ordered.Window.partitionBy(*KEY).orderBy(*ORDER))).cast("double") / 1e7
+    accuracy = F.when(F.col("heading") > 20, F.col("heading") / 5)
+    return f.select(
+        "event_id", *(r6(ordered.interval(gap, k)).alias(k) for k in ("glitch", "clamp", "elapsed")), r6(ordered.mount_heading(F.col("heading"), KEY, ORDER)).alias("mount"), r6(evaluate.usable_accuracy(accuracy)).alias("accuracy"),
+        evaluate.may_recalculate(F.when(F.col("event_type") == "view", "DR").otherwise("GPS"), F.col("value")).alias("may"), F.expr("t_ms div 1000").alias("whole_s"),
+    )
+
+
+@query
+def status_texts(spark, sf_dir):
+    """Numbers and flags as the screen shows them, names of exports."""
+    s = session_stats(spark, sf_dir)
+    flags = {"ZUPT_active": F.col("matches") == 0, "mount_aligned": F.col("matches") > 1}
+    begun = telemetry.fixes(spark, sf_dir).groupBy("session_id").agg(F.min("t_ms").alias("start_ms"))
+    return s.join(begun, "session_id").select(
+        "session_id", evaluate.metres_text(F.col("max_error_m")).alias("worst"), evaluate.percent_text(F.col("drift_pct")).alias("drift"),
+        evaluate.status_text(F.lit("waiting for GNSS"), F.lit("FREE"), **flags).alias("health"), evaluate.export_name(F.col("start_ms"), "nav").alias("file"),
+    )
+
+
+def _motion(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Events as motion samples at 100 Hz, accelerations and rates from value and heading, and
+    where each session begins."""
+    f = telemetry.fixes(spark, sf_dir)
+    nanos = F.row_number().over(ordered.Window.partitionBy(*KEY).orderBy(*ORDER)).cast("long") * 10_000_000
+    push, angle = (F.col("value") - 250) / 100, F.radians("heading")
+    made = {"accel_x": push * F.sin(angle), "accel_y": push * F.cos(angle), "accel_z": 9.80665 + (F.col("heading") - 180) / 60, "gyro_x": push / 100, "gyro_y": -push / 200, "gyro_z": (F.col("heading") - 180) / 1000, "mag_x": 20 * F.cos(angle), "mag_y": 20 * F.sin(angle), "mag_z": F.lit(-40.0)}
+    none = {f"{s}_{x}": F.lit(None).cast("double") for s in ("linear", "gravity") for x in "xyz"} | {f"quat_{x}": F.lit(None).cast("double") for x in "xyzw"}
+    seeds = f.select("session_id").distinct().select("session_id", F.lit(48.0).alias("lat"), F.lit(11.0).alias("lon"), (F.col("session_id") % 360).cast("double").alias("bearing"), F.lit(5.0).alias("speed"), F.lit(0).alias("boot_offset_ms"))
+    return f.select("session_id", nanos.alias("timestamp_nanos"), *(c.alias(n) for n, c in (made | none).items())), seeds
+
+
+@query
+def imu_export(spark, sf_dir):
+    """Raw motion samples."""
+    return evaluate.imu_table(_motion(spark, sf_dir)[0])
+
+
+@query
+def pdr_dr(spark, sf_dir):
+    """The pedestrian engine's states as they are exported."""
+    return evaluate.state_table(registry.run(*_motion(spark, sf_dir), engine="pdr"))
+
+
+@query
+def fusion_dr(spark, sf_dir):
+    """Route-aware fusion."""
+    return evaluate.state_table(registry.run(*_motion(spark, sf_dir), engine="fusion"))
+
+
+@query
+def iekf_dr(spark, sf_dir):
+    """The invariant filter."""
+    return evaluate.state_table(registry.run(*_motion(spark, sf_dir), engine="iekf"))
+
+
 @query
 def live_snapshot(spark, sf_dir):
     """K6, K7's follow target: the state of every session at the end."""

@@ -73,10 +73,22 @@ EDGES = f"""{NODES}, links AS (SELECT k AS a, (k + h) % 25 AS b, k % 3 = 0 AS on
     edges AS (SELECT l.a, l.b, sqrt(pow(p.east - q.east, 2) + pow(p.north - q.north, 2)) AS cost, p.east AS ax, p.north AS ay, q.east AS bx, q.north AS by_
         FROM (SELECT a, b FROM links UNION ALL SELECT b, a FROM links WHERE NOT one) l JOIN nodes p ON p.k = l.a JOIN nodes q ON q.k = l.b)"""
 POINTS = "points AS (SELECT s_suppkey::BIGINT AS point_id, ((s_suppkey * 17) % 110)::DOUBLE AS east, ((s_suppkey * 29) % 95)::DOUBLE AS north, ((s_suppkey * 7) % 360)::DOUBLE AS heading FROM supplier)"
-SEGMENTS = f"""line AS (SELECT session_id AS route_id, seg_no, {east('lat', 'lon')} AS ax, {north('lat')} AS ay FROM (SELECT *, (row_number() OVER ({W}))::INTEGER AS seg_no FROM fix WHERE event_type = 'click') WHERE seg_no <= 12),
+SEGMENTS = f"""line AS (SELECT session_id AS route_id, seg_no, {east('lat', 'lon')} AS ax, {north('lat')} AS ay FROM (SELECT *, (row_number() OVER ({W}))::INTEGER AS seg_no FROM fix WHERE event_type = 'click')),
     two AS (SELECT *, lead(ax) OVER (PARTITION BY route_id ORDER BY seg_no) AS bx, lead(ay) OVER (PARTITION BY route_id ORDER BY seg_no) AS by_ FROM line),
     seg AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY route_id ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS cum_s FROM (SELECT *, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS len FROM two WHERE bx IS NOT NULL))"""
 TURN = "2 * pi()"
+_USED, _FIRST, _JUMP = "x.accuracy <= 30", "w.e IS NULL", "(CASE WHEN w.e IS NULL THEN 0.0::DOUBLE ELSE sqrt(pow(x.e - w.e, 2) + pow(x.m - w.m, 2)) END)"
+_OK = f"({_USED} AND ({_FIRST} OR {_JUMP} <= 3 * x.accuracy + 15 OR w.rejected >= 5))"
+_K = "greatest(0.15::DOUBLE, least(1.0::DOUBLE, 5 / x.accuracy))"
+GATED = [f"CASE WHEN NOT {_OK} THEN w.e WHEN {_FIRST} THEN x.e ELSE w.e + {_K} * (x.e - w.e) END, CASE WHEN NOT {_OK} THEN w.m WHEN {_FIRST} THEN x.m ELSE w.m + {_K} * (x.m - w.m) END, CASE WHEN {_OK} THEN 0 WHEN {_USED} THEN w.rejected + 1 ELSE w.rejected END, {_OK}, {_JUMP}"]
+_AWAKE = "(x.t_ms - w.checked >= 7200000 AND x.t_ms >= w.until_)"
+_MOVES = f"({_AWAKE} AND x.speed >= 1)"
+_REF = f"(CASE WHEN {_MOVES} AND (w.ref IS NULL OR x.t_ms - w.ref_t >= 36000000) THEN x.heading ELSE w.ref END)"
+_REF_T = f"(CASE WHEN {_MOVES} AND (w.ref IS NULL OR x.t_ms - w.ref_t >= 36000000) THEN x.t_ms ELSE w.ref_t END)"
+_TURNED = f"(CASE WHEN {_MOVES} THEN abs(((x.heading - {_REF} + 180) % 360 + 360) % 360 - 180) ELSE 0.0::DOUBLE END)"
+_FIRE = f"({_MOVES} AND x.value > 200 AND (w.cnt >= 3 OR {_TURNED} >= 30))"
+OFF_ROUTE = f"""CASE WHEN x.t_ms - w.checked >= 7200000 THEN x.t_ms ELSE w.checked END, CASE WHEN {_FIRE} THEN x.t_ms + 72000000 ELSE w.until_ END,
+    CASE WHEN {_FIRE} OR ({_AWAKE} AND x.speed < 1) OR ({_MOVES} AND x.value < 100) THEN 0 WHEN {_MOVES} AND x.value > 200 THEN w.cnt + 1 ELSE w.cnt END, {_REF}, {_REF_T}, {_FIRE}, {_TURNED}"""
 
 SQL = {
     "session_stats": f"""WITH {FIX}, {MATCH}, errors AS (SELECT session_id, max_by(error_m, (t_ms, event_id)) AS final, max(error_m) AS worst, avg(error_m) AS mean, count(*) AS n FROM matched GROUP BY session_id),
@@ -93,9 +105,9 @@ SQL = {
     "zoh_align": f"""WITH {FIX}, h AS (SELECT *, {', '.join(f"last_value(CASE WHEN event_type = '{k}' THEN value END IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h_{k}" for k in ('click', 'view', 'purchase'))} FROM fix)
         SELECT event_id, session_id, t_ms, h_click, h_view, h_purchase FROM h WHERE event_type IN ('click', 'view') AND h_click IS NOT NULL AND h_view IS NOT NULL""",
     "pose_resolution": f"""WITH {FIX}, asked AS (SELECT * FROM fix WHERE event_type NOT IN ('click', 'view')),
-        g AS (SELECT a.event_id, f.lat, f.lon, f.heading, f.value, row_number() OVER (PARTITION BY a.event_id ORDER BY f.t_ms DESC, f.event_id) AS r FROM asked a JOIN fix f ON f.session_id = a.session_id AND f.event_type = 'click' AND f.t_ms BETWEEN a.t_ms - {GATE} AND a.t_ms),
-        d AS (SELECT a.event_id, f.lat, f.lon, f.heading, f.value, row_number() OVER (PARTITION BY a.event_id ORDER BY f.t_ms DESC, f.event_id) AS r FROM asked a JOIN fix f ON f.session_id = a.session_id AND f.event_type = 'view' AND f.t_ms BETWEEN a.t_ms - {64 * GATE} AND a.t_ms)
-        SELECT a.event_id, {r6('coalesce(g.lat, d.lat)')} AS pose_lat, {r6('coalesce(g.lon, d.lon)')} AS pose_lon, {r6('coalesce(d.heading, g.heading)')} AS pose_heading, {r6('coalesce(d.value, g.value)')} AS pose_speed, CASE WHEN g.lat IS NOT NULL THEN 'GPS' ELSE 'DR' END AS source
+        g AS (SELECT a.event_id, f.lat, f.lon, f.heading, f.value, row_number() OVER (PARTITION BY a.event_id ORDER BY f.t_ms DESC, f.event_id) AS r FROM asked a JOIN fix f ON f.session_id = a.session_id AND f.event_type = 'click' AND f.t_ms > a.t_ms - {GATE} AND f.t_ms <= a.t_ms),
+        d AS (SELECT a.event_id, f.lat, f.lon, f.heading, f.value, row_number() OVER (PARTITION BY a.event_id ORDER BY f.t_ms DESC, f.event_id) AS r FROM asked a JOIN fix f ON f.session_id = a.session_id AND f.event_type = 'view' AND f.t_ms <= a.t_ms)
+        SELECT a.event_id, {r6('coalesce(g.lat, d.lat)')} AS pose_lat, {r6('coalesce(g.lon, d.lon)')} AS pose_lon, {r6('coalesce(d.heading, g.heading)')} AS pose_heading, {r6('coalesce(d.value, g.value, 0.0::DOUBLE)')} AS pose_speed, CASE WHEN g.lat IS NOT NULL THEN 'GPS' ELSE 'DR' END AS source
         FROM asked a LEFT JOIN (SELECT * FROM g WHERE r = 1) g USING (event_id) LEFT JOIN (SELECT * FROM d WHERE r = 1) d USING (event_id) WHERE coalesce(g.lat, d.lat) IS NOT NULL AND coalesce(d.heading, g.heading) IS NOT NULL""",
     "step_detect": f"""WITH {FIX}, m AS (SELECT *, avg(value) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mean FROM fix), e AS (SELECT *, CASE WHEN value > mean + 20 THEN 1 WHEN value < mean - 20 THEN 0 END AS edge FROM m)
         SELECT event_id, coalesce(edge = 1 AND coalesce(last_value(edge IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0, false) AS is_step FROM e""",
@@ -105,10 +117,30 @@ SQL = {
     "greedy_throttle": fold("SELECT * FROM fix", "x.t_ms AS taken, true AS accepted", f"CASE WHEN x.t_ms - w.taken >= {12 * GATE} THEN x.t_ms ELSE w.taken END, x.t_ms - w.taken >= {12 * GATE}", "accepted"),
     "iir_lowpass": fold("SELECT * FROM fix", "x.value AS state", "w.state + 0.25::DOUBLE * (x.value - w.state)", f"{r6('state')} AS y"),
     "gnss_gate": fold(
-        f"SELECT *, {east('lat', 'lon')} AS e, {north('lat')} AS m, 1 + heading / 4 AS accuracy FROM fix",
-        "x.e AS e, x.m AS m, 0 AS rejected, true AS accepted, 0.0::DOUBLE AS jump",
-        *[(lambda jump: (lambda ok: f"CASE WHEN {ok} THEN x.e ELSE w.e END, CASE WHEN {ok} THEN x.m ELSE w.m END, CASE WHEN {ok} THEN 0 ELSE w.rejected + 1 END, {ok}, {jump}")(f"({jump} <= 3 * x.accuracy + 15 OR w.rejected >= 5)"))("sqrt(pow(x.e - w.e, 2) + pow(x.m - w.m, 2))")],
-        f"accepted, {r6('jump')} AS jump_m"),
+        f"SELECT *, {east('lat', 'lon')} AS e, {north('lat')} AS m, greatest(1 + heading / 4, 1) AS accuracy FROM fix",
+        "CASE WHEN x.accuracy <= 30 THEN x.e END AS e, CASE WHEN x.accuracy <= 30 THEN x.m END AS m, 0 AS rejected, x.accuracy <= 30 AS accepted, 0.0::DOUBLE AS jump",
+        *GATED, f"accepted, {r6('jump')} AS jump_m, {r6(f'coalesce(e, {NAN})')} AS east, {r6(f'coalesce(m, {NAN})')} AS north"),
+    "off_route_events": fold("SELECT *, value / 10 AS speed FROM fix",
+        "x.t_ms AS checked, -1::BIGINT AS until_, CASE WHEN x.speed >= 1 AND x.value > 200 THEN 1 ELSE 0 END AS cnt, CASE WHEN x.speed >= 1 THEN x.heading END AS ref, CASE WHEN x.speed >= 1 THEN x.t_ms ELSE 0 END AS ref_t, false AS fire, 0.0::DOUBLE AS turn",
+        OFF_ROUTE, f"CASE WHEN fire THEN 'RECALCULATE' ELSE 'HOLD' END AS decision, {r6('turn')} AS turn_deg"),
+    "step_throttle": fold("SELECT *, value > 450 AS is_step FROM fix", "x.t_ms AS taken, true AS accepted", f"CASE WHEN x.is_step OR x.t_ms - w.taken >= {12 * GATE} THEN x.t_ms ELSE w.taken END, x.is_step OR x.t_ms - w.taken >= {12 * GATE}", "accepted"),
+    "distance_decimate": fold(f"SELECT *, {east('lat', 'lon')} AS e, {north('lat')} AS m FROM fix", "CASE WHEN x.value >= 100 THEN x.e END AS e, CASE WHEN x.value >= 100 THEN x.m END AS m, x.value >= 100 AS kept",
+        *[(lambda ok: f"CASE WHEN {ok} THEN x.e ELSE w.e END, CASE WHEN {ok} THEN x.m ELSE w.m END, {ok}")("(x.value >= 100 AND (w.e IS NULL OR sqrt(pow(x.e - w.e, 2) + pow(x.m - w.m, 2)) >= 300))")], "kept"),
+    "rate_windows": fold("SELECT * FROM fix", f"x.t_ms AS began, 1 AS cnt, {NAN} AS hz", f"CASE WHEN x.t_ms - w.began >= 86400000 THEN x.t_ms ELSE w.began END, CASE WHEN x.t_ms - w.began >= 86400000 THEN 0 ELSE w.cnt + 1 END, CASE WHEN x.t_ms - w.began >= 86400000 THEN (w.cnt + 1) * 1000.0::DOUBLE / (x.t_ms - w.began) ELSE {NAN} END", f"{r6('hz')} AS hz"),
+    "time_constant": fold(f"SELECT *, coalesce(greatest(0.001::DOUBLE, least(0.2::DOUBLE, (t_ms - lag(t_ms) OVER ({W}))::DOUBLE / 1e9)), 0.01::DOUBLE) AS dt FROM fix", "x.value AS state", "w.state + x.dt / (0.4::DOUBLE + x.dt) * (x.value - w.state)", f"{r6('state')} AS y"),
+    "still_time": f"""WITH {FIX}, c AS (SELECT *, sum(CASE WHEN value < 250 THEN 0 ELSE 1 END) OVER ({W}) AS run_no FROM fix), r AS (SELECT *, sum(CASE WHEN value < 250 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) OVER (PARTITION BY session_id, run_no ORDER BY t_ms, event_id) AS s FROM c)
+        SELECT event_id, {r6('s')} AS still_s, s >= 1.2::DOUBLE AND (heading / 100 < 1.2::DOUBLE OR s >= 2.5::DOUBLE) AS stationary FROM r""",
+    "nearest_gate": f"""WITH {FIX}, f AS (SELECT * REPLACE ((row_number() OVER ({W})) * 500 AS t_ms) FROM fix), p AS (SELECT g.event_id, g.t_ms, g.lat, g.lon, d.t_ms AS m_t_ms, d.lat AS m_lat, d.lon AS m_lon, row_number() OVER (PARTITION BY g.event_id ORDER BY abs(g.t_ms - d.t_ms), d.t_ms) AS r
+        FROM f g JOIN f d ON g.session_id = d.session_id AND abs(g.t_ms - d.t_ms) <= 2000 WHERE g.event_type = 'click' AND d.event_type = 'view') SELECT event_id, t_ms, m_t_ms, {r6(hav('lat', 'lon', 'm_lat', 'm_lon'))} AS error_m FROM p WHERE r = 1""",
+    "session_seed": f"""WITH {FIX}, {', '.join(f"{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t_ms DESC, event_id DESC) AS r FROM fix WHERE event_type = '{k}') WHERE r = 1)" for n, k in (('p', 'purchase'), ('c', 'click')))},
+        h AS (SELECT s.session_id, p.lat AS plat, p.lon AS plon, c.lat AS clat, c.lon AS clon, coalesce(CASE WHEN p.heading > 90 THEN p.heading END, (s.session_id % 360)::DOUBLE) AS heading, coalesce(p.value, 0) AS v FROM (SELECT DISTINCT session_id FROM fix) s LEFT JOIN p USING (session_id) LEFT JOIN c USING (session_id))
+        SELECT session_id, {r6('coalesce(plat, clat, 16.3067)')} AS lat, {r6('coalesce(plon, clon, 80.4365)')} AS lon, {r6('heading')} AS heading, {r6('v * sin(radians(heading))')} AS vel_east, {r6('v * cos(radians(heading))')} AS vel_north, CASE WHEN plat IS NOT NULL THEN 'last' WHEN clat IS NOT NULL THEN 'cached' ELSE 'default' END AS seed_source FROM h""",
+    "matrix_functions": f"""WITH {PARTS}, a AS (SELECT *, sqrt(m[1] * m[1] + m[2] * m[2] + m[3] * m[3]) AS n1 FROM cut), b AS (SELECT *, m[1] / n1 AS u1, m[2] / n1 AS u2, m[3] / n1 AS u3 FROM a), c AS (SELECT *, m[4] * u1 + m[5] * u2 + m[6] * u3 AS d FROM b), e AS (SELECT *, m[4] - d * u1 AS w1, m[5] - d * u2 AS w2, m[6] - d * u3 AS w3 FROM c), g AS (SELECT *, sqrt(w1 * w1 + w2 * w2 + w3 * w3) AS n2 FROM e)
+        SELECT vec_id, {r6('m[4]')} AS t1, {r6('m[7]')} AS t2, {r6('m[8]')} AS t5, {', '.join(f"{r6(f'u{i + 1}')} AS o{i}" for i in range(3))}, {', '.join(f"{r6(f'w{i + 1} / n2')} AS o{i + 3}" for i in range(3))},
+        {r6(f'degrees(asin(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, {ROT[7]}))))')} AS pitch, {r6(f'degrees(atan2(-({ROT[6]}), {ROT[8]}))')} AS roll FROM g""",
+    "filter_functions": f"""WITH {FIX}, g AS (SELECT *, (t_ms - lag(t_ms) OVER ({W}))::DOUBLE / 1e7 AS gap, first_value(heading) OVER ({W}) AS h0, greatest(coalesce(CASE WHEN heading > 20 THEN heading / 5 END, 5.0::DOUBLE), 1.0::DOUBLE) AS acc FROM fix)
+        SELECT event_id, {r6('CASE WHEN gap IS NULL OR gap <= 0 OR gap > 0.2::DOUBLE THEN 0.01::DOUBLE ELSE gap END')} AS glitch, {r6('CASE WHEN gap IS NULL THEN 0.01::DOUBLE ELSE greatest(0.001::DOUBLE, least(0.2::DOUBLE, gap)) END')} AS clamp, {r6('CASE WHEN gap > 0 AND gap < 5 THEN gap ELSE 0.0::DOUBLE END')} AS elapsed,
+        {r6('((heading - h0) % 360 + 360) % 360')} AS mount, {r6('CASE WHEN acc <= 30 THEN acc END')} AS accuracy, event_type <> 'view' OR value <= 200 AS may, t_ms // 1000 AS whole_s FROM g""",
     "rate_hz": f"WITH {FIX} SELECT session_id, (t_ms // 86400000) * 86400000 AS window_ms, count(*) AS n, {r6('count(*) * 1000.0::DOUBLE / 86400000')} AS hz FROM fix GROUP BY 1, 2",
     "session_counts": f"WITH {FIX} SELECT session_id, count(*) AS n_rows, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'purchase') AS n_purchase FROM fix GROUP BY 1",
     "geo_functions": f"""WITH {FIX}, moved AS (SELECT *, lat + degrees(value / 2 / {R}::DOUBLE) AS mlat, lon + degrees(value / ({R}::DOUBLE * cos(radians(lat)))) AS mlon, (heading - value) % 360 AS d FROM fix),
@@ -138,7 +170,7 @@ SQL = {
     "graph_edges": f"WITH {EDGES} SELECT a, b, {r6('cost')} AS cost FROM edges",
     "road_snap": f"""WITH {EDGES}, {POINTS}, j AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((east - ax) * (bx - ax) + (north - ay) * (by_ - ay)) / (cost * cost))) AS t FROM points, edges WHERE sqrt(pow(ax - east, 2) + pow(ay - north, 2)) <= 30 AND cost > 1e-6),
         k AS (SELECT *, ax + t * (bx - ax) AS px, ay + t * (by_ - ay) AS py FROM j), s AS (SELECT *, sqrt(pow(east - px, 2) + pow(north - py, 2)) AS off, ((bx - ax) * sin(radians(heading)) + (by_ - ay) * cos(radians(heading))) / cost AS align FROM k),
-        b AS (SELECT *, off - 30 * align AS score, row_number() OVER (PARTITION BY point_id ORDER BY off - 30 * align, a, b) AS r FROM s WHERE off <= 30) SELECT point_id, a, b, {r6('score')} AS score, {r6('px')} AS px, {r6('py')} AS py FROM b WHERE r = 1""",
+        b AS (SELECT *, off - 150 * align AS score, row_number() OVER (PARTITION BY point_id ORDER BY off - 150 * align, a, b) AS r FROM s WHERE off <= 30) SELECT point_id, a, b, {r6('score')} AS score, {r6('px')} AS px, {r6('py')} AS py FROM b WHERE r = 1""",
     "nearest_node": f"""WITH {NODES}, {POINTS}, j AS (SELECT point_id, k AS node_id, sqrt(pow(p.east - n.east, 2) + pow(p.north - n.north, 2)) AS off FROM points p, nodes n), b AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY off, node_id) AS r FROM j WHERE off <= 40)
         SELECT point_id, node_id, {r6('off')} AS off FROM b WHERE r = 1""",
     "shortest_path": f"""WITH RECURSIVE {EDGES}, walk AS (SELECT k AS source, k AS node, 0.0::DOUBLE AS dist, 0 AS hops FROM nodes
@@ -146,13 +178,25 @@ SQL = {
         SELECT source, node, {r6('min(dist)')} AS dist FROM walk GROUP BY source, node""",
     "heading_route": f"""WITH RECURSIVE {EDGES}, {POINTS}, j AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((east - ax) * (bx - ax) + (north - ay) * (by_ - ay)) / (cost * cost))) AS t FROM points, edges WHERE sqrt(pow(ax - east, 2) + pow(ay - north, 2)) <= 30 AND cost > 1e-6),
         k AS (SELECT *, ax + t * (bx - ax) AS px, ay + t * (by_ - ay) AS py FROM j), s AS (SELECT *, sqrt(pow(east - px, 2) + pow(north - py, 2)) AS off, ((bx - ax) * sin(radians(heading)) + (by_ - ay) * cos(radians(heading))) / cost AS align FROM k),
-        snap AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY off - 30 * align, a, b) AS r FROM s WHERE off <= 30), ahead AS (SELECT point_id, b, px, py FROM snap WHERE r = 1 AND align >= -0.3::DOUBLE),
+        snap AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY off - 150 * align, a, b) AS r FROM s WHERE off <= 30), ahead AS (SELECT point_id, b, px, py FROM snap WHERE r = 1 AND align >= -0.3::DOUBLE),
         near AS (SELECT point_id, k AS node_id, row_number() OVER (PARTITION BY point_id ORDER BY sqrt(pow(p.east - n.east, 2) + pow(p.north - n.north, 2)), k) AS r FROM points p, nodes n),
         goal AS (SELECT k AS g FROM nodes ORDER BY sqrt(pow(east - 50, 2) + pow(north - 45, 2)), k LIMIT 1), pick AS (SELECT point_id, coalesce(b, node_id) AS source, px, py FROM near LEFT JOIN ahead USING (point_id) WHERE r = 1),
         walk AS (SELECT k AS source, k AS node, 0.0::DOUBLE AS dist, 0 AS hops FROM nodes
         UNION ALL SELECT source, node, min(dist), hops FROM (SELECT w.source, e.b AS node, w.dist + e.cost AS dist, w.hops + 1 AS hops FROM walk w JOIN edges e ON e.a = w.node WHERE w.hops < 12) GROUP BY source, node, hops),
         far AS (SELECT source, node, min(dist) AS dist FROM walk GROUP BY source, node)
         SELECT point_id, source, {r6('px')} AS px, {r6('py')} AS py, g AS node, {r6('dist')} AS dist, false AS fallback FROM pick JOIN goal ON true JOIN far USING (source) WHERE node = g""",
+    "route_points": f"""WITH RECURSIVE {EDGES}, {POINTS}, j AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((east - ax) * (bx - ax) + (north - ay) * (by_ - ay)) / (cost * cost))) AS t FROM points, edges WHERE sqrt(pow(ax - east, 2) + pow(ay - north, 2)) <= 30 AND cost > 1e-6),
+        k AS (SELECT *, ax + t * (bx - ax) AS px, ay + t * (by_ - ay) AS py FROM j), s AS (SELECT *, sqrt(pow(east - px, 2) + pow(north - py, 2)) AS off, ((bx - ax) * sin(radians(heading)) + (by_ - ay) * cos(radians(heading))) / cost AS align FROM k),
+        snap AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY off - 150 * align, a, b) AS r FROM s WHERE off <= 30), ahead AS (SELECT point_id, b, px, py FROM snap WHERE r = 1 AND align >= -0.3::DOUBLE),
+        near AS (SELECT point_id, k AS node_id, row_number() OVER (PARTITION BY point_id ORDER BY sqrt(pow(p.east - n.east, 2) + pow(p.north - n.north, 2)), k) AS r FROM points p, nodes n),
+        goal AS (SELECT k AS g FROM nodes ORDER BY sqrt(pow(east - 50, 2) + pow(north - 45, 2)), k LIMIT 1), pick AS (SELECT point_id, coalesce(b, node_id) AS source, px, py FROM near LEFT JOIN ahead USING (point_id) WHERE r = 1),
+        walk AS (SELECT k AS source, k AS node, 0.0::DOUBLE AS dist, 0 AS hops FROM nodes
+        UNION ALL SELECT source, node, min(dist), hops FROM (SELECT w.source, e.b AS node, w.dist + e.cost AS dist, w.hops + 1 AS hops FROM walk w JOIN edges e ON e.a = w.node WHERE w.hops < 12) GROUP BY source, node, hops),
+        far AS (SELECT source, node, min(dist) AS dist FROM walk GROUP BY source, node),
+        prev AS (SELECT t.source, t.node, min(e.a) AS prev FROM far t JOIN edges e ON e.b = t.node JOIN far f ON f.source = t.source AND f.node = e.a WHERE t.node <> t.source AND abs(f.dist + e.cost - t.dist) < 1e-9 GROUP BY 1, 2),
+        back AS (SELECT point_id, source, g AS node, 0 AS k FROM pick JOIN goal ON true UNION ALL SELECT b.point_id, b.source, p.prev, b.k + 1 FROM back b JOIN prev p ON p.source = b.source AND p.node = b.node),
+        lone AS (SELECT b.point_id, (max(b.k) OVER (PARTITION BY b.point_id) - b.k + CASE WHEN p.px IS NULL THEN 0 ELSE 1 END)::INTEGER AS i, n.east, n.north FROM back b JOIN nodes n ON n.k = b.node JOIN pick p ON p.point_id = b.point_id)
+        SELECT point_id, i, {r6('east')} AS east, {r6('north')} AS north FROM (SELECT * FROM lone UNION ALL SELECT point_id, 0, px, py FROM pick WHERE px IS NOT NULL)""",
     "live_snapshot": f"""WITH {FIX}, {MATCH}, errors AS (SELECT session_id, max_by(error_m, (t_ms, event_id)) AS final FROM matched GROUP BY session_id), paths AS (SELECT session_id, sum(step) AS d FROM (SELECT session_id, {STEP} AS step FROM fix WHERE event_type = 'click') GROUP BY session_id),
         {', '.join(f"{n} AS (SELECT session_id, count(*) AS n, max_by(lat, (t_ms, event_id)) AS lat, max_by(lon, (t_ms, event_id)) AS lon FROM fix WHERE event_type = '{k}' GROUP BY session_id)" for n, k in (('g', 'click'), ('d', 'view')))}
         SELECT coalesce(g.session_id, d.session_id) AS session_id, coalesce(g.n, 0) AS n_gps, coalesce(d.n, 0) AS n_dr, {r6('g.lat')} AS gps_lat, {r6('g.lon')} AS gps_lon, {r6('d.lat')} AS dr_lat, {r6('d.lon')} AS dr_lon, {r6('coalesce(g.lat, d.lat)')} AS follow_lat, {r6('coalesce(g.lon, d.lon)')} AS follow_lon,
@@ -163,3 +207,7 @@ SQL = {
         SELECT session_id, health, split_part(health, ' @', 1) AS short, trunc(top)::INTEGER AS top_whole FROM t""",
     "json_roundtrip": f"WITH {FIX} SELECT event_id, CASE WHEN abs(lat - 48.005::DOUBLE) <= 0.01::DOUBLE AND abs(lon - 11.005::DOUBLE) <= 0.01::DOUBLE THEN 1 ELSE 0 END AS n_points, t_ms AS stored_ms FROM fix",
 }
+_STATS = SQL["session_stats"]
+SQL["status_texts"] = f"""WITH s AS ({_STATS}), b AS (WITH {FIX} SELECT session_id, min(t_ms) AS start_ms FROM fix GROUP BY 1)
+    SELECT session_id, CASE WHEN isnan(max_error_m) THEN '—' ELSE printf('%.1f m', max_error_m) END AS worst, CASE WHEN isnan(drift_pct) THEN '—' ELSE printf('%.2f%%', drift_pct) END AS drift,
+    concat_ws(' · ', 'waiting for GNSS', 'snap=FREE', CASE WHEN matches = 0 THEN 'ZUPT active' END, CASE WHEN matches > 1 THEN 'mount aligned' END) AS health, 'session_' || strftime(make_timestamp(start_ms * 1000), '%Y%m%d_%H%M%S') || '_nav.csv' AS file FROM s JOIN b USING (session_id)"""

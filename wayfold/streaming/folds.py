@@ -6,13 +6,16 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from wayfold.operators.folds import advance
 
-def scan_stream(df: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, tuple], tuple]) -> DataFrame:
-    """Runs ``step(state, row) -> (state, output tuple)`` over each session of a stream.
+
+def scan_stream(df: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[int], dict], step: Callable[[dict, dict], tuple]) -> DataFrame:
+    """Runs ``step`` (see ``folds.scan``) over each session of a stream.
 
     Rows are taken in ``order`` within a trigger and triggers as they come: arrival is the
     truth, as for a sensor. A task holds a session's rows of one trigger, which the source's
@@ -21,12 +24,12 @@ def scan_stream(df: DataFrame, keys: list[str], order: list[str], schema: str, s
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(_, batches, state):
-        now = pickle.loads(state.get[0]) if state.exists else start()
-        out = []
-        for row in pd.concat(list(batches)).sort_values(order, kind="stable").itertuples(index=False):
-            now, made = step(now, row)
-            out.append(made)
+        now, place = pickle.loads(state.get[0]) if state.exists else start(1), np.zeros(1, int)
+        table = pd.concat(list(batches)).sort_values(order, kind="stable")
+        rows, made = {c: table[c].to_numpy() for c in table.columns}, []
+        for k in range(len(table)):
+            made.append(advance(now, place, {c: v[k : k + 1] for c, v in rows.items()}, step))
         state.update((pickle.dumps(now),))
-        yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame({n: np.concatenate([m[n] for m in made]) for n in names})
 
     return df.groupBy(*keys).applyInPandasWithState(run, schema, "body binary", "append", GroupStateTimeout.NoTimeout)
