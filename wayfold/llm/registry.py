@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayfold.llm import topk
+from wayfold.llm import topk, warc
 from wayfold.llm.fingerprint import op7_fingerprint
 from wayfold.llm.html import op1_html
 from wayfold.llm.langid import op10_langid
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_toxicity": op9_toxicity,
     "op10_langid": op10_langid,
+    "op11_warc": warc.op11_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL, "op11_warc": warc.ORACLE_SQL}
