@@ -43,8 +43,10 @@ KEY_BYTES = 512
 ARCHIVE_BYTES = 1 << 30
 #: Records within this distance in one file are fetched by one range read, up to ``READ_BYTES``.
 GAP_BYTES, READ_BYTES = 1 << 16, 1 << 23
-#: Records of one file this far apart are fetched by different tasks.
-SPREAD_BYTES = 1 << 25
+#: Records of one file this far apart may be fetched by different tasks.
+SPREAD_BYTES = 1 << 22
+#: About so many blocks, and bytes of archives, are read by a task.
+TASK_BLOCKS, TASK_BYTES = 64, 1 << 26
 DATE = "1970-01-01T00:00:00Z"
 RECORD = "urn:x-page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -257,6 +259,10 @@ def build_index(captures: DataFrame, folder: str, lines: int = LINES, blocks: in
     return CaptureIndex(to, spark.sparkContext.broadcast(found))
 
 
+def spark_tasks(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
 def find(index: CaptureIndex, searches: DataFrame) -> DataFrame:
     """Captures whose line starts with a string of the column ``search``: a key and a
     space for all captures of a URL, with an :func:`ordinal` after it for one of them, or
@@ -291,12 +297,15 @@ def find(index: CaptureIndex, searches: DataFrame) -> DataFrame:
 
         return _batches(found(), told)
 
-    return once.mapInArrow(route, SEARCHES).repartition("block").sortWithinPartitions("block", "search").mapInArrow(look, FOUND)
+    # By a number of its own: what a task reads from blocks is far more than it gets by the shuffle.
+    tasks = max(spark_tasks(searches.sparkSession), math.ceil(len(directory.value) / TASK_BLOCKS))
+    return once.mapInArrow(route, SEARCHES).repartition(min(tasks, max(1, len(directory.value))), "block").sortWithinPartitions("block", "search").mapInArrow(look, FOUND)
 
 
-def read_records(places: DataFrame, folder: str) -> DataFrame:
+def read_records(places: DataFrame, folder: str, tasks: int = 1) -> DataFrame:
     """The records at ``places`` (``file``, ``at``, ``length``) of the archives in
-    ``folder``, by range reads that fetch neighbours together.
+    ``folder``, by range reads that fetch neighbours together, in ``tasks`` tasks or as many
+    as there are cores.
 
     A response has the length and the base32 SHA-1 of the payload that was read; it must
     be the one that the record declares. A revisit has its declared digest and a null
@@ -333,7 +342,7 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
         return _batches(records(), schema)
 
     near = F.floor(F.col("at") / SPREAD_BYTES)
-    return places.select("file", "at", "length").repartition("file", near).sortWithinPartitions("file", "at").mapInArrow(run, RECORDS)
+    return places.select("file", "at", "length").repartition(max(tasks, spark_tasks(places.sparkSession)), "file", near).sortWithinPartitions("file", "at").mapInArrow(run, RECORDS)
 
 
 def resolved(records: DataFrame, folder: str) -> DataFrame:
@@ -351,10 +360,12 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     ``payload_bytes``, ``payload_digest`` of every row (see :func:`write_archives` for
     nulls and repeated rows). An empty table gives an empty result."""
     folder = shared_folder(pages.sparkSession)
-    index = build_index(write_archives(pages, folder, least), folder)
+    captures = write_archives(pages, folder, least)
+    index = build_index(captures, folder)
     search = F.concat(url_key(F.col("url").cast("string")), F.lit(" "), ordinal(F.col("page_id").cast("long")), F.lit(" "))
     places = find(index, pages.select(search.alias("search")))
-    return resolved(keep(read_records(places, folder), folder, "records"), folder)
+    tasks = math.ceil((captures.agg(F.sum("length")).first()[0] or 0) / TASK_BYTES)
+    return resolved(keep(read_records(places, folder, tasks), folder, "records"), folder)
 
 
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
