@@ -345,9 +345,10 @@ def test_languages(spark):
 def test_stages_keep_the_columns(spark, texts, tmp_path):
     import corpus_pipeline
 
-    d = docs(spark, texts)
-    spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    for name, stage in corpus_pipeline.STAGES[1:4]:
+    clean = [None if t is None else t.replace("idiot", "beta") for t in texts]
+    d = docs(spark, clean + [f"shut up you idiot, {t}" for t in texts[:30]])
+    spark.createDataFrame([(i, int(i >= len(clean))) for i in range(len(clean) + 30) if i % 9], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
         d = stage(spark, d, str(tmp_path))
         assert d.columns == docs(spark, []).columns, name
     assert corpus_pipeline.STAGES[4][1](spark, d, str(tmp_path)).count() > 0

@@ -166,3 +166,76 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     made = [html.extract(pages), topk.top(vectors, vectors["vec_id"] % 20 == 0), packing.pack(none), simhash.near_duplicates(none), simhash.distinct_documents(none), pii.personal_data(none), fingerprint.fingerprints(none), lm.score(none.select("doc_id", "text"), none["doc_id"] > 0), toxicity.toxicity(none, labels), langid.identify(none, langid.fold("doc_id", 3) != 1)]
     assert [m.count() for m in made] == [0] * len(made)
+
+
+@pytest.mark.parametrize("page, kept, gone", [
+    ("<body><article><p>Hi.</p></article><div><p>" + "A longer paragraph, with words, beside it. " * 9 + "</p></div></body>", "Hi.", "beside"),
+    (f'<main>{PARAGRAPH * 4}<div class="responses"><div class="r"><span class="author">Jo</span><p>' + "I like it, really. " * 40 + "</p></div></div></main>", "Sentence", "like"),
+    (f"<article>{PARAGRAPH * 9}<ol>" + "".join(f'<li><b class="user">{n}</b><time>1</time><p>I like it, really.</p></li>' for n in "abc") + "</ol></article>", "Sentence", "like"),
+    (f'<article>{PARAGRAPH * 9}<section class="discussion"><h2>Discussion</h2><p>What we like, in short.</p></section></article>', "like", "nothing"),
+    (f'<aside><article>{PARAGRAPH}</article></aside><main><p>The text, that counts.</p></main>', "counts", "Sentence"),
+    (f"<main><h1>T</h1><ul>" + "".join(f"<li><time>{n}</time><p>Event {n}, with words, in order.</p></li>" for n in range(9)) + "</ul></main>", "Event 8", "nothing"),
+])
+def test_marked_articles_win_and_discussions_go(page, kept, gone):
+    text = html.main_text(page)
+    assert kept in text and gone not in text
+
+
+# 9
+
+
+def test_scores_are_the_networks_window_by_window():
+    # Word by word in plain Python: inputs, both recurrent passes, attention, the highest window.
+    net = toxicity.Network(3)
+    net.calibration = (1.3, -0.2)
+    p, n = {k: v.astype(float) for k, v in net.p.items()}, toxicity.STATE
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def state(inputs, side):
+        h, out = np.zeros(n), []
+        for x in inputs:
+            g, hu = x @ p["w" + side] + p["c" + side], h @ p["u" + side]
+            z, r = sigmoid(g[:n] + hu[:n]), sigmoid(g[n : 2 * n] + hu[n : 2 * n])
+            h = h + z * (np.tanh(g[2 * n :] + r * hu[2 * n :]) - h)
+            out.append(h)
+        return out
+
+    def whole(text):
+        words, tops = toxicity.WORD.findall((text or "").lower()), []
+        for start in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            rows = [toxicity.features(w) for w in words[start : start + toxicity.WINDOW]]
+            inputs = [p["table"][r[0]] + p["table"][r[1:]].mean(axis=0) for r in rows]
+            pooled = np.zeros(2 * n)
+            if inputs:
+                h = np.array([np.concatenate(x) for x in zip(state(inputs, "f"), state(inputs[::-1], "b")[::-1], strict=True)])
+                weight = np.exp(h @ p["a"])
+                pooled = weight @ h / weight.sum()
+            tops.append(pooled @ p["v"] + p["b"][0])
+        return sigmoid(1.3 * max(tops) - 0.2)
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["alpha", "same", "same", "x", "naïve", "y" * 60]) for _ in range(k)) for k in (1, 12, 13, 47, 48, 49, 84, 85, 400)] + [None, "", "same " * 200, "..."]
+    assert np.allclose(toxicity.Scorer(net).scores(texts), [whole(t) for t in texts], atol=1e-5)
+
+
+def test_toxicity_without_labels_and_with_clashing_columns(spark):
+    d = docs(spark, ["one two", "three", None]).withColumnRenamed("n_chars", "doc").withColumnRenamed("_good", "predicted")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert [r["predicted"] for r in toxicity.toxicity(d, none).collect()] == [0, 0, 0]
+    assert toxicity.without_toxic(d, none).columns == d.columns
+
+
+# 10
+
+
+def test_sample_is_the_least_hashes(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 7)
+    rows = spark.createDataFrame([(lang, f"{lang} {k % 40}") for lang in ("a", "b", "c") for k in range(90 if lang != "c" else 3)], "lang string, text string")
+    from pyspark.sql import functions as F
+
+    every = rows.withColumn("h", F.xxhash64("text")).distinct().collect()
+    want = {(lang, r["text"]) for lang in "abc" for r in sorted((x for x in every if x["lang"] == lang), key=lambda x: x["h"])[:7]}
+    for lead in (1, 4, 16):
+        monkeypatch.setattr(langid, "LEAD", lead)
+        got = [tuple(x) for x in langid.sampled(rows).collect()]
+        assert len(got) == len(want) and set(got) == want

@@ -1,10 +1,13 @@
-"""Gradient-boosted trees: fitted in numpy on a bounded sample, scored as Spark SQL."""
+"""Gradient-boosted trees: fitted in numpy on a bounded sample, walked in Spark SQL."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -65,18 +68,41 @@ class Boosted:
         a, b = self.calibration
         return 1 / (1 + np.exp(-(a * self.margin(x) + b)))
 
-    def sql(self, names: list[str]) -> str:
-        """The calibrated probability as SQL over the features' names."""
-
-        def walk(node) -> str:
-            if not isinstance(node, tuple):
-                return f"{node!r}D"
-            k, cut, low, high = node
-            return f"(CASE WHEN {names[k]} <= {cut!r}D THEN {walk(low)} ELSE {walk(high)} END)"
-
+    def columns(self, name: str) -> dict[str, Column]:
+        """The trees as constant columns ``<name>_...``, each as one JSON array that Spark
+        reads when it plans: feature, cut and value by tree and place, where a place's
+        children have twice its number (and one more), from 1 on. A leaf above the last level
+        goes on below itself."""
+        inner, leaves = 1 << self.depth, 1 << self.depth
+        feature, cut, value = np.zeros((len(self.grown), inner), int), np.zeros((len(self.grown), inner)), np.zeros((len(self.grown), leaves))
+
+        def lay(t: int, node, place: int) -> None:
+            if place >= inner:
+                value[t, place - inner] = node
+                return
+            k, at, low, high = node if isinstance(node, tuple) else (0, 0.0, node, node)
+            feature[t, place], cut[t, place] = k, at
+            lay(t, low, 2 * place)
+            lay(t, high, 2 * place + 1)
+
+        for t, tree in enumerate(self.grown):
+            lay(t, tree, 1)
         a, b = self.calibration
-        total = " + ".join([f"{self.base!r}D", *map(walk, self.grown)])
-        return f"1 / (1 + exp(-({a!r}D * ({total}) + {b!r}D)))"
+        constant = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<{kind}>")
+        return {
+            f"{name}_feature": constant(feature.ravel().tolist(), "int"), f"{name}_cut": constant(cut.ravel().tolist(), "double"), f"{name}_value": constant(value.ravel().tolist(), "double"),
+            f"{name}_size": constant([len(self.grown), self.depth, inner], "int"), f"{name}_scale": constant([self.base, a, b], "double"),
+        }
+
+    @staticmethod
+    def walk(x: str, name: str) -> str:
+        """SQL of the calibrated probability of the features in the array ``x``, by the columns
+        that :meth:`columns` gives."""
+        of = lambda part, i: f"get({name}_{part}, {i})"
+        at = f"i * {of('size', 2)}"
+        leaf = f"aggregate(sequence(1, {of('size', 1)}), 1, (n, d) -> 2 * n + if(get({x}, {of('feature', f'{at} + n')}) <= {of('cut', f'{at} + n')}, 0, 1))"
+        total = f"aggregate(sequence(0, {of('size', 0)} - 1), {of('scale', 0)}, (t, i) -> t + {of('value', f'{at} + {leaf} - {of("size", 2)}')})"
+        return f"(1 / (1 + exp(-({of('scale', 1)} * ({total}) + {of('scale', 2)}))))"
 
 
 def _leaf(node, x: np.ndarray) -> np.ndarray:

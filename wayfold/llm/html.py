@@ -5,7 +5,8 @@ length and commas) to its ancestors, fewer the further up; a container's points
 discounted by its share of link text. The best container is kept, and those of its siblings
 that look like content. Elements that are never content (menus, forms, comments of readers,
 and what their class names say is boilerplate) are left out, but for those that hold the
-article or, where only a class name speaks, most of the text.
+article or, where only a class name speaks, most of the text. Where the page marks an
+article (or else its main part), containers outside it are not considered.
 
 A page is read once from start to end, whatever its markup, and no step recurses.
 """
@@ -31,6 +32,8 @@ BLOCKS = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("div section article main body html td form".split())
 ARTICLES = frozenset(["article", "main"])
+#: Elements beside the main part: an article in one of them is a teaser if any stands elsewhere.
+BESIDE = frozenset("nav footer aside menu dialog".split())
 #: Elements that a start tag ends, if they are open within the nearest of its limits.
 ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "thead tbody tr td th", "tfoot": "tbody tr td th"}
 LIMITS = frozenset("table ul ol dl select div article section body html aside nav footer main".split())
@@ -47,7 +50,12 @@ BOILER = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs topbar masthead footer social share sharing disqus respond newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar copyright".split()
 )
-COMMENTS = frozenset("comment comments commentlist commentform reply replies disqus".split())
+COMMENTS = frozenset("comment comments commentlist commentform reply replies disqus kommentar kommentare commentaire commentaires comentario comentarios".split())
+# Names that may be comments or a part of the article: comments if items in them have an author or a date.
+TALK = frozenset("response responses discussion discussions thread threads feedback reaction reactions opinions talk guestbook conversation".split())
+# Words of class names, and elements, that mark an author and a date.
+AUTHORS = frozenset("author authors user username nickname nick byline avatar commenter poster by".split())
+DATES = frozenset("date time timestamp datetime posted ago published when".split())
 LISTED = frozenset("related recommended more".split())
 LINKED = frozenset("posts post articles article stories story links content items news reading videos products entries".split())
 LAYOUT = frozenset("has with without no non not free layout wrapper page main body content container enabled".split())
@@ -59,21 +67,23 @@ SPACE = re.compile(r"\s+")
 class Node:
     """An element: its children and the text that stands between them."""
 
-    __slots__ = ("above", "attributes", "commas", "good", "holds", "links", "name", "out", "parent", "parts", "points", "size", "total", "total_links", "within")
+    __slots__ = ("above", "attributes", "beside", "commas", "good", "holds", "links", "marks", "name", "out", "parent", "parts", "points", "size", "total", "total_links", "within")
 
     def __init__(self, name: str, parent: Node | None, attributes: str = "") -> None:
         self.name, self.parent, self.attributes, self.parts = name, parent, attributes, []
         # The nearest block above, and whether an article stands above.
         self.above = None if parent is None else parent if parent.name in BLOCKS else parent.above
         self.within = parent is not None and (parent.within or parent.name in ARTICLES)
+        self.beside = name in BESIDE or (parent is not None and parent.beside)
         self.size = self.links = self.commas = self.total = self.total_links = 0
-        self.points, self.good, self.holds, self.out = 0.0, False, False, False
+        self.points, self.good, self.holds, self.out, self.marks = 0.0, False, False, False, 0
 
 
-def spoken(attributes: str) -> tuple[bool, bool, bool, bool]:
+def spoken(attributes: str) -> tuple[bool, bool, bool, bool, bool, int]:
     """What attributes say: hidden, boilerplate by role or class name, readers' comments,
-    and content by class name."""
-    hidden = boiler = comments = good = False
+    content by class name, talk (comments perhaps), and marks of an author (1) and a date (2)."""
+    hidden = boiler = comments = good = talk = False
+    marks = 0
     for key, value in NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
@@ -84,13 +94,15 @@ def spoken(attributes: str) -> tuple[bool, bool, bool, bool]:
             good = good or GOOD.search(value) is not None
             for name in value.split():
                 parts = [p.lower() for p in PARTS.split(name) if p]
+                marks |= (not AUTHORS.isdisjoint(parts)) | 2 * (not DATES.isdisjoint(parts))
                 if not parts or LAYOUT.intersection(parts):
                     continue
                 ends = {parts[0], parts[-1]}
                 comments = comments or not ends.isdisjoint(COMMENTS)
+                talk = talk or not ends.isdisjoint(TALK)
                 listed = parts[0] in LISTED and (len(parts) == 1 or parts[1] in LINKED)
                 boiler = boiler or comments or not ends.isdisjoint(BOILER) or (listed and parts != ["more"]) or (parts[-1] == "header" and parts[0] == "site")
-    return hidden, boiler, comments, good
+    return hidden, boiler, comments, good, talk, marks
 
 
 class Tree:
@@ -222,26 +234,62 @@ def measure(nodes: list[Node]) -> None:
         up.total_links += node.total if up.name == "a" else node.total_links
 
 
+def discussions(nodes: list[Node], said: list[tuple]) -> set[int]:
+    """Numbers of the elements that are readers' comments by their structure: at least half
+    of their text stands in like children (of one element and class, none an article), two or more of
+    which each have an author and a date. With a name that fits, one child and one of both
+    marks do."""
+    for node, (*_, marks) in zip(nodes, said, strict=True):
+        node.marks = marks | (node.name in ("cite", "address")) | 2 * (node.name == "time")
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.marks |= node.marks
+    found = set()
+    for k, (node, (*_, talk, _)) in enumerate(zip(nodes, said, strict=True)):
+        if node.parent is None or node.name in ("html", "body") or node.name in ARTICLES or not (talk or node.marks == 3):
+            continue
+        like: dict[tuple[str, str], list[Node]] = {}
+        for part in node.parts:
+            if not isinstance(part, str) and (part.marks if talk else part.marks == 3) and (talk or part.name not in ARTICLES):
+                like.setdefault((part.name, part.attributes.split("id=")[0]), []).append(part)
+        items = max(like.values(), key=len, default=[])
+        if len(items) >= (1 if talk else 2) and 2 * sum(x.total for x in items) >= node.total > 0:
+            found.add(k)
+    return found
+
+
 def leave_out(nodes: list[Node]) -> None:
     """Marks what is never content as ``out``, with all below it."""
-    said = [spoken(n.attributes) if n.attributes else (False,) * 4 for n in nodes]
-    for node, (_, _, comments, good) in zip(nodes, said, strict=True):
+    said = [spoken(n.attributes) if n.attributes else (False,) * 5 + (0,) for n in nodes]
+    measure(nodes)
+    talk, whole = discussions(nodes, said), nodes[0].total
+    # By structure alone only what is the smaller part of a page that marks its article.
+    marked = any(n.name in ARTICLES for n in nodes)
+    read = [s[2] or (k in talk and (s[4] or (marked and 2 * nodes[k].total < whole))) for k, s in enumerate(said)]
+    inside = [False] * len(nodes)
+    number = {id(n): k for k, n in enumerate(nodes)}
+    for k, node in enumerate(nodes):
+        inside[k] = read[k] or (node.parent is not None and inside[number[id(node.parent)]])
+    for node, (_, _, _, good, _, _), comments in zip(nodes, said, inside, strict=True):
         node.good = node.name in ARTICLES or good
         node.holds = node.name in ARTICLES and not comments
+    if any(n.holds and not n.beside for n in nodes):
+        for node in nodes:
+            node.holds = node.holds and not node.beside
     for node in reversed(nodes):
         if node.parent is not None and node.holds:
             node.parent.holds = True
-    for node, (hidden, _, _, _) in zip(nodes, said, strict=True):
+    for node, (hidden, *_) in zip(nodes, said, strict=True):
         by_name = (node.name in DROPPED and not node.holds) or (node.name == "header" and not node.within and not node.holds)
         node.out = node.parent is not None and (node.parent.out or hidden or by_name)
     measure(nodes)
     # A class name alone does not drop most of a text, unless an article stands elsewhere.
     most = math.inf if nodes[0].holds else nodes[0].total / 2
-    for node, (_, boiler, comments, _) in zip(nodes, said, strict=True):
+    for node, (_, boiler, *_), comments in zip(nodes, said, read, strict=True):
         if node.parent is None or node.out:
             continue
         fixed = node.name in ("html", "body") or node.holds
-        by_class = boiler and not fixed and (comments or node.total < most) and (comments or node.name not in ARTICLES)
+        by_class = (boiler or comments) and not fixed and (comments or node.total < most) and (comments or node.name not in ARTICLES)
         node.out = node.parent.out or by_class or (node.name == "form" and not node.holds and node.total < most)
     measure(nodes)
 
@@ -265,6 +313,15 @@ def choose(tree: Tree) -> list[Node]:
     scored = [n for n in blocks if id(n) in rated]
     if not scored:
         return [nodes[0]]
+    # What the page marks wins over all that stands outside: an article, else the main part.
+    for name in ("article", "main"):
+        marked = {id(n) for n in nodes if n.name == name and not n.out and not n.beside}
+        for n in nodes if marked else []:
+            if n.parent is not None and id(n.parent) in marked:
+                marked.add(id(n))
+        if own := [n for n in scored if id(n) in marked]:
+            scored = own
+            break
     best = max(scored, key=lambda n: rated[id(n)])
     top, up = rated[id(best)], best
     while up is not None and up.name not in ARTICLES:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.shared import small
+from wayfold.llm.shared import keep, shared_folder, small
 
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
@@ -22,6 +22,8 @@ SIZES = (1, 2, 3)
 SAMPLE = 1500
 #: Languages that a model may have; bounds the broadcast (128 MB at the most).
 LANGUAGES = 1024
+#: Leading bits of a text's hash by which the texts of a language are counted.
+LEAD = 16
 SMOOTH = 0.5
 UNKNOWN = "und"
 #: Code points of a block, and log-probabilities that a block may gather at once.
@@ -74,10 +76,20 @@ def grams(texts: list[str], most: int = _CHUNK) -> Iterator[tuple[np.ndarray, np
 
 def sampled(rows: DataFrame) -> DataFrame:
     """Of ``lang``, ``text`` at most ``SAMPLE`` different texts of each language, in order of
-    their hash: copies count once. Only hashes are ranked."""
+    their hash: copies count once.
+
+    Only hashes are ranked, and no task ranks a language: counts by the leading bits of the
+    hash tell up to which of them the sample reaches, and what is ranked lies below that.
+    """
     rows = rows.withColumn("h", F.xxhash64("text"))
+    hashes = keep(rows.select("lang", "h").distinct(), shared_folder(rows.sparkSession), "hashes")
+    lead = F.shiftright("h", 64 - LEAD)
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("lead"))  # at most 2^LEAD rows a language
+    ranges = hashes.groupBy("lang", lead.alias("lead")).agg(F.count("*").alias("n")).withColumn("before", upto - F.col("n"))
+    last = ranges.where(F.col("before") < SAMPLE).groupBy("lang").agg(F.max("lead").alias("last"))
+    near = hashes.join(F.broadcast(last), "lang").where(lead <= F.col("last"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= SAMPLE).select("lang", "h")
+    chosen = near.withColumn("place", place).where(F.col("place") <= SAMPLE).select("lang", "h")
     return rows.join(small(chosen, SAMPLE * LANGUAGES), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
 

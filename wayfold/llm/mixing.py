@@ -139,10 +139,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, carry:
     folder = shared_folder(spark)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("s"), "source"))
-    salts = max(1, math.ceil(docs.count() / PER_SALT))
-    hashed = F.xxhash64("doc_id")
     doc = F.struct(*carry) if carry else F.struct("*")
-    sized = docs.select(doc.alias("doc"), size.alias("size"), key.alias("key"), F.pmod(hashed, F.lit(salts)).alias("salt"), hashed.alias("hash"))
+    # Written once: whatever plan made ``docs`` runs a single time.
+    sized = keep(docs.select(doc.alias("doc"), size.alias("size"), key.alias("key"), F.xxhash64("doc_id").alias("hash")), folder, "sized")
+    salts = max(1, math.ceil(sized.count() / PER_SALT))
+    sized = sized.withColumn("salt", F.pmod("hash", F.lit(salts)))
     groups = keep(sized.groupBy("key", "size", "salt").agg(F.count("*").alias("n")), folder, "groups")
     cells = keep(groups.groupBy("key", "size").agg(F.sum("n").alias("n")), folder, "cells")
     wanted = targets(cells, weights, share, folder)

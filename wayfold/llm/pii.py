@@ -177,12 +177,12 @@ def _candidates(texts: DataFrame, patterns: dict[str, str], prefix: str, guard:
     return made.withColumns({n: F.expr(f"filter({n}, c -> {_valid(k, 'c.m')})") for k, n in names.items()}) if guard else made
 
 
-def _scored(kind: str, column: str, model: Boosted) -> Column:
-    """Candidates of a kind with their probability: the features first, as fields, so that
-    the trees compare fields."""
-    fields = ", ".join(f"{sql} AS {name}" for name, sql in _features(kind).items())
-    rated = f"transform({column}, c -> struct(c.start AS start, c.stop AS stop, struct({fields}) AS f))"
-    return F.expr(f"transform({rated}, c -> struct(c.start AS start, c.stop AS stop, {model.sql(['c.f.' + n for n in FEATURES])} AS p))")
+def _accepted(kind: str, column: str, limit: float) -> Column:
+    """Places of the candidates of a kind that reach its threshold. The features come first,
+    as an array; the trees, in the columns ``_tree_...``, walk over it."""
+    rated = f"transform({column}, c -> struct(c.start AS start, c.stop AS stop, array({', '.join(_features(kind).values())}) AS x))"
+    place = f"named_struct('kind', {KINDS.index(kind)}, 'start', c.start, 'stop', c.stop)"
+    return F.expr(f"CASE WHEN size({column}) > 0 THEN transform(filter({rated}, c -> {Boosted.walk('c.x', '_tree')} >= {limit!r}D), c -> {place}) ELSE cast(array() AS array<{_PLACE}>) END")
 
 
 def _example(r: random.Random) -> tuple[int, str]:
@@ -243,7 +243,7 @@ def examples(spark: SparkSession, seed: int, many: int = EXAMPLES) -> tuple[np.n
     rows = rows.select("at", F.substring("line", 1, 1).cast("int").alias("label"), F.expr("substr(line, 3)").alias("text"))
     made = _candidates(rows, PROPOSED, "p", guard=False)
     parts = [F.expr(f"transform(p_{k}, c -> array({', '.join(_features(k).values())}))") for k in KINDS]
-    found = made.select("at", "label", F.explode(F.concat(*parts)).alias("x")).collect()
+    found = made.select("at", "label", F.explode(F.concat(*parts)).alias("x")).collect()  # as many as examples give
     found.sort(key=lambda row: (row["at"], row["x"]))
     return np.array([row["x"] for row in found]), np.array([float(row["label"]) for row in found]), np.array([row["at"] for row in found])
 
@@ -272,8 +272,8 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     made = _candidates(_candidates(rows, BASE, "b", guard=True), PROPOSED, "p", guard=False)
     place = lambda k, c: f"named_struct('kind', {k}, 'start', {c}.start, 'stop', {c}.stop)"
     base = "concat(" + ", ".join(f"transform(b_{kind}, c -> {place(k, 'c')})" for k, kind in enumerate(KINDS)) + ")"
-    made = made.withColumns({f"p_{kind}": _scored(kind, f"p_{kind}", model) for kind in KINDS}).withColumn("base", F.expr(base)).withColumn("taken", F.col("base"))
-    made = made.withColumns({f"p_{kind}": F.expr(f"transform(filter(p_{kind}, c -> c.p >= {limits[kind]!r}D), c -> {place(k, 'c')})") for k, kind in enumerate(KINDS)})
+    made = made.withColumns(model.columns("_tree") | {"base": F.expr(base), "taken": F.expr(base)})
+    made = made.withColumns({f"p_{kind}": _accepted(kind, f"p_{kind}", limits[kind]) for kind in KINDS})
     for kind in KINDS:
         made = _free(made, "taken", f"p_{kind}").withColumn("taken", F.expr(f"concat(taken, p_{kind})"))
     return made.select("doc", "text", "base", F.array_sort("taken").alias("spans"))

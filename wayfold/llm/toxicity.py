@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +40,8 @@ TASKS = 24
 
 
 def split(text: str | None) -> list[str]:
-    """Words in lower case; a word said several times in a row counts once."""
-    return [w for w, _ in groupby(WORD.findall((text or "").lower()))]
+    """All words in lower case."""
+    return WORD.findall((text or "").lower())
 
 
 def window_count(words: int) -> int:
