@@ -1 +1 @@
-"""Dead-reckoning engines: motion samples to places. :mod:`wayfold.engines.registry` runs them."""
+"""Engines that turn motion samples into places. :mod:`wayfold.engines.registry` runs them."""

@@ -1,4 +1,4 @@
-"""Pedestrian dead reckoning: window expressions around one fold.
+"""Pedestrian navigation by steps: window expressions around one fold.
 
 Only two parts need a fold, as their order matters: the product of small rotations and the
 low-pass that stands in for gravity. Steps, biases, headings, places and speeds are window

@@ -129,7 +129,7 @@ def rates(df: DataFrame, keys: list[str], time_ms: str, width_ms: int = 1000) ->
 
 
 def strapdown(df: DataFrame, keys: list[str], order: list, dt: str, east: str, north: str) -> DataFrame:
-    """Baseline dead reckoning: world accelerations summed to velocity, then to place.
+    """Baseline inertial navigation: world accelerations summed to velocity, then to place.
     Adds ``vel_east``, ``vel_north``, ``x_east``, ``y_north`` and ``confidence_m``."""
     w = _sofar(keys, order)
     made = df.withColumns({"vel_east": F.sum(F.col(east) * F.col(dt)).over(w), "vel_north": F.sum(F.col(north) * F.col(dt)).over(w)})
