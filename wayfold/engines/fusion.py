@@ -6,6 +6,7 @@ import numpy as np
 
 from wayfold.engines import fixes, snapping
 from wayfold.engines.arrays import GRAVITY, columns, compass, rotation, stepped, turned, yaw
+from wayfold.operators import folds
 
 # Fixed values of the filters: shares per sample, seconds, metres a second, degrees a second.
 LOW_PASS, GYRO_PASS, YAW_PASS, ANCHOR, BIAS_PASS, MOUNT_PASS = 0.25, 0.1, 0.05, 0.02, 0.05, 0.08
@@ -18,11 +19,12 @@ FORWARD, BRAKE, COAST = 4.5, 6.5, 0.15
 
 
 def start(many: int) -> dict:
-    zero = "elapsed acc_mag gyro_low yaw_rate offset forward side ve vn fve fvn gyro_heading dominant heading bias_e bias_n still x y route_s mean seen confidence out_x out_y".split()
-    no = "lp_on gyro_on mounted dominant_on latched stationary off_line".split()
+    zero = "elapsed acc_mag gyro_low yaw_rate offset forward side ve vn fve fvn gyro_heading dominant heading bias_e bias_n still x y route_s mean seen confidence out_x out_y since".split()
+    no = "lp_on gyro_on mounted dominant_on latched stationary off_line told frozen too_fast".split()
     s = {n: np.zeros(many) for n in zero} | {n: np.zeros(many, bool) for n in no}
     s |= {n: np.full(many, -1, np.int64) for n in ("nanos", "fix_ms")} | {n: np.zeros(many, np.int64) for n in ("streak", "rejects", "steps", "zupts")}
-    s |= {"yaw_before": np.full(many, np.nan), "lat_lon": np.zeros((many, 2)), "lp": np.zeros((many, 3)), "memory": np.array([snapping.Memory() for _ in range(many)] + [None], object)[:-1]}
+    s |= {n: np.full(many, np.nan) for n in ("yaw_before", "stood_e", "stood_n")}
+    s |= {"lat_lon": np.zeros((many, 2)), "lp": np.zeros((many, 3)), "memory": np.array([snapping.Memory() for _ in range(many)] + [None], object)[:-1]}
     return s | {"mode": np.full(many, "FREE", object), "out_v": np.zeros((many, 2)), "out_heading": np.zeros(many)}
 
 
@@ -34,10 +36,7 @@ def seed(s: dict, r: dict) -> None:
     s["gyro_on"], s["dominant_on"] = np.ones(len(heading), bool), np.ones(len(heading), bool)
     s["forward"], s["ve"], s["vn"] = speed, speed * np.sin(np.radians(heading)), speed * np.cos(np.radians(heading))
     s["fve"], s["fvn"] = s["ve"].copy(), s["vn"].copy()
-    for k, points in enumerate(r.get("route", [None] * len(heading))):
-        if points is not None and len(points) > 1:
-            east, north = fixes.local({"lat_lon": s["lat_lon"][[k] * len(points)]}, *np.array([list(p) for p in points], float).T)
-            s["memory"][k].line = snapping.Line(np.stack([east, north], axis=1))
+    snapping.begin(s, r)
 
 
 def fix(s: dict, r: dict) -> None:
@@ -62,7 +61,7 @@ def fix(s: dict, r: dict) -> None:
     s["out_x"], s["out_y"] = np.where(take, s["x"], s["out_x"]), np.where(take, s["y"], s["out_y"])
 
 
-def sample(s: dict, r: dict, snapper=None) -> dict:
+def sample(s: dict, r: dict, roads=None) -> dict:
     """One motion sample; the steps keep the order in which each uses the others' results."""
     dt = np.where(s["nanos"] < 0, 0.01, np.clip((r["t_nanos"] - s["nanos"]) / 1e9, 0.001, 0.2))
     s["nanos"], s["elapsed"] = r["t_nanos"].astype(np.int64), s["elapsed"] + dt
@@ -117,7 +116,9 @@ def sample(s: dict, r: dict, snapper=None) -> dict:
     residual = (ae * cos - an * sin - forward * rate) * np.where(turning, TURN_SHARE, 1.0)
     side = s["side"] * np.exp(-(SIDE_DAMP + np.abs(rate) * SIDE_TURN) * dt) + residual * dt
     side = np.clip(np.where(~turning & (np.abs(side) < SIDE_DEAD), 0.0, side), -SIDE_MOST, SIDE_MOST)
-    forward = np.clip(np.where((np.abs(push) < COAST) & ~step, forward * (1 - DRAG * dt), forward), 0, FASTEST)
+    forward = np.where((np.abs(push) < COAST) & ~step, forward * (1 - DRAG * dt), forward)
+    forward = np.clip(forward, 0, FASTEST)
+    s["too_fast"] = ~halt & ~np.isfinite(forward)  # bounded above, so only a broken speed fails
     forward, side = np.where(halt | ~np.isfinite(forward), 0.0, forward), np.where(halt, 0.0, side)
     ve, vn = sin * forward + cos * side, cos * forward - sin * side
     # The filtered velocity steers the dominant heading, which pulls the heading when straight.
@@ -139,12 +140,15 @@ def sample(s: dict, r: dict, snapper=None) -> dict:
     s["forward"], s["side"] = forward, side
     s["ve"], s["vn"] = sin * forward + cos * side, cos * forward - sin * side
     s["x"], s["y"] = s["x"] + s["ve"] * dt, s["y"] + s["vn"] * dt
-    ox, oy, ux, uy, s["mode"], s["off_line"] = snapping.place(s, s["x"], s["y"], s["heading"], forward, snapper)
+    ox, oy, ux, uy, s["mode"], s["off_line"] = snapping.place(s, s["x"], s["y"], s["heading"], forward, roads)
     free = np.isnan(ux)
     s["out_v"] = np.stack([np.where(free, s["ve"], ux * forward), np.where(free, s["vn"], uy * forward)], axis=1)
     s["out_x"], s["out_y"] = ox, oy
     s["out_heading"] = np.where(np.hypot(*s["out_v"].T) > 0.5, compass(np.degrees(np.arctan2(*s["out_v"].T))), s["heading"])
-    s["confidence"] = 2 + s["elapsed"] * np.where(fixes.fresh(s, r["t_ms"]), 0.05, 0.8)
+    fresh = fixes.fresh(s, r["t_ms"])
+    s["confidence"] = 2 + s["elapsed"] * np.where(fresh, 0.05, 0.8)
+    stood, s["frozen"] = folds.stood({"e": s["stood_e"], "n": s["stood_n"], "since": s["since"], "told": s["told"]}, s["elapsed"], ox, oy, forward, fresh, halt)
+    s["stood_e"], s["stood_n"], s["since"], s["told"] = (stood[n] for n in ("e", "n", "since", "told"))
     nan = np.full(len(dt), np.nan)
     return {
         "acc_mag": s["acc_mag"], "step_detected": step, "stride_length": forward * dt, "gyro_heading_rad": np.radians(s["gyro_heading"]), "mag_heading_rad": np.radians(device),

@@ -23,7 +23,7 @@ def start(many: int) -> dict:
     s = {n: np.zeros((many, 3)) for n in ("v", "p", "bias_gyro", "bias_acc", "arm")}
     s |= {"R": np.tile(I3, (many, 1, 1)), "Rc": np.tile(I3, (many, 1, 1)), "P": np.tile(np.diag(FIRST), (many, 1, 1)), "lat_lon": np.zeros((many, 2))}
     s |= {n: np.zeros(many) for n in "elapsed gyro_low still route_s mean seen slide confidence out_x out_y out_heading heading".split()}
-    s |= {n: np.zeros(many, bool) for n in "aligned latched stationary off_line too_fast".split()} | {n: np.full(many, -1, np.int64) for n in ("nanos", "fix_ms")}
+    s |= {n: np.zeros(many, bool) for n in "aligned latched stationary off_line too_fast frozen".split()} | {n: np.full(many, -1, np.int64) for n in ("nanos", "fix_ms")}
     s |= {n: np.zeros(many, np.int64) for n in ("streak", "rejects", "steps", "zupts")}
     return s | {"memory": np.array([snapping.Memory() for _ in range(many)] + [None], object)[:-1], "mode": np.full(many, "FREE", object), "out_v": np.zeros((many, 2))}
 
@@ -32,10 +32,7 @@ def seed(s: dict, r: dict) -> None:
     s["lat_lon"], heading, speed = columns(r, "lat", "lon"), np.nan_to_num(r["bearing"]), np.nan_to_num(r["speed"])
     s["R"], s["heading"], s["out_heading"] = about_up(heading), heading, heading
     s["v"] = np.stack([speed * np.sin(np.radians(heading)), speed * np.cos(np.radians(heading)), 0 * speed], axis=1)
-    for k, points in enumerate(r.get("route", [None] * len(heading))):
-        if points is not None and len(points) > 1:
-            east, north = fixes.local({"lat_lon": s["lat_lon"][[k] * len(points)]}, *np.array([list(p) for p in points], float).T)
-            s["memory"][k].line = snapping.Line(np.stack([east, north], axis=1))
+    snapping.begin(s, r)
 
 
 def fix(s: dict, r: dict) -> None:
@@ -72,9 +69,9 @@ def align(s: dict, acc: np.ndarray, q: np.ndarray) -> None:
     s["aligned"] = s["aligned"] | usable
 
 
-def propagate(s: dict, acc: np.ndarray, rate: np.ndarray, dt: np.ndarray, compat: bool = False) -> None:
+def propagate(s: dict, acc: np.ndarray, rate: np.ndarray, dt: np.ndarray) -> None:
     """State and covariance one sample on; the Jacobian uses the new attitude and the old
-    velocity and place. ``compat`` keeps a stray entry between its first two states."""
+    velocity and place."""
     d, dd = dt[:, None], dt[:, None, None]
     a = np.einsum("kij,kj->ki", s["R"], acc) - [0.0, 0.0, GRAVITY]
     before = s["v"]
@@ -83,8 +80,6 @@ def propagate(s: dict, acc: np.ndarray, rate: np.ndarray, dt: np.ndarray, compat
     by_v, by_p = skew(before) @ R, skew(s["p"] - s["v"] * d) @ R
     f, g = np.zeros((len(dt), 21, 21)), np.zeros((len(dt), 21, 18))
     f[:, 3, 1], f[:, 4, 0] = GRAVITY, -GRAVITY
-    if compat:
-        f[:, 3, 0] = GRAVITY
     f[:, POS, VEL] = I3
     f[:, VEL, ACC], f[:, ROT, GYRO], f[:, VEL, GYRO], f[:, POS, GYRO] = -R, -R, -by_v, -by_p
     g[:, ROT, 0:3], g[:, VEL, 3:6], g[:, VEL, 0:3], g[:, POS, 0:3] = R, R, by_v, by_p
@@ -115,13 +110,13 @@ def correct(s: dict, h: np.ndarray, residual: np.ndarray, variance: np.ndarray,
         s[name] = np.where(sound.reshape(-1, *[1] * (value.ndim - 1)), value, s[name])
 
 
-def sample(s: dict, r: dict, snapper=None, compat: bool = False) -> dict:
+def sample(s: dict, r: dict, roads=None) -> dict:
     dt = np.where(s["nanos"] < 0, 0.01, np.clip((r["t_nanos"] - s["nanos"]) / 1e9, 0.001, 0.2))
     s["nanos"], s["elapsed"] = r["t_nanos"].astype(np.int64), s["elapsed"] + dt
     raw, gyro = columns(r, "accel_x", "accel_y", "accel_z"), columns(r, "gyro_x", "gyro_y", "gyro_z")
     align(s, raw, columns(r, "quat_x", "quat_y", "quat_z", "quat_w"))
     rate, acc = gyro - s["bias_gyro"], raw - s["bias_acc"]
-    propagate(s, acc, rate, dt, compat)
+    propagate(s, acc, rate, dt)
     gyro_size, size = np.linalg.norm(gyro, axis=1), np.linalg.norm(raw, axis=1)
     s["gyro_low"] = s["gyro_low"] + GYRO_PASS * (gyro_size - s["gyro_low"])
     step = stepped(s, size)
@@ -151,7 +146,7 @@ def sample(s: dict, r: dict, snapper=None, compat: bool = False) -> dict:
     s["R"] = np.where((turn % 100 == 0)[:, None, None], orthonormal(s["R"]), s["R"])
     s["Rc"] = np.where((turn % 1000 == 0)[:, None, None], orthonormal(s["Rc"]), s["Rc"])
     s["heading"] = yaw(s["R"])
-    s["out_x"], s["out_y"], _, _, s["mode"], s["off_line"] = snapping.place(s, s["p"][:, 0].copy(), s["p"][:, 1].copy(), s["heading"], speed, snapper)
+    s["out_x"], s["out_y"], _, _, s["mode"], s["off_line"] = snapping.place(s, s["p"][:, 0].copy(), s["p"][:, 1].copy(), s["heading"], speed, roads)
     s["out_v"], s["out_heading"] = s["v"][:, :2], s["heading"]
     s["too_fast"] = ~np.isfinite(speed) | (speed > TOO_FAST)
     s["confidence"] = 2 + s["elapsed"] * np.where(fixes.fresh(s, r["t_ms"]), 0.05, 0.8)

@@ -1,6 +1,6 @@
 """Matching of an engine's place to a planned route, its own trail and the road network.
 
-A session's route and trail are its own arrays; a match is (east, north, unit east, unit
+A session's route and trail are its own arrays; the network is shared (see ``roads``). A match is (east, north, unit east, unit
 north) or None. The three matchers are tried in that order and never change the raw place.
 """
 
@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
+from wayfold.engines.arrays import EQUATOR
+from wayfold.engines.roads import FIELDS, Roads
+
 # Gates in metres and seconds, shares and weights.
 ROUTE_GATE, ROUTE_BACK, ROUTE_AHEAD = 25.0, 5.0, 100.0
 TRAIL_GAP, TRAIL_POINTS, TRAIL_SPEED, TRAIL_GATE, TRAIL_ALIGN, TRAIL_WEIGHT = 2.0, 2000, 1.0, 20.0, 0.5, 10.0
@@ -78,6 +81,8 @@ class Memory:
 
     def __init__(self) -> None:
         self.line: Line | None = None
+        self.points: np.ndarray | None = None  # of the route, lat and lon
+        self.roads: Roads | None = None  # a network of its own
         self.trail: list[tuple[float, float]] = []
         self.recent: list[tuple[float, float]] = []
         self.edge = self.road = None
@@ -121,38 +126,97 @@ class Memory:
         self.reversed = bool(self.edge[4])
         return found
 
-    def on_road(self, x: float, y: float, heading: float, elapsed: float, snapper):
-        """``snapper(x, y, heading)`` gives an edge and its distance, or None."""
-        if snapper is None:
-            return None
-        if self.road is None or np.hypot(x - self.asked_road[0], y - self.asked_road[1]) > ROAD_AGAIN_M or elapsed - self.asked_road[2] > ROAD_AGAIN_S:
-            self.asked_road, found = (x, y, elapsed), snapper(x, y, heading)
-            if found is None or found[4] > ROAD_GATE:
-                self.road = None
-            elif np.hypot(found[2] - found[0], found[3] - found[1]) > SHORT_EDGE:
-                self.road = found
-        matched = on_edge(self.road, x, y, ROAD_GATE, heading) if self.road else None
+    def road_due(self, x: float, y: float, elapsed: float) -> bool:
+        """Whether the network has to be asked: without an edge, or after a way or a time."""
+        return self.road is None or np.hypot(x - self.asked_road[0], y - self.asked_road[1]) > ROAD_AGAIN_M or elapsed - self.asked_road[2] > ROAD_AGAIN_S
+
+    def road_told(self, x: float, y: float, elapsed: float, edge: np.ndarray | None) -> None:
+        """The answer (both ends, east and north, and the distance), or None. An edge that is
+        too short leaves the last one."""
+        self.asked_road = (x, y, elapsed)
+        if edge is None or not edge[4] <= ROAD_GATE:
+            self.road = None
+        elif np.hypot(edge[2] - edge[0], edge[3] - edge[1]) > SHORT_EDGE:
+            self.road = edge
+
+    def on_road(self, x: float, y: float, heading: float):
+        matched = on_edge(self.road, x, y, ROAD_GATE, heading) if self.road is not None else None
         self.road = self.road if matched else None
         return matched
 
 
-def place(s: dict, x, y, heading, speed, snapper) -> tuple[np.ndarray, ...]:
+def set_route(s: dict, k: int, points) -> None:
+    """A session's route by its points (lat, lon); fewer than two clear it. Progress starts
+    over, and the points stay for a new start elsewhere."""
+    memory, s["route_s"][k] = s["memory"][k], 0.0
+    memory.points = None if points is None or len(points) < 2 else np.array([list(p) for p in points], float)
+    memory.line = None
+    if memory.points is not None:
+        lat0, lon0 = s["lat_lon"][k]
+        east = np.radians(memory.points[:, 1] - lon0) * EQUATOR * np.cos(np.radians(lat0))
+        memory.line = Line(np.stack([east, np.radians(memory.points[:, 0] - lat0) * EQUATOR], axis=1))
+
+
+def begin(s: dict, r: dict) -> None:
+    """Route and network of sessions that begin, or begin anew: then what they had stays
+    unless the row brings its own."""
+    many = len(s["memory"])
+    for k, (points, edges) in enumerate(zip(r.get("route", [None] * many), r.get("roads", [None] * many), strict=True)):
+        memory = s["memory"][k]
+        if edges is not None and len(edges):
+            memory.roads = Roads({n: np.array([e[i] for e in edges]) for i, n in enumerate(FIELDS)})
+        set_route(s, k, memory.points if points is None else points)
+
+
+def kept(memory: Memory) -> Memory:
+    """What a session takes along when it begins anew."""
+    new = Memory()
+    new.points, new.roads = memory.points, memory.roads
+    return new
+
+
+def ask_roads(s: dict, asked: list[int], x, y, heading, roads) -> None:
+    """Asks the network, that of all sessions or a session's own, for those that are due."""
+    due = [k for k in asked if s["memory"][k].road_due(x[k], y[k], s["elapsed"][k])]
+    shared = [k for k in due if s["memory"][k].roads is None and roads is not None]
+    for group, index in [(shared, roads), *(([k], s["memory"][k].roads) for k in due if s["memory"][k].roads is not None)]:
+        if not group:
+            continue
+        lat0, lon0 = s["lat_lon"][group].T
+        wide = EQUATOR * np.cos(np.radians(lat0))
+        found = index.snap(lat0 + np.degrees(y[group] / EQUATOR), lon0 + np.degrees(x[group] / wide), heading[group])
+        ends = np.stack([np.radians(found[:, 1] - lon0) * wide, np.radians(found[:, 0] - lat0) * EQUATOR, np.radians(found[:, 3] - lon0) * wide, np.radians(found[:, 2] - lat0) * EQUATOR, found[:, 4]], axis=1)
+        for k, edge in zip(group, ends, strict=True):
+            s["memory"][k].road_told(x[k], y[k], s["elapsed"][k], None if np.isnan(edge[4]) else edge)
+
+
+def place(s: dict, x, y, heading, speed, roads=None) -> tuple[np.ndarray, ...]:
     """Output place, direction (NaN if free) and mode of each session; ``s`` holds ``memory``,
-    ``route_s``, ``elapsed`` and ``stationary``. A driven place joins the trail."""
+    ``route_s``, ``elapsed`` and ``stationary``. A driven place joins the trail. ``roads`` is the
+    network of all sessions (:class:`wayfold.engines.roads.Roads`), if there is one."""
     out_x, out_y, ux, uy = x.copy(), y.copy(), np.full(len(x), np.nan), np.full(len(x), np.nan)
     mode, off_line = np.where(s["stationary"], "ZUPT", "FREE").astype(object), np.zeros(len(x), bool)
+    asked = []
+
+    def take(k: int, found: tuple, name: str) -> None:
+        out_x[k], out_y[k], ux[k], uy[k] = found[:4]
+        mode[k] = name
+
     for k, memory in enumerate(s["memory"]):
         memory.moved(x[k], y[k])
         found = memory.line.match(x[k], y[k], s["route_s"][k]) if memory.line else None
         off_line[k] = memory.line is not None and found is None
         if found is not None:
-            s["route_s"][k], mode[k] = found[4], "ROUTE"
+            s["route_s"][k] = found[4]
+            take(k, found, "ROUTE")
         elif (found := memory.on_trail(x[k], y[k], heading[k], speed[k], s["elapsed"][k])) is not None:
-            mode[k] = "TRAIL-REV" if memory.reversed else "TRAIL"
-        elif (found := memory.on_road(x[k], y[k], heading[k], s["elapsed"][k], snapper)) is not None:
-            mode[k] = "AUTO"
-        if found is not None:
-            out_x[k], out_y[k], ux[k], uy[k] = found[:4]
-        if not s["stationary"][k] and speed[k] >= TRAIL_SPEED:
-            memory.keep(out_x[k], out_y[k])
+            take(k, found, "TRAIL-REV" if memory.reversed else "TRAIL")
+        elif roads is not None or memory.roads is not None:
+            asked.append(k)
+    ask_roads(s, asked, x, y, heading, roads)
+    for k in asked:
+        if (found := s["memory"][k].on_road(x[k], y[k], heading[k])) is not None:
+            take(k, found, "AUTO")
+    for k in np.flatnonzero(~s["stationary"] & (speed >= TRAIL_SPEED)):
+        s["memory"][k].keep(out_x[k], out_y[k])
     return out_x, out_y, ux, uy, mode, off_line

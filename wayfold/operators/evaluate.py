@@ -110,9 +110,3 @@ def write_csv(table: DataFrame, path: str) -> None:
 def export_name(start_ms, kind: str):
     """``session_<yyyyMMdd_HHmmss>_<kind>.csv`` of a start time."""
     return F.concat(F.lit("session_"), F.date_format(F.timestamp_millis(F.lit(start_ms) if isinstance(start_ms, int) else start_ms), "yyyyMMdd_HHmmss"), F.lit(f"_{kind}.csv"))
-
-
-def last_rows(df: DataFrame, keys: list[str], order) -> DataFrame:
-    """The last row of each session: what a live view shows."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

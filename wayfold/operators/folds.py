@@ -190,18 +190,23 @@ def off_route(threshold_m: float = 35.0, near_m: float = 17.5, interval_ms: int
     return _start(checked=np.int64(-1), until=np.int64(-1), count=np.int64(0), ref=np.nan, ref_t=np.int64(0)), step, "session_id long, event_id long, decision string, turn_deg double"
 
 
+def stood(s: State, elapsed, east, north, speed, fresh, stationary, least_m: float = 0.5, after_s: float = 30.0, least_speed: float = 1.0) -> tuple[State, np.ndarray]:
+    """State (``e``, ``n``, ``since``, ``told``) and alert of places that should move: see ``frozen``."""
+    still = np.asarray(stationary, bool)
+    moved = (np.isnan(s["e"]) | (np.hypot(east - s["e"], north - s["n"]) > least_m)) & ~still
+    calm = still | moved
+    since = np.where(calm, elapsed, s["since"])
+    alert = ~calm & ~s["told"] & (elapsed - since > after_s) & ~np.asarray(fresh, bool) & (speed > least_speed)
+    return {"e": np.where(moved, east, s["e"]), "n": np.where(moved, north, s["n"]), "since": since, "told": (s["told"] | alert) & ~calm}, alert
+
+
 def frozen(least_m: float = 0.5, after_s: float = 30.0, least_speed: float = 1.0):
     """Alerts once if a moving session's place stays within ``least_m`` for longer than
     ``after_s`` without a fresh fix. Rows: ``elapsed_s``, ``east``, ``north``, ``speed``, ``fresh``,
     ``stationary``."""
 
     def step(s, r):
-        moved = np.isnan(s["e"]) | (np.hypot(r["east"] - s["e"], r["north"] - s["n"]) > least_m)
-        still = np.asarray(r["stationary"], bool)
-        moved, calm = moved & ~still, still | moved
-        since = np.where(calm, r["elapsed_s"], s["since"])
-        alert = ~calm & ~s["told"] & (r["elapsed_s"] - since > after_s) & ~np.asarray(r["fresh"], bool) & (r["speed"] > least_speed)
-        made = {"e": np.where(moved, r["east"], s["e"]), "n": np.where(moved, r["north"], s["n"]), "since": since, "told": (s["told"] | alert) & ~calm}
+        made, alert = stood(s, r["elapsed_s"], r["east"], r["north"], r["speed"], r["fresh"], r["stationary"], least_m, after_s, least_speed)
         return made, _named(r, alert=alert)
 
     return _start(e=np.nan, n=np.nan, since=0.0, told=False), step, "session_id long, event_id long, alert boolean"

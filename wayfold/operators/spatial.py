@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.geo import bearing_from_enu
+from wayfold.functions.geo import EQUATOR, bearing_from_enu, to_enu
 
 #: Segments of all routes that are broadcast at most; beyond it they are shuffled.
 SEGMENTS = 200_000
+#: Degrees of the cells by which graphs are looked up.
+COVER = 0.02
 
 
 def segments(points: DataFrame) -> DataFrame:
@@ -38,6 +40,39 @@ def polyline_match(points: DataFrame, lines: DataFrame) -> DataFrame:
     return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*points.columns, "m.*")
 
 
+def covering(points: DataFrame, origins: DataFrame, nodes: DataFrame, within: float = 1000.0) -> DataFrame:
+    """``points`` (``point_id, lat, lon`` and more) with every graph (``graph_id, lat0, lon0``)
+    that may have a node within ``within`` metres, ``graph_id``, ``lat0``, ``lon0``.
+
+    Each node claims the degree cells that its surroundings touch; a point looks up its own
+    cell, so points never meet all graphs. Points with unknown places are left out."""
+    lat = F.col("lat0") + F.degrees(F.col("north") / EQUATOR)
+    lon = F.col("lon0") + F.degrees(F.col("east") / (EQUATOR * F.cos(F.radians("lat0"))))
+    high = F.degrees(F.lit(within / EQUATOR))
+    wide = high / F.greatest(F.cos(F.radians(F.abs("_lat") + high)), F.lit(0.01))
+    placed = nodes.join(origins, "graph_id").select("graph_id", "lat0", "lon0", lat.alias("_lat"), lon.alias("_lon"))
+    steps = lambda c, r: F.explode(F.sequence(F.floor((F.col(c) - r) / COVER), F.floor((F.col(c) + r) / COVER)))
+    cells = placed.withColumn("_cy", steps("_lat", high)).withColumn("_cx", steps("_lon", wide)).select("graph_id", "lat0", "lon0", "_cx", "_cy").distinct()
+    own = lambda c: F.floor(F.col(c) / COVER)
+    known = points.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    return known.withColumns({"_cx": own("lon"), "_cy": own("lat")}).join(cells, ["_cx", "_cy"]).drop("_cx", "_cy")
+
+
+def catalog_snap(points: DataFrame, origins: DataFrame, nodes: DataFrame, edges: DataFrame, radius: float = 150.0, weight: float = 150.0) -> DataFrame:
+    """Points (``point_id, lat, lon, heading``) on the best directed edge of a whole catalog of
+    graphs, each in its own local metres; see ``road_snap``. Of equal scores the first graph
+    counts. Returns ``graph_id, score, a, b, off, align`` and the place ``lat``, ``lon`` on it;
+    points that no graph covers are left out."""
+    near = covering(points, origins, nodes, radius)
+    enu = to_enu(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0"), EQUATOR)
+    local = near.select("point_id", "graph_id", enu["east"].alias("east"), enu["north"].alias("north"), "heading")
+    found = road_snap(local, nodes, edges, radius, each_graph=True, weight=weight).join(origins, "graph_id")
+    lat = F.col("lat0") + F.degrees(F.col("py") / EQUATOR)
+    lon = F.col("lon0") + F.degrees(F.col("px") / (EQUATOR * F.cos(F.radians("lat0"))))
+    best = F.min(F.struct("score", "graph_id", "a", "b", "off", "align", lat.alias("lat"), lon.alias("lon")))
+    return found.groupBy("point_id").agg(best.alias("s")).select("point_id", "s.*")
+
+
 def road_snap(points: DataFrame, nodes: DataFrame, edges: DataFrame, radius: float = 150.0, each_graph: bool = False, weight: float = 150.0) -> DataFrame:
     """Points (``point_id, east, north, heading``) on the directed edge with the least
     score: distance less ``weight`` times how the edge's direction agrees with the heading.
@@ -45,7 +80,8 @@ def road_snap(points: DataFrame, nodes: DataFrame, edges: DataFrame, radius: flo
     An edge counts if its start node and its nearest point are within the radius; start
     nodes are looked up by grid cell, so no pair beyond neighbouring cells is made. Equal
     scores go to the smaller (a, b). Points without an edge are left out. The best edge is
-    that of all graphs, or with ``each_graph`` that of each.
+    that of all graphs, or with ``each_graph`` that of each; points with a ``graph_id`` look
+    at that graph only.
     """
     ends = lambda s: nodes.select("graph_id", F.col("node_id").alias(s), F.col("east").alias(s + "x"), F.col("north").alias(s + "y"))
     roads = edges.join(ends("a"), ["graph_id", "a"]).join(ends("b"), ["graph_id", "b"])
@@ -53,7 +89,8 @@ def road_snap(points: DataFrame, nodes: DataFrame, edges: DataFrame, radius: flo
     roads = roads.withColumns({"cx": cell("ax"), "cy": cell("ay")})
     near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     spread = points.withColumn("_n", near).withColumns({"cx": cell("east") + F.col("_n.i"), "cy": cell("north") + F.col("_n.j")}).drop("_n")
-    made = spread.join(roads, ["cx", "cy"]).where(F.hypot(F.col("ax") - F.col("east"), F.col("ay") - F.col("north")) <= radius)
+    keys = ["graph_id", "cx", "cy"] if "graph_id" in points.columns else ["cx", "cy"]
+    made = spread.join(roads, keys).where(F.hypot(F.col("ax") - F.col("east"), F.col("ay") - F.col("north")) <= radius)
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     along = F.try_divide((F.col("east") - F.col("ax")) * dx + (F.col("north") - F.col("ay")) * dy, dx * dx + dy * dy)
     made = made.where(F.hypot(dx, dy) > 1e-6).withColumn("_t", F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)))
