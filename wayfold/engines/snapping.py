@@ -149,7 +149,7 @@ def set_route(s: dict, k: int, points) -> None:
     """A session's route by its points (lat, lon); fewer than two clear it. Progress starts
     over, and the points stay for a new start elsewhere."""
     memory, s["route_s"][k] = s["memory"][k], 0.0
-    memory.points = None if points is None or len(points) < 2 else np.array([list(p) for p in points], float)
+    memory.points = None if points is None or len(points) < 2 else np.array([list(p.values() if isinstance(p, dict) else p) for p in points], float)
     memory.line = None
     if memory.points is not None:
         lat0, lon0 = s["lat_lon"][k]
@@ -164,7 +164,7 @@ def begin(s: dict, r: dict) -> None:
     for k, (points, edges) in enumerate(zip(r.get("route", [None] * many), r.get("roads", [None] * many), strict=True)):
         memory = s["memory"][k]
         if edges is not None and len(edges):
-            memory.roads = Roads({n: np.array([e[i] for e in edges]) for i, n in enumerate(FIELDS)})
+            memory.roads = Roads({n: np.array([e[n] for e in edges]) for n in FIELDS})
         set_route(s, k, memory.points if points is None else points)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wayfold.engines import registry
 from wayfold.functions import geo, linalg
-from wayfold.operators import asof, evaluate, folds, graph, ordered, spatial
+from wayfold.operators import asof, evaluate, folds, graph, ordered, sessions, spans, spatial
 from wayfold.plans import oracle
 from wayfold.sources import telemetry
 
@@ -430,7 +430,8 @@ def _motion(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query
 def imu_export(spark, sf_dir):
     """Raw motion samples."""
-    return evaluate.imu_table(_motion(spark, sf_dir)[0])
+    made = evaluate.imu_table(_motion(spark, sf_dir)[0])
+    return rounded(made, *(f"{s}_{x}" for s in ("accel", "gyro", "mag") for x in "xyz"))
 
 
 @query
@@ -484,3 +485,88 @@ def json_roundtrip(spark, sf_dir):
     body = F.to_json(F.struct(F.array("lat", "lon").alias("start"), F.array(F.lit(1.0), F.lit(2.0)).alias("destination"), F.lit("cache").alias("source"), F.col("t_ms").alias("timestamp"), F.array(F.array("lat", "lon")).alias("points")))
     points = telemetry.cached_route(body, (48.005, 11.005), (1.0, 2.0))
     return f.select("event_id", F.size(F.coalesce(points, F.array().cast("array<array<double>>"))).alias("n_points"), F.from_json(body, telemetry.ROUTE)["timestamp"].alias("stored_ms"))
+
+
+#: Commands by the last digit of an event's number.
+VERBS = ["START", "START", "STOP", "RESET", "ENGINE_ON", "START", "ENGINE_ON", "STOP", "ENGINE_OFF", "START"]
+DAY_MS = 86_400_000
+
+
+@query
+def recorded_samples(spark, sf_dir):
+    """F1, E26, the session verbs: errors are commands, other events samples."""
+    f = telemetry.fixes(spark, sf_dir)
+    verb = F.get(F.array(*map(F.lit, VERBS)), (F.col("event_id") % 10).cast("int"))
+    verbs = f.where("event_type = 'error'").select("session_id", "t_ms", "event_id", verb.alias("verb"))
+    samples = f.where("event_type <> 'error'").select("session_id", "t_ms", "event_id")
+    return sessions.recorded(samples, verbs, KEY, "t_ms", "event_id", 3 * DAY_MS).select("event_id", "recording_no", "sample_no", "since_ms", "engine_on")
+
+
+def _asked_routes(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Purchases set or clear destinations; signups answer requests of three days each."""
+    destinations = f.where("event_type = 'purchase'").select("session_id", "t_ms", F.col("event_id").alias("order"), F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 4).alias("dest"))
+    request = F.expr(f"t_ms div {3 * DAY_MS}")
+    source = F.when(F.col("event_id") % 2 == 0, "online").otherwise("offline")
+    answers = f.where("event_type = 'signup'").select("session_id", "t_ms", request.alias("request_id"), (1 + request % 3).alias("dest"), source.alias("source"), (F.col("event_id") % 5).alias("n_points"))
+    return destinations, answers
+
+
+@query
+def route_choice(spark, sf_dir):
+    """Which route a session follows at each event."""
+    f = telemetry.fixes(spark, sf_dir)
+    timeline = sessions.route_timeline(*_asked_routes(f), KEY, "t_ms", 3 * DAY_MS)
+    samples = f.where("event_type not in ('purchase', 'signup')").select("session_id", "t_ms", "event_id")
+    return sessions.followed(samples, timeline, KEY, "t_ms", 3 * DAY_MS).select("event_id", "dest", "source", "request_id")
+
+
+def _catalog(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two graphs with origins some fifty metres apart, the second one mirrored."""
+    nodes, edges = _roads(spark, sf_dir)
+    origins = spark.range(2).select(F.col("id").cast("int").alias("graph_id"), (48.0 + F.col("id") / 2000).alias("lat0"), (11.0 + F.col("id") / 2000).alias("lon0"))
+    mirrored = nodes.select(F.lit(1).alias("graph_id"), "node_id", (100 - F.col("east")).alias("east"), "north")
+    return origins, nodes.union(mirrored), edges.union(edges.select(F.lit(1).alias("graph_id"), "a", "b", "cost"))
+
+
+@query
+def road_catalog(spark, sf_dir):
+    """Suppliers on the best edge of two graphs."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("point_id"))
+    lat, lon = 48.0 + ((F.col("point_id") * 29) % 150).cast("double") / 100_000, 11.0 + ((F.col("point_id") * 17) % 210).cast("double") / 100_000
+    made = spatial.catalog_snap(s.select("point_id", lat.alias("lat"), lon.alias("lon"), ((F.col("point_id") * 7) % 360).cast("double").alias("heading")), *_catalog(spark, sf_dir), radius=30.0)
+    return rounded(made.select("point_id", F.col("graph_id").cast("int").alias("graph_id"), "a", "b", "score", "off", "lat", "lon"), "score", "off", "lat", "lon")
+
+
+def _track(made: DataFrame) -> DataFrame:
+    return rounded(made.select("session_id", "timestamp_nanos", "snap_mode", "dr_lat", "dr_lon", "dr_x_east", "dr_y_north", "heading_deg", "steps", "zupts", "frozen", "too_fast"), "dr_lat", "dr_lon", "dr_x_east", "dr_y_north", "heading_deg")
+
+
+@query
+def road_fusion_dr(spark, sf_dir):
+    """Fusion without a destination, matched to a catalog of two graphs."""
+    return _track(registry.run(*_motion(spark, sf_dir), engine="fusion", roads=_catalog(spark, sf_dir)))
+
+
+@query
+def rerouted_dr(spark, sf_dir):
+    """Purchases set a route ahead or clear it, signups of one number in twenty
+    begin the session anew."""
+    f = telemetry.fixes(spark, sf_dir)
+    at = F.row_number().over(ordered.Window.partitionBy(*KEY).orderBy(*ORDER)).cast("long") * 10
+    f = f.withColumn("at", at)
+    step = lambda k: F.struct((48.0 + F.col("event_id") % 7 * k / 100_000).alias("lat"), (11.0 + F.col("event_id") % 5 * k / 100_000).alias("lon"))
+    points = F.when(F.col("event_id") % 4 > 0, F.array(F.struct(F.lit(48.0).alias("lat"), F.lit(11.0).alias("lon")), step(20), step(40)))
+    changes = f.where("event_type = 'purchase'").select("session_id", F.col("at").alias("t_ms"), points.alias("points"))
+    resets = f.where("event_type = 'signup' and event_id % 20 = 0").select("session_id", F.col("at").alias("t_ms"), F.lit(48.0001).alias("lat"), F.lit(11.0001).alias("lon"), F.lit(45.0).alias("bearing"), F.lit(3.0).alias("speed"))
+    return _track(registry.run(*_motion(spark, sf_dir), engine="fusion", changes=changes, resets=resets))
+
+
+@query
+def long_session(spark, sf_dir):
+    """E7, E14, W2, W3 by spans: a third of all sessions is one."""
+    f = telemetry.fixes(spark, sf_dir).withColumn("session_id", F.when(F.col("session_id") % 3 == 0, -1).otherwise(F.col("session_id")))
+    f = f.withColumns({"dt": F.lit(0.01), "ae": F.col("value") / 100 * F.sin(F.radians("heading")), "an": F.col("value") / 100 * F.cos(F.radians("heading"))})
+    f = spans.running_distance(spans.cut(f, "t_ms", DAY_MS), KEY, ORDER)
+    f = spans.strapdown(spans.detect_steps(f, KEY, ORDER, "value", 20.0), KEY, ORDER, "dt", "ae", "an")
+    f = spans.low_pass(f, KEY, ORDER, "value", F.lit(0.25))
+    return rounded(f.select("event_id", "session_id", "distance_m", "is_step", "vel_east", "vel_north", "x_east", "y_north", "confidence_m", "y"), "distance_m", "vel_east", "vel_north", "x_east", "y_north", "confidence_m", "y")

@@ -211,3 +211,39 @@ _STATS = SQL["session_stats"]
 SQL["status_texts"] = f"""WITH s AS ({_STATS}), b AS (WITH {FIX} SELECT session_id, min(t_ms) AS start_ms FROM fix GROUP BY 1)
     SELECT session_id, CASE WHEN isnan(max_error_m) THEN '—' ELSE printf('%.1f m', max_error_m) END AS worst, CASE WHEN isnan(drift_pct) THEN '—' ELSE printf('%.2f%%', drift_pct) END AS drift,
     concat_ws(' · ', 'waiting for GNSS', 'snap=FREE', CASE WHEN matches = 0 THEN 'ZUPT active' END, CASE WHEN matches > 1 THEN 'mount aligned' END) AS health, 'session_' || strftime(make_timestamp(start_ms * 1000), '%Y%m%d_%H%M%S') || '_nav.csv' AS file FROM s JOIN b USING (session_id)"""
+SQL |= {
+    "imu_export": f"""WITH {FIX}, m AS (SELECT *, (row_number() OVER ({W})) * 10000000 AS timestamp_nanos, (value - 250) / 100 AS push FROM fix)
+        SELECT session_id, timestamp_nanos, {r6('push * sin(radians(heading))')} AS accel_x, {r6('push * cos(radians(heading))')} AS accel_y, {r6('9.80665::DOUBLE + (heading - 180) / 60')} AS accel_z,
+        {r6('push / 100')} AS gyro_x, {r6('-push / 200')} AS gyro_y, {r6('(heading - 180) / 1000')} AS gyro_z, {r6('20 * cos(radians(heading))')} AS mag_x, {r6('20 * sin(radians(heading))')} AS mag_y, {r6('-40.0')} AS mag_z,
+        {', '.join(f'NULL::DOUBLE AS {n}' for n in ('quat_x', 'quat_y', 'quat_z', 'quat_w', *(f'{s}_{x}' for s in ('linear', 'gravity') for x in 'xyz')))} FROM m""",
+    "recorded_samples": f"""WITH {FIX}, v AS (SELECT session_id, t_ms, event_id, (['START', 'START', 'STOP', 'RESET', 'ENGINE_ON', 'START', 'ENGINE_ON', 'STOP', 'ENGINE_OFF', 'START'])[event_id % 10 + 1] AS verb FROM fix WHERE event_type = 'error'),
+        a AS (SELECT *, coalesce(last_value(CASE WHEN verb = 'START' THEN 1 WHEN verb IN ('STOP', 'RESET') THEN 0 END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), 0) AS is_on FROM v),
+        b AS (SELECT *, is_on = 1 AND coalesce(lag(is_on) OVER ({W}), 0) = 0 AS begins FROM a),
+        c AS (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS no, last_value(CASE WHEN begins THEN t_ms END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS began,
+            coalesce(last_value(CASE WHEN verb = 'ENGINE_ON' AND is_on = 1 THEN true WHEN verb IN ('ENGINE_OFF', 'STOP', 'RESET') THEN false END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), false) AS engine FROM b),
+        d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, t_ms ORDER BY event_id DESC) AS r FROM c) WHERE r = 1),
+        e AS (SELECT x.event_id, x.session_id, x.t_ms, d.no, d.began, d.engine FROM fix x ASOF JOIN d ON x.session_id = d.session_id AND x.t_ms >= d.t_ms WHERE x.event_type <> 'error' AND d.is_on = 1)
+        SELECT event_id, no::BIGINT AS recording_no, row_number() OVER (PARTITION BY session_id, no ORDER BY t_ms, event_id) AS sample_no, t_ms - began AS since_ms, engine AS engine_on FROM e""",
+    "route_choice": f"""WITH {FIX}, dest AS (SELECT session_id, t_ms, CASE WHEN event_id % 4 > 0 THEN event_id % 4 END AS dest FROM (SELECT *, row_number() OVER (PARTITION BY session_id, t_ms ORDER BY event_id DESC) AS r FROM fix WHERE event_type = 'purchase') WHERE r = 1),
+        ask AS (SELECT session_id, t_ms, t_ms // 259200000 AS request_id, 1 + (t_ms // 259200000) % 3 AS dest, CASE WHEN event_id % 2 = 0 THEN 'online' ELSE 'offline' END AS source, event_id % 5 AS n_points FROM fix WHERE event_type = 'signup'),
+        one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, request_id ORDER BY source = 'offline', t_ms) AS r FROM ask) WHERE r = 1),
+        told AS (SELECT o.session_id, o.t_ms, o.dest, o.source, o.request_id FROM one o ASOF JOIN dest d ON o.session_id = d.session_id AND o.t_ms >= d.t_ms WHERE o.n_points >= 2 AND d.dest = o.dest),
+        line AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id, t_ms ORDER BY coalesce(request_id, -1) DESC) AS r FROM (SELECT * FROM told UNION ALL SELECT session_id, t_ms, dest, CASE WHEN dest IS NOT NULL THEN 'preview' END, NULL FROM dest)) WHERE r = 1)
+        SELECT x.event_id, l.dest, l.source, l.request_id FROM fix x ASOF LEFT JOIN line l ON x.session_id = l.session_id AND x.t_ms >= l.t_ms WHERE x.event_type NOT IN ('purchase', 'signup')""",
+    "road_catalog": f"""WITH {EDGES}, origins(graph_id, lat0, lon0) AS (VALUES (0, 48.0::DOUBLE, 11.0::DOUBLE), (1, 48.0005::DOUBLE, 11.0005::DOUBLE)),
+        two AS (SELECT graph_id, lat0, lon0, a, b, cost, CASE WHEN graph_id = 0 THEN ax ELSE 100 - ax END AS ax, ay, CASE WHEN graph_id = 0 THEN bx ELSE 100 - bx END AS bx, by_ FROM edges, origins),
+        points AS (SELECT s_suppkey::BIGINT AS point_id, 48.0::DOUBLE + ((s_suppkey * 29) % 150)::DOUBLE / 100000 AS lat, 11.0::DOUBLE + ((s_suppkey * 17) % 210)::DOUBLE / 100000 AS lon, ((s_suppkey * 7) % 360)::DOUBLE AS heading FROM supplier),
+        i AS (SELECT *, radians(lon - lon0) * 6378137.0::DOUBLE * cos(radians(lat0)) AS east, radians(lat - lat0) * 6378137.0::DOUBLE AS north FROM points, two),
+        j AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((east - ax) * (bx - ax) + (north - ay) * (by_ - ay)) / (cost * cost))) AS t FROM i WHERE sqrt(pow(ax - east, 2) + pow(ay - north, 2)) <= 30 AND cost > 1e-6),
+        k AS (SELECT *, ax + t * (bx - ax) AS px, ay + t * (by_ - ay) AS py FROM j), s AS (SELECT *, sqrt(pow(east - px, 2) + pow(north - py, 2)) AS dist, ((bx - ax) * sin(radians(heading)) + (by_ - ay) * cos(radians(heading))) / cost AS align FROM k),
+        b AS (SELECT *, dist - 150 * align AS score, row_number() OVER (PARTITION BY point_id ORDER BY dist - 150 * align, graph_id, a, b) AS r FROM s WHERE dist <= 30)
+        SELECT point_id, graph_id::INTEGER AS graph_id, a, b, {r6('score')} AS score, {r6('dist')} AS off, {r6('lat0 + degrees(py / 6378137.0::DOUBLE)')} AS lat, {r6('lon0 + degrees(px / (6378137.0::DOUBLE * cos(radians(lat0))))')} AS lon FROM b WHERE r = 1""",
+    "long_session": f"""WITH RECURSIVE {FIX.replace('fix AS', 'every AS')}, fix AS (SELECT * REPLACE (CASE WHEN session_id % 3 = 0 THEN -1 ELSE session_id END AS session_id) FROM every),
+        s AS (SELECT *, {STEP} AS step, avg(value) OVER ({W} ROWS UNBOUNDED PRECEDING) AS mean, value / 100 * sin(radians(heading)) AS ae, value / 100 * cos(radians(heading)) AS an, row_number() OVER ({W}) AS n FROM fix),
+        e AS (SELECT *, CASE WHEN value > mean + 20 THEN 1 WHEN value < mean - 20 THEN 0 END AS edge, sum(ae * 0.01::DOUBLE) OVER ({W} ROWS UNBOUNDED PRECEDING) AS ve, sum(an * 0.01::DOUBLE) OVER ({W} ROWS UNBOUNDED PRECEDING) AS vn FROM s),
+        w AS (SELECT session_id, n, event_id, value AS y FROM s WHERE n = 1 UNION ALL SELECT x.session_id, x.n, x.event_id, w.y + 0.25::DOUBLE * (x.value - w.y) FROM w JOIN s x ON x.session_id = w.session_id AND x.n = w.n + 1),
+        d AS (SELECT *, sum(step) OVER ({W} ROWS UNBOUNDED PRECEDING) AS dist, coalesce(last_value(edge IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS latched,
+            sum(ve * 0.01::DOUBLE) OVER ({W} ROWS UNBOUNDED PRECEDING) AS xe, sum(vn * 0.01::DOUBLE) OVER ({W} ROWS UNBOUNDED PRECEDING) AS yn FROM e)
+        SELECT d.event_id, d.session_id, {r6('dist')} AS distance_m, coalesce(edge = 1 AND latched = 0, false) AS is_step, {r6('ve')} AS vel_east, {r6('vn')} AS vel_north, {r6('xe')} AS x_east, {r6('yn')} AS y_north, {r6('2 + 0.5::DOUBLE * n * 0.01::DOUBLE')} AS confidence_m, {r6('w.y')} AS y
+        FROM d JOIN w USING (event_id, n)""",
+}
