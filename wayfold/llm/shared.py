@@ -7,11 +7,13 @@ costs the tasks it ran, never the lineage behind the table.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,17 @@ def short_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def tidied(batches: Iterator) -> Iterator:
+    """``batches`` of a Python task; after each, and at the end, unused memory goes back to the
+    system. Workers live on from task to task, and what their allocators hold counts."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+    if trim is not None:
+        trim(0)
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df``, to be broadcast if it has at most ``most`` rows (of a few numbers each)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.langid import fold
-from wayfold.llm.shared import keep, shared_folder, short_batches, small
+from wayfold.llm.shared import keep, shared_folder, short_batches, small, tidied
 
 WINDOW, STRIDE = 48, 36
 #: Words of more characters are cut into pieces.
@@ -284,7 +284,7 @@ def _pieces(sample: DataFrame, net: Network | None, most: int) -> list:
 
     def run(batches):
         scorer = Scorer(model.value) if model.value is not None else None
-        for batch in batches:
+        for batch in tidied(batches):
             tops, pieces = [], []
             for text in batch.column(2):
                 words = split(text.as_py())
@@ -406,7 +406,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     @F.arrow_udf("double")
     def rated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model.value)
-        for texts in batches:
+        for texts in tidied(batches):
             yield pa.array(np.concatenate([np.zeros(0), *(scorer.scores(texts.slice(at, 128).to_pylist()) for at in range(0, len(texts), 128))]))
 
     made = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
