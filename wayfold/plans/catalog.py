@@ -570,3 +570,43 @@ def long_session(spark, sf_dir):
     f = spans.strapdown(spans.detect_steps(f, KEY, ORDER, "value", 20.0), KEY, ORDER, "dt", "ae", "an")
     f = spans.low_pass(f, KEY, ORDER, "value", F.lit(0.25))
     return rounded(f.select("event_id", "session_id", "distance_m", "is_step", "vel_east", "vel_north", "x_east", "y_north", "confidence_m", "y"), "distance_m", "vel_east", "vel_north", "x_east", "y_north", "confidence_m", "y")
+
+
+@query
+def imu_merge(spark, sf_dir):
+    """Five sensors as tables of their own, held to motion samples by spans."""
+    f = telemetry.fixes(spark, sf_dir)
+    a, b, c = F.col("value") / 500, F.col("heading") / 1000, F.col("lat") - 48
+    vector = {"click": F.array(a, b, c), "view": F.array(b, c, a), "error": F.array(c, a, b), "purchase": F.array(a, c, b), "signup": F.when(F.col("event_id") % 2 == 0, F.array(a / 2, b, c)).otherwise(F.array(a, b, c, a))}
+    names = {"accel": "click", "gyro": "view", "mag": "error", "linear": "purchase", "quat": "signup"}
+    tables = {n: f.where(F.col("event_type") == kind).select("session_id", (F.col("t_ms") * 1_000_000).alias("timestamp_nanos"), vector[kind].alias("v")) for n, kind in names.items()}
+    made = telemetry.merged_sensors(tables, 3 * DAY_MS * 1_000_000)
+    values = [n for n in made.columns if n[-2:] in ("_x", "_y", "_z", "_w")]
+    return rounded(made.select("session_id", "timestamp_nanos", "sensor", *(n for n in values if not n.startswith("gravity"))), *(n for n in values if not n.startswith("gravity")))
+
+
+@query
+def trail_match(spark, sf_dir):
+    """Events on the earlier trail of their session; places 60 m apart make the trail."""
+    f = telemetry.fixes(spark, sf_dir)
+    enu = geo.to_enu(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(11.0))
+    f = f.select("session_id", "event_id", "t_ms", enu["east"].alias("east"), enu["north"].alias("north"), "heading", F.col("value").alias("speed"))
+    start, step, schema = folds.spaced(60.0, 50.0)
+    kept = folds.scan(f, KEY, ORDER, schema, start, step).select("event_id", "kept")
+    w = ordered.Window.partitionBy(*KEY).orderBy(*ORDER)
+    e, n = F.col("east") - F.lag("east").over(w), F.col("north") - F.lag("north").over(w)
+    way = F.when(F.hypot(e, n) >= 300, F.hypot(e, n))
+    f = f.withColumns({"way_e": e / way, "way_n": n / way, "row_no": F.row_number().over(w)})
+    made = spatial.trail_match(f.join(kept, "event_id"), KEY, "row_no", within=50.0)
+    return made.select("session_id", "row_no", "edge_no", r6("off").alias("off"), "reversed")
+
+
+@query
+def route_windowed(spark, sf_dir):
+    """Every view along the route of its session, from match to match."""
+    f = telemetry.estimates(telemetry.fixes(spark, sf_dir))
+    enu = geo.to_enu(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(11.0))
+    row = F.row_number().over(ordered.Window.partitionBy(*KEY).orderBy(*ORDER))
+    points = f.select(F.col("session_id").alias("route_id"), row.alias("row_no"), enu["east"].alias("east"), enu["north"].alias("north"))
+    made = spatial.route_windowed(points, _routes(spark, sf_dir), "row_no", gate=60.0, back=300.0, ahead=2000.0)
+    return made.select("route_id", "row_no", "seg_no", r6("route_s").alias("route_s"), r6("off").alias("off"))

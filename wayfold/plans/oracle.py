@@ -246,4 +246,29 @@ SQL |= {
             sum(ve * 0.01::DOUBLE) OVER ({W} ROWS UNBOUNDED PRECEDING) AS xe, sum(vn * 0.01::DOUBLE) OVER ({W} ROWS UNBOUNDED PRECEDING) AS yn FROM e)
         SELECT d.event_id, d.session_id, {r6('dist')} AS distance_m, coalesce(edge = 1 AND latched = 0, false) AS is_step, {r6('ve')} AS vel_east, {r6('vn')} AS vel_north, {r6('xe')} AS x_east, {r6('yn')} AS y_north, {r6('2 + 0.5::DOUBLE * n * 0.01::DOUBLE')} AS confidence_m, {r6('w.y')} AS y
         FROM d JOIN w USING (event_id, n)""",
+    "imu_merge": f"""WITH {FIX}, v AS (SELECT *, value / 500 AS a, heading / 1000 AS b, lat - 48 AS c, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 3 WHEN 'click' THEN 4 ELSE 5 END AS k FROM fix),
+        x AS (SELECT session_id, t_ms, k, CASE k WHEN 4 THEN [a, b, c] WHEN 5 THEN [b, c, a] WHEN 0 THEN [c, a, b] WHEN 1 THEN [a, c, b] WHEN 3 THEN CASE WHEN event_id % 2 = 0 THEN [a / 2, b, c, sqrt(greatest(0.0::DOUBLE, 1 - a / 2 * a / 2 - b * b - c * c))] ELSE [a, b, c, a] END END AS v FROM v),
+        h AS (SELECT *, {', '.join(f"last_value(CASE WHEN k = {k} THEN v END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY t_ms, k ROWS UNBOUNDED PRECEDING) AS {n}" for n, k in (("accel", 4), ("gyro", 5), ("mag", 0), ("quat", 3), ("linear", 1)))} FROM x)
+        SELECT session_id, t_ms * 1000000 AS timestamp_nanos, CASE WHEN k = 4 THEN 'accel' ELSE 'gyro' END AS sensor, {', '.join(f"{r6(f'{n}[{i + 1}]')} AS {n}_{x}" for n in ("accel", "gyro", "mag", "quat", "linear") for i, x in enumerate("xyzw" if n == "quat" else "xyz"))}
+        FROM h WHERE k >= 4 AND accel IS NOT NULL AND gyro IS NOT NULL""",
+    "trail_match": f"""WITH RECURSIVE {FIX}, n AS (SELECT *, {east('lat', 'lon')} AS e, {north('lat')} AS m, row_number() OVER ({W}) AS n FROM fix),
+        walk AS (SELECT session_id, n, CASE WHEN value >= 50 THEN e END AS e, CASE WHEN value >= 50 THEN m END AS m, value >= 50 AS kept FROM n WHERE n = 1
+            UNION ALL SELECT x.session_id, x.n, CASE WHEN t THEN x.e ELSE w.e END, CASE WHEN t THEN x.m ELSE w.m END, t FROM (SELECT w.session_id, w.n, w.e, w.m, x.value >= 50 AND (w.e IS NULL OR sqrt(pow(x.e - w.e, 2) + pow(x.m - w.m, 2)) >= 60) AS t FROM walk w JOIN n x ON x.session_id = w.session_id AND x.n = w.n + 1) w JOIN n x ON x.session_id = w.session_id AND x.n = w.n + 1),
+        r AS (SELECT n.*, k.kept, coalesce(sum(CASE WHEN k.kept THEN 1 ELSE 0 END) OVER (PARTITION BY n.session_id ORDER BY n.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, e - lag(e) OVER (PARTITION BY n.session_id ORDER BY n.n) AS we, m - lag(m) OVER (PARTITION BY n.session_id ORDER BY n.n) AS wn FROM n JOIN (SELECT session_id, n, kept FROM walk) k USING (session_id, n)),
+        ed AS (SELECT * FROM (SELECT session_id, before + 1 AS edge, e AS bx, m AS by_, lag(e) OVER (PARTITION BY session_id ORDER BY n) AS ax, lag(m) OVER (PARTITION BY session_id ORDER BY n) AS ay FROM r WHERE kept) WHERE ax IS NOT NULL AND sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) >= 1e-6),
+        j AS (SELECT r.session_id, r.n, r.e, r.m, r.heading, r.we, r.wn, ed.*, sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS len FROM r JOIN ed ON r.session_id = ed.session_id AND ed.edge <= r.before AND ed.edge > r.before - 1999),
+        k AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((e - ax) * (bx - ax) + (m - ay) * (by_ - ay)) / (len * len))) AS t, (bx - ax) / len AS ux, (by_ - ay) / len AS uy FROM j),
+        s AS (SELECT *, sqrt(pow(e - ax - t * (bx - ax), 2) + pow(m - ay - t * (by_ - ay), 2)) AS dist, ux * sin(radians(heading)) + uy * cos(radians(heading)) AS align FROM k),
+        b AS (SELECT *, row_number() OVER (PARTITION BY session_id, n ORDER BY round(dist - 10 * abs(align), 9), edge) AS r FROM s WHERE dist <= 50 AND abs(align) >= 0.5
+            AND (we IS NULL OR sqrt(we * we + wn * wn) < 300 OR abs((ux * we + uy * wn) / sqrt(we * we + wn * wn)) >= 0.5))
+        SELECT session_id, n::INTEGER AS row_no, edge::BIGINT AS edge_no, {r6('dist')} AS off, align < 0 AS reversed FROM b WHERE r = 1""",
+    "route_windowed": f"""WITH RECURSIVE {FIX}, {SEGMENTS}, p AS (SELECT session_id AS route_id, row_number() OVER ({W}) AS n, {east('lat', 'lon')} AS e, {north('lat')} AS m FROM fix WHERE event_type = 'view'),
+        j AS (SELECT p.route_id, n, e, m, seg_no, ax, ay, bx, by_, cum_s, len, ((e - ax) * (bx - ax) + (m - ay) * (by_ - ay)) / (len * len) AS raw FROM p JOIN seg USING (route_id) WHERE len >= 1e-6),
+        k AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, raw)) AS t FROM j WHERE raw BETWEEN -0.05 AND 1.05),
+        c AS (SELECT *, round(sqrt(pow(e - ax - t * (bx - ax), 2) + pow(m - ay - t * (by_ - ay), 2)), 9) AS dist, cum_s + t * len AS s FROM k),
+        l AS (SELECT route_id, n, list_sort(list({{'d': dist, 'g': seg_no, 's': s}})) AS ways FROM c WHERE dist <= 60 GROUP BY ALL),
+        r AS (SELECT p.route_id, p.n, coalesce(l.ways, []) AS ways FROM p LEFT JOIN l USING (route_id, n)),
+        walk AS (SELECT route_id, 0::BIGINT AS n, 0.0::DOUBLE AS at_, NULL::STRUCT(d DOUBLE, g INTEGER, s DOUBLE) AS way FROM r WHERE n = 1
+            UNION ALL SELECT route_id, n, coalesce(way.s, at_), way FROM (SELECT r.route_id, r.n, w.at_, list_filter(r.ways, lambda x: x.s + 300 >= w.at_ AND x.s <= w.at_ + 2000)[1] AS way FROM walk w JOIN r ON r.route_id = w.route_id AND r.n = w.n + 1))
+        SELECT route_id, n::INTEGER AS row_no, way.g AS seg_no, {r6('way.s')} AS route_s, {r6('way.d')} AS off FROM walk WHERE n > 0""",
 }

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.functions.linalg import quat_w
+from wayfold.operators import spans
+
 IMU = (
     "device_id string, session_id long, timestamp_nanos long, accel_x float, accel_y float, accel_z float, gyro_x float, gyro_y float, gyro_z float, "
     "mag_x float, mag_y float, mag_z float, quat_x float, quat_y float, quat_z float, quat_w float, linear_x float, linear_y float, linear_z float, gravity_x float, gravity_y float, gravity_z float"
@@ -89,3 +94,33 @@ def seed(last: DataFrame, cached: DataFrame, default: tuple[float, float]) -> Da
         "session_id", F.coalesce("lat", "_lat", F.lit(default[0])).alias("lat"), F.coalesce("lon", "_lon", F.lit(default[1])).alias("lon"), heading.alias("heading"),
         (speed * F.sin(F.radians(heading))).alias("vel_east"), (speed * F.cos(F.radians(heading))).alias("vel_north"), source.alias("seed_source"),
     )
+
+
+#: Sensors that make up a motion sample, in the order in which rows of one time are taken; the
+#: last two make a sample once both were heard.
+SENSORS = ("mag", "linear", "gravity", "quat", "accel", "gyro")
+
+
+def merged_sensors(tables: dict[str, DataFrame], span: int) -> DataFrame:
+    """Motion samples of separate sensors: a row for each event of ``accel`` or ``gyro`` once both
+    were heard, with the latest values of every sensor (``<sensor>_x`` and so on), null for those
+    not heard yet.
+
+    ``tables`` has for each of ``SENSORS`` (those that lack are never heard) ``session_id``,
+    ``timestamp_nanos`` and ``v``, an array of three values; that of ``quat`` is a rotation vector
+    of three or four. Shorter arrays count as not heard. Sessions are cut into spans of
+    ``span`` nanoseconds, all sensors are held in one pass.
+    """
+    parts = []
+    for rank, name in enumerate(SENSORS):
+        if name in tables:
+            v = F.col("v")
+            whole = F.when(F.size(v) >= 4, F.slice(v, 1, 4)).when(F.size(v) == 3, F.concat(v, F.array(quat_w(*(F.get(v, F.lit(i)) for i in range(3)))))) if name == "quat" else F.when(F.size(v) >= 3, F.slice(v, 1, 3))
+            parts.append(tables[name].select("session_id", "timestamp_nanos", F.lit(rank).alias("_rank"), whole.alias("_v")).where("_v is not null"))
+    rows = spans.cut(reduce(DataFrame.union, parts), "timestamp_nanos", span)
+    own = {name: F.when(F.col("_rank") == rank, F.col("_v")) for rank, name in enumerate(SENSORS)}
+    rows = spans.last_before(rows, ["session_id"], ["timestamp_nanos", "_rank"], {f"_h_{n}": c for n, c in own.items()})
+    held = {n: F.coalesce(c, F.col(f"_h_{n}")) for n, c in own.items()}
+    made = rows.where(F.col("_rank") >= SENSORS.index("accel")).where(held["accel"].isNotNull() & held["gyro"].isNotNull())
+    columns = [F.get(held[n], F.lit(i)).alias(f"{n}_{x}") for n in ("accel", "gyro", "mag", "quat", "linear", "gravity") for i, x in enumerate("xyzw" if n == "quat" else "xyz")]
+    return made.select("session_id", "timestamp_nanos", F.element_at(F.array(F.lit("accel"), F.lit("gyro")), F.col("_rank") - SENSORS.index("accel") + 1).alias("sensor"), *columns)
