@@ -17,7 +17,7 @@ from wayfold.engines.arrays import columns
 from wayfold.functions import geo, linalg
 from wayfold.operators import folds, ordered
 
-KEY, ORDER = ["session_id"], ["timestamp_nanos"]
+KEY, ORDER = ["session_id"], ["_row"]
 STRIDE, FIRST_STEP_S, STANDS_AFTER_S, GRAVITY_PASS = 0.75, 0.6, 2.0, 0.05
 
 
@@ -47,22 +47,24 @@ def _step(s: dict, r: dict) -> tuple[dict, dict]:
         due = np.asarray(due, bool)[:, None]
         low = np.where(due, np.where(np.isnan(low), acc, low + GRAVITY_PASS * (acc - low)), low)
         made |= {f"{name}_{axis}": low[:, k] for k, axis in enumerate("xyz")}
-    return {"c": c, "low": low}, {"session_id": r["session_id"], "timestamp_nanos": r["timestamp_nanos"], "turned": np.arctan2(c[:, 1, 0], c[:, 0, 0]), **made}
+    return {"c": c, "low": low}, {"session_id": r["session_id"], "_row": r["_row"], "turned": np.arctan2(c[:, 1, 0], c[:, 0, 0]), **made}
 
 
-_SCHEMA = "session_id long, timestamp_nanos long, turned double, first_x double, first_y double, first_z double, last_x double, last_y double, last_z double"
+_SCHEMA = "session_id long, _row int, turned double, first_x double, first_y double, first_z double, last_x double, last_y double, last_z double"
 
 
 def walk(samples: DataFrame, seeds: DataFrame, stride: Column | float = STRIDE, sensitivity: float = 1.0, bias_samples: int = 199) -> DataFrame:
-    """State of each motion sample (one row a session and time): places by steps of ``stride``
-    metres, a number or a column of ``samples``, along the fused heading.
+    """State of each motion sample: places by steps of ``stride`` metres, a number or a column
+    of ``samples``, along the fused heading. Samples of one time are taken in an order of their
+    own, each once.
 
     ``seeds`` has ``session_id``, ``lat``, ``lon``. Gravity comes from its sensor, else from the
     attitude, else from a low-pass of the acceleration.
     """
     w = Window.partitionBy(*KEY).orderBy(*ORDER)
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = samples.withColumn("stride_length", stride if isinstance(stride, Column) else F.lit(float(stride)))
+    numbered = Window.partitionBy(*KEY).orderBy("timestamp_nanos", F.xxhash64(*(F.col(c) for c in samples.columns)))
+    df = samples.withColumn("_row", F.row_number().over(numbered)).withColumn("stride_length", stride if isinstance(stride, Column) else F.lit(float(stride)))
     for axis in "xyz":
         df = ordered.gyro_bias(df.withColumn(f"gyro_{axis}", F.col(f"gyro_{axis}").cast("double")), KEY, ORDER, f"gyro_{axis}", bias_samples)
         df = ordered.gyro_delta(df, KEY, ORDER, f"gyro_{axis}", "timestamp_nanos", "bias").withColumnRenamed("delta", f"delta_{axis}").drop("bias", "dt")
@@ -70,7 +72,7 @@ def walk(samples: DataFrame, seeds: DataFrame, stride: Column | float = STRIDE,
     attitude = F.when(F.col("quat_w").isNotNull() & _triple("quat").isNotNull(), linalg.gravity_phone(linalg.quat_matrix(*(linalg.at(quat, i) for i in range(4)))))
     df = df.withColumn("_gravity", F.coalesce(_triple("gravity"), attitude)).withColumn("_linear", _triple("linear"))
     df = df.withColumn("low_last", F.col("_gravity").isNull()).withColumn("low_first", F.col("low_last") & F.col("_linear").isNull())
-    fold_in = df.select("session_id", "timestamp_nanos", "delta_x", "delta_y", "delta_z", *(F.col(f"accel_{x}").cast("double").alias(f"accel_{x}") for x in "xyz"), "low_first", "low_last")
+    fold_in = df.select("session_id", "_row", "delta_x", "delta_y", "delta_z", *(F.col(f"accel_{x}").cast("double").alias(f"accel_{x}") for x in "xyz"), "low_first", "low_last")
     folded = folds.scan(fold_in, KEY, ORDER, _SCHEMA, _start, _step)
     df = df.join(folded, [*KEY, *ORDER])
     raw, vector = _triple("accel"), lambda name: F.array(*(F.col(f"{name}_{x}") for x in "xyz"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import drift_percent, haversine_m
@@ -107,6 +107,11 @@ def write_csv(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("nanValue", "NaN").csv(path)
 
 
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What ``write_csv`` wrote, by its schema; lines may break within quoted texts."""
+    return spark.read.schema(schema).option("header", True).option("nullValue", "").option("nanValue", "NaN").option("multiLine", True).option("escape", "\\").csv(path)
+
+
 def export_name(start_ms, kind: str):
     """``session_<yyyyMMdd_HHmmss>_<kind>.csv`` of a start time."""
     return F.concat(F.lit("session_"), F.date_format(F.timestamp_millis(F.lit(start_ms) if isinstance(start_ms, int) else start_ms), "yyyyMMdd_HHmmss"), F.lit(f"_{kind}.csv"))

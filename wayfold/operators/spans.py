@@ -12,8 +12,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions.geo import haversine_m
-from wayfold.operators import folds
+from wayfold.functions import linalg
+from wayfold.functions.geo import SPHERE, haversine_m
+from wayfold.operators import folds, ordered
 
 #: Rows of a chunk of :func:`affine`; powers of a factor over it must stay within a double.
 CHUNK = 256
@@ -90,6 +91,44 @@ def strapdown(df: DataFrame, keys: list[str], order: list[str], dt: str, east: s
     return made.withColumn("confidence_m", 2 + 0.5 * F.col("_t")).drop("_t")
 
 
+def attitude_strapdown(df: DataFrame, keys: list[str], order: list[str], nanos: str) -> DataFrame:
+    """``df`` (cut; ``accel_*``, ``quat_*`` and the start ``lat0``, ``lon0``, ``ve0``, ``vn0``,
+    ``heading0`` on each row) with ``vel_east``, ``vel_north``, ``lat``, ``lon``, ``heading`` and
+    ``confidence_m`` of the plain strapdown engine.
+
+    The attitude is the last whole quaternion so far; until there is one nothing accelerates.
+    Less gravity, the acceleration is turned to the world and summed to velocity and place. Above
+    0.5 m/s the heading is that of the velocity less the yaw of the first attitude; below, it stays.
+    Gaps of 0 or over 0.2 s count as 0.01 s.
+    """
+    q = [F.col(f"quat_{x}").cast("double") for x in "xyzw"]
+    whole = F.when(q[0].isNotNull() & q[1].isNotNull() & q[2].isNotNull() & q[3].isNotNull(), F.array(*q))
+    first = F.when(whole.isNotNull(), F.lit(1)).otherwise(0)
+    made = last_before(df, keys, order, {"_q": whole, "_nanos": F.col(nanos)})
+    made = running(made.withColumn("_attitude", F.coalesce(whole, F.col("_q"))), keys, order, {"_known": first})
+    matrix = linalg.quat_matrix(*(linalg.at(F.col("_attitude"), i) for i in range(4)))
+    begins = F.when((F.col("_known") == 1) & whole.isNotNull(), linalg.yaw_deg(matrix))
+    made = last_before(made.withColumn("_own", begins), keys, order, {"_yaw": F.col("_own")})
+    made = made.withColumn("_mount", F.coalesce("_own", "_yaw"))
+    down = linalg.gravity_phone(matrix)
+    linear = F.array(*(F.col(f"accel_{x}").cast("double") - linalg.at(down, i) for i, x in enumerate("xyz")))
+    world = linalg.mat_vec(matrix, linear)
+    gap = (F.col(nanos) - F.col("_nanos")).cast("double") / 1e9
+    made = made.withColumn("_dt", ordered.interval(gap, "glitch"))
+    push = lambda i: F.coalesce(F.when(F.col("_attitude").isNotNull(), linalg.at(world, i)), F.lit(0.0)) * F.col("_dt")
+    made = running(made, keys, order, {"_se": push(0), "_sn": push(1), "_t": F.col("_dt")})
+    made = made.withColumns({"vel_east": F.col("ve0") + F.col("_se"), "vel_north": F.col("vn0") + F.col("_sn")})
+    up = F.degrees(F.col("vel_north") * F.col("_dt") / SPHERE)
+    made = running(made, keys, order, {"_up": up}).withColumn("lat", F.col("lat0") + F.col("_up"))
+    across = F.degrees(F.col("vel_east") * F.col("_dt") / (SPHERE * F.cos(F.radians(F.col("lat") - up))))
+    made = running(made, keys, order, {"_across": across}).withColumn("lon", F.col("lon0") + F.col("_across"))
+    way = F.degrees(F.atan2("vel_east", "vel_north"))
+    heading = F.when(F.hypot("vel_east", "vel_north") > 0.5, ((way - F.coalesce("_mount", F.lit(0.0))) % 360 + 360) % 360)
+    made = last_before(made.withColumn("_heading", heading), keys, order, {"_held": F.col("_heading")})
+    made = made.withColumns({"heading": F.coalesce("_heading", "_held", "heading0"), "confidence_m": 2 + 0.5 * F.col("_t")})
+    return made.drop("_q", "_nanos", "_attitude", "_known", "_own", "_yaw", "_mount", "_dt", "_se", "_sn", "_t", "_up", "_across", "_heading", "_held")
+
+
 def _chained(many: int) -> dict:
     return {"y": np.zeros(many)}
 

@@ -437,7 +437,8 @@ def imu_export(spark, sf_dir):
 @query
 def pdr_dr(spark, sf_dir):
     """The pedestrian engine's states as they are exported."""
-    return evaluate.state_table(registry.run(*_motion(spark, sf_dir), engine="pdr"))
+    made = evaluate.state_table(registry.run(*_motion(spark, sf_dir), engine="pdr"))
+    return rounded(made, *(n for n, kind in made.dtypes if kind == "double"))
 
 
 @query
@@ -610,3 +611,34 @@ def route_windowed(spark, sf_dir):
     points = f.select(F.col("session_id").alias("route_id"), row.alias("row_no"), enu["east"].alias("east"), enu["north"].alias("north"))
     made = spatial.route_windowed(points, _routes(spark, sf_dir), "row_no", gate=60.0, back=300.0, ahead=2000.0)
     return made.select("route_id", "row_no", "seg_no", r6("route_s").alias("route_s"), r6("off").alias("off"))
+
+
+@query
+def attitude_dr(spark, sf_dir):
+    """The plain strapdown engine with attitudes, which clicks and views bring."""
+    f = telemetry.fixes(spark, sf_dir)
+    motion, _ = _motion(spark, sf_dir)
+    row = F.row_number().over(ordered.Window.partitionBy(*KEY).orderBy(*ORDER)).cast("long")
+    half, tilt = F.radians("heading") / 2, F.col("value") / 4000
+    size = F.sqrt(1 + tilt * tilt)
+    quat = {"quat_x": tilt / size, "quat_y": F.lit(0.0), "quat_z": F.sin(half) / size, "quat_w": F.cos(half) / size}
+    own = f.select("session_id", "event_id", (row * 10_000_000).alias("timestamp_nanos"), *(F.when(F.col("event_type").isin("click", "view"), c).alias(n) for n, c in quat.items()))
+    rows = motion.drop(*quat).join(own, ["session_id", "timestamp_nanos"])
+    rows = rows.withColumns({"lat0": F.lit(48.0), "lon0": F.lit(11.0), "ve0": F.lit(3.0), "vn0": F.lit(4.0), "heading0": F.lit(30.0)})
+    made = spans.attitude_strapdown(spans.cut(rows, "timestamp_nanos", 200_000_000), KEY, ["timestamp_nanos"], "timestamp_nanos")
+    return rounded(made.select("event_id", "vel_east", "vel_north", "lat", "lon", "heading", "confidence_m"), "vel_east", "vel_north", "lat", "lon", "heading", "confidence_m")
+
+
+@query
+def session_counters(spark, sf_dir):
+    """Rejected fixes, recalculations, steps and rows at a standstill of each session."""
+    count = lambda df, condition, name: df.groupBy("session_id").agg(F.count_if(condition).alias(name))
+    f = telemetry.fixes(spark, sf_dir).select("session_id", "event_id")
+    parts = [
+        count(gnss_gate(spark, sf_dir), ~F.col("accepted"), "rejects"), count(off_route_events(spark, sf_dir), F.col("decision") == "RECALCULATE", "recalculations"),
+        count(step_detect(spark, sf_dir).join(f, "event_id"), F.col("is_step"), "steps"), count(still_time(spark, sf_dir).join(f, "event_id"), F.col("stationary"), "zupts"),
+    ]
+    made = parts[0]
+    for part in parts[1:]:
+        made = made.join(part, "session_id")
+    return made

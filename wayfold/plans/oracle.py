@@ -211,6 +211,8 @@ _STATS = SQL["session_stats"]
 SQL["status_texts"] = f"""WITH s AS ({_STATS}), b AS (WITH {FIX} SELECT session_id, min(t_ms) AS start_ms FROM fix GROUP BY 1)
     SELECT session_id, CASE WHEN isnan(max_error_m) THEN '—' ELSE printf('%.1f m', max_error_m) END AS worst, CASE WHEN isnan(drift_pct) THEN '—' ELSE printf('%.2f%%', drift_pct) END AS drift,
     concat_ws(' · ', 'waiting for GNSS', 'snap=FREE', CASE WHEN matches = 0 THEN 'ZUPT active' END, CASE WHEN matches > 1 THEN 'mount aligned' END) AS health, 'session_' || strftime(make_timestamp(start_ms * 1000), '%Y%m%d_%H%M%S') || '_nav.csv' AS file FROM s JOIN b USING (session_id)"""
+#: Skew matrix of a sample's small rotation.
+SMALL = ["0.0::DOUBLE", "-dz", "-dx", "dz", "0.0::DOUBLE", "dy", "dx", "-dy", "0.0::DOUBLE"]
 SQL |= {
     "imu_export": f"""WITH {FIX}, m AS (SELECT *, (row_number() OVER ({W})) * 10000000 AS timestamp_nanos, (value - 250) / 100 AS push FROM fix)
         SELECT session_id, timestamp_nanos, {r6('push * sin(radians(heading))')} AS accel_x, {r6('push * cos(radians(heading))')} AS accel_y, {r6('9.80665::DOUBLE + (heading - 180) / 60')} AS accel_z,
@@ -271,4 +273,40 @@ SQL |= {
         walk AS (SELECT route_id, 0::BIGINT AS n, 0.0::DOUBLE AS at_, NULL::STRUCT(d DOUBLE, g INTEGER, s DOUBLE) AS way FROM r WHERE n = 1
             UNION ALL SELECT route_id, n, coalesce(way.s, at_), way FROM (SELECT r.route_id, r.n, w.at_, list_filter(r.ways, lambda x: x.s + 300 >= w.at_ AND x.s <= w.at_ + 2000)[1] AS way FROM walk w JOIN r ON r.route_id = w.route_id AND r.n = w.n + 1))
         SELECT route_id, n::INTEGER AS row_no, way.g AS seg_no, {r6('way.s')} AS route_s, {r6('way.d')} AS off FROM walk WHERE n > 0""",
+    "pdr_dr": f"""WITH RECURSIVE {FIX}, m AS (SELECT session_id, t_ms, event_id, row_number() OVER ({W}) AS n, value, heading, (value - 250) / 100 AS push FROM fix),
+        g AS (SELECT *, push * sin(radians(heading)) AS ax, push * cos(radians(heading)) AS ay, 9.80665::DOUBLE + (heading - 180) / 60 AS az, push / 100 AS wx, -push / 200 AS wy, (heading - 180) / 1000 AS wz, 20 * cos(radians(heading)) AS mx, 20 * sin(radians(heading)) AS my, -40.0::DOUBLE AS mz FROM m),
+        b AS (SELECT *, {', '.join(f"w{x} - avg(CASE WHEN n <= 199 THEN w{x} END) OVER ({W} ROWS UNBOUNDED PRECEDING) AS r{x}" for x in "xyz")} FROM g),
+        d AS (SELECT *, {', '.join(f"CASE WHEN n = 1 OR abs(r{x}) <= 0.0025::DOUBLE THEN 0.0::DOUBLE ELSE r{x} * 0.01::DOUBLE END AS d{x}" for x in "xyz")} FROM b),
+        q AS (SELECT *, dx * dx + dy * dy + dz * dz AS sq FROM d),
+        s AS (SELECT *, 1 - sq / 6 + sq * sq / 120 AS k1, 0.5::DOUBLE - sq / 24 + sq * sq / 720 AS k2 FROM q),
+        t AS (SELECT *, {', '.join(f"{1.0 if i % 4 == 0 else 0.0}::DOUBLE + k1 * ({SMALL[i]}) + k2 * ({product(SMALL, SMALL, i)}) AS t{i}" for i in range(9))} FROM s),
+        walk AS (SELECT session_id, n, {', '.join(f"t{i} AS c{i}" for i in range(6))}, {', '.join(f"a{x} AS f{x}, a{x} AS l{x}" for x in "xyz")} FROM t WHERE n = 1
+            UNION ALL SELECT session_id, n, {', '.join(f"c{3 * r} * t{c} + c{3 * r + 1} * t{3 + c} + c{3 * r + 2} * t{6 + c}" for r in range(2) for c in range(3))}, {', '.join(f"f{x}, f{x} + 0.05::DOUBLE * (a{x} - f{x})" for x in "xyz")}
+            FROM (SELECT t.*, {', '.join(f"w.c{i}" for i in range(6))}, {', '.join(f"w.l{x} + 0.05::DOUBLE * (t.a{x} - w.l{x}) AS f{x}" for x in "xyz")} FROM walk w JOIN t ON t.session_id = w.session_id AND t.n = w.n + 1)),
+        j AS (SELECT t.session_id, t.t_ms, t.event_id, t.n, atan2(c3, c0) AS turned, sqrt(pow(ax - fx, 2) + pow(ay - fy, 2) + pow(az - fz, 2)) AS acc, my * lz - mz * ly AS h0, mz * lx - mx * lz AS h1, mx * ly - my * lx AS h2, sqrt(lx * lx + ly * ly + lz * lz) AS down, lx, lz FROM t JOIN walk USING (session_id, n)),
+        h AS (SELECT *, sqrt(h0 * h0 + h1 * h1 + h2 * h2) AS size, avg(acc) OVER ({W} ROWS UNBOUNDED PRECEDING) AS mean FROM j),
+        i AS (SELECT *, CASE WHEN size < 1e-6 OR down < 1e-6 THEN NULL ELSE atan2((lz * h0 - lx * h2) / (down * size), h1 / size) END AS mag, CASE WHEN acc > mean + 1 THEN 1 WHEN acc < mean - 1 THEN 0 END AS edge FROM h),
+        k AS (SELECT *, last_value(mag IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS last_mag, first_value(mag IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS first_mag, coalesce(last_value(edge IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS latched FROM i),
+        l AS (SELECT *, turned + coalesce(first_mag, 0.0::DOUBLE) AS gyro, coalesce(edge = 1 AND latched = 0, false) AS step FROM k),
+        o AS (SELECT *, 0.02::DOUBLE * (CASE WHEN last_mag < 0 THEN last_mag % ({TURN}) ELSE last_mag END) + 0.98::DOUBLE * (CASE WHEN gyro < 0 THEN gyro % ({TURN}) ELSE gyro END) AS mix FROM l),
+        p AS (SELECT *, CASE WHEN last_mag IS NULL THEN gyro WHEN mix > pi() THEN mix % pi() - pi() ELSE mix END AS fused FROM o),
+        e AS (SELECT *, coalesce(sum(CASE WHEN step THEN 0.75::DOUBLE * cos(fused) END) OVER ({W} ROWS UNBOUNDED PRECEDING), 0.0::DOUBLE) AS e, coalesce(sum(CASE WHEN step THEN 0.75::DOUBLE * sin(fused) END) OVER ({W} ROWS UNBOUNDED PRECEDING), 0.0::DOUBLE) AS u FROM p)
+        SELECT session_id, n * 10000000 AS timestamp_nanos, {r6('acc')} AS acc_mag, step::INTEGER AS step_detected, 0.75::DOUBLE AS stride_length, {r6('gyro')} AS gyro_heading_rad, {r6(f'coalesce(last_mag, {NAN})')} AS mag_heading_rad, {r6('fused')} AS fused_heading_rad,
+        {r6('e')} AS dr_x_east, {r6('u')} AS dr_y_north, {r6(f'48.0::DOUBLE + degrees(u / {R}::DOUBLE)')} AS dr_lat, {r6(f'11.0::DOUBLE + degrees(e / ({R}::DOUBLE * cos(radians(48.0::DOUBLE))))')} AS dr_lon,
+        {', '.join(f"{NAN} AS {x}" for x in ("forward_speed_mps", "yaw_rate_deg_s", "lateral_vel_mps", "bias_omega_mag", "bias_acc_mag", "nhc_residual_lat"))}, 'PDR' AS snap_mode FROM e""",
+    "attitude_dr": f"""WITH {FIX}, m AS (SELECT *, row_number() OVER ({W}) AS n, (value - 250) / 100 AS push, value / 4000 AS tilt, CASE WHEN event_type IN ('click', 'view') THEN sqrt(1 + value / 4000 * value / 4000) END AS s FROM fix),
+        q AS (SELECT *, push * sin(radians(heading)) AS ax, push * cos(radians(heading)) AS ay, 9.80665::DOUBLE + (heading - 180) / 60 AS az,
+            last_value(CASE WHEN s IS NOT NULL THEN {{'x': tilt / s, 'z': sin(radians(heading) / 2) / s, 'w': cos(radians(heading) / 2) / s}} END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS q FROM m),
+        r AS (SELECT *, q.x AS x, 0.0::DOUBLE AS y, q.z AS z, q.w AS w FROM q),
+        o AS (SELECT *, {', '.join(f"{c} AS m{i}" for i, c in enumerate(ROT))} FROM r),
+        l AS (SELECT *, {', '.join(f"a{x} + 9.80665::DOUBLE * m{6 + i} AS l{x}" for i, x in enumerate("xyz"))}, (degrees(atan2(m1, m4)) + 360) % 360 AS yaw FROM o),
+        p AS (SELECT *, coalesce(m0 * lx + m1 * ly + m2 * lz, 0.0::DOUBLE) * 0.01::DOUBLE AS pe, coalesce(m3 * lx + m4 * ly + m5 * lz, 0.0::DOUBLE) * 0.01::DOUBLE AS pn, first_value(CASE WHEN s IS NOT NULL THEN yaw END IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS mount FROM l),
+        v AS (SELECT *, 3.0::DOUBLE + sum(pe) OVER ({W} ROWS UNBOUNDED PRECEDING) AS ve, 4.0::DOUBLE + sum(pn) OVER ({W} ROWS UNBOUNDED PRECEDING) AS vn FROM p),
+        a AS (SELECT *, degrees(vn * 0.01::DOUBLE / {R}::DOUBLE) AS up FROM v), b AS (SELECT *, 48.0::DOUBLE + sum(up) OVER ({W} ROWS UNBOUNDED PRECEDING) AS la FROM a),
+        c AS (SELECT *, 11.0::DOUBLE + sum(degrees(ve * 0.01::DOUBLE / ({R}::DOUBLE * cos(radians(la - up))))) OVER ({W} ROWS UNBOUNDED PRECEDING) AS lo, CASE WHEN sqrt(ve * ve + vn * vn) > 0.5::DOUBLE THEN ((degrees(atan2(ve, vn)) - coalesce(mount, 0.0::DOUBLE)) % 360 + 360) % 360 END AS h FROM b)
+        SELECT event_id, {r6('ve')} AS vel_east, {r6('vn')} AS vel_north, {r6('la')} AS lat, {r6('lo')} AS lon, {r6(f'coalesce(last_value(h IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING), 30.0::DOUBLE)')} AS heading, {r6('2 + 0.5::DOUBLE * (n * 0.01::DOUBLE)')} AS confidence_m FROM c""",
 }
+SQL["session_counters"] = f"""SELECT * FROM (SELECT session_id, count(*) FILTER (NOT accepted) AS rejects FROM ({SQL['gnss_gate']}) GROUP BY 1)
+    JOIN (SELECT session_id, count(*) FILTER (decision = 'RECALCULATE') AS recalculations FROM ({SQL['off_route_events']}) GROUP BY 1) USING (session_id)
+    JOIN (SELECT user_id AS session_id, count(*) FILTER (is_step) AS steps FROM ({SQL['step_detect']}) JOIN events USING (event_id) GROUP BY 1) USING (session_id)
+    JOIN (SELECT user_id AS session_id, count(*) FILTER (stationary) AS zupts FROM ({SQL['still_time']}) JOIN events USING (event_id) GROUP BY 1) USING (session_id)"""
