@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.operators.lineage import checkpoints
 from wayfold.operators.spatial import covering, road_snap
 
 #: A start edge that points further away from the heading than this is not taken.
@@ -26,16 +26,6 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, within: float = 1000.0) -
     return made.groupBy("point_id", "graph_id").agg(F.min(F.struct("off", "node_id")).alias("n")).select("point_id", "graph_id", "n.node_id", "n.off")
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """Reliable checkpoints need a folder that all executors share; only where all tasks run
-    on one machine (tests) a temporary one takes its place."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
-        return
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-graph-"))
-
-
 def distances(sources: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Least cost from each source (``graph_id, source``) to every node it reaches (if
     ``max_hops`` is given, by so many edges), with the node before it: ``graph_id, source,
@@ -44,7 +34,7 @@ def distances(sources: DataFrame, edges: DataFrame, max_hops: int | None = None)
     Each round relaxes the edges of nodes that improved in the last; the state is cut from
     its lineage by a reliable checkpoint. Ends early once nothing improves.
     """
-    _checkpoints(sources.sparkSession)
+    checkpoints(sources.sparkSession)
     state = sources.select("graph_id", "source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast(sources.schema["source"].dataType).alias("prev"), F.lit(0).alias("round"))
     for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         front = state.where(F.col("round") == hop - 1).select("graph_id", "source", F.col("node").alias("a"), "dist")
@@ -68,7 +58,7 @@ def aimed(requests: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int
     both ends, not with the graph. No edge may cost less than its straight length. Costs, and
     of equal ones the way with fewer edges and smaller nodes, are those of ``distances``.
     """
-    _checkpoints(requests.sparkSession)
+    checkpoints(requests.sparkSession)
     keys = ["graph_id", "source", "goal"]
     place = lambda name, *as_: nodes.select("graph_id", F.col("node_id").alias(name), F.col("east").alias(as_[0]), F.col("north").alias(as_[1]))
     roads = edges.select("graph_id", "a", "b", "cost").join(place("b", "be", "bn"), ["graph_id", "b"])
@@ -99,7 +89,7 @@ def paths(ends: DataFrame, tree: DataFrame) -> DataFrame:
     """Nodes from source to end of each request (``request_id, graph_id, source, goal, node``), as
     the array ``path``: the nodes before are looked up in ``tree``, one round for each edge of the
     longest path, for all requests at once."""
-    _checkpoints(ends.sparkSession)
+    checkpoints(ends.sparkSession)
     keys = ["graph_id", "source", "goal"]
     back = tree.select(*keys, F.col("node").alias("_at"), "prev")
     state = ends.select("request_id", *keys, F.col("node").alias("_at"), F.array("node").alias("path"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wayfold.engines import registry
 from wayfold.functions import geo, linalg
 from wayfold.operators import asof, evaluate, folds, graph, ordered, sessions, spans, spatial
+from wayfold.operators.lineage import settled
 from wayfold.plans import oracle
 from wayfold.sources import telemetry
 
@@ -567,8 +568,9 @@ def long_session(spark, sf_dir):
     """E7, E14, W2, W3 by spans: a third of all sessions is one."""
     f = telemetry.fixes(spark, sf_dir).withColumn("session_id", F.when(F.col("session_id") % 3 == 0, -1).otherwise(F.col("session_id")))
     f = f.withColumns({"dt": F.lit(0.01), "ae": F.col("value") / 100 * F.sin(F.radians("heading")), "an": F.col("value") / 100 * F.cos(F.radians("heading"))})
-    f = spans.running_distance(spans.cut(f, "t_ms", DAY_MS), KEY, ORDER)
-    f = spans.strapdown(spans.detect_steps(f, KEY, ORDER, "value", 20.0), KEY, ORDER, "dt", "ae", "an")
+    f = settled(spans.running_distance(spans.cut(f, "t_ms", DAY_MS), KEY, ORDER))
+    f = settled(spans.detect_steps(f, KEY, ORDER, "value", 20.0))
+    f = settled(spans.strapdown(f, KEY, ORDER, "dt", "ae", "an"))
     f = spans.low_pass(f, KEY, ORDER, "value", F.lit(0.25))
     return rounded(f.select("event_id", "session_id", "distance_m", "is_step", "vel_east", "vel_north", "x_east", "y_north", "confidence_m", "y"), "distance_m", "vel_east", "vel_north", "x_east", "y_north", "confidence_m", "y")
 
