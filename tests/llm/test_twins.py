@@ -181,6 +181,17 @@ def test_marked_articles_win_and_discussions_go(page, kept, gone):
     assert kept in text and gone not in text
 
 
+# 6
+
+
+def test_filters_on_spans_and_redacted_texts_plan_fast(spark):
+    rows = docs(spark, ["mail a@b.com now", "call (212) 555-0199 x", "nothing"] * 3)
+    began = time.time()
+    assert pii.with_spans(rows).where("size(spans) > 0 and size(base) < 2").count() == 6
+    assert pii.redacted(rows).where("length(text) > 3 and text like '%EMAIL%'").count() == 3
+    assert time.time() - began < 60
+
+
 # 9
 
 

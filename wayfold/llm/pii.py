@@ -135,6 +135,11 @@ def _valid(kind: str, m: str) -> str:
     }[kind]
 
 
+def _possible(kind: str, m: str) -> str:
+    """What a proposed span needs whatever the trees say: no phone number has over 15 digits."""
+    return f"(length({_digits(m)}) BETWEEN 7 AND 15)" if kind == "phone" else "true"
+
+
 def _flag(condition: str) -> str:
     return f"(CASE WHEN {condition} THEN 1D ELSE 0D END)"
 
@@ -174,7 +179,8 @@ def _candidates(texts: DataFrame, patterns: dict[str, str], prefix: str, guard:
     is a projection of its own, so no pattern runs twice over a text."""
     names = {k: f"{prefix}_{k}" for k in patterns}
     made = _with_spans(texts, patterns, names)
-    return made.withColumns({n: F.expr(f"filter({n}, c -> {_valid(k, 'c.m')})") for k, n in names.items()}) if guard else made
+    rule = _valid if guard else _possible
+    return made.withColumns({n: F.expr(f"filter({n}, c -> {rule(k, 'c.m')})") for k, n in names.items() if rule(k, "c.m") != "true"})
 
 
 def _accepted(kind: str, column: str, limit: float) -> Column:
@@ -261,6 +267,12 @@ def _fit(spark: SparkSession, seed: int) -> tuple[Boosted, dict[str, float]]:
     return model, limits
 
 
+def _fenced(c: Column) -> Column:
+    """``c``, such that a filter on it stays above its projection: moved below, it would repeat
+    the whole expression, and that for each column that the expression names."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` as the struct ``doc`` with ``base`` and ``spans``, arrays of kind (number
     in ``KINDS``), start and stop (code points, stop exclusive) of its whole text, in that
@@ -276,7 +288,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     made = made.withColumns({f"p_{kind}": _accepted(kind, f"p_{kind}", limits[kind]) for kind in KINDS})
     for kind in KINDS:
         made = _free(made, "taken", f"p_{kind}").withColumn("taken", F.expr(f"concat(taken, p_{kind})"))
-    return made.select("doc", "text", "base", F.array_sort("taken").alias("spans"))
+    return made.select("doc", "text", _fenced(F.col("base")).alias("base"), _fenced(F.array_sort("taken")).alias("spans"))
 
 
 def _joined(spans: str) -> Column:
@@ -314,6 +326,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     made = made.withColumn("_last", filled("greatest(element_at(_ends, -1), -element_at(spans, -1).back)"))
     joined = f"CASE WHEN size(spans) = 0 THEN text ELSE concat(array_join({parts}, ''), {_cut('_last', 'length(text)')}) END"
     made = made.withColumn("clean", F.expr(f"CASE WHEN doc.text IS NOT NULL THEN {joined} END"))
+    made = made.select("doc", _fenced(F.col("clean")).alias("clean"))
     changed = {"text": F.col("clean"), "n_chars": F.coalesce(F.length("clean").cast("long"), F.col("doc.n_chars") if "n_chars" in docs.columns else F.lit(0))}
     return made.select(*(changed[c].alias(c) if c in changed else F.col(f"doc.`{c}`") for c in docs.columns))
 
