@@ -140,11 +140,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, carry:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("s"), "source"))
     doc = F.struct(*carry) if carry else F.struct("*")
-    # Written once: whatever plan made ``docs`` runs a single time.
-    sized = keep(docs.select(doc.alias("doc"), size.alias("size"), key.alias("key"), F.xxhash64("doc_id").alias("hash")), folder, "sized")
-    salts = max(1, math.ceil(sized.count() / PER_SALT))
-    sized = sized.withColumn("salt", F.pmod("hash", F.lit(salts)))
-    groups = keep(sized.groupBy("key", "size", "salt").agg(F.count("*").alias("n")), folder, "groups")
+    sized = docs.select(doc.alias("doc"), size.alias("size"), key.alias("key"), F.xxhash64("doc_id").alias("hash"))
+    # All counting reads a narrow table; ``docs`` itself is read once for it and once for the result.
+    narrow = keep(sized.select("key", "size", "hash"), folder, "sized")
+    salts = max(1, math.ceil(narrow.count() / PER_SALT))
+    sized, narrow = (x.withColumn("salt", F.pmod("hash", F.lit(salts))) for x in (sized, narrow))
+    groups = keep(narrow.groupBy("key", "size", "salt").agg(F.count("*").alias("n")), folder, "groups")
     cells = keep(groups.groupBy("key", "size").agg(F.sum("n").alias("n")), folder, "cells")
     wanted = targets(cells, weights, share, folder)
     copies = rounded(groups, multipliers(cells, wanted, folder), folder)
