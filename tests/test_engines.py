@@ -131,7 +131,9 @@ def test_the_way_back_snaps_to_the_trail():
         d.move(**device(90.0))
     memory = d["memory"]
     assert len(memory.trail) >= 5
-    found = memory.on_trail(d["x"] - 10, d["y"] - 3, 270.0, 6.0, d["elapsed"] + 2)
+    later = d.s | {"elapsed": d.s["elapsed"] + 2}
+    who, (e, n, ux, uy) = snapping.on_trails(later, [0], d.s["x"] - 10, d.s["y"] - 3, np.array([270.0]), np.array([6.0]))
+    found = (e[0], n[0], ux[0], uy[0]) if len(who) else None
     assert found is not None and abs(found[1]) < 4 and found[2] < 0 and memory.reversed
 
 

@@ -40,7 +40,7 @@ def test_roads_hold_a_place_that_has_no_route(engine):
     d = OnRoads(engine, streets([(-50, 5, 400, 5), (400, 2, -50, 2), (10, -80, 10, 80)]), bearing=90.0, speed=8.0)
     for _ in range(60):
         d.move(**device(90.0))
-        d.s["memory"][0].trail = []  # else the place keeps to its own way
+        d.s["memory"][0].trail = snapping.Places(9)  # else the place keeps to its own way
     assert d.out["snap_mode"][0] == "AUTO" and d.out["dr_y_north"][0] == pytest.approx(5.0) and d.out["dr_x_east"][0] > 3
     raw = d.s["p"][0, 1] if engine == "iekf" else d["y"]
     assert abs(raw) < 1  # the raw place is never moved
@@ -74,7 +74,7 @@ def test_no_road_within_thirty_metres_is_free():
     d = OnRoads("fusion", streets([(-50, 40, 400, 40)]), bearing=90.0, speed=8.0)
     for _ in range(20):
         d.move(**device(90.0))
-        d.s["memory"][0].trail = []
+        d.s["memory"][0].trail = snapping.Places(9)
     assert d.out["snap_mode"][0] == "FREE"
     assert np.isnan(streets([]).snap(np.array([1.0]), np.array([2.0]), np.array([3.0]))).all()
 
@@ -92,7 +92,7 @@ def test_two_destinations_a_clearing_and_a_reset():
     # Anew at another place: counters and trail start over, the route stays where it is.
     lat, lon = at(50, 0)
     d.act(row(registry.SEED, t=d.t, lat=lat, lon=lon, bearing=90.0, speed=8.0))
-    assert d["steps"] == 0 and d["elapsed"] == 0 and d.s["memory"][0].trail == []
+    assert d["steps"] == 0 and d["elapsed"] == 0 and len(d.s["memory"][0].trail) == 0
     out = go(5)
     assert out["snap_mode"][0] == "ROUTE" and out["dr_y_north"][0] == pytest.approx(6.0, abs=1e-3) and out["dr_x_east"][0] < far
 
@@ -101,7 +101,7 @@ def test_a_place_that_does_not_move_is_told_once():
     d = Drive("fusion", heading=90.0, speed=5.0)
     alerts = 0
     for k in range(4000):
-        d.s["x"][:], d.s["y"][:], d.s["memory"][0].trail = 0.0, 0.0, []  # something holds the place
+        d.s["x"][:], d.s["y"][:], d.s["memory"][0].trail = 0.0, 0.0, snapping.Places(9)  # something holds the place
         d.s["ve"][:], d.s["vn"][:], d.s["forward"][:] = 5.0, 0.0, 5.0
         d.move(**device(90.0, gyro_z=0.1))
         alerts += int(d.out["frozen"][0])
@@ -159,3 +159,43 @@ def test_spans_are_the_whole_session(spark):
         g = got[s, r["t_ms"]]
         assert g["is_step"] == r["r_step"] and g["distance_m"] == pytest.approx(r["r_distance"], abs=1e-6) and g["y"] == pytest.approx(y[s], abs=1e-9)
     assert len(got) == len(rows)
+
+
+def test_trails_of_all_sessions_are_searched_like_each_alone():
+    r = np.random.default_rng(4)
+    memories, x, y, heading = [], r.uniform(0, 60, 40), r.uniform(0, 60, 40), r.uniform(0, 360, 40)
+    for k in range(40):
+        m = snapping.Memory()
+        for e, n in r.uniform(0, 60, (2 + k % 30, 2)):
+            m.trail.add(e, n)
+            m.trail.add(e, n) if k % 7 == 0 else None  # a segment without length
+        for e, n in r.uniform(0, 5 if k % 3 else 30, (k % 4, 2)):
+            m.recent.add(e, n)
+        memories.append(m)
+    found = snapping.trail_edges(memories, x, y, heading)
+    for k, m in enumerate(memories):
+        p, best, own = m.trail.points(), None, m.recent.points()
+        way = own[-1] - own[0] if len(own) > 1 else np.zeros(2)
+        turn = np.array([np.sin(np.radians(heading[k])), np.cos(np.radians(heading[k]))])
+        for a, b in zip(p, p[1:], strict=False):
+            length = np.hypot(*(b - a))
+            if length < 1e-6:
+                continue
+            u = (b - a) / length
+            t = min(max(((x[k], y[k]) - a) @ u / length, 0), 1)
+            off, align = np.hypot(*((x[k], y[k]) - a - t * (b - a))), u @ turn
+            if off > 20 or abs(align) < 0.5 or (np.hypot(*way) >= 6 and abs(u @ way) / np.hypot(*way) < 0.5):
+                continue
+            if best is None or off - 10 * abs(align) < best[0] - 1e-12:
+                best = (off - 10 * abs(align), [*a, *b, float(align < 0)])
+        assert (found[k] is None) == (best is None)
+        assert best is None or found[k] == pytest.approx(best[1])
+    assert 5 < sum(f is not None for f in found) < 40
+
+
+def test_a_trail_keeps_its_last_places():
+    p = snapping.Places(5)
+    for k in range(100):
+        assert p.far(k, 0, 1.0)
+        p.add(k, 0)
+        assert p.points()[:, 0].tolist() == list(range(max(0, k - 4), k + 1)) and len(p.held) <= 16

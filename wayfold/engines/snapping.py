@@ -6,6 +6,8 @@ north) or None. The three matchers are tried in that order and never change the
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from wayfold.engines.arrays import EQUATOR
@@ -59,21 +61,52 @@ class Line:
         return place[0], place[1], unit[0], unit[1], at[k]
 
 
-def on_edge(edge, x: float, y: float, gate: float, heading: float):
-    """Point of an edge (ax, ay, bx, by) beside the place, and its direction along the heading."""
-    ax, ay, bx, by = edge[:4]
+def on_edges(edges: np.ndarray, x, y, gate: float, heading) -> tuple[np.ndarray, ...]:
+    """Which places lie beside their edge (ax, ay, bx, by), the point on it, and its direction along
+    the heading."""
+    ax, ay, bx, by = edges.T[:4]
     dx, dy = bx - ax, by - ay
     square = dx * dx + dy * dy
-    if square < SHORT_EDGE:
-        return None
-    raw = ((x - ax) * dx + (y - ay) * dy) / square
-    t = min(max(raw, 0.0), 1.0)
+    long = square >= SHORT_EDGE
+    size = np.where(long, square, 1.0)
+    raw = ((x - ax) * dx + (y - ay) * dy) / size
+    t = np.clip(raw, 0.0, 1.0)
     qx, qy = ax + t * dx, ay + t * dy
-    if not -OUTSIDE <= raw <= 1 + OUTSIDE or np.hypot(x - qx, y - qy) > gate:
-        return None
-    ux, uy = dx / np.sqrt(square), dy / np.sqrt(square)
-    sign = -1.0 if ux * np.sin(np.radians(heading)) + uy * np.cos(np.radians(heading)) < 0 else 1.0
-    return qx, qy, sign * ux, sign * uy
+    found = long & (raw >= -OUTSIDE) & (raw <= 1 + OUTSIDE) & (np.hypot(x - qx, y - qy) <= gate)
+    ux, uy = dx / np.sqrt(size), dy / np.sqrt(size)
+    sign = np.where(ux * np.sin(np.radians(heading)) + uy * np.cos(np.radians(heading)) < 0, -1.0, 1.0)
+    return found, qx, qy, sign * ux, sign * uy
+
+
+class Places:
+    """The last ``most`` places of a session, in one array."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.start, self.stop = most, 0, 0
+        self.held = np.zeros((16, 2))
+
+    def __len__(self) -> int:
+        return self.stop - self.start
+
+    def points(self) -> np.ndarray:
+        return self.held[self.start : self.stop]
+
+    def add(self, x: float, y: float) -> None:
+        if self.stop == len(self.held):
+            own = self.points()
+            self.held = np.zeros((max(16, 2 * min(len(own), self.most)), 2))
+            self.held[: len(own)] = own
+            self.start, self.stop = 0, len(own)
+        self.held[self.stop] = x, y
+        self.stop += 1
+        self.start = max(self.start, self.stop - self.most)
+
+    def far(self, x: float, y: float, gap: float) -> bool:
+        """Whether a place is ``gap`` or more from the last one."""
+        if self.stop == self.start:
+            return True
+        ex, ey = self.held[self.stop - 1].tolist()
+        return math.hypot(x - ex, y - ey) >= gap
 
 
 class Memory:
@@ -83,52 +116,18 @@ class Memory:
         self.line: Line | None = None
         self.points: np.ndarray | None = None  # of the route, lat and lon
         self.roads: Roads | None = None  # a network of its own
-        self.trail: list[tuple[float, float]] = []
-        self.recent: list[tuple[float, float]] = []
-        self.edge = self.road = None
+        self.trail, self.recent = Places(TRAIL_POINTS), Places(RECENT_POINTS)
+        self.edge: np.ndarray | None = None
+        self.road: np.ndarray | None = None
         self.reversed = False
         self.asked, self.asked_road = (0.0, 0.0, -1.0), (0.0, 0.0, -1.0)
 
-    def moved(self, x: float, y: float) -> None:
-        if not self.recent or np.hypot(x - self.recent[-1][0], y - self.recent[-1][1]) >= RECENT_GAP:
-            self.recent = [*self.recent[-RECENT_POINTS + 1 :], (x, y)]
-
-    def keep(self, x: float, y: float) -> None:
-        if not self.trail or np.hypot(x - self.trail[-1][0], y - self.trail[-1][1]) >= TRAIL_GAP:
-            self.trail.append((x, y))
-            del self.trail[:-TRAIL_POINTS]
-
-    def trail_edge(self, x: float, y: float, heading: float):
-        """The driven segment that best explains the motion, in either direction."""
-        line = Line(np.array(self.trail))
-        _, off, _ = line.project(x, y)
-        unit = line.step / line.length[:, None]
-        align = unit @ [np.sin(np.radians(heading)), np.cos(np.radians(heading))]
-        sound = (off <= TRAIL_GATE) & (np.abs(align) >= TRAIL_ALIGN)
-        way = np.subtract(self.recent[-1], self.recent[0]) if len(self.recent) > 1 else np.zeros(2)
-        if (length := np.hypot(*way)) >= RECENT_LENGTH:
-            sound &= np.abs(unit @ (way / length)) >= TRAIL_ALIGN
-        if not sound.any():
-            return None
-        k = int(np.argmin(np.where(sound, off - TRAIL_WEIGHT * np.abs(align), np.inf)))
-        return (*line.a[k], *(line.a[k] + line.step[k]), align[k] < 0)
-
-    def on_trail(self, x: float, y: float, heading: float, speed: float, elapsed: float):
-        if len(self.trail) < 2 or speed < TRAIL_SPEED:
-            self.edge = None
-            return None
-        if self.edge is None or np.hypot(x - self.asked[0], y - self.asked[1]) > TRAIL_AGAIN_M or elapsed - self.asked[2] > TRAIL_AGAIN_S:
-            self.asked, self.edge = (x, y, elapsed), self.trail_edge(x, y, heading)
-        found = on_edge(self.edge, x, y, TRAIL_GATE, heading) if self.edge else None
-        if found is None:
-            self.edge = None
-            return None
-        self.reversed = bool(self.edge[4])
-        return found
+    def trail_due(self, x: float, y: float, elapsed: float) -> bool:
+        return self.edge is None or math.hypot(x - self.asked[0], y - self.asked[1]) > TRAIL_AGAIN_M or elapsed - self.asked[2] > TRAIL_AGAIN_S
 
     def road_due(self, x: float, y: float, elapsed: float) -> bool:
         """Whether the network has to be asked: without an edge, or after a way or a time."""
-        return self.road is None or np.hypot(x - self.asked_road[0], y - self.asked_road[1]) > ROAD_AGAIN_M or elapsed - self.asked_road[2] > ROAD_AGAIN_S
+        return self.road is None or math.hypot(x - self.asked_road[0], y - self.asked_road[1]) > ROAD_AGAIN_M or elapsed - self.asked_road[2] > ROAD_AGAIN_S
 
     def road_told(self, x: float, y: float, elapsed: float, edge: np.ndarray | None) -> None:
         """The answer (both ends, east and north, and the distance), or None. An edge that is
@@ -139,10 +138,73 @@ class Memory:
         elif np.hypot(edge[2] - edge[0], edge[3] - edge[1]) > SHORT_EDGE:
             self.road = edge
 
-    def on_road(self, x: float, y: float, heading: float):
-        matched = on_edge(self.road, x, y, ROAD_GATE, heading) if self.road is not None else None
-        self.road = self.road if matched else None
-        return matched
+    def way(self) -> tuple[float, float]:
+        """Direction of the recent motion; NaN if it is too short."""
+        own = self.recent.points()
+        east, north = (own[-1] - own[0]).tolist() if len(own) > 1 else (0.0, 0.0)
+        length = math.hypot(east, north)
+        return (east / length, north / length) if length >= RECENT_LENGTH else (math.nan, math.nan)
+
+
+def trail_edges(memories: list[Memory], x, y, heading) -> list[np.ndarray | None]:
+    """The driven segment of each session (both ends, and 1 if it is driven the other way) that best
+    explains its motion, in either direction; the segments of all sessions in one pass."""
+    own = [m.trail.points() for m in memories]
+    sizes = np.array([len(p) for p in own])
+    points = np.concatenate(own)
+    ends = np.cumsum(sizes)
+    first = np.ones(len(points), bool)
+    first[ends - 1] = False  # the last place of a session begins no segment
+    at, owner = np.flatnonzero(first), np.repeat(np.arange(len(own)), sizes - 1)
+    a = points[at]
+    d = points[at + 1] - a
+    length = np.hypot(*d.T)
+    sound = length >= 1e-6
+    unit = d / np.where(sound, length, 1.0)[:, None]
+    raw = ((x[owner] - a[:, 0]) * unit[:, 0] + (y[owner] - a[:, 1]) * unit[:, 1]) / np.where(sound, length, 1.0)
+    t = np.clip(raw, 0, 1)
+    off = np.hypot(x[owner] - a[:, 0] - t * d[:, 0], y[owner] - a[:, 1] - t * d[:, 1])
+    turn = np.radians(heading)
+    align = unit[:, 0] * np.sin(turn)[owner] + unit[:, 1] * np.cos(turn)[owner]
+    way = np.array([m.way() for m in memories])
+    alike = unit[:, 0] * way[owner, 0] + unit[:, 1] * way[owner, 1]
+    sound &= (off <= TRAIL_GATE) & (np.abs(align) >= TRAIL_ALIGN) & ~(np.abs(alike) < TRAIL_ALIGN)
+    score = np.where(sound, off - TRAIL_WEIGHT * np.abs(align), np.inf)
+    starts = ends - sizes - np.arange(len(own))
+    least = np.minimum.reduceat(score, starts)
+    best = np.flatnonzero((score == least[owner]) & sound)
+    who, k = np.unique(owner[best], return_index=True)
+    found: list[np.ndarray | None] = [None] * len(own)
+    for m, k in zip(who.tolist(), best[k].tolist(), strict=True):
+        found[m] = np.array([*a[k], *points[at[k] + 1], align[k] < 0])
+    return found
+
+
+def on_trails(s: dict, asked: list[int], x, y, heading, speed) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which of the sessions ``asked`` are on their trail, and where (see ``on_edges``)."""
+    memories, elapsed = s["memory"], s["elapsed"]
+    able = [k for k in asked if len(memories[k].trail) > 1 and speed[k] >= TRAIL_SPEED]
+    for k in set(asked).difference(able):
+        memories[k].edge = None
+    due = [k for k in able if memories[k].trail_due(x[k], y[k], elapsed[k])]
+    if due:
+        for k, edge in zip(due, trail_edges([memories[k] for k in due], x[due], y[due], heading[due]), strict=True):
+            memories[k].asked, memories[k].edge = (x[k], y[k], elapsed[k]), edge
+    who, found = matched(able, "edge", memories, x, y, heading, TRAIL_GATE)
+    for k in who.tolist():
+        memories[k].reversed = bool(memories[k].edge[4])
+    return who, found
+
+
+def matched(asked: list[int], name: str, memories, x, y, heading, gate: float) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which sessions lie beside the edge ``name`` that they remember; the others forget it."""
+    held = np.array([k for k in asked if getattr(memories[k], name) is not None], int)
+    if not len(held):
+        return held, (np.zeros(0),) * 4
+    found, *place_ = on_edges(np.stack([getattr(memories[k], name)[:4] for k in held]), x[held], y[held], gate, heading[held])
+    for k in held[~found]:
+        setattr(memories[k], name, None)
+    return held[found], tuple(v[found] for v in place_)
 
 
 def set_route(s: dict, k: int, points) -> None:
@@ -196,27 +258,34 @@ def place(s: dict, x, y, heading, speed, roads=None) -> tuple[np.ndarray, ...]:
     network of all sessions (:class:`wayfold.engines.roads.Roads`), if there is one."""
     out_x, out_y, ux, uy = x.copy(), y.copy(), np.full(len(x), np.nan), np.full(len(x), np.nan)
     mode, off_line = np.where(s["stationary"], "ZUPT", "FREE").astype(object), np.zeros(len(x), bool)
-    asked = []
-
-    def take(k: int, found: tuple, name: str) -> None:
-        out_x[k], out_y[k], ux[k], uy[k] = found[:4]
-        mode[k] = name
-
-    for k, memory in enumerate(s["memory"]):
-        memory.moved(x[k], y[k])
-        found = memory.line.match(x[k], y[k], s["route_s"][k]) if memory.line else None
+    memories, free = s["memory"], []
+    for k, (memory, east, north) in enumerate(zip(memories, x.tolist(), y.tolist(), strict=True)):
+        if memory.recent.far(east, north, RECENT_GAP):
+            memory.recent.add(east, north)
+        found = memory.line.match(east, north, s["route_s"][k]) if memory.line else None
         off_line[k] = memory.line is not None and found is None
-        if found is not None:
-            s["route_s"][k] = found[4]
-            take(k, found, "ROUTE")
-        elif (found := memory.on_trail(x[k], y[k], heading[k], speed[k], s["elapsed"][k])) is not None:
-            take(k, found, "TRAIL-REV" if memory.reversed else "TRAIL")
-        elif roads is not None or memory.roads is not None:
-            asked.append(k)
-    ask_roads(s, asked, x, y, heading, roads)
-    for k in asked:
-        if (found := s["memory"][k].on_road(x[k], y[k], heading[k])) is not None:
-            take(k, found, "AUTO")
-    for k in np.flatnonzero(~s["stationary"] & (speed >= TRAIL_SPEED)):
-        s["memory"][k].keep(out_x[k], out_y[k])
+        if found is None:
+            free.append(k)
+        else:
+            out_x[k], out_y[k], ux[k], uy[k], s["route_s"][k] = found
+            mode[k] = "ROUTE"
+
+    def take(who: np.ndarray, found: tuple[np.ndarray, ...]) -> None:
+        for values, own in zip((out_x, out_y, ux, uy), found, strict=True):
+            values[who] = own
+
+    if free:
+        who, found = on_trails(s, free, x, y, heading, speed)
+        take(who, found)
+        for k in who.tolist():
+            mode[k] = "TRAIL-REV" if memories[k].reversed else "TRAIL"
+        left = [k for k in sorted(set(free).difference(who.tolist())) if roads is not None or memories[k].roads is not None]
+        if left:
+            ask_roads(s, left, x, y, heading, roads)
+            who, found = matched(left, "road", memories, x, y, heading, ROAD_GATE)
+            take(who, found)
+            mode[who] = "AUTO"
+    for k in np.flatnonzero(~s["stationary"] & (speed >= TRAIL_SPEED)).tolist():
+        if memories[k].trail.far(out_x[k], out_y[k], TRAIL_GAP):
+            memories[k].trail.add(out_x[k], out_y[k])
     return out_x, out_y, ux, uy, mode, off_line
