@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.engines import registry
 from wayfold.operators import evaluate
+from wayfold.sources import telemetry
 from wayfold.streaming import engines, folds, views
 
 
@@ -75,3 +76,31 @@ def test_exported_csv_reads_back(spark, tmp_path):
     assert "NaN" in lines and lines.startswith("session_id,row_kind,gps_lat,dr_lat,position_error_m,note")
     back = evaluate.read_csv(spark, str(tmp_path / "nav"), table.schema)
     assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, rows))
+
+
+def test_sources_read_and_stream_the_same(spark, tmp_path):
+    fixes = [
+        '{"session_id": 1, "timestamp_ms": 5, "latitude": 48.0, "longitude": 11.0, "speed": 3.5, "bearing": 90, "accuracy": 4}',
+        '{"session_id": 1, "timestamp_ms": 6, "latitude": 48.0, "longitude": 11.0, "speed": -1, "bearing": 400, "accuracy": 0, "new": 1}',
+        '{"session_id": 1, "timestamp_ms": 7, "latitude": 148.0, "longitude": 11.0}', "not json",
+    ]
+    (tmp_path / "gps").mkdir()
+    (tmp_path / "gps" / "a.json").write_text("\n".join(fixes))
+    pick = lambda df: sorted(map(tuple, df.select("t_ms", "lat", "speed", "bearing", "accuracy").collect()))
+    assert pick(telemetry.gps_source(spark, str(tmp_path / "gps"))) == [(5, 48.0, 3.5, 90.0, 4.0), (6, 48.0, None, None, None)]
+    query = telemetry.gps_source(spark, str(tmp_path / "gps"), stream=True).writeStream.format("memory").queryName("fixes").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert pick(spark.table("fixes")) == pick(telemetry.gps_source(spark, str(tmp_path / "gps")))
+    (tmp_path / "imu").mkdir()
+    (tmp_path / "imu" / "a.json").write_text('{"session_id": 1, "timestamp_nanos": 9, "accel_x": 0.5, "quat_w": 1.0}')
+    row = telemetry.imu_source(spark, str(tmp_path / "imu")).first()
+    assert (row["timestamp_nanos"], row["accel_x"], row["quat_w"], row["mag_x"]) == (9, 0.5, 1.0, None)
+
+
+def test_route_cache_is_replaced(spark, tmp_path):
+    folder, schema = str(tmp_path / "cache"), "start array<double>, destination array<double>, source string, timestamp long, points array<array<double>>"
+    for points in ([[48.0, 11.0], [48.1, 11.1]], [[48.0, 11.0], [48.2, 11.2], [48.3, 11.3]]):
+        telemetry.save_routes(spark.createDataFrame([([48.0, 11.0], [1.0, 2.0], "s", 5, points)], schema), folder)
+        read = telemetry.read_routes(spark, folder).select(telemetry.cached_route(F.col("json"), (48.001, 11.0), (1.0, 2.0)).alias("p")).collect()
+        assert [r["p"] for r in read] == [points]
+    assert [p.name for p in tmp_path.iterdir()] == ["cache"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,6 +83,43 @@ def cached_route(body: Column, start: tuple[float, float], destination: tuple[fl
     return F.when(near("start", start, 0.01) & near("destination", destination, 1e-6), route["points"])
 
 
+def save_routes(routes: DataFrame, folder: str) -> None:
+    """Replaces the route cache in ``folder`` (``start``, ``destination``, ``source``, ``timestamp``,
+    ``points``, a JSON line each). Readers see the old cache or the new one: the new one is
+    written beside it and renamed."""
+    spark, beside = routes.sparkSession, f"{folder.rstrip('/')}-{uuid.uuid4().hex}"
+    routes.select(F.to_json(F.struct("start", "destination", "source", "timestamp", "points")).alias("value")).write.text(beside)
+    path, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, beside))
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(path, True)
+    if not system.rename(new, path):
+        raise OSError(f"{beside} could not be renamed to {folder}")
+
+
+def read_routes(spark: SparkSession, folder: str) -> DataFrame:
+    """The route cache as its JSON, column ``json`` (see ``cached_route``)."""
+    return spark.read.text(folder).withColumnRenamed("value", "json")
+
+
+def imu_source(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """Motion samples (``IMU``) in JSON files, read or streamed. Sensors that lack are null."""
+    reader = (spark.readStream if stream else spark.read).schema(IMU)
+    return reader.json(folder)
+
+
+def gps_source(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """Position fixes (``GPS``) in JSON files, read or streamed, as engines take them (``t_ms``,
+    ``lat``, ``lon``, ``speed``, ``bearing``, ``accuracy``) with ``event_time``. Speeds below 0, bearings
+    outside 0 to 360 and accuracies of 0 or less are not known; fixes without a place are left out."""
+    reader = (spark.readStream if stream else spark.read).schema(GPS)
+    known = lambda c, condition: F.when(condition, F.col(c).cast("double"))
+    fix = reader.json(folder).where("latitude between -90 and 90 and longitude between -180 and 180")
+    return fix.select(
+        "session_id", F.col("timestamp_ms").alias("t_ms"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "altitude", known("speed", F.col("speed") >= 0).alias("speed"),
+        known("bearing", F.col("bearing").between(0, 360)).alias("bearing"), known("accuracy", F.col("accuracy") > 0).alias("accuracy"), "provider", F.timestamp_millis("timestamp_ms").alias("event_time"),
+    )
+
+
 def seed(last: DataFrame, cached: DataFrame, default: tuple[float, float]) -> DataFrame:
     """Start of each session of ``last`` (``session_id, lat, lon, bearing, speed,
     device_yaw``): the last fix, else the cached one, else ``default``; ``seed_source``
