@@ -644,3 +644,21 @@ def session_counters(spark, sf_dir):
     for part in parts[1:]:
         made = made.join(part, "session_id")
     return made
+
+
+@query
+def route_readback(spark, sf_dir):
+    """A planned route as it is kept (local metres about its start) and read back."""
+    f = telemetry.truth(telemetry.fixes(spark, sf_dir))
+    start = F.first(F.struct("lat", "lon")).over(ordered.Window.partitionBy(*KEY).orderBy(*ORDER).rowsBetween(ordered.Window.unboundedPreceding, 0))
+    f = f.withColumn("start", start)
+    kept = geo.to_enu(F.col("lat"), F.col("lon"), F.col("start.lat"), F.col("start.lon"), geo.EQUATOR)
+    back = geo.move_enu(F.col("start.lat"), F.col("start.lon"), kept["east"], kept["north"])
+    return f.select("event_id", "session_id", r6(kept["east"]).alias("east"), r6(kept["north"]).alias("north"), r6(back["lat"]).alias("lat"), r6(back["lon"]).alias("lon"))
+
+
+@query
+def exports_joined(spark, sf_dir):
+    """The exports of samples and states, joined on their sensor time."""
+    made = imu_export(spark, sf_dir).join(pdr_dr(spark, sf_dir), ["session_id", "timestamp_nanos"])
+    return made.select("session_id", "timestamp_nanos", "accel_x", "accel_z", "gyro_z", "acc_mag", "step_detected", "dr_x_east", "dr_y_north")

@@ -310,3 +310,8 @@ SQL["session_counters"] = f"""SELECT * FROM (SELECT session_id, count(*) FILTER
     JOIN (SELECT session_id, count(*) FILTER (decision = 'RECALCULATE') AS recalculations FROM ({SQL['off_route_events']}) GROUP BY 1) USING (session_id)
     JOIN (SELECT user_id AS session_id, count(*) FILTER (is_step) AS steps FROM ({SQL['step_detect']}) JOIN events USING (event_id) GROUP BY 1) USING (session_id)
     JOIN (SELECT user_id AS session_id, count(*) FILTER (stationary) AS zupts FROM ({SQL['still_time']}) JOIN events USING (event_id) GROUP BY 1) USING (session_id)"""
+SQL["route_readback"] = f"""WITH {FIX}, s AS (SELECT *, first_value(lat) OVER ({W}) AS lat0, first_value(lon) OVER ({W}) AS lon0 FROM fix WHERE event_type = 'click'),
+    e AS (SELECT *, radians(lon - lon0) * 6378137.0::DOUBLE * cos(radians(lat0)) AS e, radians(lat - lat0) * 6378137.0::DOUBLE AS n FROM s)
+    SELECT event_id, session_id, {r6('e')} AS east, {r6('n')} AS north, {r6(f'lat0 + degrees(n / {R}::DOUBLE)')} AS lat, {r6(f'lon0 + degrees(e / ({R}::DOUBLE * cos(radians(lat0))))')} AS lon FROM e"""
+SQL["exports_joined"] = f"""SELECT session_id, timestamp_nanos, accel_x, accel_z, gyro_z, acc_mag, step_detected, dr_x_east, dr_y_north
+    FROM ({SQL['imu_export']}) JOIN ({SQL['pdr_dr']}) USING (session_id, timestamp_nanos)"""
