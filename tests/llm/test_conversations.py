@@ -6,6 +6,8 @@ import re
 import zlib
 from functools import cache
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from wayfold.llm import conversations
@@ -112,6 +114,13 @@ def test_charts_are_least_from_the_back():
         assert conversations.completed(whole) == least(rows)
 
 
+def test_sql_is_the_twin():
+    rows, db = table(), duckdb.connect()
+    columns = {n: pa.array([r[i] for r in rows], pa.int64() if i < 2 else pa.string()) for i, n in enumerate(("conv_id", "turn", "role", "text"))}
+    db.register("conversations", pa.table(columns))
+    assert sorted(db.execute(conversations.ORACLE_SQL).fetchall(), key=repr) == twin(rows)
+
+
 def test_charts_take_linear_time():
     r = random.Random(1)
     cost, audit = conversations.completed(conversations.parsed(bytes(r.randrange(12) for _ in range(300_000))))

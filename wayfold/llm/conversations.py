@@ -384,3 +384,50 @@ def repaired(conversations: DataFrame) -> DataFrame:
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults and least repair of every conversation, after damage."""
     return repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _oracle() -> str:
+    """The same in SQL: CRC-32 by its table, then the least (cost, audit) of each of four states (``e``
+    nothing yet, ``s``, ``u``, ``a`` the last initial) row by row."""
+    way = lambda state, cost, letters: f"{{'c': w.{state}.c + {cost}, 'a': w.{state}.a || '{letters}'}}"
+    never = "{'c': 1000000000, 'a': ''}"
+
+    def read(role: str, before: list[str], state: str, lead: str, paid: int) -> list[str]:
+        """Ways that take the row as ``role``: it is kept or reroled."""
+        keeps = [f"CASE WHEN x.fault < 2 AND x.initial = '{role}' THEN {way(p, f'{paid} + x.fault', lead + 'K')} ELSE {never} END" for p in before]
+        turns = [f"CASE WHEN x.fault < 2 AND x.initial <> '{role}' THEN {way(p, f'{paid + REROLE} + x.fault', lead + 'R')} ELSE {never} END" for p in before]
+        return [*keeps, *(turns if role in ROLES else [])]
+
+    after = {
+        "e": [],
+        "s": read("s", ["e"], "s", "", 0),
+        "u": read("u", ["e", "s", "a"], "u", "", 0) + read("u", ["u"], "u", "I", INSERT),
+        "a": read("a", ["u"], "a", "", 0) + read("a", ["e", "s", "a"], "a", "I", INSERT),
+    }
+    steps = ", ".join(f"list_min([{', '.join([way(s, DELETE, 'D'), *ways])}]) AS {s}" for s, ways in after.items())
+    space = r"\x20\x09-\x0D"
+    return f"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([i] || range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+told AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce([4294967295] || list_transform(string_split(k, ''), lambda c: ord(c)::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind FROM told, tab),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS again FROM crc WHERE kind <> 0),
+digest AS (SELECT *, md5(coalesce(conv_id::VARCHAR, '-') || ':' || length(role) || ':' || role || ':' || text) AS h FROM hurt),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, h, again) AS n, left(role, 1) AS initial FROM digest),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS nth, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS prior FROM numbered),
+rows_ AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^{space}]') THEN 2 WHEN nth > 1 THEN 3 WHEN NOT regexp_matches(text, '[.!?][{space}]*\\z') THEN 1 ELSE 0 END AS fault FROM seen),
+walk AS (SELECT conv_id, 0::BIGINT AS n, {{'c': 0, 'a': ''}} AS e, {never} AS s, {never} AS u, {never} AS a FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT w.conv_id, x.n, {steps} FROM walk w JOIN rows_ x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.n = w.n + 1),
+ends AS (SELECT w.conv_id, list_min([w.e, w.a, {way('u', INSERT, 'I')}, {way('s', 2 * INSERT, 'II')}]) AS best FROM walk w JOIN (SELECT conv_id, max(n) AS n FROM walk GROUP BY 1) m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.n = w.n),
+letters AS (SELECT conv_id, unnest(string_split(best.a, '')) AS letter, generate_subscripts(string_split(best.a, ''), 1) AS i FROM ends WHERE best.a <> ''),
+places AS (SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS n, sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS k FROM letters),
+kept AS (SELECT p.conv_id, p.i, p.k, CASE WHEN p.letter = 'K' THEN x.role END AS own, CASE WHEN p.letter = 'I' THEN '' ELSE x.text END AS text,
+    bool_or(p.letter = 'K' AND p.k = 1 AND x.initial = 's') OVER (PARTITION BY p.conv_id) AS led FROM places p LEFT JOIN rows_ x ON x.conv_id IS NOT DISTINCT FROM p.conv_id AND x.n = p.n WHERE p.letter <> 'D'),
+text_ AS (SELECT conv_id, string_agg(coalesce(own, CASE WHEN (k + led::INTEGER) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY i) AS whole FROM kept GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 2) AS blank, count(*) FILTER (fault = 3) AS duplicate, count(*) FILTER (fault = 1) AS truncated,
+    count(*) FILTER (prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id)
+SELECT e.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, e.best.c::BIGINT AS cost, e.best.a AS audit, sha256(coalesce(t.whole, '')) AS repaired_sha256
+FROM ends e LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN text_ t ON t.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+ORACLE_SQL = _oracle()

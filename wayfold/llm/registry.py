@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from wayfold.llm import topk, warc
+from wayfold.llm import conversations, topk, warc
 from wayfold.llm.alignment import op13_alignment
-from wayfold.llm.conversations import op12_conversations
 from wayfold.llm.fingerprint import op7_fingerprint
 from wayfold.llm.html import op1_html
 from wayfold.llm.langid import op10_langid
@@ -27,8 +26,8 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_langid": op10_langid,
     "op11_warc": warc.op11_warc,
-    "op12_conversations": op12_conversations,
+    "op12_conversations": conversations.op12_conversations,
     "op13_alignment": op13_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL, "op11_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk.ORACLE_SQL, "op11_warc": warc.ORACLE_SQL, "op12_conversations": conversations.ORACLE_SQL}
