@@ -246,7 +246,7 @@ def test_sample_is_the_least_hashes(spark, monkeypatch):
 
     every = rows.withColumn("h", F.xxhash64("text")).distinct().collect()
     want = {(lang, r["text"]) for lang in "abc" for r in sorted((x for x in every if x["lang"] == lang), key=lambda x: x["h"])[:7]}
-    for lead in (1, 4, 16):
+    for lead in ((), (1,), (4, 16), (10, 20, 40)):
         monkeypatch.setattr(langid, "LEAD", lead)
         got = [tuple(x) for x in langid.sampled(rows).collect()]
         assert len(got) == len(want) and set(got) == want

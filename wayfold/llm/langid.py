@@ -22,8 +22,8 @@ SIZES = (1, 2, 3)
 SAMPLE = 1500
 #: Languages that a model may have; bounds the broadcast (128 MB at the most).
 LANGUAGES = 1024
-#: Leading bits of a text's hash by which the texts of a language are counted.
-LEAD = 16
+#: Leading bits of a text's hash by which the texts of a language are counted, step by step.
+LEAD = (10, 20)
 SMOOTH = 0.5
 UNKNOWN = "und"
 #: Code points of a block, and log-probabilities that a block may gather at once.
@@ -74,20 +74,27 @@ def grams(texts: list[str], most: int = _CHUNK) -> Iterator[tuple[np.ndarray, np
             yield found[inside], text[: len(found)][inside]
 
 
+def _near(hashes: DataFrame, bits: int) -> DataFrame:
+    """Of ``lang``, ``h`` those whose leading ``bits`` bits are among the least with which a
+    language has ``SAMPLE`` hashes. Only counts are ordered, one for each value of those bits."""
+    lead = F.shiftright("h", 64 - bits)
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("lead"))
+    ranges = hashes.groupBy("lang", lead.alias("lead")).agg(F.count("*").alias("n")).withColumn("before", upto - F.col("n"))
+    last = ranges.where(F.col("before") < SAMPLE).groupBy("lang").agg(F.max("lead").alias("last"))
+    return hashes.join(F.broadcast(last), "lang").where(lead <= F.col("last")).drop("last")
+
+
 def sampled(rows: DataFrame) -> DataFrame:
     """Of ``lang``, ``text`` at most ``SAMPLE`` different texts of each language, in order of
     their hash: copies count once.
 
-    Only hashes are ranked, and no task ranks a language: counts by the leading bits of the
-    hash tell up to which of them the sample reaches, and what is ranked lies below that.
+    Only hashes are ranked, and no task ranks a language: counts by leading bits of the hash,
+    few at first and then more among those that are left, tell up to which the sample reaches.
     """
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    hashes = keep(rows.select("lang", "h").distinct(), shared_folder(rows.sparkSession), "hashes")
-    lead = F.shiftright("h", 64 - LEAD)
-    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("lead"))  # at most 2^LEAD rows a language
-    ranges = hashes.groupBy("lang", lead.alias("lead")).agg(F.count("*").alias("n")).withColumn("before", upto - F.col("n"))
-    last = ranges.where(F.col("before") < SAMPLE).groupBy("lang").agg(F.max("lead").alias("last"))
-    near = hashes.join(F.broadcast(last), "lang").where(lead <= F.col("last"))
+    rows, folder = rows.withColumn("h", F.xxhash64("text")), shared_folder(rows.sparkSession)
+    near = keep(rows.select("lang", "h").distinct(), folder, "hashes")
+    for bits in LEAD:
+        near = keep(_near(near, bits), folder, f"near-{bits}")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     chosen = near.withColumn("place", place).where(F.col("place") <= SAMPLE).select("lang", "h")
     return rows.join(small(chosen, SAMPLE * LANGUAGES), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
