@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.shared import keep, shared_folder, short_batches, tidied
+
 TIERS = (2048, 1024, 512, 256)
 END = 1
 #: Tokens packed together; bounds a task's memory.
@@ -51,13 +53,13 @@ def encoder(name: str):
     with lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    special = [token.content for token in whole.get_added_tokens_decoder().values()]
+    whole = cache(lambda: Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))  # few tasks need it
+    special = [token.content for token in Tokenizer.from_file(public_tokenizers.path(f"{name}.json")).get_added_tokens_decoder().values()]
     run = regex.compile(rf"\p{{L}}{{{LONG_RUN}}}|\p{{N}}{{{LONG_RUN}}}|[^\s\p{{L}}\p{{N}}]{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
 
     def encode(text: str) -> np.ndarray:
         if any(token in text for token in special) or (len(text) > LONG_RUN and run.search(text)):
-            return np.array(whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            return np.array(whole().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.uint32, copy=False)
 
     return encode
@@ -172,7 +174,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         held = 0
-        for batch in batches:
+        for batch in tidied(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = np.append(encode(text.as_py() or ""), np.uint32(END)).astype("<u4", copy=False)
                 ids[number["document"]] = (doc_id, tokens)
@@ -184,7 +186,9 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k") -> DataFrame:
                     held = 0
         yield rows(True)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    with short_batches(docs.sparkSession):
+        return keep(made, shared_folder(docs.sparkSession), "packed")
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
