@@ -229,6 +229,15 @@ def test_scores_are_the_networks_window_by_window():
     assert np.allclose(toxicity.Scorer(net).scores(texts), [whole(t) for t in texts], atol=1e-5)
 
 
+def test_rows_of_words_are_their_checksums():
+    words = ["a", "naïve", "日本", "x" * 24, "ab"]
+    grams = lambda m: [8192 + zlib.crc32(m[i : i + n]) % 8192 for n in (3, 4) for i in range(len(m) - n + 1)]
+    assert [toxicity.features(w) for w in words] == [[zlib.crc32(f"^{w}$".encode()) % 8192, *grams(f"^{w}$".encode())] for w in words]
+    own, rows, many = toxicity.table_rows(words)
+    assert rows.tolist() == [r for w in words for r in toxicity.features(w)[1:]] and many.tolist() == [len(toxicity.features(w)) - 1 for w in words]
+    assert [len(x) for x in toxicity.table_rows([])] == [0, 0, 0]
+
+
 def test_toxicity_without_labels_and_with_clashing_columns(spark):
     d = docs(spark, ["one two", "three", None]).withColumnRenamed("n_chars", "doc").withColumnRenamed("_good", "predicted")
     none = spark.createDataFrame([], "doc_id long, toxic int")

@@ -54,18 +54,41 @@ def windows(words: list[str], chosen: list[int] | None = None) -> list[list[str]
     return [words[k * STRIDE : k * STRIDE + WINDOW] for k in chosen]
 
 
-def features(word: str) -> list[int]:
-    """Rows of the table: the word's own, then those of its character n-grams."""
-    marked = f"^{word}$".encode()
-    found = [zlib.crc32(marked) % WORDS]
-    return found + [WORDS + zlib.crc32(marked[i : i + n]) % GRAMS for n in SIZES for i in range(len(marked) - n + 1)]
+def _table() -> np.ndarray:
+    """CRC-32 of each byte, by its rule."""
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> np.uint32(1)) ^ np.uint32(0xEDB88320), t >> np.uint32(1))
+    return t
+
+
+_CRC = _table()
 
 
 def table_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Own row, n-gram rows in one array, and their number, of each word."""
-    found = [features(w) for w in words]
-    own = np.array([x[0] for x in found], np.int32)
-    return own, np.array([i for x in found for i in x[1:]], np.int32), np.array([len(x) - 1 for x in found], np.int32)
+    """Rows of the table by CRC-32: each word's own, those of its character n-grams in one array,
+    and their number for each word. The n-grams of all words are hashed together."""
+    marked = [f"^{w}$".encode() for w in words]
+    own = np.array([zlib.crc32(m) % WORDS for m in marked], np.int32)
+    size = np.array([len(m) for m in marked], np.int64)
+    whole = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
+    owner, left = np.repeat(np.arange(len(words)), size), np.repeat(np.cumsum(size), size) - np.arange(len(whole))
+    rows, owners = [], []
+    for n in SIZES:
+        at = np.flatnonzero(left >= n)
+        c = np.full(len(at), 0xFFFFFFFF, np.uint32)
+        for k in range(n):
+            c = _CRC[(c ^ whole[at + k]) & np.uint32(255)] ^ (c >> np.uint32(8))
+        rows.append(WORDS + (~c % np.uint32(GRAMS)).astype(np.int32))
+        owners.append(owner[at])
+    rows, owners = np.concatenate(rows), np.concatenate(owners)
+    return own, rows[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words)).astype(np.int32)
+
+
+def features(word: str) -> list[int]:
+    """Rows of the table of one word: its own, then those of its n-grams."""
+    own, rows, _ = table_rows([word])
+    return [int(own[0]), *rows.tolist()]
 
 
 class Network:
