@@ -66,15 +66,20 @@ def short_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """Unused memory of this process goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tidied(batches: Iterator) -> Iterator:
     """``batches`` of a Python task; after each, and at the end, unused memory goes back to the
     system. Workers live on from task to task, and what their allocators hold counts."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     for batch in batches:
         yield batch
         pa.default_memory_pool().release_unused()
-    if trim is not None:
-        trim(0)
+    give_back()
 
 
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.langid import fold
-from wayfold.llm.shared import keep, shared_folder, short_batches, small, tidied
+from wayfold.llm.shared import give_back, keep, shared_folder, short_batches, small, tidied
 
 WINDOW, STRIDE = 48, 36
 #: Words of more characters are cut into pieces.
@@ -446,7 +446,9 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column) -> Network:
     marked = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     rows = docs.where(usable & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(small(marked), F.col("doc_id") == F.col("_id"))
-    return fit(rows.select("doc_id", "text", F.when(F.col("_toxic") > 0, 1).otherwise(0).alias("toxic")))
+    net = fit(rows.select("doc_id", "text", F.when(F.col("_toxic") > 0, 1).otherwise(0).alias("toxic")))
+    give_back()  # what training took on the driver
+    return net
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
