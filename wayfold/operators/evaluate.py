@@ -76,13 +76,19 @@ def live_snapshot(gps: DataFrame, dr: DataFrame, gate_ms: int) -> DataFrame:
     return made.select("session_id", count("gps"), count("dr"), F.col("gps.lat").alias("gps_lat"), F.col("gps.lon").alias("gps_lon"), F.col("dr.lat").alias("dr_lat"), F.col("dr.lon").alias("dr_lon"), follow["lat"].alias("follow_lat"), follow["lon"].alias("follow_lon"), "current_error_m", "distance_travelled_m")
 
 
+def _fixed_text(v, digits: int):
+    """``v`` to so many places as C's ``printf`` has it: by its exact binary value, halves to even
+    (``format_string`` rounds the shortest decimal text of it, halves up)."""
+    return F.call_function("format_number", v, F.lit("0." + "0" * digits if digits else "0"))
+
+
 def metres_text(v, digits: int = 1):
     """``12.3 m``; a dash for NaN."""
-    return F.when(F.isnan(v), "—").otherwise(F.format_string(f"%.{digits}f m", v))
+    return F.when(F.isnan(v), "—").otherwise(F.concat(_fixed_text(v, digits), F.lit(" m")))
 
 
 def percent_text(v):
-    return F.when(F.isnan(v), "—").otherwise(F.format_string("%.2f%%", v))
+    return F.when(F.isnan(v), "—").otherwise(F.concat(_fixed_text(v, 2), F.lit("%")))
 
 
 def status_text(status, snap_mode, **flags):
