@@ -2,8 +2,9 @@
 
 A session is cut into spans of time. What a row needs of all rows before it is what its span
 has before it, by a window over that span, and what the earlier spans came to, from a table
-with one row a span. So a session is as many tasks as it has spans. Sums of doubles are
-added in another order than over whole sessions; results agree to some ten digits.
+with one row a span. So a session is as many tasks as it has spans. Doubles are
+added in two parts (see :func:`parts`), so their sums are the nearest doubles, or next to them,
+however long a session is and wherever it is cut.
 """
 
 from __future__ import annotations
@@ -11,12 +12,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from wayfold.functions import linalg
 from wayfold.functions.geo import SPHERE, haversine_m
 from wayfold.operators import folds, ordered
 from wayfold.operators.lineage import settled
 
+#: A double's upper part is a multiple of 1 / UPPER: below 2^53 / UPPER (8.6e9) sums of those are exact.
+UPPER = float(1 << 20)
 #: Rows of a chunk of :func:`affine`; powers of a factor over it must stay within a double.
 CHUNK = 256
 
@@ -36,6 +40,13 @@ def _told(df: DataFrame, keys: list[str], spans: DataFrame) -> DataFrame:
     return df.join(given, met, "left").drop(*(f"_k_{k}" for k in [*keys, "_span"]))
 
 
+def parts(value: Column) -> tuple[Column, Column]:
+    """Upper and lower part of a double. Upper parts add up without error, and the lower ones
+    are so small that the error of their sum does not count."""
+    upper = F.rint(value * UPPER) / UPPER
+    return upper, F.nanvl(value - upper, F.lit(0.0))  # of infinities and NaN all is the upper part
+
+
 def carried(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
     """``df`` (cut) with running sums, the own row included, under the names of ``sums``, and with
     the last non-null value before each row under those of ``lasts``.
@@ -43,8 +54,11 @@ def carried(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     ``df`` is read twice, for the spans and for the rows; where a step follows another one, the
     first has to be ``settled``."""
     sums, lasts = sums or {}, lasts or {}
-    added, seen = {f"_v_{n}": c for n, c in sums.items()}, {f"_v_{n}": c for n, c in lasts.items()}
-    df = df.withColumns(added | seen)
+    seen = {f"_v_{n}": c for n, c in lasts.items()}
+    df = df.withColumns({f"_v_{n}": c for n, c in sums.items()} | seen)
+    halves = [n for n in sums if isinstance(df.schema[f"_v_{n}"].dataType, DoubleType)]
+    df = df.withColumns({f"{s}_v_{n}": c for n in halves for s, c in zip(("", "_l"), parts(F.col(f"_v_{n}")), strict=True)})
+    added = [*(f"_v_{n}" for n in sums), *(f"_l_v_{n}" for n in halves)]
     place = F.struct(*order)
     known = lambda n, c: F.when(F.col(n).isNotNull(), c)
     spans = df.groupBy(*keys, "_span").agg(*(F.sum(n).alias(n) for n in added), *(F.max_by(known(n, F.col(n)), known(n, place)).alias(n) for n in seen))
@@ -52,8 +66,9 @@ def carried(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     spans = spans.select(*keys, "_span", *(F.sum(n).over(before).alias(f"_b{n}") for n in added), *(F.last(n, ignorenulls=True).over(before).alias(f"_b{n}") for n in seen))
     within = Window.partitionBy(*keys, "_span").orderBy(*order)
     upto, prior = within.rowsBetween(Window.unboundedPreceding, 0), within.rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda n: F.coalesce(F.sum(n).over(upto), F.lit(0)) + F.coalesce(F.col(f"_b{n}"), F.lit(0))
     made = _told(df, keys, spans).withColumns(
-        {n: F.coalesce(F.sum(f"_v_{n}").over(upto), F.lit(0)) + F.coalesce(F.col(f"_b_v_{n}"), F.lit(0)) for n in sums}
+        {n: total(f"_v_{n}") + total(f"_l_v_{n}") if n in halves else total(f"_v_{n}") for n in sums}
         | {n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(prior), F.col(f"_b_v_{n}")) for n in lasts}
     )
     return made.drop(*added, *seen, *(f"_b{n}" for n in [*added, *seen]))
