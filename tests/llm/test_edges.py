@@ -54,3 +54,25 @@ def test_main_texts_of_whole_pages_hold_no_markup(sf):
             found = re.compile(r"\s*".join(map(re.escape, "".join(words))) if len(words) < 3 else r"\s*".join(map(re.escape, words))).search(plain, at)
             assert found, line[:80]
             at = found.end()
+
+
+def test_long_runs_are_looked_for_at_few_places():
+    """The search for very long runs costs little beside the tokenising of ordinary text, and finds
+    a run wherever it begins."""
+    import time
+
+    from wayfold.llm import packing
+
+    encode = packing.encoder("byte_bpe_50k")
+    inside = dict(zip(encode.__code__.co_freevars, (c.cell_contents for c in encode.__closure__), strict=True))
+    found, n = inside["long_run"], packing.LONG_RUN
+    for before in (0, 1, n // 2 - 1, n // 2, n // 2 + 1, n - 1):
+        for run in ("a", "7", "-", " "):
+            assert found("b. " * (before // 3) + "b1"[: before % 3] + "," * (run != "-") + run * n + ("x" if run != "a" else "."))
+            assert not found(("1b" if run == "7" else "b1") * (before // 2) + run * (n - 1) + ("1" if run != "7" else "x") * (n - 1))
+    text = "It was said, in 1999, that words are short. " * 20_000
+    start = time.process_time()
+    inside["fast"].encode_to_numpy(text)
+    whole, start = time.process_time() - start, time.process_time()
+    assert not found(text)
+    assert time.process_time() - start < whole / 10

@@ -55,10 +55,14 @@ def encoder(name: str):
     fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     whole = cache(lambda: Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))  # few tasks need it
     special = [token.content for token in Tokenizer.from_file(public_tokenizers.path(f"{name}.json")).get_added_tokens_decoder().values()]
-    run = regex.compile(rf"\p{{L}}{{{LONG_RUN}}}|\p{{N}}{{{LONG_RUN}}}|[^\s\p{{L}}\p{{N}}]{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
+    half, run = (regex.compile(rf"\p{{L}}{{{n}}}|\p{{N}}{{{n}}}|[^\s\p{{L}}\p{{N}}]{{{n}}}|\s{{{n}}}") for n in (LONG_RUN // 2, LONG_RUN))
+
+    def long_run(text: str) -> bool:
+        # A long run fills the half of one that begins at some multiple of that length; few texts have such a half.
+        return any(half.match(text, at) for at in range(0, len(text) - LONG_RUN // 2 + 1, LONG_RUN // 2)) and bool(run.search(text))
 
     def encode(text: str) -> np.ndarray:
-        if any(token in text for token in special) or (len(text) > LONG_RUN and run.search(text)):
+        if any(token in text for token in special) or (len(text) >= LONG_RUN and long_run(text)):
             return np.array(whole().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.uint32, copy=False)
 
