@@ -16,6 +16,7 @@ can be shared. So each of two alike sets has an ``f`` within the other's ``slack
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.graph import components
-from wayfold.llm.shared import keep, shared_folder, short_batches, small, tidied
+from wayfold.llm.shared import keep, shared_folder, short_batches, small, swept, tidied
 
 SEED = 42
 #: Buckets of more documents than this are thinned out by further centers before they are paired.
@@ -201,23 +202,24 @@ def _mixed(index: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.count("*").over(own)).where("n > 1")
 
 
-def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+def alike(docs: DataFrame, width: int = 5, similarity: float = 0.8, candidates: Callable[[DataFrame, int, str], DataFrame] | None = None) -> DataFrame:
     """Documents to leave out so that one of each near-duplicate group stays: ``doc_id``
     of every document that is not the smallest of its group, and that ``component_id``.
 
     Two documents are linked if their sets of shingles of ``width`` words have a likeness of
-    at least ``similarity``; groups are what links lead to. No pair is missed. Members of a
-    bucket are first held against one center, that with the most shingles which many share
+    at least ``similarity``; groups are what links lead to. No pair is missed. The pairs of
+    ``candidates`` (of one document a set, the width and a folder makes ``a``, ``b``) are compared
+    first; what follows joins the groups that they leave. Members of a bucket are first held against one center, that with the most shingles which many share
     (of near copies the one nearest to their source), which joins large groups by few pairs;
     crowded buckets that are not of one group then get further centers; at last all pairs of
     different groups that share a bucket and may be alike are compared, whatever its size.
     Null ids take no part; texts without words are alike.
     """
     with short_batches(docs.sparkSession):
-        return _alike(docs, width, similarity)
+        return _alike(docs, width, similarity, candidates)
 
 
-def _alike(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+def _alike(docs: DataFrame, width: int, similarity: float, candidates: Callable | None) -> DataFrame:
     folder = shared_folder(docs.sparkSession)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     marked = keep(prefixes(texts, width, similarity, _common(texts, width, similarity)), folder, "marked")
@@ -232,6 +234,10 @@ def _alike(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     crowd = index.where(F.col("n") > BUCKET).groupBy("node").agg(F.count("*").alias("crowd"))
     index = keep(index.drop("n").join(small(crowd), "node", "left").withColumn("crowd", F.coalesce("crowd", F.lit(0))), folder, "shared")
     parts, links = nodes.select("node", "rep", F.col("rep").alias("part")), None
+    if candidates is not None:
+        links = _proven(candidates, texts, nodes, width, similarity, folder)
+        parts = keep(_parts(nodes, links, f"{folder}/near-part"), folder, "near-parts")
+        swept(docs.sparkSession)
     for turn in range(ROUNDS + 1):
         mixed = keep(_mixed(index, parts), folder, f"mixed-{turn}")
         if turn == ROUNDS or turn and mixed.where(F.col("n") > BUCKET).isEmpty():
@@ -254,6 +260,16 @@ def _alike(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     return keep(marked.select("doc_id", "node").join(whole, "node").where("doc_id <> component_id").select("doc_id", "component_id").distinct(), folder, "alike")
 
 
+def _proven(candidates: Callable, texts: DataFrame, nodes: DataFrame, width: int, similarity: float, folder: str) -> DataFrame:
+    """Links among the pairs of ``candidates``, which see one document of each set."""
+    reps = small(nodes.select("node", F.col("rep").alias("doc_id")))
+    found = candidates(texts.join(reps, "doc_id", "left_semi"), width, f"{folder}/near")
+    side = lambda s: small(nodes.select(F.col("rep").alias(s), F.col("node").alias(f"{s}_node")))
+    pairs = found.join(side("a"), "a").join(side("b"), "b").where("a_node <> b_node")
+    pairs = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    return linked(pairs, texts, nodes, width, similarity, f"{folder}/proven")
+
+
 def _parts(nodes: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     """``nodes`` with the smallest doc_id, as ``part``, that ``links`` lead to."""
     found = components(links, folder).withColumnRenamed("id", "rep")

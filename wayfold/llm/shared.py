@@ -8,6 +8,7 @@ costs the tasks it ran, never the lineage behind the table.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -82,6 +83,13 @@ def tidied(batches: Iterator) -> Iterator:
     give_back()
 
 
+def swept(spark: SparkSession) -> None:
+    """Shuffle files of results that nobody holds any more go from the executors' disks; Spark
+    deletes them once the driver has collected what stood for them."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``df``, to be broadcast if it has at most ``most`` rows (of a few numbers each)."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.graph import components
 from wayfold.llm.jaccard import alike
-from wayfold.llm.shared import keep, shared_folder, small
+from wayfold.llm.shared import keep, shared_folder, small, tidied
 
 SEED = 42
 HALF = 32
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = SEED) -> DataFrame
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in tidied(batches):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             fps = pa.array([simhash(t or b"", width, seed) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
@@ -113,6 +113,26 @@ def crowded_links(shared: DataFrame) -> DataFrame:
     return left.join(right, ["mask", "rest"]).where("fa < fb and bit_count(fa ^ fb) <= 2").select("a", "b")
 
 
+def _marked(docs: DataFrame, width: int, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints of ``docs``, the smallest doc_id of each (``fp``, ``rep``), and the linked pairs
+    of those (``a``, ``b``)."""
+    marked = keep(fingerprints(docs, width), folder, "marked")
+    nodes = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), folder, "nodes")
+    index = nodes.where("rep is not null").select("fp", "rep", F.explode(_variants(F.col("fp"))).alias("key"))
+    shared = keep(shared_keys(index), folder, "shared")
+    links = keep(bucket_links(shared).union(crowded_links(shared)), folder, "links")
+    return marked, nodes, links
+
+
+def candidates(docs: DataFrame, width: int, folder: str) -> DataFrame:
+    """Pairs of doc_ids (``a``, ``b``) whose texts may be near copies: the smallest ids of
+    fingerprints that differ in two bits or fewer, and each other id with the smallest of its own
+    fingerprint."""
+    marked, nodes, links = _marked(docs, width, folder)
+    same = marked.join(small(nodes), "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    return keep(links.union(same).distinct(), folder, "candidates")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of every row of ``docs``.
 
@@ -123,12 +143,8 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     are each returned; other columns are ignored; an empty table gives an empty result.
     """
     folder = shared_folder(docs.sparkSession)
-    marked = keep(fingerprints(docs, width), folder, "marked")
-    nodes = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), folder, "nodes")
-    index = nodes.where("rep is not null").select("fp", "rep", F.explode(_variants(F.col("fp"))).alias("key"))
-    shared = keep(shared_keys(index), folder, "shared")
-    links = bucket_links(shared).union(crowded_links(shared))
-    found = components(keep(links, folder, "links"), folder)
+    marked, nodes, links = _marked(docs, width, folder)
+    found = components(links, folder)
     whole = nodes.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     whole = whole.select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(whole, "fp", "left").select("doc_id", "fp", "component_id")
@@ -141,10 +157,11 @@ def distinct_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     hash of the whole row. A row without an id stays, once for each text. Texts without
     words are alike. All columns are kept.
 
-    Groups come from :mod:`wayfold.llm.jaccard`: at a likeness of 0.8 the fingerprints of
-    this module miss most pairs (see the README).
+    Pairs come from the deletion-variant index of this module first, are held to the exact
+    likeness, and their groups are joined. At a likeness of 0.8 fingerprints miss most pairs (see
+    the README), so :mod:`wayfold.llm.jaccard` then finds the links that are left between groups.
     """
-    gone = alike(docs, width, similarity)
+    gone = alike(docs, width, similarity, candidates)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     row = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*columns).alias("_doc"), F.xxhash64(*columns).alias("_hash"))
     named = row.where("_id is not null").join(gone.select(F.col("doc_id").alias("_id")), "_id", "left_anti")
